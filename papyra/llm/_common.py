@@ -31,3 +31,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Like ``written``, in as many buckets of ``key`` as there are shuffle partitions, so that a join on it needn't move it."""
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.option("path", path).bucketBy(partitions(spark), key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # of the catalogue only: the files are external, and the frame holds their layout
+    return out

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import partitions, written
+from ._common import bucketed, partitions, written
 
 ORDER = 4
 BITS = 16
 #: Characters of text in a block, the unit whose distinct keys are looked up together.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Trusted rows up to this many are broadcast as bare ids; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A text is dropped if its perplexity is above this quantile of its language's held-out trusted texts.
@@ -190,11 +190,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         ids = F.broadcast(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(
         ids, "doc_id", "left").select("doc_id", "text", "lang", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    blocks = written(rows.mapInArrow(_blocks, "block long, payload binary, keys binary, counts binary"), "blocks")
+    blocks = bucketed(rows.mapInArrow(_blocks, "block long, payload binary, keys binary, counts binary"), "blocks", "block")
     each = blocks.select("block", "keys", "counts").mapInArrow(_expand, "block long, key long, n long")
     p = probabilities(written(each.groupBy("key").agg(F.sum("n").alias("n")), "counts"))
-    back = each.select("block", "key").join(p, "key").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "key").select("block", "key", "p")
-    logs = back.mapInArrow(_gather, "block long, logs binary")
+    back = each.select("block", "key").join(p.hint("merge"), "key").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "key").select("block", "key", "p")
+    logs = back.mapInArrow(_gather, "block long, logs binary").hint("merge")  # the blocks lie in buckets: only the logs move
     return blocks.select("block", "payload").join(logs, "block", "left").select("payload", "logs").mapInArrow(
         _sum, "doc_id long, lang string, trusted int, perplexity double")
 
