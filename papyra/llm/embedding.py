@@ -135,12 +135,18 @@ def _join_dim(nodes: DataFrame, dim: int, n: int, threshold: float, cell: int) -
                 if own is None:  # sent to a part that has no vectors of its own
                     continue
                 mine, y, links, root = own
+                fast = y.astype(np.float32)
                 for c in range(0, len(ids), 1024):
-                    hit = y @ x[c:c + 1024].T >= threshold
-                    links += hit @ w[c:c + 1024]
-                    first = hit.argmax(axis=0)
-                    linked = hit.any(axis=0)
-                    p, q = np.nonzero(hit)
+                    z = x[c:c + 1024]
+                    # single precision, less its rounding error, finds the pairs; double precision decides
+                    p, q = np.nonzero(fast @ z.astype(np.float32).T >= np.float32(threshold - 1e-6 * (dim + 8)))
+                    ok = np.concatenate([np.einsum("ij,ij->i", y[p[k:k + 65536]], z[q[k:k + 65536]]) >= threshold for k in range(0, len(p), 65536)] or [np.zeros(0, bool)])
+                    p, q = p[ok], q[ok]
+                    if not len(p):
+                        continue
+                    links += np.bincount(p, w[c + q], len(links)).astype(np.int64)
+                    first = np.full(len(z), len(mine))
+                    np.minimum.at(first, q, p)
                     while True:  # own vectors with a common partner belong together
                         u, v = root[p], root[first[q]]
                         if (u == v).all():
@@ -148,8 +154,8 @@ def _join_dim(nodes: DataFrame, dim: int, n: int, threshold: float, cell: int) -
                         np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
                         while (root != root[root]).any():
                             root = root[root]
-                    other = ids[c:c + 1024][linked]
-                    rep = mine[first[linked]]
+                    linked = first < len(mine)
+                    other, rep = ids[c:c + 1024][linked], mine[first[linked]]
                     if (other != rep).any():
                         yield edges(other[other != rep], rep[other != rep])
                 own = (mine, y, links, root)
