@@ -8,9 +8,11 @@ at most one remainder, are left; the remainder is split at powers of two, so it
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,40 +26,91 @@ OPEN = 128
 #: Partitions whose open windows one merging task takes.
 MERGE = 16
 END = 1
+_END = np.array([END], "<u4").tobytes()
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _CACHE: dict = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer of ``path`` in this process, and a bounded cache from a white-space-free chunk to its ids' bytes."""
-    if path not in _CACHE:
+class Encoder:
+    """A tokenizer file's ids, through the library, once for every distinct word.
+
+    This kind of file lower-cases, drops white space, splits words from digits and signs, and ends each of
+    these pieces with a token that is marked as a word's end. So a text's ids are those of its pieces, one
+    after another, and many pieces can go through the library in one string and be told apart by the marks.
+    Chunks with characters for which that isn't plain (beyond Latin letters and ASCII) go through it whole.
+    """
+
+    # Fixed: the file's pre-tokenisation pattern.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+    PLAIN = "[!-~À-ÖØ-öø-ÿ]+"
+    SIMPLE = r"[\x00-~À-ÖØ-öø-ÿ]*+"
+
+    def __init__(self, path: str, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are busy with other tasks
+        import regex
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _CACHE[path] = t, {}
-    return _CACHE[path]
-
-
-def encode_all(texts: list[str | None], path: str, most: int = 400_000) -> list[bytes]:
-    """Ids of every text as little-endian unsigned 32-bit numbers, the end id last.
-
-    This tokenizer drops white space and never joins across it, so a text's ids are those of its chunks
-    between ASCII white space, one after another; every distinct chunk goes through the library once.
-    """
-    t, cache = tokenizer(path)
-    if len(cache) > most:
-        cache.clear()
-    split = [x.encode("utf-8", "surrogatepass").split() if x else [] for x in texts]
-    new = list({w for ws in split for w in ws if w not in cache})
-    for at in range(0, len(new), 20_000):
-        some = new[at:at + 20_000]
-        for w, e in zip(some, t.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    end = np.array([END], "<u4").tobytes()
-    return [b"".join([*map(cache.__getitem__, ws), end]) for ws in split]
+        vocab = t.get_vocab()
+        self.t, self.most = t, most
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        if any("<|" not in x.content or x.content != x.content.lower() for x in t.get_added_tokens_decoder().values()):
+            raise ValueError("a special token without <|, or in capitals")
+        self.pieces, self.plain, self.simple = map(regex.compile, (self.PIECES, self.PLAIN, self.SIMPLE))
+        self.chunk: dict[bytes, bytes] = {}
+        self.piece: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit numbers, the end id last."""
+        if len(self.chunk) > self.most:
+            self.chunk.clear()
+        if len(self.piece) > self.most:
+            self.piece.clear()
+        # lower-casing plain texts first leaves fewer distinct chunks
+        split = [(x.lower() if x.isascii() or self.simple.fullmatch(x) else x).encode("utf-8", "surrogatepass").split() if x else [] for x in texts]
+        words = set(chain.from_iterable(split))
+        new = words - self.chunk.keys()
+        later = [(w, p) for w in new if (p := self._pieces(w)) is not None]
+        self._learn(list({x for _, p in later for x in p} - self.piece.keys()))
+        of, known = self.piece.__getitem__, self.chunk
+        for w, p in later:
+            known[w] = of(p[0]) if len(p) == 1 else b"".join(map(of, p))
+        own = {w: known[w] for w in words}.__getitem__
+        return [b"".join([*map(own, ws), _END]) for ws in split]
+
+    def _pieces(self, w: bytes) -> list[str] | None:
+        """A chunk's pieces; None if it went through the library whole."""
+        c = w.decode("utf-8", "replace")
+        if b"<|" in w or not w.isascii() and not self.plain.fullmatch(c):
+            self.chunk[w] = np.array(self.t.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            return None
+        if c.isalpha():
+            return [c.lower()]
+        if c[-1] in ".,!" and c[:-1].isalpha():
+            return [c[:-1].lower(), c[-1]]
+        return self.pieces.findall(c.lower())
+
+    def _learn(self, new: list[str], size: int = 1000) -> None:
+        for at in range(0, len(new), size):
+            some = new[at:at + size]
+            ids = np.array(self.t.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.last[ids]) + 1
+            if len(cut) == len(some) and cut[-1] == len(ids):
+                raw, at4 = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.piece.update((p, raw[a:b]) for p, a, b in zip(some, at4, at4[1:]))
+            else:
+                for p in some:
+                    self.piece[p] = np.array(self.t.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def encode_all(texts: list[str | None], path: str) -> list[bytes]:
+    if path not in _CACHE:
+        _CACHE[path] = Encoder(path)
+    return _CACHE[path].encode(texts)
 
 
 class Windows:
@@ -108,8 +161,8 @@ def _pack(length: int, most: int, path: str, keep_ids: bool):
 
         for b in batches:
             docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(docs), 256):
-                for doc, ids in zip(docs[at:at + 256], encode_all(texts[at:at + 256], path)):
+            for at in range(0, len(docs), 512):
+                for doc, ids in zip(docs[at:at + 512], encode_all(texts[at:at + 512], path)):
                     total = len(ids) // 4
                     for start in range(0, total, length):
                         n = min(length, total - start)
