@@ -43,10 +43,10 @@ class Encoder:
 
     # Fixed: the file's pre-tokenisation pattern.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-    PLAIN = "[!-~À-ÖØ-öø-ÿ]+"
-    SIMPLE = r"[\x00-~À-ÖØ-öø-ÿ]*+"
+    #: Texts that may be lower-cased as a whole, and chunks that may be cut here.
+    SIMPLE = r"[\t-\r -~À-ÖØ-öø-ÿ]*+"
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are busy with other tasks
         import regex
         from tokenizers import Tokenizer
@@ -60,40 +60,33 @@ class Encoder:
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         if any("<|" not in x.content or x.content != x.content.lower() for x in t.get_added_tokens_decoder().values()):
             raise ValueError("a special token without <|, or in capitals")
-        self.pieces, self.plain, self.simple = map(regex.compile, (self.PIECES, self.PLAIN, self.SIMPLE))
-        self.chunk: dict[bytes, bytes] = {}
-        self.piece: dict[str, bytes] = {}
+        self.cut, self.simple = regex.compile(self.PIECES).findall, regex.compile(self.SIMPLE).fullmatch
+        self.space = regex.compile(r"[\t-\r ]+").split
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit numbers, the end id last."""
-        if len(self.chunk) > self.most:
-            self.chunk.clear()
-        if len(self.piece) > self.most:
-            self.piece.clear()
-        # lower-casing plain texts first leaves fewer distinct chunks
-        split = [(x.lower() if x.isascii() or self.simple.fullmatch(x) else x).encode("utf-8", "surrogatepass").split() if x else [] for x in texts]
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        # lower-casing simple texts first leaves fewer distinct chunks
+        split = [(x.lower().split() if self.simple(x) else [c for c in self.space(x) if c]) if x else () for x in texts]
         words = set(chain.from_iterable(split))
-        new = words - self.chunk.keys()
-        later = [(w, p) for w in new if (p := self._pieces(w)) is not None]
-        self._learn(list({x for _, p in later for x in p} - self.piece.keys()))
-        of, known = self.piece.__getitem__, self.chunk
-        for w, p in later:
-            known[w] = of(p[0]) if len(p) == 1 else b"".join(map(of, p))
-        own = {w: known[w] for w in words}.__getitem__
+        new = words - known.keys()
+        whole = {c for c in new if not c.isascii() and not self.simple(c) or "<|" in c}
+        for c in whole:
+            known[c] = np.array(self.t.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        new -= whole
+        letters = {c for c in new if c.isalpha() and c == c.lower()}
+        mixed = list(new - letters)
+        pieces = [(c[:-1], c[-1]) if c[-1] in ".,!" and c[:-1].isalpha() and c == c.lower() else self.cut(c.lower()) for c in mixed]
+        letters.update(p for p in chain.from_iterable(pieces) if p not in known)
+        self._learn(list(letters))
+        of = known.__getitem__
+        known.update(zip(mixed, [b"".join(map(of, p)) for p in pieces]))
+        own = dict(zip(words, map(of, words))).__getitem__
         return [b"".join([*map(own, ws), _END]) for ws in split]
 
-    def _pieces(self, w: bytes) -> list[str] | None:
-        """A chunk's pieces; None if it went through the library whole."""
-        c = w.decode("utf-8", "replace")
-        if b"<|" in w or not w.isascii() and not self.plain.fullmatch(c):
-            self.chunk[w] = np.array(self.t.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-            return None
-        if c.isalpha():
-            return [c.lower()]
-        if c[-1] in ".,!" and c[:-1].isalpha():
-            return [c[:-1].lower(), c[-1]]
-        return self.pieces.findall(c.lower())
-
     def _learn(self, new: list[str], size: int = 1000) -> None:
         for at in range(0, len(new), size):
             some = new[at:at + size]
@@ -101,10 +94,10 @@ class Encoder:
             cut = np.flatnonzero(self.last[ids]) + 1
             if len(cut) == len(some) and cut[-1] == len(ids):
                 raw, at4 = ids.tobytes(), [0, *(4 * cut).tolist()]
-                self.piece.update((p, raw[a:b]) for p, a, b in zip(some, at4, at4[1:]))
+                self.known.update(zip(some, [raw[a:b] for a, b in zip(at4, at4[1:])]))
             else:
                 for p in some:
-                    self.piece[p] = np.array(self.t.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                    self.known[p] = np.array(self.t.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encode_all(texts: list[str | None], path: str) -> list[bytes]:
