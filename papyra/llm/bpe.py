@@ -13,17 +13,23 @@ import json
 import os
 import tempfile
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._common import written
+
 #: Words in the lexicon: it bounds what is broadcast, and changes speed only, not results.
 LEXICON_WORDS = 100_000
+#: Words that occur less often are not called frequent.
+MIN_COUNT = 5
 #: Characters of a word in the lexicon.
 WORD_CHARS = 32
 _CACHE: dict = {}
+_NEVER = (1 << 60, -1)
 # Fixed: the pre-tokenisation pattern of byte-level BPE files of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -70,20 +76,26 @@ class Vocabulary:
         return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.pattern.findall(part))]
 
     def merged(self, word: bytes) -> list[int]:
-        """Ids of one word: the adjacent pair of lowest rank is merged, leftmost first, until none is left."""
+        """Ids of one word: the adjacent pair of lowest rank is merged, leftmost first, until none is left.
+
+        A heap over a linked list, or a plain search in short words.
+        """
         ids = [self.single[b] for b in word]
+        get = self.merge.get
         if len(ids) > 48:
             return self._merged_long(ids)
-        get = self.merge.get
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                m = get(ids[k] << 32 | ids[k + 1])
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, k
-            if best is None:
+        rank = [get(a << 32 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while rank:
+            best = min(rank)
+            if best is _NEVER:
                 break
-            ids[at:at + 2] = [best[1]]
+            k = rank.index(best)
+            ids[k:k + 2] = [best[1]]
+            del rank[k]
+            if k:
+                rank[k - 1] = get(ids[k - 1] << 32 | ids[k], _NEVER)
+            if k < len(rank):
+                rank[k] = get(ids[k] << 32 | ids[k + 1], _NEVER)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -171,9 +183,10 @@ class Transducer:
     """A compiled lexicon, mapped into memory."""
 
     def __init__(self, path: str):
-        m = np.memmap(path, np.uint8, "r")
+        m = np.asarray(np.memmap(path, np.uint8, "r"))
         n = int(m[:8].view("<i8")[0])
         self.a = {k: m[8 + n + at:8 + n + at + np.dtype(t).itemsize * size].view(t) for k, (t, at, size) in json.loads(bytes(m[8:8 + n])).items()}
+        self.raw = memoryview(self.a["ids"]).cast("B") if len(self.a["ids"]) else memoryview(b"")
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Each word's rank in the lexicon, -1 if it isn't there; all words walk in step."""
@@ -204,14 +217,16 @@ class Transducer:
             live = live[~ends]
         return out
 
-    def ids(self, rank: int) -> list[int]:
-        return self.a["ids"][self.a["start"][rank]:self.a["start"][rank + 1]].tolist()
+    def ids(self, ranks: np.ndarray) -> list[bytes]:
+        """Ids of the words of these ranks, as 32-bit little-endian numbers."""
+        start = self.a["start"]
+        return [bytes(self.raw[a:b]) for a, b in zip((start[ranks] * 4).tolist(), (start[ranks + 1] * 4).tolist())]
 
 
 class Codec:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 300_000):
+    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 800_000):
         self.v, self.most = Vocabulary(path), most
         self.known: dict[str, bytes] = {}
         self.lexicon = None
@@ -230,13 +245,20 @@ class Codec:
             self.known.clear()
         known = self.known
         split = [self.v.split(t) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
+        words = set().union(*split)
+        new = list(words - known.keys())
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        rank = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(new)
-        for w, b, r in zip(new, raw, rank):
-            ids = self.lexicon.ids(r) if r >= 0 else self.v.ids(w)
-            known[w] = np.array(ids, "<i4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        if self.lexicon:
+            rank = self.lexicon.ranks(raw)
+            hit = np.flatnonzero(rank >= 0)
+            known.update(zip([new[k] for k in hit.tolist()], self.lexicon.ids(rank[hit])))
+            new = [new[k] for k in np.flatnonzero(rank < 0).tolist()]
+        ids = [self.v.ids(w) for w in new]
+        flat = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
+        at = [0, *(4 * np.cumsum([len(i) for i in ids], dtype=np.int64)).tolist()]
+        known.update(zip(new, [flat[a:b] for a, b in zip(at, at[1:])]))
+        own = {w: known[w] for w in words}.__getitem__
+        return [b"".join(map(own, ws)) for ws in split]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Text of each id sequence; bytes that are no UTF-8 become U+FFFD."""
@@ -256,14 +278,15 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
         v, count = Vocabulary(path), Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
+            short = [(w, n) for w, n in count.items() if len(w) <= WORD_CHARS]
+            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
             count.clear()
             return out
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    count.update(w for w in v.split(t) if len(w) <= WORD_CHARS)
+                    count.update(v.split(t))
                 if len(count) > 500_000:
                     yield flush()
         yield flush()
@@ -272,9 +295,18 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def lexicon(counts: DataFrame, path: str, most: int = LEXICON_WORDS) -> bytes:
-    """Compiled from the ``most`` most frequent words (a top-k: nothing else reaches the driver)."""
+    """Compiled from the most frequent words, as many count steps as give ``most`` words or fewer: only they reach the driver."""
     v = Vocabulary(path)
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    frequent = written(counts.where(F.col("n") >= MIN_COUNT), "words")
+    # the number of words by count, in steps of an eighth of a power of two, gives the least count that fits
+    steps = frequent.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in steps:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["step"]
+    top = [] if least is None else frequent.where(F.floor(F.log2("n") * 8) >= least).select("word").collect()
     return build_transducer({r["word"].encode(): v.ids(r["word"]) for r in top})
 
 
@@ -294,8 +326,8 @@ def encode_decode(docs: DataFrame, path: str, compiled: bytes | None = None, id_
             _CACHE[key] = Codec(path, shared.value)
         codec = _CACHE[key]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 ids = codec.encode(part.column(1).to_pylist())
                 text = codec.decode(ids)
                 ends = np.r_[0, np.cumsum([len(i) // 4 for i in ids])].astype(np.int32)
