@@ -1,22 +1,26 @@
 """Licence scan: MinHash bands over overlapping text windows retrieve templates, exact containment verifies.
 
-A text's words are cut into windows of ``WINDOW`` five-word shingles that start every ``STRIDE`` shingles, so
-any ``WINDOW - STRIDE + 1`` shingles in a row lie wholly in some window; templates are cut into pieces of that
-size. A window that holds a piece has a similarity of at least 1 / WINDOW (piece of one shingle) to it, and
-each of ``BANDS`` bands of one row meets with that probability: at 4 and 32, a piece is missed with
-probability 0.75 ** 32 = 0.0001, a template of several pieces far less. Candidates are then verified by the
-share of the template's distinct shingles that the text holds. DataFrame functions only.
+A text is cut into windows of ``WINDOW`` five-word shingles that start every ``STRIDE`` shingles: six words
+each, of which neighbours share four. Any ``WINDOW - STRIDE + 1`` shingles in a row lie wholly in some window,
+and templates are cut into pieces of that size. A window that holds a piece has a similarity of at least
+1 / WINDOW to it, and each of ``BANDS`` bands of one row meets with that probability: a piece is missed with
+probability (1 / 2) ** 14 = 0.00006, a template of several pieces far less often. Candidates are then verified
+by the share of the template's distinct shingles that the text holds. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ._common import written
+
 SHINGLE = 5
-WINDOW = 4
-STRIDE = 3
-BANDS = 32
+WINDOW = 2
+STRIDE = 2
+BANDS = 14
 CONTAINMENT = 0.8
+#: Candidate documents up to this many are broadcast as bare ids; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 # Fixed: notices of public licences (a parameter: any table license_id, text takes their place).
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
@@ -38,7 +42,7 @@ def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFra
 
 def _words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _shingle(words: Column, at: Column) -> Column:
@@ -77,11 +81,19 @@ def scan(docs: DataFrame, notices: DataFrame, containment: float = CONTAINMENT,
     whole = t.select("license_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: _shingle(F.col("words"), i)))).alias("shingle"))
     sizes = whole.groupBy("license_id").agg(F.count("*").alias("size"))
     asked = _bands(_cut(t, ["license_id"], piece, piece), ["license_id"]).distinct()
-    words = _with_words(docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("words")), "doc_id")
-    met = _bands(_cut(words, ["doc_id"], STRIDE, WINDOW), ["doc_id"]).join(F.broadcast(asked), ["band", "low"]).select("doc_id", "license_id").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def words(d: DataFrame) -> DataFrame:
+        return _with_words(d.select("doc_id", _words(F.col("text")).alias("words")), "doc_id")
+
+    met = _bands(_cut(words(texts), ["doc_id"], STRIDE, WINDOW), ["doc_id"]).join(F.broadcast(asked), ["band", "low"]).select("doc_id", "license_id").distinct()
+    met = written(met, "met")
+    ids = met.select("doc_id").distinct()
+    if met.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     # exact: the distinct shingles of the template that the candidate's text holds
-    close = words.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: _shingle(F.col("words"), i))).alias("at", "shingle"))
+    close = words(texts.join(ids, "doc_id", "left_semi")).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: _shingle(F.col("words"), i))).alias("at", "shingle"))
     held = close.join(F.broadcast(whole), "shingle").groupBy("doc_id", "license_id").agg(
-        F.count_distinct("shingle").alias("held"), F.min("at").alias("first_word"), (F.max("at") + SHINGLE - 1).alias("last_word"))
+        F.count_distinct("shingle").alias("held"), (F.min("at") + 1).alias("first_word"), (F.max("at") + SHINGLE).alias("last_word"))
     return held.join(met, ["doc_id", "license_id"], "left_semi").join(F.broadcast(sizes), "license_id").withColumn("containment", F.col("held") / F.col("size")).where(
         F.col("containment") >= containment).select("doc_id", "license_id", "containment", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"))
