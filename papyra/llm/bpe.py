@@ -30,6 +30,8 @@ MIN_COUNT = 5
 WORD_CHARS = 32
 _CACHE: dict = {}
 _NEVER = (1 << 60, -1)
+_SPACES = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
+_ALL_SPACES = [chr(c) + " " for c in range(0x110000) if chr(c).isspace()]
 # Fixed: the pre-tokenisation pattern of byte-level BPE files of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -75,6 +77,19 @@ class Vocabulary:
             return self.pattern.findall(text)
         return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.pattern.findall(part))]
 
+    def chunks(self, text: str | None) -> tuple[list[str], list[str]]:
+        """Pre-tokens of a text's start, and the rest cut at its spaces.
+
+        Where no space follows white space, every space begins a pre-token, so what lies between spaces can be
+        looked up as one; other texts, and those with special tokens, are cut into pre-tokens as a whole.
+        """
+        if not text:
+            return [], []
+        if any(w in text for w in (_SPACES if text.isascii() else _ALL_SPACES)) or any(t in text for t in self.special):
+            return self.split(text), []
+        head, *rest = text.split(" ")
+        return self.pattern.findall(head), rest
+
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word: the adjacent pair of lowest rank is merged, leftmost first, until none is left.
 
@@ -226,9 +241,10 @@ class Transducer:
 class Codec:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 800_000):
+    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 700_000):
         self.v, self.most = Vocabulary(path), most
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pre-tokens
+        self.spaced: dict[str, bytes] = {}  # chunks with a space before them, of one or more pre-tokens
         self.lexicon = None
         if lexicon:
             f = tempfile.NamedTemporaryFile(prefix="papyra-lexicon-", delete=False)
@@ -243,10 +259,20 @@ class Codec:
         """Ids of each text as 32-bit little-endian numbers."""
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        split = [self.v.split(t) if t else [] for t in texts]
-        words = set().union(*split)
-        new = list(words - known.keys())
+        if len(self.spaced) > self.most:
+            self.spaced.clear()
+        known, spaced = self.known, self.spaced
+        heads, chunks = zip(*map(self.v.chunks, texts)) if texts else ((), ())
+        words = set().union(*chunks)
+        later = {c: self.v.pattern.findall(" " + c) for c in words - spaced.keys()}
+        self._learn(set().union(*heads, *later.values()) - known.keys())
+        of = known.__getitem__
+        spaced.update(zip(later, [b"".join(map(of, p)) for p in later.values()]))
+        own = {w: spaced[w] for w in words}.__getitem__
+        return [b"".join([*map(of, h), *map(own, c)]) for h, c in zip(heads, chunks)]
+
+    def _learn(self, words: set[str]) -> None:
+        known, new = self.known, list(words)
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         if self.lexicon:
             rank = self.lexicon.ranks(raw)
@@ -257,9 +283,6 @@ class Codec:
         flat = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
         at = [0, *(4 * np.cumsum([len(i) for i in ids], dtype=np.int64)).tolist()]
         known.update(zip(new, [flat[a:b] for a, b in zip(at, at[1:])]))
-        own = {w: known[w] for w in words}.__getitem__
-        return [b"".join(map(own, ws)) for ws in split]
-
     def decode(self, ids: list[bytes]) -> list[str]:
         """Text of each id sequence; bytes that are no UTF-8 become U+FFFD."""
         flat = np.frombuffer(b"".join(ids), "<i4")
@@ -275,9 +298,13 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     """``(word, n)`` over all documents: counted in each task first, by a table that is emptied when it is large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, count = Vocabulary(path), Counter()
+        v, count, spaced = Vocabulary(path), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
+            for c, n in spaced.items():
+                for w in v.pattern.findall(" " + c):
+                    count[w] += n
+            spaced.clear()
             short = [(w, n) for w, n in count.items() if len(w) <= WORD_CHARS]
             out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
             count.clear()
@@ -285,9 +312,10 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t:
-                    count.update(v.split(t))
-                if len(count) > 500_000:
+                head, rest = v.chunks(t)
+                count.update(head)
+                spaced.update(rest)
+                if len(count) + len(spaced) > 500_000:
                     yield flush()
         yield flush()
 
