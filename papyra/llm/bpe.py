@@ -81,7 +81,7 @@ class Vocabulary:
         """Pre-tokens of a text's start, and the rest cut at its spaces.
 
         Where no space follows white space, every space begins a pre-token, so what lies between spaces can be
-        looked up as one; other texts, and those with special tokens, are cut into pre-tokens as a whole.
+        counted as one; other texts, and those with special tokens, are cut into pre-tokens as a whole.
         """
         if not text:
             return [], []
@@ -241,10 +241,9 @@ class Transducer:
 class Codec:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 700_000):
+    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 900_000):
         self.v, self.most = Vocabulary(path), most
         self.known: dict[str, bytes] = {}  # pre-tokens
-        self.spaced: dict[str, bytes] = {}  # chunks with a space before them, of one or more pre-tokens
         self.lexicon = None
         if lexicon:
             f = tempfile.NamedTemporaryFile(prefix="papyra-lexicon-", delete=False)
@@ -259,20 +258,15 @@ class Codec:
         """Ids of each text as 32-bit little-endian numbers."""
         if len(self.known) > self.most:
             self.known.clear()
-        if len(self.spaced) > self.most:
-            self.spaced.clear()
-        known, spaced = self.known, self.spaced
-        heads, chunks = zip(*map(self.v.chunks, texts)) if texts else ((), ())
-        words = set().union(*chunks)
-        later = {c: self.v.pattern.findall(" " + c) for c in words - spaced.keys()}
-        self._learn(set().union(*heads, *later.values()) - known.keys())
-        of = known.__getitem__
-        spaced.update(zip(later, [b"".join(map(of, p)) for p in later.values()]))
-        own = {w: spaced[w] for w in words}.__getitem__
-        return [b"".join([*map(of, h), *map(own, c)]) for h, c in zip(heads, chunks)]
-
-    def _learn(self, words: set[str]) -> None:
-        known, new = self.known, list(words)
+        known = self.known
+        split = [self.v.split(t) if t else [] for t in texts]
+        words = set().union(*split)
+        self._learn(list(words - known.keys()))
+        own = {w: known[w] for w in words}.__getitem__
+        return [b"".join(map(own, ws)) for ws in split]
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.known
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         if self.lexicon:
             rank = self.lexicon.ranks(raw)
