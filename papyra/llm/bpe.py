@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import written
+from ._common import resident, written
 
 #: Words in the lexicon: it bounds what is broadcast, and changes speed only, not results.
 LEXICON_WORDS = 100_000
@@ -28,7 +28,6 @@ LEXICON_WORDS = 100_000
 MIN_COUNT = 5
 #: Characters of a word in the lexicon.
 WORD_CHARS = 32
-_CACHE: dict = {}
 _NEVER = (1 << 60, -1)
 _SPACES = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
 _ALL_SPACES = [chr(c) + " " for c in range(0x110000) if chr(c).isspace()]
@@ -340,13 +339,10 @@ def encode_decode(docs: DataFrame, path: str, compiled: bytes | None = None, id_
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(compiled)
-    key = f"{spark.sparkContext.applicationId}-{path}-{id(shared)}-{len(compiled or b'')}"
+    key = "bpe", spark.sparkContext.applicationId, path, hash(compiled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _CACHE:
-            _CACHE.clear()
-            _CACHE[key] = Codec(path, shared.value)
-        codec = _CACHE[key]
+        codec = resident(key, lambda: Codec(path, shared.value))
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._common import resident
+
 #: Characters of labelled text per language that the automata are made of, and the rows and characters of
 #: one row read for them. These bound the sample, whatever the size of the corpus.
 SAMPLE_CHARS = 60_000
@@ -26,7 +28,6 @@ LETTERS = 120
 #: Characters after which a parse starts anew, so that parts of a long text are parsed side by side.
 SEGMENT = 256
 UNDETERMINED = "und"
-_CACHE: dict = {}
 
 
 class Automaton:
@@ -186,14 +187,10 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(samples)
-    token = shared.id if hasattr(shared, "id") else id(shared)
-    key = f"{spark.sparkContext.applicationId}-{token}-{hash(tuple((k, tuple(v)) for k, v in sorted(samples.items())))}"
+    key = "langid", spark.sparkContext.applicationId, hash(tuple((k, tuple(v)) for k, v in sorted(samples.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _CACHE:
-            _CACHE.clear()
-            _CACHE[key] = Model(shared.value)
-        model = _CACHE[key]
+        model = resident(key, lambda: Model(shared.value))
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import partitions
+from ._common import partitions, resident
 
 LENGTH = 2048
 OPEN = 128
@@ -29,7 +29,6 @@ END = 1
 _END = np.array([END], "<u4").tobytes()
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-_CACHE: dict = {}
 
 
 class Encoder:
@@ -101,9 +100,7 @@ class Encoder:
 
 
 def encode_all(texts: list[str | None], path: str) -> list[bytes]:
-    if path not in _CACHE:
-        _CACHE[path] = Encoder(path)
-    return _CACHE[path].encode(texts)
+    return resident(("packing", path), lambda: Encoder(path)).encode(texts)
 
 
 class Windows:
