@@ -1 +1,16 @@
 """Document analytics on PySpark."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def attach(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package; on a cluster, ship it with ``--py-files``."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), top) if x)
+    return spark

@@ -1,11 +1,448 @@
-"""The query catalogue: every query over the driver's tables with its SQL twin."""
+"""The query catalogue: every query over the driver's tables with its SQL twin.
+
+The tables stand in for the inputs: documents for documents (title: first line; correspondent: source; type:
+lang), part names for tags, events for processing batches, page addresses for file names, customers for senders.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .. import attach
+from ..functions import dates, files, jsonrepair, text as T
+from ..functions.similarity import indel_ratio, like_length
+from ..operators import entities, issues, stats, validate
+from ..sources import sinks, tables
+from ..streaming import intake
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return attach(spark).read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(
+        F.col("doc_id").alias("document_id"), F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(60)).alias("title"), F.col("source").alias("correspondent"), F.col("lang").alias("document_type"),
+        F.array("lang", "source").alias("tags"), F.when(F.col("doc_id") % 7 != 0, "2024-01-15").alias("created"), "text", F.left("text", F.lit(140)).alias("note"))
+
+
+def tags(spark: SparkSession, d: str) -> DataFrame:
+    """The tag dimension: 64 names at any scale."""
+    t = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("document_count"), F.min("p_partkey").alias("pos"))
+    return t
+
+
+def batches(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "skipped").otherwise("completed")
+    return read(spark, d, "events").select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("document_id"), status.alias("status"), F.col("value").alias("processing_time"), F.col("event_type").alias("phase"))
+
+
+_DOCS = """docs as (select doc_id as document_id, left(string_split(text, chr(10))[1], 60) as title, source as correspondent, lang as document_type, [lang, source] as tags,
+  case when doc_id % 7 <> 0 then '2024-01-15' end as created, text, left(text, 140) as note from documents)"""
+_WORDS = r"list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')"
+_GIB = rf"(len(list_filter({_WORDS}, lambda x: regexp_matches(x, '{T.GIBBERISH}'))) / len({_WORDS}))"
+_OCR = rf"case when text is null or text = '' then 'ocr_missing' when length(trim(text, E' \n\t\r')) < 50 then 'ocr_failed' when {_GIB} > 0.3 then 'ocr_low_quality' end"
+_MANY = "((title is null or title = '')::int + (correspondent is null or correspondent = '')::int + (document_type is null or document_type = '')::int + (created is null)::int + (len(tags) < 1)::int)"
+_ISSUES = rf"""list_filter([{_OCR}, case when correspondent is null or correspondent = '' then 'missing_correspondent' end, case when document_type is null or document_type = '' then 'missing_document_type' end,
+  case when len(tags) < 3 then 'missing_tags' end, case when created is null then 'invalid_date' end, case when {_MANY} > 2 then 'metadata_incomplete' end,
+  case when title <> '' and not regexp_matches(title, '^\d{{4}}-\d{{2}}-\d{{2}}_') then 'filename_mismatch' end, case when length(note) > 128 then 'description_too_long' end], lambda x: x is not null)"""
+_SEV = "case issue_type " + " ".join(f"when '{k}' then '{v}'" for k, v in issues.SEVERITY.items()) + " end"
+_FOUND = f"with {_DOCS}, found as (select document_id, issue_type, {_SEV} as severity from (select document_id, unnest({_ISSUES}) as issue_type from docs))"
+_SPECIAL, _UPPER, _DIGIT = (rf"(len(regexp_extract_all(text, '{p}')) / length(text))" for p in (r"[^\p{L}\p{N}\s]", r"\p{Lu}", r"\p{Nd}"))
+
+
+@query(f"with {_DOCS} select issue_type, {_SEV} as severity, count(*) as n from (select {_OCR} as issue_type from docs) where issue_type is not null group by all")
+def q01_ocr_issue_counts(spark, d):
+    found = docs(spark, d).select(issues.ocr_issue(F.col("text")).alias("issue_type")).where("issue_type is not null").groupBy("issue_type").agg(F.count("*").alias("n"))
+    return found.select("issue_type", F.element_at(F.create_map(*[F.lit(x) for kv in issues.SEVERITY.items() for x in kv]), F.col("issue_type")).alias("severity"), "n")
+
+
+@query(rf"select doc_id, length(text)::int as chars, len({_WORDS})::int as n_words, list_sum(list_transform({_WORDS}, lambda x: length(x)))::double / len({_WORDS}) as mean_word, {_SPECIAL} as special_ratio, {_UPPER} as upper_ratio, {_DIGIT} as digit_ratio, {_GIB} as gibberish_ratio from documents")
+def q02_text_metrics(spark, d):
+    return read(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.metrics(F.col("text")).items()])
+
+
+@query(rf"select doc_id, round_even({_SPECIAL}, 3) as special_ratio, round_even({_UPPER}, 3) as upper_ratio, round_even({_DIGIT}, 3) as digit_ratio from (select doc_id, trim(text, E' \n\t\r') as text from documents)")
+def q03_validator_metrics(spark, d):
+    m = T.metrics(F.trim("text", F.lit(" \n\t\r")))
+    return read(spark, d, "documents").select("doc_id", *[F.bround(m[k], 3).alias(k) for k in ("special_ratio", "upper_ratio", "digit_ratio")])
+
+
+_DEFECTS = r"""list_filter([case when regexp_matches(text, '(^|[^\p{L}\p{N}_])[0-9]{10,}($|[^\p{L}\p{N}_])') then 'Übermäßig lange Zahlenfolgen' end, case when regexp_matches(text, '[^\p{L}\p{N}_\s]{5,}') then 'Zu viele Sonderzeichen' end,
+ case when len(list_filter(list_distinct(string_split(text, '')), lambda c: regexp_matches(c, '[\p{L}\p{N}_]') and contains(text, repeat(c, 5)))) > 0 then 'Wiederholte Zeichen' end, case when regexp_matches(text, '[A-Z]{20,}') then 'Lange Großbuchstabenfolgen' end], lambda x: x is not null)"""
+
+
+@query(f"select doc_id, array_to_string({_DEFECTS}, ', ') as defects from documents")
+def q04_ocr_patterns(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.defects(F.col("text")), ", ").alias("defects"))
+
+
+_LW = r"list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[a-zäöüß]+$')))"
+_STOP = {k: "[" + ", ".join(f"'{w}'" for w in ws) + "]" for k, ws in (("de", T.GERMAN), ("en", T.ENGLISH))}
+_LANG = rf"""lw as (select *, {_LW} as w from base), lr as (select *, case when len(w) > 0 then len(list_intersect(w, {_STOP['de']})) / len(w) else 0 end as de, case when len(w) > 0 then len(list_intersect(w, {_STOP['en']})) / len(w) else 0 end as en from lw),
+ ll as (select *, case when de > en and de > 0.05 then 'german' when en > de and en > 0.05 then 'english' else 'unknown' end as language, case when de > en and de > 0.05 then least(de * 5, 1.0) when en > de and en > 0.05 then least(en * 5, 1.0) else 0.0 end as confidence from lr)"""
+
+
+@query(f"with base as (select doc_id, text from documents), {_LANG} select doc_id, language, confidence::double as confidence from ll")
+def q05_language(spark, d):
+    name, sure = T.language(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", name.alias("language"), sure.alias("confidence"))
+
+
+def ocr_results(spark, d):
+    return validate.ocr(docs(spark, d).withColumn("confidence", (F.col("document_id") % 100).cast("double") / 100))
+
+
+_OCRV = rf"""with base as (select doc_id as document_id, (doc_id % 100)::double / 100 as conf, trim(coalesce(text, ''), E' \n\t\r') as text, text is null or text = '' as none from documents), {_LANG},
+ m as (select *, round_even(list_sum(list_transform({_WORDS}, lambda x: length(x)))::double / len({_WORDS}), 2) as mw, len({_WORDS}) as nw, round_even({_SPECIAL}, 3) as sp, round_even({_UPPER}, 3) as up, round_even({_DIGIT}, 3) as dg,
+  case when none then ['Kein OCR-Text vorhanden'] else list_filter([case when length(text) < 50 then 'OCR-Text zu kurz' end, case when conf < 0.7 then 'OCR-Konfidenz zu niedrig' end, case when len({_DEFECTS}) > 0 then 'Mögliche OCR-Fehler erkannt' end,
+   case when language = 'unknown' then 'Sprache konnte nicht erkannt werden' end, case when language = 'english' and confidence > 0.7 then 'Text ist möglicherweise nicht auf Deutsch' end], lambda x: x is not null) end as errors from ll),
+ s as (select *, case when none then 0.0 else greatest(0.0::double, least(1.0::double, 1.0::double - len(errors) * 0.15::double - (case when sp > 0.2 then 0.1 else 0 end)::double - (case when up > 0.5 then 0.1 else 0 end)::double - (case when dg > 0.3 then 0.1 else 0 end)::double
+   - (case when mw < 3 or mw > 15 then 0.1 else 0 end)::double - (case when nw < 10 then 0.2 else 0 end)::double + (case when conf > 0.9 then 0.1 else 0 end)::double + (case when language = 'german' then 0.1 else 0 end)::double)) end as score from m),
+ r as (select document_id, len(errors) = 0 or (score >= 0.5 and length(text) >= 50) as is_valid, errors, language, score from s)"""
+
+
+@query(_OCRV + " select document_id, is_valid, array_to_string(errors, '; ') as errors, language, round_even(score, 6) as score from r")
+def q06_ocr_validate(spark, d):
+    return ocr_results(spark, d).select("document_id", "is_valid", F.array_join("errors", "; ").alias("errors"), "language", F.bround("score", 6).alias("score"))
+
+
+@query(_OCRV + """ select count(*) as total, count(*) filter (is_valid) as valid, round_even(count(*) filter (is_valid) / count(*), 3) as rate, round_even(avg(score), 3) as mean_score,
+ count(*) filter (score >= 0.9 and score < 2) as excellent, count(*) filter (score >= 0.7 and score < 0.9) as good, count(*) filter (score >= 0.5 and score < 0.7) as fair, count(*) filter (score < 0.5) as poor from r""")
+def q07_ocr_summary(spark, d):
+    return validate.ocr_summary(ocr_results(spark, d))
+
+
+@query(_OCRV + " select split_part(e, ':', 1) as error, count(*) as n from (select unnest(errors) as e from r) group by 1")
+def q08_error_histogram(spark, d):
+    return validate.error_histogram(ocr_results(spark, d))
+
+
+@query("select doc_id, length(text)::int as chars from documents where length(text) >= 50")
+def q09_min_length_filter(spark, d):
+    return read(spark, d, "documents").where(F.length("text") >= 50).select("doc_id", F.length("text").alias("chars"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderdate >= timestamp '1996-04-01' and o_orderdate < timestamp '1996-07-01'")
+def q10_quarter_scan(spark, d):
+    return read(spark, d, "orders").where(dates.within(F.col("o_orderdate"), dt.date(1996, 4, 1), dt.date(1996, 6, 30))).select("o_orderkey", "o_totalprice")
+
+
+@query("select o_orderkey from orders where o_orderdate between timestamp '1995-01-01' and timestamp '1995-03-31'")
+def q11_range_scan(spark, d):
+    return read(spark, d, "orders").where(dates.within(F.col("o_orderdate"), dt.date(1995, 1, 1), dt.date(1995, 3, 31), strict_midnight=True)).select("o_orderkey")
+
+
+@query("""select * from (values ('last_quarter', date '2024-04-01', date '2024-06-30'), ('current_quarter', date '2024-07-01', date '2024-09-30'), ('last_3_months', date '2024-05-01', date '2024-07-31'), ('last_month', date '2024-07-01', date '2024-07-31'),
+ ('current_month', date '2024-08-01', date '2024-08-31'), ('year_to_date', date '2024-01-01', date '2024-08-15'), ('last_year', date '2023-01-01', date '2023-12-31')) t(option, first, last)""")
+def q12_quick_ranges(spark, d):
+    names = ["last_quarter", "current_quarter", "last_3_months", "last_month", "current_month", "year_to_date", "last_year"]
+    return spark.createDataFrame([(n, *dates.quick_range(n, dt.date(2024, 8, 15))) for n in names], "option string, first date, last date")
+
+
+@query("select strftime(unnest(generate_series(date '2023-11-01', date '2024-03-01', interval 1 month)), '%Y-%m') as month")
+def q13_month_series(spark, d):
+    return spark.range(1).select(F.explode(dates.months(F.lit(dt.date(2023, 11, 5)), F.lit(dt.date(2024, 3, 31)))).alias("month"))
+
+
+@query(f"with {_DOCS} select correspondent, document_type, count(*) as documents, count(*) filter (length(text) > 0) as with_ocr from docs group by grouping sets ((correspondent), (document_type), ())")
+def q14_corpus_stats(spark, d):
+    return stats.corpus(docs(spark, d))
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders group by 1")
+def q15_by_month(spark, d):
+    return read(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+
+
+@query("select p_name as name, count(*) as n from part group by 1 order by n desc, name limit 10")
+def q16_top_tags(spark, d):
+    return read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+
+
+@query(f"with {_DOCS} select document_id from docs where created >= '2024-01-01' and (list_contains(tags, 'de') or list_contains(tags, 'src3'))")
+def q17_any_tag_filter(spark, d):
+    return tables.filtered(docs(spark, d), since="2024-01-01", any_tag=["de", "src3"]).select("document_id")
+
+
+@query("select c_custkey, min(n_nationkey) as id from customer left join nation on lower(trim(case when c_custkey % 3 = 0 then '  ' || c_mktsegment else (select n_name from nation x where x.n_nationkey = c_nationkey) end)) = lower(n_name) group by 1")
+def q18_upsert_lookup(spark, d):
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    c = read(spark, d, "customer").join(n.select(F.col("id").alias("c_nationkey"), F.col("name").alias("own")), "c_nationkey", "left")
+    c = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("  "), "c_mktsegment")).otherwise(F.col("own")).alias("name"))
+    return entities.lookup(c, n).select("c_custkey", "id")
+
+
+@query("with k as (select lower(trim(c_mktsegment)) as key, min(trim(c_mktsegment)) as name from customer where lower(trim(c_mktsegment)) not in (select lower(n_name) from nation) group by 1) select (select max(n_nationkey) from nation) + row_number() over (order by key) as id, name from k")
+def q19_new_entities(spark, d):
+    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    return entities.missing_names(read(spark, d, "customer").select(F.col("c_mktsegment").alias("name")), n)
+
+
+@query("select d.doc_id, coalesce(l.quality, -1) as quality from documents d left join labels l using (doc_id)")
+def q20_left_enrich(spark, d):
+    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+_FLAGS = f"""with {_DOCS}, flags as (select document_id, title is null or title = '' or starts_with(title, 'scan_') as bad_title, correspondent is null or correspondent = '' as no_correspondent, document_type is null or document_type = '' as no_type,
+ len(tags) < 1 as no_tags, len(tags) > 6 as many_tags, coalesce(length(text), 0) < 50 as short_text, created is null as no_date from docs)"""
+
+
+@query(_FLAGS + " select * from flags")
+def q21_workflow3_flags(spark, d):
+    return issues.scan_flags(docs(spark, d))
+
+
+@query(_FLAGS + ", t as (select count(*) as documents, sum(bad_title::int + no_correspondent::int + no_type::int + no_tags::int + many_tags::int + short_text::int + no_date::int)::bigint as issues from flags), s as (select *, greatest(0.0::double, 100.0::double - issues / documents * 100) as score from t) select documents, issues, score, case when score >= 90 then 'good' when score >= 70 then 'fair' else 'poor' end as band from s")
+def q22_quality_score(spark, d):
+    return issues.scan_score(issues.scan_flags(docs(spark, d)))
+
+
+@query(_FOUND + " select issue_type, severity, count(*) as issues, count(distinct document_id) as documents from found group by all")
+def q23_quality_report(spark, d):
+    return issues.report(issues.issues(docs(spark, d)))
+
+
+@query(_FOUND + " select document_id, count(*) as issues from found group by 1 order by issues desc, document_id limit 10")
+def q24_top_documents(spark, d):
+    return issues.top_documents(issues.issues(docs(spark, d)))
+
+
+@query(_FOUND + " select issue_type, count(*) as issues from found where issue_type in ('ocr_missing', 'ocr_failed', 'missing_correspondent', 'potential_duplicate', 'missing_tags') group by 1 having count(*) > case issue_type when 'missing_correspondent' then 5 when 'missing_tags' then 10 else 0 end")
+def q25_recommendations(spark, d):
+    return issues.recommendations(issues.issues(docs(spark, d)))
+
+
+@query(f"with {_DOCS}, f as (select document_id, title, {_ISSUES} as found from docs) select document_id, title, array_to_string(found, ', ') as issues from f where len(found) > 0")
+def q26_issue_export(spark, d):
+    return issues.export(docs(spark, d))
+
+
+_TYPES = ", ".join(f"'{t}'" for t in validate.DOCUMENT_TYPES)
+_META = rf"""with {_DOCS}, m as (select document_id, list_filter([case when title is null or title = '' then 'Titel fehlt' end, case when title <> '' and length(title) < 3 then 'Titel zu kurz' end, case when length(title) > 255 then 'Titel zu lang' end,
+ case when regexp_matches(lower(title), '{validate.PLACEHOLDER}') then 'Titel scheint ein Platzhalter zu sein' end, case when correspondent is null or correspondent = '' then 'Korrespondent fehlt' end, case when regexp_matches(correspondent, '[<>{{}}\[\]\\]') then 'Ungültige Zeichen im Korrespondenten' end,
+ case when correspondent <> '' and length(correspondent) < 2 then 'Korrespondent zu kurz' end, case when document_type is null or document_type = '' then 'Dokumenttyp fehlt' when document_type not in ({_TYPES}) then 'Unbekannter Dokumenttyp' end,
+ case when len(tags) < 3 then 'Zu wenige Tags' end, case when len(list_filter(tags, lambda t: length(t) < 2 or length(t) > 50 or regexp_matches(t, '^[0-9]+$'))) > 0 then 'Ungültige Tags gefunden' end, case when len(list_distinct(list_transform(tags, lambda t: lower(t)))) <> len(tags) then 'Doppelte Tags gefunden' end,
+ case when length(note) < 10 then 'Beschreibung zu kurz' when length(note) > 128 then 'Beschreibung zu lang' end], lambda x: x is not null) as errors from docs)"""
+
+
+@query(_META + " select document_id, array_to_string(errors, '; ') as errors, len(errors) = 0 as is_valid from m")
+def q27_metadata_validate(spark, d):
+    return validate.metadata(docs(spark, d)).select("document_id", F.array_join("errors", "; ").alias("errors"), "is_valid")
+
+
+@query(_META + " select e as error, count(*) as n from (select unnest(errors) as e from m) group by 1")
+def q28_metadata_summary(spark, d):
+    return validate.error_histogram(validate.metadata(docs(spark, d)))
+
+
+@query(f"with {_DOCS} select title, correspondent, document_type, count(*) as n, min(document_id) as first_id from docs group by 1, 2, 3 having count(*) > 1")
+def q29_exact_duplicates(spark, d):
+    return docs(spark, d).groupBy("title", "correspondent", "document_type").agg(F.count("*").alias("n"), F.min("document_id").alias("first_id")).where("n > 1")
+
+
+@query()
+def q30_near_duplicates(spark, d):
+    """Distinct titles of one sender and type, one pair of groups a row; pairs are bounded by the length band."""
+    t = docs(spark, d).groupBy("correspondent", "document_type", F.lower("title").alias("title")).agg(F.min("document_id").alias("id"), F.count("*").alias("n"))
+    a, b = t.select("correspondent", "document_type", F.col("title").alias("a"), F.col("id").alias("id1")), t.select("correspondent", "document_type", F.col("title").alias("b"), F.col("id").alias("id2"))
+    p = a.join(b, ["correspondent", "document_type"]).where((F.col("id1") < F.col("id2")) & like_length(F.col("a"), F.col("b"), 70.0))
+    return p.select("id1", "id2", ((indel_ratio(F.col("a"), F.col("b")) + 200) / 3).alias("score")).where("score >= 90")
+
+
+
+@query("""with recursive n as (select distinct lower(p_name) as name from part), p as (select x.name as a, y.name as b from n x join n y on x.name < y.name where least(length(x.name), length(y.name)) >= greatest(length(x.name), length(y.name)) * (85.0 / 115.0)),
+ dp(a, b, i, r) as (select a, b, 0, list_transform(range(length(b) + 1), lambda x: 0) from p
+  union all select a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: case when substring(b, j::int, 1) = substring(a, i + 1, 1) then [r[j] + 1, 1] else [r[j + 1], 0] end), lambda acc, v: list_append(acc, greatest(v[1], acc[len(acc)])), [0]) from dp where i < length(a))
+ select a, b, 200.0::double * r[len(r)] / (length(a) + length(b)) as score from dp where i = length(a) and 200.0::double * r[len(r)] / (length(a) + length(b)) >= 85""")
+def q31_tag_pairs(spark, d):
+    return entities.tag_pairs(tags(spark, d)).select("a", "b", "score")
+
+
+@query()
+def q32_tag_groups(spark, d):
+    return entities.greedy_groups(tags(spark, d))
+
+
+@query()
+def q33_hierarchy(spark, d):
+    return entities.hierarchy(tags(spark, d))
+
+
+@query()
+def q34_best_match(spark, d):
+    names = read(spark, d, "part").select(F.initcap("p_name").alias("name")).distinct()
+    return entities.best_match(names, tags(spark, d))
+
+
+@query("""with n as (select distinct p_name as name from part union select distinct p_name || 'en' from part union select distinct p_name || 's' from part) select x.name as a, y.name as b from n x join n y on x.name < y.name
+ where y.name in (x.name || 'e', x.name || 'en', x.name || 'n', x.name || 'er', x.name || 's') or x.name in (y.name || 'e', y.name || 'en', y.name || 'n', y.name || 'er', y.name || 's')""")
+def q35_plural_pairs(spark, d):
+    n = tags(spark, d).select("name")
+    return entities.plural_pairs(n.unionByName(n.select(F.concat("name", F.lit("en")).alias("name"))).unionByName(n.select(F.concat("name", F.lit("s")).alias("name"))).distinct())
+
+
+@query("""with n as (select p_name as name, row_number() over (order by p_name) as r from (select distinct p_name from part)), p as (select x.name as a, y.name as b, x.r as i, y.r as j from n x join n y on x.name < y.name)
+ select a, b from p where (a = (select name from n where r = 1)) = (b = (select name from n where r = 1)) and not (i = 2 and j = 3)""")
+def q36_excluded_pairs(spark, d):
+    n = [r[0] for r in tags(spark, d).select("name").orderBy("name").limit(3).collect()]
+    t = tags(spark, d)
+    pairs = t.select(F.col("name").alias("a")).join(F.broadcast(t.select(F.col("name").alias("b"))), F.col("a") < F.col("b"))
+    return entities.not_to_unify(pairs, [(n[2], n[1])], n[:1])
+
+
+@query("with t as (select p_name as name, count(*) as document_count from part group by 1) select left(name, 2) as cluster, name, (row_number() over (partition by left(name, 2) order by document_count desc, name))::int as rn from t")
+def q37_representative(spark, d):
+    return entities.representative(tags(spark, d).withColumn("cluster", F.left("name", F.lit(2)))).select("cluster", "name", "rn")
+
+
+@query("with t as (select p_name as name, count(*) as document_count from part group by 1), c as (select left(name, 2) as cluster, count(*) as size, sum(document_count)::bigint as documents from t group by 1) select count(*) as clusters, min(size) as least, max(size) as most, round_even(avg(size), 6) as mean_size, sum(size - 1)::bigint as removable, greatest(0.0::double, 1 - (avg(size) - 2) / 10) as organisation from c")
+def q38_cluster_metrics(spark, d):
+    c = tags(spark, d).groupBy(F.left("name", F.lit(2)).alias("cluster")).agg(F.count("*").alias("size"), F.sum("document_count").alias("documents"))
+    return c.agg(F.count("*").alias("clusters"), F.min("size").alias("least"), F.max("size").alias("most"), F.bround(F.avg("size"), 6).alias("mean_size"), F.sum(F.col("size") - 1).alias("removable"), F.greatest(F.lit(0.0), 1 - (F.avg("size") - 2) / 10).alias("organisation"))
+
+
+@query("select * from (values ('Rechnungen', 'Rechnung'), ('Vertrg', 'Vertrag'), ('Brief', 'Brief'), ('xyz', null)) t(name, suggestion)")
+def q39_doc_type_suggest(spark, d):
+    return validate.suggest_type(spark.createDataFrame([(x,) for x in ("Rechnungen", "Vertrg", "Brief", "xyz")], "name string"))
+
+
+_BATCH = "b as (select user_id as batch_id, event_id as document_id, case event_type when 'error' then 'failed' when 'signup' then 'skipped' else 'completed' end as status, value as processing_time, event_type as phase from events)"
+_BATCHES = "m as (select batch_id, count(*) as processed, count(*) filter (status = 'completed') as successful, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'completed') / count(*) as success_rate from b group by 1)"
+
+
+@query(f"with {_BATCH}, {_BATCHES} select * from m")
+def q40_batch_metrics(spark, d):
+    return stats.batches(batches(spark, d))
+
+
+@query(f"with {_BATCH} select phase, count(*) as errors, count(distinct batch_id) as batches from b where status = 'failed' group by 1")
+def q41_error_summary(spark, d):
+    return stats.errors(batches(spark, d))
+
+
+@query(f"with {_BATCH}, {_BATCHES} select count(*) as batches, sum(processed)::bigint as processed, sum(failed)::bigint as failed, round_even(avg(success_rate), 6) as mean_rate from m")
+def q42_processing_stats(spark, d):
+    return stats.processing(batches(spark, d))
+
+
+@query("select event_type as model, count(*) as requests, round_even(sum(value::decimal(18, 6)), 4)::double as cost from events group by rollup (event_type)")
+def q43_cost_rollup(spark, d):
+    return stats.costs(read(spark, d, "events").select(F.col("event_type").alias("model"), F.col("value").alias("cost")))
+
+
+@query("select event_id, count(*) over (partition by user_id order by epoch_ms(ts) // 1000 range between 3600 preceding and current row) as recent from events")
+def q44_request_rate(spark, d):
+    return stats.request_rate(read(spark, d, "events"))
+
+
+_NAME = "regexp_replace(url, '^.*/', '')"
+
+
+@query()
+def q45_filename_sanitize(spark, d):
+    return read(spark, d, "pages").select("page_id", files.sanitised_stem(F.col("url")).alias("name"))
+
+
+@query(r"""with f as (select o_orderkey, case o_orderkey % 5 when 0 then 'a_' || strftime(o_orderdate, '%Y-%m-%d') || '.pdf' when 1 then strftime(o_orderdate, '%Y_%m_%d') || 'x' when 2 then 'scan' || strftime(o_orderdate, '%Y%m%d') when 3 then strftime(o_orderdate, '%d.%m.%Y') else 'none' end as n, o_orderdate as t from orders)
+ select o_orderkey, case when n <> 'none' then strftime(t, '%Y-%m-%d') end as found from f""")
+def q46_filename_date(spark, d):
+    t, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    name = F.when(k == 0, F.concat(F.lit("a_"), F.date_format(t, "yyyy-MM-dd"), F.lit(".pdf"))).when(k == 1, F.concat(F.date_format(t, "yyyy_MM_dd"), F.lit("x"))).when(k == 2, F.concat(F.lit("scan"), F.date_format(t, "yyyyMMdd"))).when(k == 3, F.date_format(t, "dd.MM.yyyy")).otherwise("none")
+    return read(spark, d, "orders").select("o_orderkey", dates.date_in_name(name).alias("found"))
+
+
+@query(rf"""select page_id, case when n = '' then 'empty' when length(n) > 255 then 'too long' when contains(n, '..') then 'path' when regexp_matches(n, '[<>:"|?*]') then 'reserved character' end as error from (select page_id, {_NAME} as n from pages)""")
+def q47_filename_validate(spark, d):
+    return read(spark, d, "pages").select("page_id", files.name_error(F.regexp_replace("url", "^.*/", "")).alias("error"))
+
+
+@query("select c_custkey, c_name as correspondent, upper(left(c_mktsegment, 1)) || lower(substring(c_mktsegment, 2)) as tag from customer")
+def q48_sender_fields(spark, d):
+    sender = F.concat("c_name", F.lit(" <"), F.col("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example>"))
+    return read(spark, d, "customer").select("c_custkey", files.correspondent(sender).alias("correspondent"), files.sender_tag(sender).alias("tag"))
+
+
+_TYPE = "case " + " ".join(f"when regexp_matches(n, '{'|'.join(ks)}') then '{t}'" for t, ks in files.TYPES.items()) + " end"
+
+
+@query(f"select page_id, {_TYPE} as kind from (select page_id, lower(url || ' ' || left(html, 400)) as n from pages)")
+def q49_doc_type_guess(spark, d):
+    return read(spark, d, "pages").select("page_id", files.document_type(F.col("url"), F.left("html", F.lit(400))).alias("kind"))
+
+
+@query(f"select o_orderkey, array_to_string(['Rechnung', replace(printf('%.2f', o_totalprice), '.', ',') || '€', strftime(o_orderdate, '%Y')], '|') as tags from orders")
+def q50_attachment_tags(spark, d):
+    t = F.array_compact(F.array(files.document_type(F.lit("invoice.pdf"), F.lit("")), files.price_tag(F.format_string("EUR %.2f", "o_totalprice")), F.date_format("o_orderdate", "yyyy")))
+    return read(spark, d, "orders").select("o_orderkey", F.array_join(F.slice(F.array_distinct(t), 1, 4), "|").alias("tags"))
+
+
+@query("select doc_id, sha256(text) as hash from documents")
+def q51_content_hash(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("select doc_id, md5(case when length(text) > 1000 then left(text, 700) || E'\\n\\n[...]\\n\\n' || right(text, 250) else text end) as hash from documents")
+def q52_truncate(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(T.truncated(F.col("text"), 1000)).alias("hash"))
+
+
+@query("select event_id, props as json from events")
+def q53_json_repair(spark, d):
+    e = F.col("event_id") % 3
+    reply = F.when(e == 0, F.col("props")).when(e == 1, F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("Result "), "props", F.lit(" as asked")))
+    return read(spark, d, "events").select("event_id", jsonrepair.repaired(reply).alias("json"))
+
+
+@query(f"with {_DOCS} select document_id::varchar as document_id, array_to_string(tags, ', ') as tags, case when document_id % 2 = 0 then 'Ja' else 'Nein' end as even, coalesce(created, '') as created from docs")
+def q54_csv_flatten(spark, d):
+    return sinks.flat(docs(spark, d).select("document_id", "tags", (F.col("document_id") % 2 == 0).alias("even"), "created"))
+
+
+@query("select p_partkey, array_to_string(case when p_brand = 'Brand#11' then list_distinct([p_name]) || ['merged'] else [p_brand, p_name] end, '|') as tags from part".replace("list_distinct([p_name])", "[p_name]"))
+def q55_tag_rewrite(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.array_join(entities.rewritten(F.array("p_brand", "p_name"), "Brand#11", "merged"), "|").alias("tags"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then trim(p_name) || '|Tag2' else trim(p_name) || '|' || p_brand end as tags from part")
+def q56_repair_tags(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.array_join(validate.repaired_tags(F.when(F.col("p_partkey") % 2 == 0, F.array(F.concat(F.lit(" "), "p_name"), F.lit("x"), "p_name")).otherwise(F.array("p_name", "p_brand"))), "|").alias("tags"))
+
 
-def queries() -> dict:
-    return {}
+@query(r"select doc_id, md5(regexp_replace(text, '(?i)(token |bearer |api_key=|password=)\S+', '\1[MASKED]', 'g')) as hash from documents")
+def q57_mask(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(T.masked(F.col("text"))).alias("hash"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(f"select doc_id, {_OCR} as issue_type from documents where {_OCR} is not null")
+def q58_stream_issues(spark, d):
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/papyra-stream"
+    base = f"{base.rstrip('/')}/issues-{uuid.uuid4().hex[:12]}"
+    intake.run_available(intake.ocr_issues(spark, f"{d}/documents.parquet"), f"{base}/out", f"{base}/log")
+    return spark.read.schema("doc_id long, issue_type string").parquet(f"{base}/out")
