@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import attach
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
