@@ -11,6 +11,7 @@ import heapq
 import io
 import json
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -68,13 +69,21 @@ class Vocabulary:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merge.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
         self.pattern = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        letter, number, space = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+        self.quick = re.compile(rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        self.latin = re.compile(r"[\x00-\xff]*").fullmatch
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens; a special token's string is one of them."""
+        find = self.find(text)
         if self.cut is None or not any(t in text for t in self.special):
-            return self.pattern.findall(text)
-        return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.pattern.findall(part))]
+            return find(text)
+        return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else find(part))]
+
+    def find(self, text: str):
+        """The same pattern with plain classes for texts of Latin-1, which is twice as fast."""
+        return self.quick if text.isascii() or self.latin(text) else self.pattern.findall
 
     def chunks(self, text: str | None) -> tuple[list[str], list[str]]:
         """Pre-tokens of a text's start, and the rest cut at its spaces.
@@ -87,7 +96,7 @@ class Vocabulary:
         if any(w in text for w in (_SPACES if text.isascii() else _ALL_SPACES)) or any(t in text for t in self.special):
             return self.split(text), []
         head, *rest = text.split(" ")
-        return self.pattern.findall(head), rest
+        return self.find(head)(head), rest
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word: the adjacent pair of lowest rank is merged, leftmost first, until none is left.
@@ -240,7 +249,7 @@ class Transducer:
 class Codec:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 900_000):
+    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 1_200_000):
         self.v, self.most = Vocabulary(path), most
         self.known: dict[str, bytes] = {}  # pre-tokens
         self.lexicon = None
@@ -295,7 +304,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
         def flush() -> pa.RecordBatch:
             for c, n in spaced.items():
-                for w in v.pattern.findall(" " + c):
+                for w in v.find(c)(" " + c):
                     count[w] += n
             spaced.clear()
             short = [(w, n) for w, n in count.items() if len(w) <= WORD_CHARS]
