@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,17 @@ def resident(key, build):
     return _RESIDENT[key]
 
 
+def release() -> None:
+    """For tasks that need the memory themselves."""
+    _RESIDENT.clear()
+
+
+def rarely_collect() -> None:
+    """For tasks that make many small objects and no cycles."""
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 100)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

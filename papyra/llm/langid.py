@@ -88,11 +88,12 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, letters: int = LETTERS):
         count = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
+        letters = min(letters, len(count))
+        self.width = letters + 3
         self.code = np.zeros(0x110000, np.uint8)  # 0: not a letter
         self.code[[i for i in range(0x110000) if chr(i).isalpha()]] = letters + 1
         for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:letters]):
             self.code[ord(c)] = k + 1
-        self.width = letters + 3
         self.langs, self.tables, self.bits = sorted(samples), [], []
         for lang in self.langs:
             codes = np.concatenate([np.r_[np.uint8(0), self.codes(t)[0]] for t in samples[lang]] or [np.zeros(1, np.uint8)])[:chars]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import bucketed, partitions, written
+from ._common import bucketed, partitions, release, written
 
 ORDER = 4
 BITS = 16
@@ -50,6 +50,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, lang, trusted, to blocks: payload, distinct keys, trusted counts."""
     import zstandard
 
+    release()
     squeeze = zstandard.ZstdCompressor(level=5)
     context = TaskContext.get()
     block = (context.partitionId() if context else 0) << 32
@@ -122,6 +123,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
+    release()
     open_ = zstandard.ZstdDecompressor()
     for b in batches:
         for payload, logs in zip(b.column("payload"), b.column("logs")):
