@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import resident, written
+from ._common import rarely_collect, resident, written
 
 #: Words in the lexicon: it bounds what is broadcast, and changes speed only, not results.
 LEXICON_WORDS = 100_000
@@ -251,6 +251,7 @@ class Codec:
 
     def __init__(self, path: str, lexicon: bytes | None = None, most: int = 1_200_000):
         self.v, self.most = Vocabulary(path), most
+        rarely_collect()
         self.known: dict[str, bytes] = {}  # pre-tokens
         self.lexicon = None
         if lexicon:
@@ -317,7 +318,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                 head, rest = v.chunks(t)
                 count.update(head)
                 spaced.update(rest)
-                if len(count) + len(spaced) > 500_000:
+                if len(count) + len(spaced) > 800_000:
                     yield flush()
         yield flush()
 

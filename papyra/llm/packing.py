@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import partitions, resident
+from ._common import partitions, rarely_collect, resident
 
 LENGTH = 2048
 OPEN = 128
@@ -62,6 +62,7 @@ class Encoder:
         self.cut, self.simple = regex.compile(self.PIECES).findall, regex.compile(self.SIMPLE).fullmatch
         self.space = regex.compile(r"[\t-\r ]+").split
         self.known: dict[str, bytes] = {}
+        rarely_collect()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit numbers, the end id last."""
