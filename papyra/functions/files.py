@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Transliteration, types by keyword in order, free-mail domains, reserved names.
 UMLAUTS = {"ä": "ae", "Ä": "Ae", "ö": "oe", "Ö": "Oe", "ü": "ue", "Ü": "Ue", "ß": "ss", "€": "EUR", "§": "par", "&": "und", "@": "at", "#": "nr", "%": "prozent", "+": "plus", "°": "grad"}
@@ -27,7 +28,7 @@ def replace_umlauts(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
