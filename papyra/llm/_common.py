@@ -50,8 +50,7 @@ def release() -> None:
 
 def rarely_collect() -> None:
     """For tasks that make many small objects and no cycles."""
-    gc.freeze()
-    gc.set_threshold(200_000, 50, 100)
+    gc.set_threshold(50_000, 20, 20)
 
 
 def partitions(spark: SparkSession) -> int:
