@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import rarely_collect, resident, written
+from ._common import rarely_collect, release, resident, written
 
 #: Words in the lexicon: it bounds what is broadcast, and changes speed only, not results.
 LEXICON_WORDS = 100_000
@@ -249,7 +249,7 @@ class Transducer:
 class Codec:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 1_200_000):
+    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 600_000):
         self.v, self.most = Vocabulary(path), most
         rarely_collect()
         self.known: dict[str, bytes] = {}  # pre-tokens
@@ -301,6 +301,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     """``(word, n)`` over all documents: counted in each task first, by a table that is emptied when it is large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         v, count, spaced = Vocabulary(path), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
@@ -318,7 +319,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                 head, rest = v.chunks(t)
                 count.update(head)
                 spaced.update(rest)
-                if len(count) + len(spaced) > 800_000:
+                if len(count) + len(spaced) > 500_000:
                     yield flush()
         yield flush()
 
