@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import attach
@@ -44,8 +46,13 @@ def resident(key, build):
 
 
 def release() -> None:
-    """For tasks that need the memory themselves."""
+    """For tasks that need the memory themselves: drops what is kept, and gives freed memory back to the system."""
     _RESIDENT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def rarely_collect() -> None:

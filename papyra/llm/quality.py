@@ -35,10 +35,11 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys at every character of all texts, and each text's length. Texts start after ORDER - 1 zero codes."""
     pad = "\0" * (ORDER - 1)
     n = np.array([len(t) for t in texts], np.int64)
-    c = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(_VOCABULARY - 1)
+    c = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint16)  # modulo 1 << BITS
     key = np.zeros(len(c) - ORDER + 1, np.uint64)
-    for k in range(ORDER):
-        key |= c[k:len(c) - ORDER + 1 + k] << np.uint64(BITS * (ORDER - 1 - k))
+    for k in range(ORDER):  # in place: a block's keys are its largest array
+        key <<= np.uint64(BITS)
+        key |= c[k:len(c) - ORDER + 1 + k]
     # windows that end in the padding before the next text
     keep = np.ones(len(key), bool)
     gap = (np.cumsum(n[:-1]) + np.arange(len(n) - 1) * (ORDER - 1))[:, None] + np.arange(ORDER - 1)
@@ -62,9 +63,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         texts = [x or "" for x in t.column("text").to_pylist()]
         key, n = keys_of(texts)
-        distinct = np.unique(key)
+        del texts
         train = np.array([x == 1 for x in t.column("trusted").to_pylist()], bool)
         got, count = np.unique(key[np.repeat(train, n)], return_counts=True)
+        key.sort()
+        distinct = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        del key
         counts = np.zeros(len(distinct), "<u4")
         counts[np.searchsorted(distinct, got)] = count
         sink = pa.BufferOutputStream()
@@ -132,8 +136,9 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(n))
             if len(key):
                 log = np.frombuffer(logs.as_py(), "<f4")[np.searchsorted(np.unique(key), key)]
+                del key
                 full = n > 0
-                total[full] = np.add.reduceat(log.astype(np.float64), (np.cumsum(n) - n)[full])
+                total[full] = np.add.reduceat(log, (np.cumsum(n) - n)[full], dtype=np.float64)
             with np.errstate(invalid="ignore", divide="ignore"):
                 ppl = np.exp2(-total / n)
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("lang").combine_chunks(), t.column("trusted").combine_chunks(),
