@@ -31,10 +31,15 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, v, dim``: vectors of doubles that can link: not null, not empty, all finite, not all zero."""
+    return _rows(vectors, id_col, vec_col).where("ok").select("vec_id", "v", F.size("v").alias("dim"))
+
+
+def _rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``vec_id, v, ok``: whether the vector can link."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
-        F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    ok = F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).withColumn("ok", F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -173,20 +178,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
 
     Null, empty and zero vectors and those with null or non-finite components have no link and are their own
     component; vectors of different length don't link. Identical vectors are folded first and count as
-    links of each other. An empty table gives no rows; labels and other columns are ignored.
+    links of each other. Repeated ids each keep their row, with its own vector's links. A row
+    without an id links with nothing, and its component is null. An empty table gives no rows; labels and other columns are ignored.
     """
     spark = vectors.sparkSession
     good = written(valid(vectors, id_col, vec_col), "vec")
-    copies = written(good.groupBy("dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vecs")
+    # a number for each distinct vector, as ids may repeat; the table fixes it
+    copies = written(good.groupBy("dim", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "vecs")
     links, edges = spark.createDataFrame([], "rep long, n_links long"), spark.createDataFrame([], "a long, b long")
     for r in copies.groupBy("dim").count().orderBy("dim").collect():  # a row for each length of vectors
         n, e = _join_dim(copies.where(F.col("dim") == r["dim"]).select("rep", "v", "weight"), r["dim"], r["count"], threshold, cell)
         links, edges = links.unionByName(n), edges.unionByName(e)
     group = components(edges)
-    of = copies.select("dim", "v", "rep").join(links, "rep").join(group, F.col("rep") == F.col("node"), "left").select(
-        "dim", "v", "n_links", F.coalesce("component", "rep").alias("component_id"))
+    least = group.join(copies.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    group = group.join(least, "component").select("node", "least")
+    of = copies.select("dim", "v", "rep", "first").join(links, "rep").join(group, F.col("rep") == F.col("node"), "left").select(
+        "dim", "v", "n_links", F.coalesce("least", "first").alias("component_id"))
     found = good.join(of, ["dim", "v"]).select("vec_id", "n_links", "component_id")
-    ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    return ids.join(found.distinct(), "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
+    alone = _rows(vectors, id_col, vec_col).where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.expr("vec_id <=> component_id"))
