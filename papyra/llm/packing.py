@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -174,31 +175,46 @@ def _pack(length: int, most: int, path: str, keep_ids: bool):
 
 def _merge(length: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: dict[int, list] = {}
         names = [*_NAMES]
+        base, serial, tokens, rows = None, 0, 0, []
+        held: deque = deque()  # pieces of less than a sequence in all, between batches
+
+        def fill(room: int) -> None:
+            """The next sequence, of ``room`` tokens, from the pieces held."""
+            nonlocal serial, tokens
+            at = 0
+            while at < room:
+                doc, start, total, n, ids = held.popleft()
+                m = min(n, room - at)
+                own = ids[:4 * m]
+                rows.append((doc, start, m, zlib.crc32(own), total, base + serial, at, own if keep_ids else None))
+                if m < n:
+                    held.appendleft((doc, start + m, total, n - m, ids[4 * m:]))
+                at += m
+            serial, tokens = serial + 1, tokens - room
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*rows))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names)
+
         for b in batches:
             final = pa.compute.less(b.column("merge"), 0)
             yield pa.RecordBatch.from_arrays([b.filter(final).column(n) for n in names], names)
             rest = b.filter(pa.compute.invert(final))
-            for r in zip(*(rest.column(n).to_pylist() for n in ("merge", "doc_id", "start", "doc_tokens", "length", "ids"))):
-                left.setdefault(r[0], []).append(r[1:])
-        rows, serial, fill = [], 0, 0
-        if not left:
-            return
-        base = (1 << 62) + (min(left) << 32)  # a number no other task uses: a partition's windows go to one merging task
-        pieces = [p for k in sorted(left) for p in left[k]]
-        tokens = sum(p[3] for p in pieces)
-        room = _room(tokens, length)
-        for doc, start, total, n, ids in pieces:
-            while n:
-                m = min(n, room - fill)
-                own = ids[:4 * m]
-                rows.append((doc, start, m, zlib.crc32(own), total, base + serial, fill, own if keep_ids else None))
-                start, ids, n, fill, tokens = start + m, ids[4 * m:], n - m, fill + m, tokens - m
-                if fill == room:
-                    serial, fill, room = serial + 1, 0, _room(tokens, length)
-        cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names)
+            for merge, *piece in zip(*(rest.column(n).to_pylist() for n in ("merge", "doc_id", "start", "doc_tokens", "length", "ids"))):
+                if base is None:
+                    base = (1 << 62) + (merge << 32)  # a number no other task uses: a partition's windows go to one merging task
+                held.append(piece)
+                tokens += piece[3]
+                while tokens >= length:
+                    fill(length)
+                if len(rows) > 2000:
+                    yield flush()
+        while tokens:
+            fill(_room(tokens, length))
+        if rows:
+            yield flush()
 
     return run
 
@@ -223,4 +239,5 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_windows: int = O
         _pack(length, open_windows, path, keep_ids), f"{_SCHEMA}, merge long")
     # finished pieces stay spread; the open windows of MERGE partitions meet
     dealt = first.withColumn("to", F.when(F.col("merge") < 0, F.col("sequence_id")).otherwise(F.floor(F.col("merge") / MERGE) - F.lit(1 << 40)))
-    return dealt.repartition(partitions(spark), "to").drop("to").mapInArrow(_merge(length, keep_ids), _SCHEMA)
+    # in a fixed order, so that a task that is run again cuts the same sequences, and holds one at a time
+    return dealt.repartition(partitions(spark), "to").drop("to").sortWithinPartitions("merge", "doc_id", "start", "ids").mapInArrow(_merge(length, keep_ids), _SCHEMA)
