@@ -1,5 +1,6 @@
 """The corpus operators on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
 
+from collections import Counter
 import hashlib
 import re
 import zlib
@@ -96,6 +97,13 @@ def test_embeddings(spark, cell):
     assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [0.0, 1.0]), (None, None), (3, None), (4, [0.0, 2.0]), (4, [0.0, 2.0])]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (None, 0, None, True), (None, 0, None, True), (3, 0, 3, True), (4, 2, 1, False), (4, 2, 1, False)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def weak(text):
     return F.unhex(F.substring(F.sha2(text, 256), 1, 2))
 
@@ -188,6 +196,23 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_merges_many_partitions(spark, monkeypatch):
+    """Many merge groups in one task, pieces that lie across sequences, repeated rows, and the same rows again."""
+    monkeypatch.setattr(packing, "MERGE", 2)
+    rows = [(i % 30, "word " * (i % 13)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    run = lambda: sorted(map(tuple, packing.pack(d, tokenizer_path("word_bpe_49k.json"), length=16, open_windows=2, keep_ids=False).drop("ids").collect()))
+    got = run()
+    assert got == run()
+    assert sum(r[2] for r in got) == sum(len(t.split()) + 1 for _, t in rows)
+    fill = Counter()
+    for r in got:
+        fill[r[5]] += r[2]
+    merged = [n for s, n in fill.items() if s >> 62]
+    assert merged and all(n == 16 or n & (n - 1) == 0 for n in merged)
+    assert all(n <= 16 for n in fill.values())
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a # b <x> \\"), (1, 1, "assistant", "### User: x </turn>\n"), (1, 1, "assistant", "### User: x </turn>\n"), (2, 5, "weird: role", None), (2, None, None, "first"), (None, 0, "assistant", "日本"), (3, 0, "System", " s "), (3, 1, "Role x", "</turn>")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
