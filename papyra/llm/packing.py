@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -61,8 +62,7 @@ class Encoder:
         if any("<|" not in x.content or x.content != x.content.lower() for x in t.get_added_tokens_decoder().values()):
             raise ValueError("a special token without <|, or in capitals")
         self.cut, self.simple = regex.compile(self.PIECES).findall, regex.compile(self.SIMPLE).fullmatch
-        self.space = regex.compile(r"[\t-\r ]+").split
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         rarely_collect()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -70,10 +70,12 @@ class Encoder:
         known = self.known
         if len(known) > self.most:
             known.clear()
+            known[""] = b""
         # lower-casing simple texts first leaves fewer distinct chunks
-        split = [(x.lower().split() if self.simple(x) else [c for c in self.space(x) if c]) if x else () for x in texts]
-        words = set(chain.from_iterable(split))
-        new = words - known.keys()
+        split = pc.ascii_split_whitespace(pa.array([x.lower() if x and self.simple(x) else x or "" for x in texts], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = {c for c in words if c not in known}
         whole = {c for c in new if not c.isascii() and not self.simple(c) or "<|" in c}
         for c in whole:
             known[c] = np.array(self.t.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,8 +87,15 @@ class Encoder:
         self._learn(list(letters))
         of = known.__getitem__
         known.update(zip(mixed, [b"".join(map(of, p)) for p in pieces]))
-        own = dict(zip(words, map(of, words))).__getitem__
-        return [b"".join([*map(own, ws), _END]) for ws in split]
+        own = list(map(of, words))
+        # each chunk's ids, copied to its places
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start, which = np.cumsum(size) - size, np.asarray(coded.indices)
+        n = size[which]
+        end = np.cumsum(n)
+        raw = np.frombuffer(b"".join(own), "<u4")[np.arange(n.sum()) + np.repeat(start[which] - end + n, n)].tobytes()
+        cut = (4 * np.r_[0, end][np.asarray(split.offsets)]).tolist()
+        return [raw[a:b] + _END for a, b in zip(cut, cut[1:])]
 
     def _learn(self, new: list[str], size: int = 1000) -> None:
         for at in range(0, len(new), size):
@@ -105,6 +114,18 @@ def encode_all(texts: list[str | None], path: str) -> list[bytes]:
     return resident(("packing", path), lambda: Encoder(path)).encode(texts)
 
 
+def _slices(texts: list[str | None], rows: int = 2048, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of the parts that are encoded together: so many texts or characters, one text at least."""
+    at, held = 0, 0
+    for k, t in enumerate(texts):
+        if k > at and (k - at == rows or held + len(t or "") > chars):
+            yield at, k
+            at, held = k, 0
+        held += len(t or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
 class Windows:
     """Open windows, sorted by their fill."""
 
@@ -153,8 +174,8 @@ def _pack(length: int, most: int, path: str, keep_ids: bool):
 
         for b in batches:
             docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(docs), 512):
-                for doc, ids in zip(docs[at:at + 512], encode_all(texts[at:at + 512], path)):
+            for at, to in _slices(texts):
+                for doc, ids in zip(docs[at:to], encode_all(texts[at:to], path)):
                     total = len(ids) // 4
                     for start in range(0, total, length):
                         n = min(length, total - start)
@@ -199,9 +220,9 @@ def _merge(length: int, keep_ids: bool):
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names)
 
         for b in batches:
-            final = pa.compute.less(b.column("merge"), 0)
+            final = pc.less(b.column("merge"), 0)
             yield pa.RecordBatch.from_arrays([b.filter(final).column(n) for n in names], names)
-            rest = b.filter(pa.compute.invert(final))
+            rest = b.filter(pc.invert(final))
             for merge, *piece in zip(*(rest.column(n).to_pylist() for n in ("merge", "doc_id", "start", "doc_tokens", "length", "ids"))):
                 if base is None:
                     base = (1 << 62) + (merge << 32)  # a number no other task uses: a partition's windows go to one merging task
