@@ -40,7 +40,7 @@ _RESIDENT: dict = {}
 def resident(key, build):
     """What a worker process keeps between tasks: one object, the last that was asked for, so that stages don't add up."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        release()
         _RESIDENT[key] = build()
     return _RESIDENT[key]
 

@@ -89,7 +89,8 @@ class Encoder:
         known.update(zip(mixed, [b"".join(map(of, p)) for p in pieces]))
         own = list(map(of, words))
         # each chunk's ids, copied to its places
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        del words
+        size = np.fromiter(map(len, own), np.int32, len(own)) // 4
         start, which = np.cumsum(size) - size, np.asarray(coded.indices)
         n = size[which]
         end = np.cumsum(n)
@@ -114,7 +115,7 @@ def encode_all(texts: list[str | None], path: str) -> list[bytes]:
     return resident(("packing", path), lambda: Encoder(path)).encode(texts)
 
 
-def _slices(texts: list[str | None], rows: int = 2048, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str | None], rows: int = 1024, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of the parts that are encoded together: so many texts or characters, one text at least."""
     at, held = 0, 0
     for k, t in enumerate(texts):
