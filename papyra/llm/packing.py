@@ -115,7 +115,7 @@ def encode_all(texts: list[str | None], path: str) -> list[bytes]:
     return resident(("packing", path), lambda: Encoder(path)).encode(texts)
 
 
-def _slices(texts: list[str | None], rows: int = 1024, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str | None], rows: int = 512, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of the parts that are encoded together: so many texts or characters, one text at least."""
     at, held = 0, 0
     for k, t in enumerate(texts):
