@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import attach
 from ..functions import dates, files, jsonrepair, text as T
-from ..functions.similarity import indel_ratio, like_length
-from ..operators import entities, issues, stats, validate
+from ..operators import duplicates, entities, issues, stats, validate
 from ..sources import sinks, tables
 from ..streaming import intake
 
@@ -269,12 +268,8 @@ def q29_exact_duplicates(spark, d):
 
 @query()
 def q30_near_duplicates(spark, d):
-    """Distinct titles of one sender and type, one pair of groups a row; pairs are bounded by the length band."""
-    t = docs(spark, d).groupBy("correspondent", "document_type", F.lower("title").alias("title")).agg(F.min("document_id").alias("id"), F.count("*").alias("n"))
-    a, b = t.select("correspondent", "document_type", F.col("title").alias("a"), F.col("id").alias("id1")), t.select("correspondent", "document_type", F.col("title").alias("b"), F.col("id").alias("id2"))
-    p = a.join(b, ["correspondent", "document_type"]).where((F.col("id1") < F.col("id2")) & like_length(F.col("a"), F.col("b"), 70.0))
-    return p.select("id1", "id2", ((indel_ratio(F.col("a"), F.col("b")) + 200) / 3).alias("score")).where("score >= 90")
-
+    """Classes of documents alike in title, sender and date: the pairs of a mean of 90, and each document's class."""
+    return duplicates.duplicates(docs(spark, d))
 
 
 @query("""with recursive n as (select distinct lower(p_name) as name from part), p as (select x.name as a, y.name as b from n x join n y on x.name < y.name where least(length(x.name), length(y.name)) >= greatest(length(x.name), length(y.name)) * (85.0 / 115.0)),
