@@ -22,6 +22,8 @@ THRESHOLD = 0.9
 CELL = 8192
 #: Most pivots: they are collected and broadcast.
 MOST_PIVOTS = 1024
+#: Least distance between pivots.
+APART = 1e-3
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -47,18 +49,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _nearest(dim: int, pivots: np.ndarray, radius: float, slack: float = 1e-9):
-    """Each vector's cell, its distance to that pivot, and the other cells where it may have partners."""
-    gap = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-30))
+def _spread(pivots: np.ndarray, apart: float = APART) -> np.ndarray:
+    """The pivots that are at least ``apart`` from each earlier one that stays: bounds by a shorter gap are mostly rounding."""
+    keep: list[int] = []
+    for i, p in enumerate(pivots):
+        if not keep or np.sqrt(((pivots[keep] - p) ** 2).sum(axis=1)).min() >= apart:
+            keep.append(i)
+    return pivots[keep]
+
+
+def _nearest(dim: int, pivots: np.ndarray, radius: float):
+    """Each vector's cell, its distance to that pivot, and the other cells where it may have partners.
+
+    A product of unit vectors is off by less than ``2 * dim`` roundings, so its square distance by twice that; the
+    bounds allow for it. Distances between pivots are taken from their differences, which don't cancel.
+    """
+    gap = np.array([np.sqrt(np.maximum(((pivots - p) ** 2).sum(axis=1), 1e-30)) for p in pivots])
+    off = 4 * (dim + 8) * float(np.finfo(np.float64).eps)  # of a square distance
+    slack = float(np.sqrt(off))  # of a distance: the worst is near zero
 
     def place(x: np.ndarray, radii: np.ndarray | None = None):
-        d = np.sqrt(np.maximum(2 - 2 * x @ pivots.T, 0))
-        home = d.argmin(axis=1)
-        own = d[np.arange(len(x)), home]
-        if radii is None:
-            return home, own, None
-        plane = (d * d - (own * own)[:, None]) / (2 * gap[home])  # distance to the plane between the two pivots
-        send = (plane <= radius + slack) & (d <= radii[None, :] + radius + slack)
+        square = np.maximum(2 - 2 * x @ pivots.T, 0)
+        home = square.argmin(axis=1)
+        nearest = square[np.arange(len(x)), home]
+        d, own = np.sqrt(square), np.sqrt(nearest)
+        if radii is None:  # rounding may give a vector another of these as its cell the next time
+            return home, d, square <= nearest[:, None] + 4 * off
+        plane = (square - nearest[:, None] - 4 * off) / (2 * gap[home])  # at most the distance to the plane between the two pivots
+        send = (plane <= radius + slack) & (d <= radii[None, :] + radius + 3 * slack)
         send[np.arange(len(x)), home] = True
         return home, own, send
 
@@ -71,18 +89,18 @@ def _join_dim(nodes: DataFrame, dim: int, n: int, threshold: float, cell: int) -
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     k = max(1, min(MOST_PIVOTS, -(-n // cell)))
     rows = nodes.orderBy(F.xxhash64("rep"), "rep").limit(k).select("v").collect()
-    pivots = np.unique(_unit(np.array([r[0] for r in rows], np.float64)), axis=0)
+    pivots = _spread(_unit(np.array([r[0] for r in rows], np.float64)))
     place = _nearest(dim, pivots, radius)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            home, own, _ = place(_unit(_matrix(b.column(0), dim)))
-            cells = np.unique(home)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([own[home == c].max() for c in cells], pa.float64()), pa.array([int((home == c).sum()) for c in cells], pa.int64())], ["cell", "radius", "n"])
+            home, d, near = place(_unit(_matrix(b.column(0), dim)))
+            cells = np.flatnonzero(near.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([d[near[:, c], c].max() for c in cells], pa.float64()), pa.array([int((home == c).sum()) for c in cells], pa.int64())], ["cell", "radius", "n"])
 
     radii, parts = np.full(len(pivots), -np.inf), np.ones(len(pivots), np.int64)
     for r in nodes.select("v").mapInArrow(measure, "cell int, radius double, n long").groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect():  # a row per pivot
-        radii[r["cell"]], parts[r["cell"]] = r["radius"], -(-r["n"] // cell)
+        radii[r["cell"]], parts[r["cell"]] = r["radius"], max(1, -(-r["n"] // cell))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:

@@ -97,6 +97,30 @@ def test_embeddings(spark, cell):
     assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_rescaled_copies(spark):
+    """Pivots that are nearly equal: rescaled copies of one vector, rounded to single precision."""
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=8)
+    rows = [(one * rng.uniform(0.1, 9)).astype(np.float32) for _ in range(300)] + [(one + rng.normal(size=8) * s).astype(np.float32) for s in (0.3, 0.45) for _ in range(200)]
+    got = embedding.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>"), cell=20).orderBy("vec_id").collect()
+    unit = np.array(rows, np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    assert [r["n_links"] for r in got] == ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+
+
+@pytest.mark.parametrize("dim", [8, 64, 384])
+def test_nearly_equal_pivots_lose_no_link(dim):
+    rng = np.random.default_rng(1)
+    one = rng.normal(size=dim)
+    x = [(one * rng.uniform(0.1, 9)).astype(np.float32) for _ in range(500)] + [(one + rng.normal(size=dim) * s).astype(np.float32) for s in (0.3, 0.45) for _ in range(500)]
+    unit = embedding._unit(np.array(x, np.float64))
+    pivots = unit[rng.permutation(len(unit))[:60]]
+    place = embedding._nearest(dim, pivots, float(np.sqrt(0.2)))
+    home, radii = place(unit)[0], np.full(len(pivots), -np.inf)
+    np.maximum.at(radii, home, np.linalg.norm(unit - pivots[home], axis=1))
+    assert not ((unit @ unit.T >= 0.9) & ~place(unit, radii)[2][:, home]).any()
+
+
 def test_embeddings_repeated_and_null_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [0.0, 1.0]), (None, None), (3, None), (4, [0.0, 2.0]), (4, [0.0, 2.0])]
     got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
