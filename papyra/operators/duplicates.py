@@ -190,8 +190,8 @@ def later_duplicates(docs: DataFrame) -> DataFrame:
     The documents of a class pair are not paired: those of the other class with a larger id are counted in order.
     """
     of = members(docs)
-    p = class_pairs(docs)
-    near = p.select(F.col("id1").alias("id"), F.col("id2").alias("other")).unionByName(p.where("id1 <> id2").select(F.col("id2").alias("id"), F.col("id1").alias("other")))
+    both = F.array(F.struct(F.col("id1").alias("id"), F.col("id2").alias("other")), F.struct(F.col("id2").alias("id"), F.col("id1").alias("other")))
+    near = class_pairs(docs).select(F.explode(F.when(F.col("id1") == F.col("id2"), F.slice(both, 1, 1)).otherwise(both)).alias("p")).select("p.id", "p.other")
     asked = of.join(near, "id").select(F.col("other").alias("id"), "document_id", F.lit(0).alias("one"))
     there = of.select("id", "document_id", F.lit(1).alias("one"))
     counted = asked.unionByName(there).selectExpr("*", "sum(one) over (partition by id order by document_id desc range between unbounded preceding and current row) - "

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from .duplicates import later_duplicates
 
 SEVERITY = {"ocr_missing": "critical", "ocr_failed": "high", "ocr_low_quality": "medium", "missing_correspondent": "high", "missing_document_type": "medium", "missing_tags": "low", "invalid_date": "medium", "metadata_incomplete": "medium", "filename_mismatch": "low", "description_too_long": "low", "potential_duplicate": "medium"}
 
@@ -26,19 +27,25 @@ def issue_types(least_tags: int = 3, note_chars: int = 128) -> Column:
         F.when(lacks[3], "invalid_date"), F.when(many > 2, "metadata_incomplete"), F.when(~lacks[0] & ~F.col("title").rlike(r"^\d{4}-\d{2}-\d{2}_"), "filename_mismatch"), F.when(F.length("note") > note_chars, "description_too_long")))
 
 
-def issues(docs: DataFrame) -> DataFrame:
-    """One row per document and issue."""
+def issues(docs: DataFrame, duplicates: bool = False) -> DataFrame:
+    """One row per document and issue, with its ``times``: 1, or, for ``potential_duplicate``, the pairs the document is first in.
+
+    ``duplicates``: with the duplicate pass of the reference's scan.
+    """
     severity = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("issue_type"))
-    return docs.select("document_id", F.explode(issue_types()).alias("issue_type")).withColumn("severity", severity)
+    found = docs.select("document_id", F.explode(issue_types()).alias("issue_type"), F.lit(1).cast("long").alias("times"))
+    if duplicates:
+        found = found.unionByName(later_duplicates(docs).select("document_id", F.lit("potential_duplicate").alias("issue_type"), F.col("pairs").alias("times")))
+    return found.withColumn("severity", severity)
 
 
 def report(found: DataFrame) -> DataFrame:
     """Issues and documents by type: one shuffle, combined before it."""
-    return found.groupBy("issue_type", "severity").agg(F.count("*").alias("issues"), F.count_distinct("document_id").alias("documents"))
+    return found.groupBy("issue_type", "severity").agg(F.sum("times").alias("issues"), F.count_distinct("document_id").alias("documents"))
 
 
 def top_documents(found: DataFrame, most: int = 10) -> DataFrame:
-    return found.groupBy("document_id").agg(F.count("*").alias("issues")).orderBy(F.desc("issues"), "document_id").limit(most)
+    return found.groupBy("document_id").agg(F.sum("times").alias("issues")).orderBy(F.desc("issues"), "document_id").limit(most)
 
 
 # The counts above which a recommendation is made.
@@ -47,7 +54,7 @@ RECOMMEND = {"ocr_missing": 0, "ocr_failed": 0, "missing_correspondent": 5, "pot
 
 def recommendations(found: DataFrame) -> DataFrame:
     over = F.element_at(F.create_map(*[F.lit(x) for kv in RECOMMEND.items() for x in kv]), F.col("issue_type"))
-    return found.where(F.col("issue_type").isin(*RECOMMEND)).groupBy("issue_type").agg(F.count("*").alias("issues")).where(F.col("issues") > over)
+    return found.where(F.col("issue_type").isin(*RECOMMEND)).groupBy("issue_type").agg(F.sum("times").alias("issues")).where(F.col("issues") > over)
 
 
 def scan_flags(docs: DataFrame) -> DataFrame:

@@ -441,3 +441,19 @@ def q58_stream_issues(spark, d):
     base = f"{base.rstrip('/')}/issues-{uuid.uuid4().hex[:12]}"
     intake.run_available(intake.ocr_issues(spark, f"{d}/documents.parquet"), f"{base}/out", f"{base}/log")
     return spark.read.schema("doc_id long, issue_type string").parquet(f"{base}/out")
+
+
+# q23 to q25 are held to SQL without the duplicate pass; these are the same with it.
+@query()
+def q59_full_quality_report(spark, d):
+    return issues.report(issues.issues(docs(spark, d), duplicates=True))
+
+
+@query()
+def q60_full_top_documents(spark, d):
+    return issues.top_documents(issues.issues(docs(spark, d), duplicates=True))
+
+
+@query()
+def q61_full_recommendations(spark, d):
+    return issues.recommendations(issues.issues(docs(spark, d), duplicates=True))

@@ -61,3 +61,17 @@ def test_query_and_chunks(spark):
     small = {(r[0], r[1]) for r in duplicates.class_pairs(d, chunk=3).collect()}
     assert small == {(r[0], r[1]) for r in duplicates.class_pairs(d).collect()}
     assert duplicates.duplicates(d.where(F.lit(False))).count() == 0
+
+
+def test_report_with_duplicates(spark):
+    q = catalogue.queries()
+    rows = [tuple(r) for r in catalogue.docs(spark, DIR).select("document_id", "title", "correspondent", "created").orderBy("document_id").collect()]
+    want = plain(rows)
+    first = {a: sum(x == a for x, _ in want) for a in {a for a, _ in want}}
+    report = {tuple(r) for r in q["q59_full_quality_report"](spark, DIR).collect()}
+    assert report - {tuple(r) for r in q["q23_quality_report"](spark, DIR).collect()} == {("potential_duplicate", "medium", len(want), len(first))}
+    other = {r["document_id"]: r["n"] for r in catalogue.issues.issues(catalogue.docs(spark, DIR)).groupBy("document_id").agg(F.count("*").alias("n")).collect()}
+    all_of = {i: other.get(i, 0) + first.get(i, 0) for i in {*other, *first}}
+    top = sorted(all_of.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert [tuple(r) for r in q["q60_full_top_documents"](spark, DIR).collect()] == top
+    assert ("potential_duplicate", len(want)) in {tuple(r) for r in q["q61_full_recommendations"](spark, DIR).collect()}
