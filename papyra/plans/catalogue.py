@@ -389,7 +389,7 @@ _TYPE = "case " + " ".join(f"when regexp_matches(n, '{'|'.join(ks)}') then '{t}'
 
 @query(f"select page_id, {_TYPE} as kind from (select page_id, lower(url || ' ' || left(html, 400)) as n from pages)")
 def q49_doc_type_guess(spark, d):
-    return read(spark, d, "pages").select("page_id", files.document_type(F.col("url"), F.left("html", F.lit(400))).alias("kind"))
+    return read(spark, d, "pages").select("page_id", files.document_type(F.col("url"), F.col("html")).alias("kind"))
 
 
 @query(f"select o_orderkey, array_to_string(['Rechnung', replace(printf('%.2f', o_totalprice), '.', ',') || '€', strftime(o_orderdate, '%Y')], '|') as tags from orders")

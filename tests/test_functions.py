@@ -101,3 +101,11 @@ def test_attachments(spark):
     m.add_attachment(b"%PDF-1.4 x", maintype="application", subtype="octet-stream", filename="r.exe")
     got = tables.attachments(spark.createDataFrame([("1", bytearray(m.as_bytes()))], "uid string, content binary")).collect()
     assert [(r["filename"], r["sent"]) for r in got] == [("r.pdf", None)]
+
+
+def test_page_type_beyond_the_first_characters(spark, tmp_path):
+    from papyra.plans import catalogue
+
+    spark.createDataFrame([(1, "https://x.example/a", "<p>" + "x " * 400 + "invoice</p>"), (2, "https://x.example/b", "<p>nothing</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["kind"] for r in catalogue.queries()["q49_doc_type_guess"](spark, f"file://{tmp_path}").collect()}
+    assert got[1] is not None and got[2] is None
