@@ -28,6 +28,8 @@ BROADCAST_ROWS = 1_000_000
 QUANTILE = 0.995
 #: One trusted text in so many is kept out of the counts and sets the quantiles.
 HOLD_OUT = 4
+#: Held-out texts from which a language's own threshold is used alone: of fewer, the quantile is little more than their maximum.
+LEAST_HELD = 200
 _VOCABULARY = 1 << BITS
 
 
@@ -209,15 +211,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: ``doc_id, lang, perplexity, threshold, kept``.
 
-    The threshold is the quantile of the language's held-out trusted texts; a language (null is one) without
-    such texts takes that of all. Without any, nothing is dropped but what has no text: null and empty texts
+    The threshold is the quantile of the language's held-out trusted texts; a language (null is one) with fewer
+    than ``LEAST_HELD`` of them takes the larger of its own and that of all, one without any that of all. Without any, nothing is dropped but what has no text: null and empty texts
     are never kept. Repeated rows each give a row; an empty table none. Extra columns are ignored.
     """
     scored = written(perplexities(docs, trusted, id_col, text_col, lang_col), "ppl")
     held = scored.where("trusted = 2 and perplexity is not null")
-    own = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
+    own = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("held"))
     every = held.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("every")).first()[0]
     out = scored.alias("s").join(own.alias("o"), F.expr("s.lang <=> o.lang"), "left")
-    bound = F.coalesce("own", F.lit(every).cast("double"))
+    overall = F.lit(every).cast("double")
+    bound = F.when(F.col("held") >= LEAST_HELD, F.col("own")).otherwise(F.greatest("own", overall))  # greatest skips nulls
     return out.select("doc_id", F.col("s.lang").alias("lang"), "perplexity", bound.alias("threshold"),
                       (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= bound, F.lit(True))).alias("kept"))

@@ -344,3 +344,15 @@ def test_pipeline_stages(spark):
         before = docs.count()
     packed = P.STAGES[-1][1](spark, docs, d)
     assert packed.select("doc_id").distinct().count() == before
+
+
+def test_quality_threshold_of_few_held_out_texts(spark, monkeypatch):
+    """A language with few held-out texts is not held to their maximum, one with enough is."""
+    scored = spark.createDataFrame([(i, "en", 2, 10.0 + i) for i in range(8)] + [(20, "es", 2, 3.0), (21, "es", 0, 4.0), (22, None, 0, 16.0), (23, "es", 0, 18.0)], "doc_id long, lang string, trusted int, perplexity double")
+    monkeypatch.setattr(quality, "perplexities", lambda *a: scored)
+    run = lambda: {r["doc_id"]: (r["threshold"], r["kept"]) for r in quality.classify(scored, scored).collect()}
+    got = run()
+    assert got[21] == (17.0, True) and got[22] == (17.0, True) and got[23] == (17.0, False)
+    monkeypatch.setattr(quality, "LEAST_HELD", 1)
+    got = run()
+    assert got[21] == (3.0, False) and got[22] == (17.0, True)
