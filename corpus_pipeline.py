@@ -34,8 +34,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one of the smallest id, of each group of near copies."""
-    return _kept(docs, simhash.near_duplicates(docs).where("doc_id = component_id"))
+    """Keeps one row, the one of the smallest id, of each group of near copies; of repeated ids any one, a null id last."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    group = simhash.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = group.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("k"))
+    return rows.join(first.select(F.col("k.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

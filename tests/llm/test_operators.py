@@ -356,3 +356,11 @@ def test_quality_threshold_of_few_held_out_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "LEAST_HELD", 1)
     got = run()
     assert got[21] == (3.0, False) and got[22] == (17.0, True)
+
+
+def test_near_dedup_keeps_one_row_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as P
+
+    rows = [(None, "alone without an id", "en", "s", 19), (5, "twice the same", "en", "s", 14), (5, "twice the same", "en", "s", 14), (None, "twice the same", "en", "s", 14), (7, "one id, two texts", "en", "s", 17), (7, "entirely other words here", "en", "s", 25), (2, "twice the same", "en", "t", 14)]
+    got = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[4], rows[5], rows[6]], key=str)
