@@ -17,9 +17,11 @@ def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null, or no letter)."""
+    """Drops rows without a language (null text, or no letter); the language found becomes ``lang``."""
     learn, _ = learnable(docs)
-    return _kept(docs, langid.identify(docs, langid.sample(learn)).where(F.col("lang_pred") != langid.UNDETERMINED))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = langid.identify(rows, langid.sample(learn), id_col="__row").where(F.col("lang_pred") != langid.UNDETERMINED).select(F.col("doc_id").alias("__row"), "lang_pred")
+    return rows.join(found, "__row").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -364,3 +364,14 @@ def test_near_dedup_keeps_one_row_of_repeated_and_null_ids(spark):
     rows = [(None, "alone without an id", "en", "s", 19), (5, "twice the same", "en", "s", 14), (5, "twice the same", "en", "s", 14), (None, "twice the same", "en", "s", 14), (7, "one id, two texts", "en", "s", 17), (7, "entirely other words here", "en", "s", 25), (2, "twice the same", "en", "t", 14)]
     got = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[4], rows[5], rows[6]], key=str)
+
+
+def test_language_id_stage_sets_the_language_of_each_row(spark):
+    import corpus_pipeline as P
+
+    de, en = "der hund und die katze schlafen nicht auf dem tisch ", "the dog and the cat do not sleep on the table "
+    rows = [(i, (de if i % 2 else en) * 5, "de" if i % 2 else "en") for i in range(20)] + [(50, de, None), (51, en, "de"), (52, en, "en"), (52, "123", "en"), (None, de, None), (None, None, None)]
+    d = spark.createDataFrame([(i, t, l, "s", None) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"], r["lang"]) for r in P.language_id(spark, d, "").collect()]
+    want = [(i, t, "de" if t.startswith("der") else "en") for i, t, _ in rows if t and t != "123"]
+    assert sorted(got, key=str) == sorted(want, key=str)
