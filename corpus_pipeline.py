@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", pack)]
 
-#: Language ID, the model and packing can't be expressed in SQL; tests hold the stages against brute force.
+#: Language ID, the model and packing can't be expressed in SQL; tests hold the operators and single stages' rows against plain code, not the whole.
 ORACLE_SQL = None
 
 
