@@ -7,9 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.issues import ocr_issue
 
 
+def exactly(path: str) -> str:
+    """A pattern that matches this path alone, or the path if it is a pattern: a stream reads folders or patterns, and a
+    table may be one file."""
+    path = path.rstrip("/")
+    if any(c in path for c in "*?[{"):
+        return path
+    k = max(i for i, c in enumerate(path) if c.isalnum())
+    return f"{path[:k]}[{path[k]}]{path[k + 1:]}"
+
+
 def ocr_issues(spark: SparkSession, path: str) -> DataFrame:
     """A streaming frame of the text issues of the Parquet documents at ``path``."""
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.rstrip("/") + "*")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(exactly(path))
     return rows.select("doc_id", ocr_issue(F.col("text")).alias("issue_type")).where("issue_type is not null")
 
 
