@@ -4,34 +4,92 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import attach
 
+#: Most keys that ``spread_join`` broadcasts, and the rows of a key that a task may always hold.
+HEAVY = 10_000
+LIGHT = 256
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: list[str] = []
+_TABLES: list[str] = []
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or, only where that
-    is unset (tests on one machine), under a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("papyra.work.dir", None)
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or, only where that is unset
+    and all run on this machine (tests), under a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("papyra.work.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="papyra-")
         spark.conf.set("papyra.work.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _FOLDERS.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}")
+    return _FOLDERS[-1]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and is computed once."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unwritten(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that ``written`` gave and that nothing reads any more."""
+    for df in frames:
+        path = _PATHS.pop(df, None)
+        if path:
+            _delete(df.sparkSession, path)
+            _FOLDERS.remove(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what the operators of this session have left in the shared folder. For after their results are read:
+    a frame that an operator returned reads these tables."""
+    while _TABLES:
+        spark.sql(f"drop table if exists {_TABLES.pop()}")
+    while _FOLDERS:
+        _delete(spark, _FOLDERS.pop())
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, filler: Column, heavy: int = HEAVY) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per ``key`` and, as ``weight``, the rows that hold it.
+
+    No key's rows meet in one task: keys with more than ``total / heavy`` of all ``total`` rows, of which there are
+    at most ``heavy``, are broadcast, and their rows lie spread by ``filler``, any value of the key's type, in the
+    shuffle join with the others. A row whose key the table lacks gets nulls.
+    """
+    cut = max(LIGHT, total // heavy)
+    cols = [c for c in table.columns if c != key]
+    packed = table.select(F.col(key).alias("__k"), F.struct(*cols).alias("__v"), F.col(weight).alias("__w"))
+    hot = packed.where(F.col("__w") > cut).select(F.col("__k").alias("__h"), F.col("__v").alias("__hot"))
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("__h"), "left").withColumn("__s", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(filler))
+    rest = packed.where(F.col("__w") <= cut).select("__k", "__v")
+    out = found.join(rest, F.col("__s") == F.col("__k"), "left").withColumn("__of", F.coalesce("__hot", "__v"))
+    return out.select(*rows.columns, *[F.col(f"__of.{c}").alias(c) for c in cols])
 
 
 _RESIDENT: dict = {}
@@ -55,6 +113,57 @@ def release() -> None:
         trim(0)
 
 
+class Places:
+    """Distinct non-negative numbers and their places in a list, as a hash table with open addressing, for many at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        size = 1 << self.bits
+        self.keys, self.place, self.probes = np.full(size, -1, np.int64), np.full(size, -1, np.int64), 1
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # in each round the first of those that ask for a free slot takes it
+            free = np.flatnonzero(self.keys[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            took = free[first]
+            self.keys[at[took]], self.place[at[took]] = keys[left[took]], left[took]
+            rest = np.ones(len(left), bool)
+            rest[took] = False
+            left, at = left[rest], (at[rest] + 1) % size
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 of those that are absent."""
+        at = self._slot(keys)
+        got = self.keys[at]
+        miss = np.flatnonzero((got != keys) & (got != -1))
+        for _ in range(self.probes):
+            if not len(miss):
+                break
+            at[miss] = (at[miss] + 1) % len(self.keys)
+            got = self.keys[at[miss]]
+            miss = miss[(got != keys[miss]) & (got != -1)]
+        return np.where(self.keys[at] == keys, self.place[at], -1)
+
+
+def slices(texts: pa.Array, rows: int = 2048, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of the parts of a batch that are worked on together: so many rows or bytes, one row at least."""
+    length = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    at = 0
+    while at < len(length):
+        held = np.cumsum(length[at:at + rows])
+        to = at + max(1, int(np.searchsorted(held, size, "right")))
+        yield at, to
+        at = to
+
+
+def strings(array: pa.Array) -> list[str | None]:
+    """``to_pylist`` of strings, several times as fast."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def rarely_collect() -> None:
     """For tasks that make many small objects and no cycles."""
     gc.set_threshold(50_000, 20, 20)
@@ -70,6 +179,5 @@ def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
     path = shared_dir(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
     df.write.option("path", path).bucketBy(partitions(spark), key).saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"drop table {name}")  # of the catalogue only: the files are external, and the frame holds their layout
-    return out
+    _TABLES.append(name)
+    return spark.table(name)
