@@ -19,9 +19,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import rarely_collect, release, resident, written
+from ._common import Places, rarely_collect, release, resident, slices, strings, written
 
 #: Words in the lexicon: it bounds what is broadcast, and changes speed only, not results.
 LEXICON_WORDS = 100_000
@@ -31,6 +32,7 @@ MIN_COUNT = 5
 WORD_CHARS = 32
 _NEVER = (1 << 60, -1)
 _SPACES = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
+_SIGNS = (".", ",", "!", "?", ":", ";")
 _ALL_SPACES = [chr(c) + " " for c in range(0x110000) if chr(c).isspace()]
 # Fixed: the pre-tokenisation pattern of byte-level BPE files of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -85,18 +87,27 @@ class Vocabulary:
         """The same pattern with plain classes for texts of Latin-1, which is twice as fast."""
         return self.quick if text.isascii() or self.latin(text) else self.pattern.findall
 
-    def chunks(self, text: str | None) -> tuple[list[str], list[str]]:
-        """Pre-tokens of a text's start, and the rest cut at its spaces.
+    def cut_at_spaces(self, text: str | None) -> tuple[list[str], str | None]:
+        """Pre-tokens of a text's start, and what follows its first space, which may be cut at its spaces.
 
         Where no space follows white space, every space begins a pre-token, so what lies between spaces can be
-        counted as one; other texts, and those with special tokens, are cut into pre-tokens as a whole.
+        encoded on its own; other texts, and those with special tokens, are cut into pre-tokens as a whole.
         """
         if not text:
-            return [], []
+            return [], None
         if any(w in text for w in (_SPACES if text.isascii() else _ALL_SPACES)) or any(t in text for t in self.special):
-            return self.split(text), []
-        head, *rest = text.split(" ")
-        return self.find(head)(head), rest
+            return self.split(text), None
+        head, space, rest = text.partition(" ")
+        return self.find(head)(head), rest if space else None
+
+    def words(self, chunk: str) -> list[str]:
+        """Pre-tokens of a space and what follows it up to the next one."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [" " + chunk]
+            if chunk[-1:] in _SIGNS and chunk[:-1].isalpha():
+                return [" " + chunk[:-1], chunk[-1]]
+        return self.find(chunk)(" " + chunk)
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word: the adjacent pair of lowest rank is merged, leftmost first, until none is left.
@@ -151,6 +162,81 @@ class Vocabulary:
         return [self.special[word]] if word in self.special else self.merged(word.encode("utf-8", "surrogatepass"))
 
 
+class Merger:
+    """The same merges for many words at once: in each step every word merges its leftmost pair of lowest rank.
+
+    Words lie as rows of a matrix with links to the next and the previous live place; the merges are looked up in a
+    hash table.
+    """
+
+    SHORT = (8, 16, 32)
+    _DEAD = np.int32(1 << 30)
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.pairs = Places(np.fromiter(v.merge, np.int64, len(v.merge)))
+        # the last entries are those of pairs that don't merge
+        self.rank, self.new = (np.array([*(m[k] for m in v.merge.values()), none], np.int32) for k, none in ((0, self._DEAD), (1, -1)))
+        self.single = np.array(v.single, np.int32)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of pairs; the rank of a pair that doesn't merge is ``_DEAD``."""
+        at = self.pairs.find(a.astype(np.int64) << 32 | b)
+        return self.rank[at], self.new[at]
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word as 32-bit little-endian numbers."""
+        out: list[bytes] = [b""] * len(words)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        least = 1
+        for most in self.SHORT:
+            which = np.flatnonzero((n >= least) & (n <= most))
+            for at in range(0, len(which), 20_000):
+                some = which[at:at + 20_000]
+                flat, count = self._rows([words[k] for k in some.tolist()], n[some], most)
+                raw, cut = flat.tobytes(), [0, *(4 * np.cumsum(count)).tolist()]
+                for k, a, b in zip(some.tolist(), cut, cut[1:]):
+                    out[k] = raw[a:b]
+            least = most + 1
+        for k in np.flatnonzero(n >= least).tolist():
+            out[k] = np.array(self.v.merged(words[k]), "<i4").tobytes()
+        return out
+
+    def _rows(self, words: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        m = len(words)
+        ids = np.full((m, width + 1), -1, np.int32)
+        row = np.repeat(np.arange(m), n)
+        ids[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        rank, new = np.full((m, width), self._DEAD, np.int32), np.zeros((m, width), np.int32)
+        pair = ids[:, 1:] >= 0
+        rank[pair], new[pair] = self._find(ids[:, :-1][pair], ids[:, 1:][pair])
+        after = np.tile(np.arange(1, width + 2, dtype=np.int8), (m, 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int8), (m, 1))
+        live = np.arange(m)
+        while len(live):
+            k = rank[live].argmin(axis=1)
+            go = rank[live, k] < self._DEAD
+            live, k = live[go], k[go]
+            b = after[live, k].astype(np.int64)
+            c = after[live, b].astype(np.int64)
+            ids[live, k] = new[live, k]
+            ids[live, b] = -1
+            after[live, k] = c
+            rank[live, k] = self._DEAD
+            more = b < width
+            rank[live[more], b[more]] = self._DEAD
+            right = np.flatnonzero((c <= width) & (ids[live, np.minimum(c, width)] >= 0))
+            r, kr, cr = live[right], k[right], c[right]
+            before[r, np.minimum(cr, width - 1)] = kr
+            rank[r, kr], new[r, kr] = self._find(ids[r, kr], ids[r, cr])
+            p = before[live, k].astype(np.int64)
+            left = np.flatnonzero(p >= 0)
+            r, kl, pl = live[left], k[left], p[left]
+            rank[r, pl], new[r, pl] = self._find(ids[r, pl], ids[r, kl])
+        keep = ids >= 0
+        return ids[keep].astype("<i4"), keep.sum(axis=1)
+
+
 def build_transducer(entries: dict[bytes, list[int]]) -> bytes:
     """An .npz-like file of plain arrays: arcs sorted by (state, byte), the sums on arcs, final states, ids by rank."""
     words = sorted(w for w in entries if w)
@@ -249,10 +335,11 @@ class Transducer:
 class Codec:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 600_000):
+    def __init__(self, path: str, lexicon: bytes | None = None, most: int = 500_000):
         self.v, self.most = Vocabulary(path), most
+        self.merger = Merger(self.v)
         rarely_collect()
-        self.known: dict[str, bytes] = {}  # pre-tokens
+        self.known: dict[str, bytes] = {}  # what lies between two spaces, without the space before it
         self.lexicon = None
         if lexicon:
             f = tempfile.NamedTemporaryFile(prefix="papyra-lexicon-", delete=False)
@@ -260,41 +347,64 @@ class Codec:
                 f.write(lexicon)
             self.lexicon = Transducer(f.name)
             os.unlink(f.name)  # the map stays as long as the process
-        size = np.array([len(b) for b in self.v.bytes], np.int64)
-        self.text, self.size, self.start = np.frombuffer(b"".join(self.v.bytes), np.uint8), size, np.cumsum(size) - size
+        self.tokens = pa.array(self.v.bytes, pa.large_binary())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as 32-bit little-endian numbers."""
+        """Ids of each text as 32-bit little-endian numbers.
+
+        Texts are cut at their spaces by Arrow, where that is exact; every distinct chunk is encoded once.
+        """
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
-        split = [self.v.split(t) if t else [] for t in texts]
-        words = set().union(*split)
-        self._learn(list(words - known.keys()))
-        own = {w: known[w] for w in words}.__getitem__
-        return [b"".join(map(own, ws)) for ws in split]
-
-    def _learn(self, new: list[str]) -> None:
-        known = self.known
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        heads, rest = zip(*map(self.v.cut_at_spaces, texts)) if texts else ((), ())
+        split = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        chunks = strings(coded.dictionary)
+        new = [c for c in chunks if c not in known]
+        words = [self.v.words(c) for c in new]
+        all_words = list(set(chain.from_iterable(words)) | set(chain.from_iterable(heads)))
+        of = dict(zip(all_words, self._learn(all_words))).__getitem__
+        known.update(zip(new, [b"".join(map(of, w)) for w in words]))
+        own = pa.array(list(map(known.__getitem__, chunks)), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1, own.offset * 8) if len(own) else np.zeros(1, np.int64)
+        raw = memoryview(own.buffers()[2] or b"") if len(own) else memoryview(b"")
+        cut = ends[np.asarray(split.offsets)].tolist()
+        return [b"".join([*map(of, h), raw[a:b]]) for h, a, b in zip(heads, cut, cut[1:])]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out: list[bytes] = [b""] * len(words)
+        todo = range(len(words))
         if self.lexicon:
             rank = self.lexicon.ranks(raw)
             hit = np.flatnonzero(rank >= 0)
-            known.update(zip([new[k] for k in hit.tolist()], self.lexicon.ids(rank[hit])))
-            new = [new[k] for k in np.flatnonzero(rank < 0).tolist()]
-        ids = [self.v.ids(w) for w in new]
-        flat = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
-        at = [0, *(4 * np.cumsum([len(i) for i in ids], dtype=np.int64)).tolist()]
-        known.update(zip(new, [flat[a:b] for a, b in zip(at, at[1:])]))
-    def decode(self, ids: list[bytes]) -> list[str]:
+            for k, i in zip(hit.tolist(), self.lexicon.ids(rank[hit])):
+                out[k] = i
+            todo = np.flatnonzero(rank < 0).tolist()
+        plain = []
+        for k in todo:
+            if words[k] in self.v.special:
+                out[k] = np.array([self.v.special[words[k]]], "<i4").tobytes()
+            else:
+                plain.append(k)
+        for k, i in zip(plain, self.merger.ids([raw[k] for k in plain])):
+            out[k] = i
+        return out
+
+    def decode(self, ids: list[bytes]) -> pa.Array:
         """Text of each id sequence; bytes that are no UTF-8 become U+FFFD."""
         flat = np.frombuffer(b"".join(ids), "<i4")
-        n = self.size[flat]
-        end = np.cumsum(n)
-        at = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - n, n) + np.repeat(self.start[flat], n)
-        raw = self.text[at].tobytes()
-        cut = np.r_[0, end][np.r_[0, np.cumsum([len(i) // 4 for i in ids])]].tolist()
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
+        if not len(flat):
+            return pa.array([""] * len(ids), pa.large_string())
+        taken = self.tokens.take(pa.array(flat))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+        cut = ends[np.r_[0, np.cumsum([len(i) // 4 for i in ids])]]
+        raw = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cut.tobytes()), taken.buffers()[2] or pa.py_buffer(b"")])
+        try:
+            return raw.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
 
 
 def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -306,7 +416,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
         def flush() -> pa.RecordBatch:
             for c, n in spaced.items():
-                for w in v.find(c)(" " + c):
+                for w in v.words(c):
                     count[w] += n
             spaced.clear()
             short = [(w, n) for w, n in count.items() if len(w) <= WORD_CHARS]
@@ -315,10 +425,13 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
             return out
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                head, rest = v.chunks(t)
-                count.update(head)
-                spaced.update(rest)
+            for at, to in slices(b.column(0)):
+                heads, rest = zip(*map(v.cut_at_spaces, strings(b.column(0).slice(at, to - at))))
+                for h in heads:
+                    count.update(h)
+                got = pc.value_counts(pc.split_pattern(pa.array(rest, pa.large_string()), " ").values)
+                for c, n in zip(strings(got.field(0)), got.field(1).to_numpy().tolist()):
+                    spaced[c] += n
                 if len(count) + len(spaced) > 500_000:
                     yield flush()
         yield flush()
@@ -355,13 +468,13 @@ def encode_decode(docs: DataFrame, path: str, compiled: bytes | None = None, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = resident(key, lambda: Codec(path, shared.value))
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = codec.encode(part.column(1).to_pylist())
+            for at, to in slices(b.column(1)):
+                part = b.slice(at, to - at)
+                ids = codec.encode(strings(part.column(1)))
                 text = codec.decode(ids)
                 ends = np.r_[0, np.cumsum([len(i) // 4 for i in ids])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, text.cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, decoded string")
