@@ -1,9 +1,10 @@
 """Sequence packing in bounded space.
 
 Every partition keeps a fixed number of open windows. A piece goes to the fullest window that still takes
-it (best fit); when none does, the fullest window is emitted and a new one is opened. At the end, the open
-windows of many partitions meet in one merging task, whose pieces are cut so that only full sequences, and
-at most one remainder, are left; the remainder is split at powers of two, so it needs no padding either.
+it (best fit); when none does, the fullest window is emitted and a new one is opened. At the end, the pieces
+of the open windows are merged: laid end to end and cut into full sequences, first in their partition, which
+leaves less than a sequence of it, then those of many partitions in one merging task. Its remainder is split
+at powers of two, so it needs no padding either.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import partitions, rarely_collect, resident
+from ._common import partitions, rarely_collect, resident, slices, strings
 
 LENGTH = 2048
 OPEN = 128
-#: Partitions whose open windows one merging task takes.
+#: Partitions whose leftovers, less than a sequence each, one merging task takes.
 MERGE = 16
 END = 1
 _END = np.array([END], "<u4").tobytes()
@@ -74,7 +75,7 @@ class Encoder:
         # lower-casing simple texts first leaves fewer distinct chunks
         split = pc.ascii_split_whitespace(pa.array([x.lower() if x and self.simple(x) else x or "" for x in texts], pa.large_string()))
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = strings(coded.dictionary)
         new = {c for c in words if c not in known}
         whole = {c for c in new if not c.isascii() and not self.simple(c) or "<|" in c}
         for c in whole:
@@ -87,16 +88,14 @@ class Encoder:
         self._learn(list(letters))
         of = known.__getitem__
         known.update(zip(mixed, [b"".join(map(of, p)) for p in pieces]))
-        own = list(map(of, words))
-        # each chunk's ids, copied to its places
+        own = pa.array(list(map(of, words)), pa.large_binary()).take(coded.indices)  # each chunk's ids, copied to its places
         del words
-        size = np.fromiter(map(len, own), np.int32, len(own)) // 4
-        start, which = np.cumsum(size) - size, np.asarray(coded.indices)
-        n = size[which]
-        end = np.cumsum(n)
-        raw = np.frombuffer(b"".join(own), "<u4")[np.arange(n.sum()) + np.repeat(start[which] - end + n, n)].tobytes()
-        cut = (4 * np.r_[0, end][np.asarray(split.offsets)]).tolist()
-        return [raw[a:b] + _END for a, b in zip(cut, cut[1:])]
+        if not len(own):
+            return [_END] * len(texts)
+        ends = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1, own.offset * 8)
+        raw = memoryview(own.buffers()[2] or b"")
+        cut = ends[np.asarray(split.offsets)].tolist()
+        return [b"".join((raw[a:b], _END)) for a, b in zip(cut, cut[1:])]
 
     def _learn(self, new: list[str], size: int = 1000) -> None:
         for at in range(0, len(new), size):
@@ -115,18 +114,6 @@ def encode_all(texts: list[str | None], path: str) -> list[bytes]:
     return resident(("packing", path), lambda: Encoder(path)).encode(texts)
 
 
-def _slices(texts: list[str | None], rows: int = 512, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of the parts that are encoded together: so many texts or characters, one text at least."""
-    at, held = 0, 0
-    for k, t in enumerate(texts):
-        if k > at and (k - at == rows or held + len(t or "") > chars):
-            yield at, k
-            at, held = k, 0
-        held += len(t or "")
-    if at < len(texts):
-        yield at, len(texts)
-
-
 class Windows:
     """Open windows, sorted by their fill."""
 
@@ -154,43 +141,78 @@ class Windows:
         return out
 
 
+class Leftovers:
+    """Pieces ``(doc, start, ids, total, n)`` laid end to end, and cut into sequences."""
+
+    def __init__(self) -> None:
+        self.held: deque = deque()
+        self.tokens = 0
+
+    def add(self, piece: tuple) -> None:
+        self.held.append(piece)
+        self.tokens += piece[-1]
+
+    def fill(self, room: int) -> list[tuple]:
+        """The pieces of the next sequence, of ``room`` tokens."""
+        out, left = [], room
+        while left:
+            doc, start, ids, total, n = self.held.popleft()
+            m = min(n, left)
+            out.append((doc, start, ids[:4 * m], total, m))
+            if m < n:
+                self.held.appendleft((doc, start + m, ids[4 * m:], total, n - m))
+            left -= m
+        self.tokens -= room
+        return out
+
+
+class _Rows:
+    """Finished pieces, and those that are still to be merged, as record batches."""
+
+    def __init__(self, keep_ids: bool):
+        self.keep_ids, self.rows = keep_ids, []
+
+    def sequence(self, pieces: list[tuple], number: int) -> None:
+        at = 0
+        for doc, start, ids, total, n in pieces:
+            self.rows.append((doc, start, n, zlib.crc32(ids), total, number, at, ids if self.keep_ids else None, -1))
+            at += n
+
+    def batch(self) -> pa.RecordBatch:
+        cols = list(zip(*self.rows)) or [()] * 9
+        self.rows.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary()), pa.array(cols[8], pa.int64())], [*_NAMES, "merge"])
+
+
 def _pack(length: int, most: int, path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        space, serial, rows = Windows(length, most), 0, []
-
-        def emit(pieces: list) -> None:
-            nonlocal serial
-            at = 0
-            for doc, start, ids, total, n in pieces:
-                rows.append((doc, start, n, zlib.crc32(ids), total, (part << 32) + serial, at, ids if keep_ids else None, -1))
-                at += n
-            serial += 1
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [()] * 9
-            rows.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary()), pa.array(cols[8], pa.int64())], [*_NAMES, "merge"])
-
+        space, out, serial = Windows(length, most), _Rows(keep_ids), part << 32
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at, to in _slices(texts):
-                for doc, ids in zip(docs[at:to], encode_all(texts[at:to], path)):
+            docs = b.column(0).to_pylist()
+            for at, to in slices(b.column(1), 512, 2_000_000):
+                for doc, ids in zip(docs[at:to], encode_all(strings(b.column(1).slice(at, to - at)), path)):
                     total = len(ids) // 4
                     for start in range(0, total, length):
                         n = min(length, total - start)
                         piece = (doc, start, ids[4 * start:4 * (start + n)], total, n)
-                        if n == length:
-                            emit([piece])
-                            continue
-                        if done := space.place(piece):
-                            emit(done)
-                if len(rows) > 2000:
-                    yield flush()
-        for window in space.held.values():  # for the merging task, with their ids
-            rows.extend((doc, start, n, 0, total, part, 0, ids, part) for doc, start, ids, total, n in window)
-        yield flush()
+                        done = [piece] if n == length else space.place(piece)
+                        if done:
+                            out.sequence(done, serial)
+                            serial += 1
+                if len(out.rows) > 2000:
+                    yield out.batch()
+        # the windows still open are merged here, and less than one sequence goes to the merging task, with its ids
+        rest = Leftovers()
+        for window in space.held.values():
+            for piece in window:
+                rest.add(piece)
+            while rest.tokens >= length:
+                out.sequence(rest.fill(length), serial)
+                serial += 1
+        out.rows.extend((doc, start, n, 0, total, part, 0, ids, part) for doc, start, ids, total, n in rest.held)
+        yield out.batch()
 
     return run
 
@@ -198,44 +220,27 @@ def _pack(length: int, most: int, path: str, keep_ids: bool):
 def _merge(length: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*_NAMES]
-        base, serial, tokens, rows = None, 0, 0, []
-        held: deque = deque()  # pieces of less than a sequence in all, between batches
-
-        def fill(room: int) -> None:
-            """The next sequence, of ``room`` tokens, from the pieces held."""
-            nonlocal serial, tokens
-            at = 0
-            while at < room:
-                doc, start, total, n, ids = held.popleft()
-                m = min(n, room - at)
-                own = ids[:4 * m]
-                rows.append((doc, start, m, zlib.crc32(own), total, base + serial, at, own if keep_ids else None))
-                if m < n:
-                    held.appendleft((doc, start + m, total, n - m, ids[4 * m:]))
-                at += m
-            serial, tokens = serial + 1, tokens - room
+        number, rest, out = None, Leftovers(), _Rows(keep_ids)
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows))
-            rows.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names)
+            return out.batch().select(names)
 
         for b in batches:
             final = pc.less(b.column("merge"), 0)
-            yield pa.RecordBatch.from_arrays([b.filter(final).column(n) for n in names], names)
-            rest = b.filter(pc.invert(final))
-            for merge, *piece in zip(*(rest.column(n).to_pylist() for n in ("merge", "doc_id", "start", "doc_tokens", "length", "ids"))):
-                if base is None:
-                    base = (1 << 62) + (merge << 32)  # a number no other task uses: a partition's windows go to one merging task
-                held.append(piece)
-                tokens += piece[3]
-                while tokens >= length:
-                    fill(length)
-                if len(rows) > 2000:
+            yield b.filter(final).select(names)
+            for merge, *piece in zip(*(b.filter(pc.invert(final)).column(n).to_pylist() for n in ("merge", "doc_id", "start", "ids", "doc_tokens", "length"))):
+                if number is None:
+                    number = (1 << 62) + (merge << 32)  # one that no other task uses: a partition's pieces go to one merging task
+                rest.add(tuple(piece))
+                while rest.tokens >= length:
+                    out.sequence(rest.fill(length), number)
+                    number += 1
+                if len(out.rows) > 2000:
                     yield flush()
-        while tokens:
-            fill(_room(tokens, length))
-        if rows:
+        while rest.tokens:
+            out.sequence(rest.fill(_room(rest.tokens, length)), number)
+            number += 1
+        if out.rows:
             yield flush()
 
     return run
@@ -253,13 +258,13 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_windows: int = O
 
     Every id of every document, and the end id after it, lies in exactly one piece. Null and empty texts
     give the end id alone. Repeated rows are packed as often as they occur. An empty table gives no rows.
-    Sequences shorter than ``length`` are full, or have a power of two of tokens, or (emitted when nothing
-    fitted) are to be padded. Other columns are ignored.
+    Sequences shorter than ``length`` have a power of two of tokens, or (emitted when nothing fitted) are to be
+    padded. Null ids are packed like others, but can't be told apart. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     first = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _pack(length, open_windows, path, keep_ids), f"{_SCHEMA}, merge long")
-    # finished pieces stay spread; the open windows of MERGE partitions meet
+    # finished pieces stay spread; the leftovers of MERGE partitions meet
     dealt = first.withColumn("to", F.when(F.col("merge") < 0, F.col("sequence_id")).otherwise(F.floor(F.col("merge") / MERGE) - F.lit(1 << 40)))
     # in a fixed order, so that a task that is run again cuts the same sequences, and holds one at a time
     return dealt.repartition(partitions(spark), "to").drop("to").sortWithinPartitions("merge", "doc_id", "start", "ids").mapInArrow(_merge(length, keep_ids), _SCHEMA)
