@@ -19,9 +19,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def learnable(docs: DataFrame) -> tuple[DataFrame, F.Column]:
-    """The rows that language ID may learn from, and the condition of the held-out ones."""
+    """The rows that language ID may learn from, and the condition of the held-out ones. A row without an id is neither
+    learned from nor held out."""
     held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2
-    return docs.where(~held_out), held_out
+    return docs.where(~held_out), F.coalesce(held_out, F.lit(False))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
