@@ -9,14 +9,15 @@ distinct keys, and the perplexity of every text is summed there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import bucketed, partitions, release, written
+from ._common import bucketed, partitions, release, strings, written
 
 ORDER = 4
 BITS = 16
@@ -24,6 +25,8 @@ BITS = 16
 BLOCK_CHARS = 4_000_000
 #: Trusted rows up to this many are broadcast as bare ids; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Languages' thresholds up to this many are broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 #: A text is dropped if its perplexity is above this quantile of its language's held-out trusted texts.
 QUANTILE = 0.995
 #: One trusted text in so many is kept out of the counts and sets the quantiles.
@@ -49,8 +52,12 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep].view(np.int64), n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, lang, trusted, to blocks: payload, distinct keys, trusted counts."""
+def _blocks(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows to blocks: payload, distinct keys, trusted counts."""
+    return lambda batches: _to_blocks(batches, text_col)
+
+
+def _to_blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     release()
@@ -63,10 +70,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal block, held, chars
         t = pa.Table.from_batches(held).combine_chunks()
-        texts = [x or "" for x in t.column("text").to_pylist()]
+        texts = [x or "" for x in strings(t.column(text_col))]
         key, n = keys_of(texts)
         del texts
-        train = np.array([x == 1 for x in t.column("trusted").to_pylist()], bool)
+        train = np.asarray(t.column("__trusted")) == 1
         got, count = np.unique(key[np.repeat(train, n)], return_counts=True)
         key.sort()
         distinct = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
@@ -86,7 +93,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             held.append(part)
-            chars += part.column("text").nbytes
+            chars += part.column(text_col).nbytes
             if chars >= BLOCK_CHARS:
                 yield flush()
     if held:
@@ -126,15 +133,20 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks with their logs to rows: what was kept of them, and the perplexity."""
+    return lambda batches: _to_rows(batches, text_col)
+
+
+def _to_rows(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     release()
     open_ = zstandard.ZstdDecompressor()
     for b in batches:
         for payload, logs in zip(b.column("payload"), b.column("logs")):
-            t = pa.ipc.open_stream(open_.decompress(payload.as_py())).read_all()
-            key, n = keys_of([x or "" for x in t.column("text").to_pylist()])
+            t = pa.ipc.open_stream(open_.decompress(payload.as_py())).read_all().combine_chunks()
+            key, n = keys_of([x or "" for x in strings(t.column(text_col))])
             total = np.zeros(len(n))
             if len(key):
                 log = np.frombuffer(logs.as_py(), "<f4")[np.searchsorted(np.unique(key), key)]
@@ -143,8 +155,9 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[full] = np.add.reduceat(log, (np.cumsum(n) - n)[full], dtype=np.float64)
             with np.errstate(invalid="ignore", divide="ignore"):
                 ppl = np.exp2(-total / n)
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("lang").combine_chunks(), t.column("trusted").combine_chunks(),
-                                              pa.array(ppl, pa.float64(), mask=n == 0)], ["doc_id", "lang", "trusted", "perplexity"])
+            t = t.append_column("perplexity", pa.array(ppl, pa.float64(), mask=n == 0))
+            for out in t.drop_columns(["__text"] if text_col == "__text" else []).to_batches(max_chunksize=1000):
+                yield out
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -169,7 +182,9 @@ def probabilities(counts: DataFrame) -> DataFrame:
         d1, d2, d3 = discounts(table)
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         context = F.shiftrightunsigned("key", BITS) if order > 1 else F.lit(0).cast("long")
-        sums = table.groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), F.sum(cut).alias("freed"))
+        # whole numbers are added up, and multiplied by the discounts once: no sum depends on the order of its parts
+        some = [F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 2)]
+        sums = table.groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), (some[0] * F.lit(d1) + some[1] * F.lit(d2) + some[2] * F.lit(d3)).alias("freed"))
         suffix = F.col("key").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
         levels.append((ask, table.select("key", (F.col("c") - cut).alias("rest")), sums, context, suffix))
         if order > 1:
@@ -187,40 +202,73 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return p
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang, trusted, perplexity`` per document. ``trusted(doc_id)``: rows whose text is trusted.
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, lang, trusted, perplexity`` per document, or, instead of the first three, the columns to ``carry`` and
+    ``__lang, __trusted``. ``trusted(doc_id)``: rows whose text is trusted.
 
     trusted: 1 counted, 2 held out, 0 not trusted. Null and empty texts have null perplexity.
     """
-    ids = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn(
-        "trusted", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0, 2).otherwise(1))
+    ids = trusted.select(F.col(id_col).cast("long").alias("__id")).where("__id is not null").distinct().withColumn(
+        "__trusted", F.when(F.pmod(F.xxhash64("__id"), F.lit(HOLD_OUT)) == 0, 2).otherwise(1))
     ids = written(ids, "trusted")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(
-        ids, "doc_id", "left").select("doc_id", "text", "lang", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    blocks = bucketed(rows.mapInArrow(_blocks, "block long, payload binary, keys binary, counts binary"), "blocks", "block")
+    keep = [F.col(id_col).cast("long").alias("doc_id")] if carry is None else [F.col(c) for c in carry]
+    own = text_col if carry and text_col in carry and dict(docs.dtypes)[text_col] == "string" else "__text"
+    text = [] if own == text_col else [F.col(text_col).cast("string").alias("__text")]
+    # rows without an id are spread in a shuffle
+    number = F.col(id_col).cast("long")
+    key = F.struct(number.isNull().alias("none"), F.coalesce(number, F.monotonically_increasing_id()).alias("id"))
+    rows = docs.select(*keep, *text, F.col(lang_col).cast("string").alias("__lang"), key.alias("__key"))
+    rows = rows.join(ids.select(F.struct(F.lit(False).alias("none"), F.col("__id").alias("id")).alias("__key"), "__trusted"), "__key", "left").drop("__key").withColumn(
+        "__trusted", F.coalesce("__trusted", F.lit(0)))
+    blocks = bucketed(rows.mapInArrow(_blocks(own), "block long, payload binary, keys binary, counts binary"), "blocks", "block")
     each = blocks.select("block", "keys", "counts").mapInArrow(_expand, "block long, key long, n long")
     p = probabilities(written(each.groupBy("key").agg(F.sum("n").alias("n")), "counts"))
     back = each.select("block", "key").join(p.hint("merge"), "key").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "key").select("block", "key", "p")
     logs = back.mapInArrow(_gather, "block long, logs binary").hint("merge")  # the blocks lie in buckets: only the logs move
-    return blocks.select("block", "payload").join(logs, "block", "left").select("payload", "logs").mapInArrow(
-        _sum, "doc_id long, lang string, trusted int, perplexity double")
+    out = StructType([*rows.drop("__text").schema.fields, StructField("perplexity", DoubleType())])
+    scored = blocks.select("block", "payload").join(logs, "block", "left").select("payload", "logs").mapInArrow(_sums(own), out)
+    return scored if carry is not None else scored.withColumnsRenamed({"__lang": "lang", "__trusted": "trusted"})
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: ``doc_id, lang, perplexity, threshold, kept``.
+def quantiles(values: DataFrame, quantile: float) -> DataFrame:
+    """``key, value`` to ``key, n, bound``: the least value that is not below the share ``quantile`` of a key's ``n`` values.
 
-    The threshold is the quantile of the language's held-out trusted texts; a language (null is one) with fewer
-    than ``LEAST_HELD`` of them takes the larger of its own and that of all, one without any that of all. Without any, nothing is dropped but what has no text: null and empty texts
-    are never kept. Repeated rows each give a row; an empty table none. Extra columns are ignored.
+    Exact: distinct values are counted, dealt out in ranges, and only the range that holds the rank is looked into.
+    """
+    spark = values.sparkSession
+    counted = values.groupBy("key", "value").agg(F.count("*").alias("n"))
+    dealt = written(counted.repartitionByRange(partitions(spark), "key", "value").withColumn("part", F.spark_partition_id()), "ranks")
+    of_key = Window.partitionBy("key")
+    parts = dealt.groupBy("key", "part").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(of_key.orderBy("part"))).withColumn("total", F.sum("n").over(of_key))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("total") * quantile))
+    hit = parts.withColumn("rank", rank).where((F.col("upto") - F.col("n") < F.col("rank")) & (F.col("upto") >= F.col("rank"))).select("key", "part", (F.col("upto") - F.col("n")).alias("before"), "rank", "total")
+    inside = dealt.join(hit, ["key", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("key", "part").orderBy("value")))
+    return inside.where("upto >= rank").groupBy("key").agg(F.max("total").alias("n"), F.min("value").alias("bound"))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """One row per document: ``doc_id, lang`` (or the columns to ``carry``)``, perplexity, threshold, kept``.
+
+    The threshold is the exact quantile of the language's held-out trusted texts; a language (null is one) with fewer
+    than ``LEAST_HELD`` of them takes the larger of its own and that of all, one without any that of all. A text at the
+    threshold is kept. Without any trusted text, nothing is dropped but what has no text: null and empty texts
+    are never kept. Repeated rows each give a row; an empty table none; a null id is never trusted. Extra columns
+    are ignored. The result does not depend on how the rows are dealt out.
     """
-    scored = written(perplexities(docs, trusted, id_col, text_col, lang_col), "ppl")
-    held = scored.where("trusted = 2 and perplexity is not null")
-    own = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("held"))
-    every = held.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("every")).first()[0]
-    out = scored.alias("s").join(own.alias("o"), F.expr("s.lang <=> o.lang"), "left")
-    overall = F.lit(every).cast("double")
-    bound = F.when(F.col("held") >= LEAST_HELD, F.col("own")).otherwise(F.greatest("own", overall))  # greatest skips nulls
-    return out.select("doc_id", F.col("s.lang").alias("lang"), "perplexity", bound.alias("threshold"),
-                      (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= bound, F.lit(True))).alias("kept"))
+    scored = written(perplexities(docs, trusted, id_col, text_col, lang_col, carry), "ppl")
+    lang, told = (F.col("lang"), F.col("trusted")) if carry is None else (F.col("__lang"), F.col("__trusted"))
+    held = scored.where((told == 2) & F.col("perplexity").isNotNull())
+    key = F.explode(F.array(F.struct(F.lit(True).alias("every"), F.lit("").alias("lang"), F.lit(False).alias("none")),
+                            F.struct(F.lit(False).alias("every"), F.coalesce(lang, F.lit("")).alias("lang"), lang.isNull().alias("none"))))
+    bounds = written(quantiles(held.select(key.alias("key"), F.col("perplexity").alias("value")), quantile), "bounds")
+    every = bounds.where("key.every").select("bound").first()
+    own = bounds.where("not key.every").select(F.when(F.col("key.none"), None).otherwise(F.col("key.lang")).alias("__l"), F.col("n").alias("__held"), F.col("bound").alias("__own"))
+    if own.count() <= BROADCAST_LANGUAGES:
+        own = F.broadcast(own)
+    out = scored.join(own, lang.eqNullSafe(F.col("__l")), "left")
+    overall = F.lit(every[0] if every else None).cast("double")
+    bound = F.when(F.col("__held") >= LEAST_HELD, F.col("__own")).otherwise(F.greatest("__own", overall))  # greatest skips nulls
+    return out.withColumn("threshold", bound).withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop(
+        "trusted" if carry is None else "__trusted", "__lang", "__l", "__held", "__own")
