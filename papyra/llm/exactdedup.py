@@ -2,8 +2,9 @@
 
 A Structured Streaming query keys its state by the digest of the normalised text; the state lies in RocksDB
 on disk, never expires, and keeps for each digest the identifier that stays, the number of rows, and a locator
-(file and row) of that row's content. Texts of rows whose digest was hit are then compared byte by byte; a
-digest that stands for different texts is taken apart by the texts themselves. DataFrame functions only.
+(file and row) of that row's content. Texts of rows whose digest was hit are then compared byte by byte with the
+text at the locator; a digest that stands for different texts is taken apart by the texts themselves. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ._common import shared_dir, written
+from ..streaming.intake import exactly
+from ._common import shared_dir, spread_join, written
 
 #: Micro-batches that an available input is read in.
 BATCHES = 4
-#: Digests with more than one row, up to this many (32 bytes each), are broadcast; more are joined by a shuffle.
+#: Digests with more than one row, up to this many (32 bytes each), are broadcast; more are joined by a shuffle,
+#: in which no digest's rows meet.
 BROADCAST_DIGESTS = 250_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CONF = {
@@ -40,13 +43,17 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _locator() -> Column:
+    """The file and the row in it."""
+    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+
+
 def keyed_state(spark: SparkSession, path: str, schema: StructType, id_col: str = "doc_id", text_col: str = "text",
                 digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> DataFrame:
     """Streams the Parquet table at ``path``; the final state ``digest, keep_id, group_size, locator``."""
     files = len(spark.read.schema(schema).parquet(path).inputFiles())
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, math.ceil(files / batches))).parquet(path.rstrip("/") + "*")
-    where = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-    state = rows.select(F.col(id_col).cast("long").alias("doc_id"), digest(normalised(F.col(text_col))).alias("digest"), where.alias("locator")).groupBy("digest").agg(
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, math.ceil(files / batches))).parquet(exactly(path))
+    state = rows.select(F.col(id_col).cast("long").alias("doc_id"), digest(normalised(F.col(text_col))).alias("digest"), _locator().alias("locator")).groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("locator", "doc_id").alias("locator"))
     out, log = shared_dir(spark, "state"), shared_dir(spark, "statelog")
     before = {k: spark.conf.get(k, None) for k in _CONF}
@@ -70,27 +77,38 @@ def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", tex
     """One row per row of the Parquet table at ``path``: ``doc_id, keep_id, group_size, kept, text_sha256, locator``.
 
     Null texts are empty texts. Of equal texts the largest id stays; if that id has several such rows, all of
-    them are marked kept, as they are the same row. Null ids come last. An empty table gives no rows; columns
-    other than the id and the text are ignored.
+    them are marked kept, as they are the same row. A null id stays only if its text has no other id. An empty
+    table gives no rows; columns other than the id and the text are ignored, whatever their names. ``locator``: the
+    file and row of the content that stays; null where texts of one digest had to be told apart. Only the
+    given path is read, no other table beside it.
     """
     table = spark.read.parquet(path)
     if table.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, locator string")
     state = written(keyed_state(spark, path, table.schema, id_col, text_col, digest, batches), "final")
-    hits = state.where("group_size > 1").select("digest")
-    docs = table.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    docs = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    side = F.broadcast(hits) if hits.count() <= BROADCAST_DIGESTS else hits
-    # least and greatest text of a digest, combined in each task before the shuffle: equal only if all bytes are
-    full = docs.join(side, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
-    mixed = written(full.where("least <> most").select("digest"), "mixed")
+    total = state.agg(F.sum("group_size")).first()[0]
+    hits = state.where("group_size > 1")
+    docs = table.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"), _locator().alias("place"))
+    docs = docs.withColumn("digest", digest(F.col("text")))
+    spread = F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()).cast("string").cast("binary")
+    if hits.count() <= BROADCAST_DIGESTS:
+        hit = docs.join(F.broadcast(hits.select("digest", "locator")), "digest")
+    else:
+        hit = spread_join(docs, hits.select("digest", "locator", "group_size"), "digest", "group_size", total, spread).where("group_size is not null")
+    # the text at the locator, and the least and the greatest of the digest, combined in each task before the shuffle: all bytes are equal only if these are
+    at = F.when(F.col("place") == F.col("locator"), F.col("text"))
+    full = hit.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.max(at).alias("located"))
+    mixed = written(full.where("not (least <=> located and most <=> located)").select("digest"), "mixed")
     rows = docs.select("doc_id", "digest", (F.lower(F.hex("digest")) if digest is sha256 else F.sha2("text", 256)).alias("text_sha256"), "text")
-    of = state.select("digest", "keep_id", "group_size", "locator")
     if mixed.isEmpty():
-        out = rows.drop("text").join(of, "digest")
+        out = rows.drop("text")
+        apart = None
     else:
         apart = rows.join(mixed, "digest", "left_semi")
         own = apart.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         apart = apart.join(own, ["digest", "text"]).select("doc_id", "digest", "text_sha256", "keep_id", "group_size", F.lit(None).cast("string").alias("locator"))
-        out = rows.drop("text").join(mixed, "digest", "left_anti").join(of, "digest").select(*apart.columns).unionByName(apart)
+        out = rows.drop("text").join(mixed, "digest", "left_anti")
+    out = spread_join(out, state, "digest", "group_size", total, spread)
+    if apart is not None:
+        out = out.select(*apart.columns).unionByName(apart)
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", "locator")
