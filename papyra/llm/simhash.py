@@ -15,14 +15,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import partitions, written
-from .components import components
+from ._common import partitions, spread_join, strings, written
+from .components import least_reached
 
 WORDS = 4
 RADIUS = 4
 #: Rows of a bucket that one task compares; larger buckets are dealt out as pairs of chunks.
 CHUNK = 16384
+#: Numbers of dropped rows up to this many are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,14 +54,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, fp as a signed long with the fingerprint's bits."""
+    """``(doc_id, fp)``, fp as a signed long with the fingerprint's bits. The id may be of any type; numbers are longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, words) for t in strings(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.schema[id_col].dataType if id_col in docs.columns else None
+    asked = docs.select((F.col(id_col) if isinstance(own, StructType) else F.col(id_col).cast("long")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return asked.mapInArrow(run, StructType([asked.schema["doc_id"], StructField("fp", LongType())]))
 
 
 def block_bounds(blocks: int) -> list[tuple[int, int]]:
@@ -180,7 +185,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, chu
     """``nodes(fp, rep)``, one row per distinct fingerprint, to edges ``(a, b)`` that connect every two
     nodes within ``radius`` bits, directly or through others within it."""
     spark = nodes.sparkSession
-    blocks = blocks or blocks_for(nodes.count(), radius)
+    n_nodes = nodes.count()
+    blocks = blocks or blocks_for(n_nodes, radius)
     bounds = block_bounds(blocks)
     keys = []
     for n, some in enumerate(combinations(range(blocks), blocks - radius)):
@@ -190,16 +196,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, chu
             part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
             value = part if value is None else F.shiftleft(value, width).bitwiseOR(part)
         keys.append(F.struct(F.lit(n).alias("band"), value.alias("value")))
-    placed = nodes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "k.band", "k.value")
-    large = placed.groupBy("band", "value").count().where(F.col("count") > chunk).select(
-        "band", "value", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
+    placed = nodes.select("fp", "rep", F.explode(F.array(*keys)).alias("bucket"))
+    large = placed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > chunk).withColumn("parts", F.ceil(F.col("size") / chunk).cast("int"))
     large = written(large, "large")
     if large.isEmpty():
-        dealt = placed.select("fp", "rep", "band", "value", F.lit(0).alias("ca"), F.lit(0).alias("cb"))
+        dealt = placed.select("fp", "rep", "bucket.band", "bucket.value", F.lit(0).alias("ca"), F.lit(0).alias("cb"))
     else:  # a large bucket is compared chunk by chunk, every pair of chunks in some task
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        dealt = placed.join(large, ["band", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own).select(
-            "fp", "rep", "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        split = spread_join(placed, large, "bucket", "size", len(keys) * n_nodes, F.struct(F.lit(-1).alias("band"), F.col("fp").alias("value")))
+        dealt = split.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own).select(
+            "fp", "rep", "bucket.band", "bucket.value", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
             "fp", "rep", "band", "value", F.least("own", "other").alias("ca"), F.greatest("own", "other").alias("cb"))
     order = ["band", "value", "ca", "cb"]
 
@@ -236,11 +242,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     """One row per document: ``doc_id, fingerprint`` (16 hex digits), ``component_id``.
 
     Null, empty and word-less texts have fingerprint zero and are linked like any other. Texts with fewer
-    words than a shingle are one shingle. Repeated ids each keep their row; the component is by fingerprint.
-    An empty table gives no rows. Columns other than the id and the text are ignored, whatever their names.
+    words than a shingle are one shingle. Repeated ids each keep their row; the component is that of the row's own
+    fingerprint. Null ids keep their row and link others; they are the smallest id of no group, and a group of null
+    ids alone has a null component. An empty table gives no rows. Columns other than the id and the text are
+    ignored, whatever their names.
     """
     fps = written(fingerprints(docs, words, id_col, text_col), "fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fpnodes")
-    group = components(links(nodes, radius, blocks, chunk))
-    of = nodes.join(group, nodes.rep == group.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a number for each fingerprint, as ids may repeat or be null; the table fixes it
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()), "fpnodes")
+    least = least_reached(nodes.select(F.col("rep").alias("node"), "first"), links(nodes.select("fp", "rep"), radius, blocks, chunk))
+    of = nodes.join(least, nodes.rep == least.node).select("fp", "size", F.col("least").alias("component_id"))
+    out = spread_join(fps, of, "fp", "size", fps.count(), F.coalesce("doc_id", F.monotonically_increasing_id()))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group that links connect, the row of the smallest id stays; of
+    repeated ids any one, a null id only if there is no other. Rows are told apart as rows, not by their ids."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    fps = written(fingerprints(rows.withColumn("__order", order), words, "__order", text_col).select(F.col("doc_id").alias("order"), F.col("doc_id.row").alias("__row"), "fp"), "fps")
+    nodes = written(fps.groupBy("fp").agg(F.min("order").alias("first"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()), "fpnodes")
+    least = least_reached(nodes.select(F.col("rep").alias("node"), "first"), links(nodes.select("fp", "rep"), radius, blocks, chunk))
+    of = nodes.join(least, nodes.rep == least.node).select("fp", "size", F.col("least.row").alias("stays"))
+    dropped = written(spread_join(fps.select("__row", "fp"), of, "fp", "size", fps.count(), F.col("__row")).where("__row <> stays").select("__row"), "dropped")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return rows.join(dropped, "__row", "left_anti").drop("__row")
