@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import partitions, written
-from .components import components
+from ._common import partitions, spread_join, written
+from .components import least_reached
 
 THRESHOLD = 0.9
 #: Own vectors of a cell that one task holds; a larger cell is dealt out in so many parts.
@@ -207,11 +207,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
     for r in copies.groupBy("dim").count().orderBy("dim").collect():  # a row for each length of vectors
         n, e = _join_dim(copies.where(F.col("dim") == r["dim"]).select("rep", "v", "weight"), r["dim"], r["count"], threshold, cell)
         links, edges = links.unionByName(n), edges.unionByName(e)
-    group = components(edges)
-    least = group.join(copies.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
-    group = group.join(least, "component").select("node", "least")
-    of = copies.select("dim", "v", "rep", "first").join(links, "rep").join(group, F.col("rep") == F.col("node"), "left").select(
-        "dim", "v", "n_links", F.coalesce("least", "first").alias("component_id"))
-    found = good.join(of, ["dim", "v"]).select("vec_id", "n_links", "component_id")
+    least = least_reached(copies.select(F.col("rep").alias("node"), "first"), edges)
+    of = copies.select("v", "rep", "weight").join(links, "rep").join(least, F.col("rep") == F.col("node")).select("v", "n_links", F.col("least").alias("component_id"), "weight")
+    found = spread_join(good.select("vec_id", "v"), of, "v", "weight", good.count(), F.array(F.col("vec_id").cast("double"))).select("vec_id", "n_links", "component_id")
     alone = _rows(vectors, id_col, vec_col).where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.expr("vec_id <=> component_id"))
