@@ -56,7 +56,7 @@ def parse_default(text: str) -> list[tuple[str, str]]:
 class Rendered:
     text: str
     spans: list[tuple[int, int]] = field(default_factory=list)  # each turn's
-    bodies: list[tuple[int, int]] = field(default_factory=list)  # each turn's text within its span, as it was written
+    bodies: list[tuple[int, int] | None] = field(default_factory=list)  # each turn's text within its span, as it was written; None: not found
     rewrites: bool = False
 
 
@@ -91,14 +91,19 @@ def render(turns: list[tuple[str, str]], template: Template = default_template)
         out.spans.append((at, len(now)))
         body = now[at + left:len(now) - right] if left + right <= len(now) - at else None
         fits = body is not None and now[at:at + left] == a[:left] and (not right or now[-right:] == a[-right:])
-        out.bodies.append((at + left, len(now) - right) if fits else (at, at))
+        out.bodies.append((at + left, len(now) - right) if fits else None)
         out.text = now
     return out
 
 
-def format_conversations(rows: DataFrame, template: Template = default_template, undo: Callable[[str], str] = unescape) -> DataFrame:
+def format_conversations(rows: DataFrame, template: Template = default_template) -> DataFrame:
     """One row per conversation: ``conv_id, n_turns, formatted, spans`` (array of turn, role, start, end, body_start,
-    body_end), ``rewrites_history``. ``rows``: conv_id, turn, role, text.
+    body_end, found), ``rewrites_history``. ``rows``: conv_id, turn, role, text.
+
+    ``found`` is false, and the body's bounds are null, for a turn whose text the template writes in a way that two
+    probes don't show (so that it depends on the text where it stands): its text is not in the loss mask.
+    A conversation is rendered three times a turn, each time up to it: the work grows with the square of its turns,
+    as it must for a template that is only known by its outputs. One conversation is held in one task.
 
     Null texts are empty, null roles the empty role. Turns are in order of turn (nulls first); ties by role,
     then text; repeated rows are turns of their own. A null conv_id is a conversation. An empty table gives
@@ -108,8 +113,8 @@ def format_conversations(rows: DataFrame, template: Template = default_template,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(done: list) -> pa.RecordBatch:
             out = [(c, len(t), render(t, template), t) for c, t in done]
-            spans = [[{"turn": k, "role": t[k][0], "start": s[0], "end": s[1], "body_start": b[0], "body_end": b[1]} for k, (s, b) in enumerate(zip(r.spans, r.bodies))] for _, _, r, t in out]
-            kind = pa.list_(pa.struct([("turn", pa.int32()), ("role", pa.string()), *((n, pa.int64()) for n in ("start", "end", "body_start", "body_end"))]))
+            spans = [[{"turn": k, "role": t[k][0], "start": s[0], "end": s[1], "body_start": b and b[0], "body_end": b and b[1], "found": b is not None} for k, (s, b) in enumerate(zip(r.spans, r.bodies))] for _, _, r, t in out]
+            kind = pa.list_(pa.struct([("turn", pa.int32()), ("role", pa.string()), *((n, pa.int64()) for n in ("start", "end", "body_start", "body_end")), ("found", pa.bool_())]))
             return pa.RecordBatch.from_arrays([pa.array([c for c, *_ in out], pa.int64()), pa.array([n for _, n, *_ in out], pa.int64()), pa.array([r.text for *_, r, _ in out], pa.string()),
                                                pa.array(spans, kind), pa.array([r.rewrites for *_, r, _ in out], pa.bool_())], ["conv_id", "n_turns", "formatted", "spans", "rewrites_history"])
 
@@ -128,7 +133,7 @@ def format_conversations(rows: DataFrame, template: Template = default_template,
     dealt = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     dealt = dealt.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(
-        run, "conv_id long, n_turns long, formatted string, spans array<struct<turn:int,role:string,start:long,end:long,body_start:long,body_end:long>>, rewrites_history boolean")
+        run, "conv_id long, n_turns long, formatted string, spans array<struct<turn:int,role:string,start:long,end:long,body_start:long,body_end:long,found:boolean>>, rewrites_history boolean")
 
 
 def digests(formatted: DataFrame, parse: Callable[[str], list[tuple[str, str]]] = parse_default, undo: Callable[[str], str] = unescape, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -141,7 +146,7 @@ def digests(formatted: DataFrame, parse: Callable[[str], list[tuple[str, str]]]
             out = []
             for conv, text, spans in zip(*(c.to_pylist() for c in b.columns)):
                 turns = parse(text)
-                loss = "".join(undo(text[s["body_start"]:s["body_end"]]) for s in spans if s["role"] in roles)
+                loss = "".join(undo(text[s["body_start"]:s["body_end"]]) for s in spans if s["found"] and s["role"] in roles)
                 out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
             cols = list(zip(*out)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
