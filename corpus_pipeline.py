@@ -12,45 +12,49 @@ from papyra.llm.queries import learnable, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.expr("doc_id <=> __id"), "left_semi").select(*COLUMNS)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows without a language (null text, or no letter); the language found becomes ``lang``."""
+    """Drops rows without a language: null, empty and letterless texts. The language found becomes ``lang``.
+
+    Each row is decided on its own: repeated rows, repeated and null ids all keep their own text's outcome, ties go to
+    the language that sorts first. An empty table gives none; columns beyond those of documents are dropped. Where
+    nothing can be learned (no labelled row), nothing has a language.
+    """
     learn, _ = learnable(docs)
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = langid.identify(rows, langid.sample(learn), id_col="__row").where(F.col("lang_pred") != langid.UNDETERMINED).select(F.col("doc_id").alias("__row"), "lang_pred")
-    return rows.join(found, "__row").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = langid.identify(docs, langid.sample(learn), carry=COLUMNS).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts whose perplexity is above their language's threshold."""
+    """Drops texts whose perplexity is above the threshold of their language, as the stage before found it.
+
+    Rows are decided as rows: one of two rows of an id may stay. A text at the threshold stays; null and empty texts
+    go; without trusted texts all others stay. An empty table gives none; further columns are dropped.
+    """
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return _kept(docs, quality.classify(docs, trusted).where("kept"))
+    return quality.classify(docs, trusted, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops boilerplate lines; every document stays."""
+    """Drops boilerplate lines; every row stays, also if nothing is left of it. ``n_chars`` counts what is left, null for a
+    null text. Null sources are a host; repeated rows are pages of their own; further columns are dropped."""
     return linededup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, the one of the smallest id, of each group of near copies; of repeated ids any one, a null id last."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    group = simhash.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    first = group.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("k"))
-    return rows.join(first.select(F.col("k.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
+    """Keeps one row, the one of the smallest id, of each group of near copies; of repeated ids any one, a null id last.
+    Null and empty texts are copies of each other. An empty table gives none; further columns are dropped."""
+    return simhash.representatives(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the remaining texts into sequences."""
+    """Packs the remaining texts into sequences. Null and empty texts are their end id alone; repeated rows are packed as
+    often as they occur; an empty table gives no piece."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False).drop("ids")
 
 
 STAGES = [("language_id", language_id), ("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", pack)]
 
-#: Language ID, the model and packing can't be expressed in SQL; tests hold the operators and single stages' rows against plain code, not the whole.
+#: Language ID, the model and packing can't be expressed in SQL; tests hold the stages against plain code.
 ORACLE_SQL = None
 
 
