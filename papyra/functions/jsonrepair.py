@@ -8,11 +8,8 @@ import re
 from pyspark.sql import Column, functions as F
 
 FENCE = r"```(?:json)?([^`]*)```"
-# Braces up to depth three, as a pattern that nests itself.
-_LEVEL = r"\{[^{}]*\}"
-for _ in range(2):
-    _LEVEL = r"\{(?:[^{}]|" + _LEVEL + r")*\}"
-BRACES = _LEVEL
+# Fixed value: braces up to depth three.
+BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 
 
 def parsed(c: Column) -> Column:

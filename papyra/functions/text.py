@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Stop words of the language test.
-GERMAN = "der die das den dem des ein eine einen einem einer eines und oder aber als am an auf aus bei bis durch für gegen in mit nach seit über um unter von vor zu zur zum ich du er sie es wir ihr ist sind war waren hat haben hatte hatten wird werden wurde wurden kann können muss müssen soll sollen will wollen nicht kein keine sehr auch noch nur schon immer mehr".split()
-ENGLISH = "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up out if about who get which go me when make can like time no just him know take people into year your good some could them see other than then now look only come its over think also".split()
+GERMAN = [
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "und", "oder", "aber",
+    "als", "am", "an", "auf", "aus", "bei", "bis", "durch", "für", "gegen", "in", "mit", "nach", "seit", "über", "um",
+    "unter", "von", "vor", "zu", "zur", "zum", "ich", "du", "er", "sie", "es", "wir", "ihr", "ist", "sind", "war",
+    "waren", "hat", "haben", "hatte", "hatten", "wird", "werden", "wurde", "wurden", "kann", "können", "muss", "müssen",
+    "soll", "sollen", "will", "wollen", "nicht", "kein", "keine", "sehr", "auch", "noch", "nur", "schon", "immer",
+    "mehr"]
+ENGLISH = [
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as", "you",
+    "do", "at", "this", "but", "his", "by", "from", "they", "we", "say", "her", "she", "or", "an", "will", "my", "one",
+    "all", "would", "there", "their", "what", "so", "up", "out", "if", "about", "who", "get", "which", "go", "me",
+    "when", "make", "can", "like", "time", "no", "just", "him", "know", "take", "people", "into", "year", "your",
+    "good", "some", "could", "them", "see", "other", "than", "then", "now", "look", "only", "come", "its", "over",
+    "think", "also"]
 # Defect patterns and their names.
 DEFECTS = {
     "Übermäßig lange Zahlenfolgen": r"(^|[^\p{L}\p{N}_])[0-9]{10,}($|[^\p{L}\p{N}_])",
@@ -14,6 +28,9 @@ DEFECTS = {
     "Wiederholte Zeichen": r"([\p{L}\p{N}_])\1{4,}",
     "Lange Großbuchstabenfolgen": r"[A-Z]{20,}",
 }
+# Endings and function words that make a word look German.
+GERMAN_ENDINGS = ["ung", "heit", "keit", "schaft", "tum", "nis", "sal", "ling", "reich", "los", "bar", "haft", "sam", "lich", "isch", "ig", "ern", "eln"]
+GERMAN_SIGNS = ["der", "die", "das", "und", "oder", "aber", "für", "mit", "von", "bei", "nach", "aus", "auf", "über"]
 GIBBERISH = "[^aeiouäöü]{5,}|[aeiouäöü]{4,}"
 
 
@@ -34,13 +51,29 @@ def share(text: Column, pattern: str) -> Column:
     return ratio(F.regexp_count(text, F.lit(pattern)), F.length(text))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def metrics(text: Column) -> dict[str, Column]:
-    """Raw metrics of a text (not stripped, not rounded)."""
-    w = words(F.lower(text))
-    letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    odd = F.size(F.filter(w, lambda x: x.rlike(GIBBERISH)))
-    return {"chars": F.length(text), "n_words": F.size(w), "mean_word": ratio(letters, F.size(w)), "special_ratio": share(text, r"[^\p{L}\p{N}\s]"),
-            "upper_ratio": share(text, r"\p{Lu}"), "digit_ratio": share(text, r"\p{Nd}"), "gibberish_ratio": ratio(odd, F.size(w))}
+    """Raw metrics of a text (not stripped, not rounded), from counts that are taken once."""
+    c = counts(text)
+    n, w = c["chars"], c["n_words"]
+    return {"chars": n, "n_words": w, "mean_word": ratio(c["letters"], w), "special_ratio": ratio(c["special"], n),
+            "upper_ratio": ratio(c["upper"], n), "digit_ratio": ratio(c["digit"], n), "gibberish_ratio": ratio(c["odd"], w)}
+
+
+def counts(text: Column) -> Column:
+    """A struct of the counts that the metrics are made of; the words are split once."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    of_words = once(words(F.lower(text)), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("letters"), F.size(F.filter(w, lambda x: x.rlike(GIBBERISH))).alias("odd")))
+    return once(of_words, lambda w: F.struct(F.length(text).alias("chars"), w["n"].alias("n_words"), w["letters"].alias("letters"), w["odd"].alias("odd"),
+                                             count(r"[^\p{L}\p{N}\s]").alias("special"), count(r"\p{Lu}").alias("upper"), count(r"\p{Nd}").alias("digit")))
+
+
+def gibberish_ratio(text: Column) -> Column:
+    return once(words(F.lower(text)), lambda w: ratio(F.size(F.filter(w, lambda x: x.rlike(GIBBERISH))), F.size(w)))
 
 
 def defects(text: Column) -> Column:
@@ -49,12 +82,21 @@ def defects(text: Column) -> Column:
 
 def language(text: Column) -> tuple[Column, Column]:
     """Name and confidence from the share of distinct words that are stop words."""
+    found = language_struct(text)
+    return found["name"], found["confidence"]
+
+
+def language_struct(text: Column) -> Column:
+    """``name, confidence`` as one struct, the words split once."""
     w = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[a-zäöüß]+$")))
-    share_of = lambda stop: ratio(F.size(F.array_intersect(w, F.array(*map(F.lit, stop)))), F.size(w))
-    de, en = share_of(GERMAN), share_of(ENGLISH)
-    german, english = (de > en) & (de > 0.05), (en > de) & (en > 0.05)
-    name = F.when(german, "german").when(english, "english").otherwise("unknown")
-    return name, F.when(german, F.least(de * 5, F.lit(1.0))).when(english, F.least(en * 5, F.lit(1.0))).otherwise(F.lit(0.0))
+    held = lambda w, stop: ratio(F.size(F.array_intersect(w, F.array(*map(F.lit, stop)))), F.size(w))
+
+    def named(s: Column) -> Column:
+        german, english = (s["de"] > s["en"]) & (s["de"] > 0.05), (s["en"] > s["de"]) & (s["en"] > 0.05)
+        return F.struct(F.when(german, "german").when(english, "english").otherwise("unknown").alias("name"),
+                        F.when(german, F.least(s["de"] * 5, F.lit(1.0))).when(english, F.least(s["en"] * 5, F.lit(1.0))).otherwise(F.lit(0.0)).alias("confidence"))
+
+    return once(once(w, lambda w: F.struct(held(w, GERMAN).alias("de"), held(w, ENGLISH).alias("en"))), named)
 
 
 def truncated(text: Column, most: int, head: float = 0.70, tail: float = 0.25, marker: str = "\n\n[...]\n\n") -> Column:
@@ -64,3 +106,9 @@ def truncated(text: Column, most: int, head: float = 0.70, tail: float = 0.25, m
 
 def masked(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)(token |bearer |api_key=|password=)\S+", "$1[MASKED]")
+
+
+def likely_german(text: Column) -> Column:
+    """An umlaut, an ending at the end of the text, or a function word."""
+    low = F.lower(text)
+    return low.rlike("[äöüß]") | low.rlike("(" + "|".join(GERMAN_ENDINGS) + ")$") | F.arrays_overlap(words(low), F.array(*map(F.lit, GERMAN_SIGNS)))

@@ -15,7 +15,7 @@ SEVERITY = {"ocr_missing": "critical", "ocr_failed": "high", "ocr_low_quality":
 
 def ocr_issue(text: Column, least: int = 50, gibberish: float = 0.3) -> Column:
     """The first of the three text rules that holds."""
-    return F.when(T.missing(text), "ocr_missing").when(F.length(F.trim(text, F.lit(" \n\t\r"))) < least, "ocr_failed").when(T.metrics(text)["gibberish_ratio"] > gibberish, "ocr_low_quality")
+    return F.when(T.missing(text), "ocr_missing").when(F.length(F.trim(text, F.lit(" \n\t\r"))) < least, "ocr_failed").when(T.gibberish_ratio(text) > gibberish, "ocr_low_quality")
 
 
 def issue_types(least_tags: int = 3, note_chars: int = 128) -> Column:

@@ -14,22 +14,28 @@ PLACEHOLDER = r"^(untitled|document\d*$|scan\d*$|img_?\d*$|[0-9]+$)"
 RECIPIENTS: list[str] = []
 
 
+def _held(d: DataFrame) -> DataFrame:
+    """A row's values as they are, for the optimizer not to compute them again in each place where they are used."""
+    return d.select(F.explode(F.array(F.struct(*d.columns))).alias("r")).select("r.*")
+
+
 def ocr(docs: DataFrame, least: int = 50, confident: float = 0.7) -> DataFrame:
     """``document_id, text, confidence`` to validity, errors (without their figures), language and score."""
-    d = docs.withColumn("t", F.trim("text", F.lit(" \n\t\r"))).withColumn("t", F.coalesce("t", F.lit("")))
-    m = T.metrics(F.col("t"))
-    name, sure = T.language(F.col("t"))
-    d = d.select("document_id", "confidence", "t", T.missing(F.col("text")).alias("none"), name.alias("language"), sure.alias("language_confidence"), F.size(T.defects(F.col("t"))).alias("defects"), m["n_words"].alias("n_words"),
-                 F.bround(m["mean_word"], 2).alias("mean_word"), *[F.bround(m[k], 3).alias(k) for k in ("special_ratio", "upper_ratio", "digit_ratio")])
+    d = docs.withColumn("t", F.coalesce(F.trim("text", F.lit(" \n\t\r")), F.lit("")))
+    # counts and language are structs that are computed once; what is made of them is cheap
+    d = d.select("document_id", "confidence", T.missing(F.col("text")).alias("none"), T.language_struct(F.col("t")).alias("l"), F.size(T.defects(F.col("t"))).alias("defects"), T.counts(F.col("t")).alias("c"))
+    share = lambda k, of="c.chars", places=3: F.bround(T.ratio(F.col(f"c.{k}"), F.col(of)), places)
+    d = _held(d).select("document_id", "confidence", "none", "defects", F.col("l.name").alias("language"), F.col("l.confidence").alias("language_confidence"), F.col("c.chars").alias("chars"), F.col("c.n_words").alias("n_words"),
+                        share("letters", "c.n_words", 2).alias("mean_word"), share("special").alias("special_ratio"), share("upper").alias("upper_ratio"), share("digit").alias("digit_ratio"))
     errors = F.when(F.col("none"), F.array(F.lit("Kein OCR-Text vorhanden"))).otherwise(F.array_compact(F.array(
-        F.when(F.length("t") < least, "OCR-Text zu kurz"), F.when(F.col("confidence") < confident, "OCR-Konfidenz zu niedrig"), F.when(F.col("defects") > 0, "Mögliche OCR-Fehler erkannt"),
+        F.when(F.col("chars") < least, "OCR-Text zu kurz"), F.when(F.col("confidence") < confident, "OCR-Konfidenz zu niedrig"), F.when(F.col("defects") > 0, "Mögliche OCR-Fehler erkannt"),
         F.when(F.col("language") == "unknown", "Sprache konnte nicht erkannt werden"), F.when((F.col("language") == "english") & (F.col("language_confidence") > 0.7), "Text ist möglicherweise nicht auf Deutsch"))))
     d = d.withColumn("errors", errors)
     off = lambda c, by: F.when(c, F.lit(by)).otherwise(F.lit(0.0))
     score = F.lit(1.0) - F.size("errors") * 0.15 - off(F.col("special_ratio") > 0.2, 0.1) - off(F.col("upper_ratio") > 0.5, 0.1) - off(F.col("digit_ratio") > 0.3, 0.1) - off((F.col("mean_word") < 3) | (F.col("mean_word") > 15), 0.1)
     score = score - off(F.col("n_words") < 10, 0.2) + off(F.coalesce(F.col("confidence") > 0.9, F.lit(False)), 0.1) + off(F.col("language") == "german", 0.1)
     d = d.withColumn("score", F.when(F.col("none"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))))
-    return d.select("document_id", ((F.size("errors") == 0) | (F.col("score") >= 0.5) & (F.length("t") >= least)).alias("is_valid"), "errors", "language", "score")
+    return d.select("document_id", ((F.size("errors") == 0) | (F.col("score") >= 0.5) & (F.col("chars") >= least)).alias("is_valid"), "errors", "language", "score")
 
 
 def ocr_summary(results: DataFrame) -> DataFrame:
