@@ -25,6 +25,30 @@ def quick_range(option: str, ref: dt.date) -> tuple[dt.date, dt.date]:
     return out[option]
 
 
+def quarter_range(year: int, quarter: int) -> tuple[dt.date, dt.date]:
+    """First and last day of a quarter."""
+    if quarter not in (1, 2, 3, 4):
+        raise ValueError("a quarter is 1 to 4")
+    first = dt.date(year, 3 * quarter - 2, 1)
+    return first, month_start(first, 3) - dt.timedelta(days=1)
+
+
+def formats(ts: Column) -> dict[str, Column]:
+    """The texts of a date: month, German, ISO, and as mail servers search for it."""
+    return {"month": F.date_format(ts, "yyyy-MM"), "german": F.date_format(ts, "dd.MM.yyyy"), "iso": F.date_format(ts, "yyyy-MM-dd"), "imap": F.date_format(ts, "dd-MMM-yyyy")}
+
+
+def parsed_iso(text: Column) -> Column:
+    """An ISO 8601 date or time, ``Z`` included; null for any other text."""
+    ok = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
+    return F.when(ok, F.try_to_timestamp(text))
+
+
+def seconds_between(first: Column, last: Column) -> Column:
+    """Whole and part seconds, null while the end is open."""
+    return (F.unix_micros(last) - F.unix_micros(first)) / F.lit(1e6)
+
+
 def between_months(first: str, last: str) -> tuple[dt.date, dt.date]:
     a, b = (dt.datetime.strptime(x, "%Y-%m").date() for x in (first, last))
     if a > b:
@@ -46,6 +70,7 @@ def months(first: Column, last: Column) -> Column:
 def date_in_name(name: Column) -> Column:
     """The first of five patterns whose first match has a month and a day in range; not every such date exists."""
     got = []
+    # The patterns and the order of year, month and day in them.
     for pattern, order in ((r"(\d{4})-(\d{2})-(\d{2})", (1, 2, 3)), (r"(\d{4})_(\d{2})_(\d{2})", (1, 2, 3)), (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)), (r"(\d{2})\.(\d{2})\.(\d{4})", (3, 2, 1)), (r"(\d{2})-(\d{2})-(\d{4})", (3, 2, 1))):
         y, m, d = (F.regexp_extract(name, pattern, k) for k in order)
         n = lambda x: x.try_cast("int")
