@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lcs(a: str, b: str) -> int:
@@ -64,7 +65,7 @@ def wratio(a: str, b: str) -> float:
 
 
 def _pairwise(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.similarity import indel, lcs_sql, like_length, plural_pair, weighted_ratio
 
-# Pairs that look alike but differ, and theme words.
-FALSE_PAIRS = [("steuer", "steuern")]
-
 
 def lookup(names: DataFrame, dim: DataFrame) -> DataFrame:
     """``name`` to ``id`` by lower(trim(name)) = lower(stored name), the smallest id if several match, null if none."""

@@ -7,14 +7,16 @@ import email.policy
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SIZE_LIMIT = 50 * 1024 * 1024
 EXTENSIONS = [".pdf", ".png", ".jpg", ".jpeg", ".tiff"]
 
 
-def filtered(docs: DataFrame, since: str | None = None, until: str | None = None, correspondent: str | None = None, any_tag: list[str] | None = None, has_ocr: bool | None = None) -> DataFrame:
-    """The conjunction of the conditions that are given; dates compare as dates, an empty tag list is no condition."""
+def filtered(docs: DataFrame, since: str | None = None, until: str | None = None, correspondent: str | None = None, any_tag: list[str] | None = None, has_ocr: bool | None = None,
+             document_type: str | None = None, order: str | None = None) -> DataFrame:
+    """The conjunction of the conditions that are given; dates compare as dates, an empty tag list is no condition. In the
+    order of a column, descending after ``-``, ties by id."""
     out = docs
     if since:
         out = out.where(F.to_date("created") >= F.lit(since).cast("date"))
@@ -26,10 +28,59 @@ def filtered(docs: DataFrame, since: str | None = None, until: str | None = None
         out = out.where(F.arrays_overlap("tags", F.array(*map(F.lit, any_tag))))
     if has_ocr is not None:
         out = out.where((F.coalesce(F.length("text"), F.lit(0)) > 0) == has_ocr)
+    if document_type:
+        out = out.where(F.col("document_type") == document_type)
+    if order:
+        out = out.orderBy(F.desc(order[1:]) if order.startswith("-") else F.asc(order), "document_id")
     return out
 
 
+def by_id(table: DataFrame, ids: list[int], id_col: str = "id") -> DataFrame:
+    """The rows of some ids: a filter that reaches the scan."""
+    return table.where(F.col(id_col).isin(ids))
+
+
+def first_names(dim: DataFrame, page: int = 100) -> DataFrame:
+    """A dimension's first page of names."""
+    return dim.select("name").orderBy("name").limit(page)
+
+
+def staged(spark: SparkSession, path: str) -> DataFrame:
+    """``path, month, filename`` of ``<month>/*.pdf`` under a staging folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{path.rstrip('/')}/*/")
+    return found.select("path", F.element_at(F.split("path", "/"), -2).alias("month"), F.element_at(F.split("path", "/"), -1).alias("filename"))
+
+
+def allowed(name: Column, extensions: list[str] = EXTENSIONS) -> Column:
+    return F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1)).isin(extensions)
+
+
+def messages(mails: DataFrame, now: str) -> DataFrame:
+    """``uid, content`` (MIME bytes) to a row per mail: subject, sender, date (``now`` if there is none that can be read), plain body."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            rows = []
+            for uid, raw in zip(d["uid"], d["content"]):
+                m = email.message_from_bytes(bytes(raw), policy=email.policy.default)
+                body = m.get_body(("plain", "html"))
+                try:
+                    sent = m["date"].datetime.isoformat()
+                except (AttributeError, ValueError, TypeError):
+                    sent = None
+                try:
+                    text = body.get_content() if body else ""
+                except (LookupError, ValueError):
+                    text = (body.get_payload(decode=True) or b"").decode("utf-8", "replace")
+                rows.append((uid, str(m["subject"] or ""), str(m["from"] or ""), sent, text))
+            yield pd.DataFrame(rows, columns=["uid", "subject", "sender", "sent", "body"])
+
+    d = mails.select("uid", "content").mapInPandas(run, "uid string, subject string, sender string, sent string, body string")
+    return d.withColumn("sent", F.coalesce(F.try_to_timestamp("sent"), F.lit(now).cast("timestamp")))
+
+
 def searched(docs: DataFrame, query: str) -> DataFrame:
+    """Rows whose text holds the query, case aside."""
     return docs.where(F.lower("text").contains(query.lower()))
 
 

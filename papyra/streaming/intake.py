@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.issues import ocr_issue
@@ -31,3 +33,22 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
 def once_each(mails: DataFrame, overlap: str = "1 day") -> DataFrame:
     """Mails that an overlapping fetch reads twice pass once."""
     return mails.withWatermark("sent", overlap).dropDuplicatesWithinWatermark(["account", "uid"])
+
+
+def poll(stream: DataFrame, out: str, checkpoint: str, seconds: int = 300, most: int | None = None) -> int:
+    """Fetches every ``seconds`` (60 to 3600), ``most`` times or until it is stopped: each round reads what has come since
+    the last one. Returns the rounds that were run."""
+    if not 60 <= seconds <= 3600:
+        raise ValueError("the interval is 60 to 3600 seconds")
+    rounds = 0
+    while most is None or rounds < most:
+        if rounds:
+            time.sleep(seconds)
+        run_available(stream, out, checkpoint)
+        rounds += 1
+    return rounds
+
+
+def totals(stream: DataFrame, key: str = "account") -> DataFrame:
+    """A stream's running totals by key."""
+    return stream.groupBy(key).agg(F.count("*").alias("processed"), F.sum("attachments").alias("attachments"))
