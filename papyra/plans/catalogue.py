@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import attach
+from .. import attach, work_folder
 from ..functions import dates, files, jsonrepair, text as T
 from ..operators import duplicates, entities, issues, stats, validate
 from ..sources import sinks, tables
@@ -51,6 +51,16 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
         F.array("lang", "source").alias("tags"), F.when(F.col("doc_id") % 7 != 0, "2024-01-15").alias("created"), "text", F.left("text", F.lit(140)).alias("note"))
 
 
+def whole_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the whole first line as title, the whole text as note, and dates over three months."""
+    t = read(spark, d, "documents")
+    if len(t.inputFiles()) < spark.sparkContext.defaultParallelism:  # a file of one row group would be one task's
+        t = t.repartition(spark.sparkContext.defaultParallelism)
+    return t.select(
+        F.col("doc_id").alias("document_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("correspondent"), F.col("lang").alias("document_type"), F.array("lang", "source").alias("tags"),
+        F.when(F.col("doc_id") % 7 != 0, F.date_format(F.date_add(F.lit(dt.date(2023, 12, 1)), (F.col("doc_id") % 90).cast("int")), "yyyy-MM-dd")).alias("created"), "text", F.col("text").alias("note"))
+
+
 def tags(spark: SparkSession, d: str) -> DataFrame:
     """The tag dimension: 64 names at any scale."""
     t = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("document_count"), F.min("p_partkey").alias("pos"))
@@ -64,6 +74,8 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
 
 _DOCS = """docs as (select doc_id as document_id, left(string_split(text, chr(10))[1], 60) as title, source as correspondent, lang as document_type, [lang, source] as tags,
   case when doc_id % 7 <> 0 then '2024-01-15' end as created, text, left(text, 140) as note from documents)"""
+_WHOLE = """docs as (select doc_id as document_id, string_split(text, chr(10))[1] as title, source as correspondent, lang as document_type, [lang, source] as tags,
+  case when doc_id % 7 <> 0 then strftime(date '2023-12-01' + (doc_id % 90)::int, '%Y-%m-%d') end as created, text, text as note from documents)"""
 _WORDS = r"list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')"
 _GIB = rf"(len(list_filter({_WORDS}, lambda x: regexp_matches(x, '{T.GIBBERISH}'))) / len({_WORDS}))"
 _OCR = rf"case when text is null or text = '' then 'ocr_missing' when length(trim(text, E' \n\t\r')) < 50 then 'ocr_failed' when {_GIB} > 0.3 then 'ocr_low_quality' end"
@@ -72,19 +84,20 @@ _ISSUES = rf"""list_filter([{_OCR}, case when correspondent is null or correspon
   case when len(tags) < 3 then 'missing_tags' end, case when created is null then 'invalid_date' end, case when {_MANY} > 2 then 'metadata_incomplete' end,
   case when title <> '' and not regexp_matches(title, '^\d{{4}}-\d{{2}}-\d{{2}}_') then 'filename_mismatch' end, case when length(note) > 128 then 'description_too_long' end], lambda x: x is not null)"""
 _SEV = "case issue_type " + " ".join(f"when '{k}' then '{v}'" for k, v in issues.SEVERITY.items()) + " end"
-_FOUND = f"with {_DOCS}, found as (select document_id, issue_type, {_SEV} as severity from (select document_id, unnest({_ISSUES}) as issue_type from docs))"
+_FOUND = f"with {_WHOLE}, found as (select document_id, issue_type, {_SEV} as severity from (select document_id, unnest({_ISSUES}) as issue_type from docs))"
 _SPECIAL, _UPPER, _DIGIT = (rf"(len(regexp_extract_all(text, '{p}')) / length(text))" for p in (r"[^\p{L}\p{N}\s]", r"\p{Lu}", r"\p{Nd}"))
 
 
-@query(f"with {_DOCS} select issue_type, {_SEV} as severity, count(*) as n from (select {_OCR} as issue_type from docs) where issue_type is not null group by all")
+@query(f"with {_WHOLE} select issue_type, {_SEV} as severity, count(*) as n from (select {_OCR} as issue_type from docs) where issue_type is not null group by all")
 def q01_ocr_issue_counts(spark, d):
-    found = docs(spark, d).select(issues.ocr_issue(F.col("text")).alias("issue_type")).where("issue_type is not null").groupBy("issue_type").agg(F.count("*").alias("n"))
+    found = whole_docs(spark, d).select(issues.ocr_issue(F.col("text")).alias("issue_type")).where("issue_type is not null").groupBy("issue_type").agg(F.count("*").alias("n"))
     return found.select("issue_type", F.element_at(F.create_map(*[F.lit(x) for kv in issues.SEVERITY.items() for x in kv]), F.col("issue_type")).alias("severity"), "n")
 
 
 @query(rf"select doc_id, length(text)::int as chars, len({_WORDS})::int as n_words, list_sum(list_transform({_WORDS}, lambda x: length(x)))::double / len({_WORDS}) as mean_word, {_SPECIAL} as special_ratio, {_UPPER} as upper_ratio, {_DIGIT} as digit_ratio, {_GIB} as gibberish_ratio from documents")
 def q02_text_metrics(spark, d):
-    return read(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.metrics(F.col("text")).items()])
+    m = T.metrics(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in m.items()])
 
 
 @query(rf"select doc_id, round_even({_SPECIAL}, 3) as special_ratio, round_even({_UPPER}, 3) as upper_ratio, round_even({_DIGIT}, 3) as digit_ratio from (select doc_id, trim(text, E' \n\t\r') as text from documents)")
@@ -115,7 +128,7 @@ def q05_language(spark, d):
 
 
 def ocr_results(spark, d):
-    return validate.ocr(docs(spark, d).withColumn("confidence", (F.col("document_id") % 100).cast("double") / 100))
+    return validate.ocr(whole_docs(spark, d).withColumn("confidence", (F.col("document_id") % 100).cast("double") / 100))
 
 
 _OCRV = rf"""with base as (select doc_id as document_id, (doc_id % 100)::double / 100 as conf, trim(coalesce(text, ''), E' \n\t\r') as text, text is null or text = '' as none from documents), {_LANG},
@@ -170,9 +183,9 @@ def q13_month_series(spark, d):
     return spark.range(1).select(F.explode(dates.months(F.lit(dt.date(2023, 11, 5)), F.lit(dt.date(2024, 3, 31)))).alias("month"))
 
 
-@query(f"with {_DOCS} select correspondent, document_type, count(*) as documents, count(*) filter (length(text) > 0) as with_ocr from docs group by grouping sets ((correspondent), (document_type), ())")
+@query(f"with {_WHOLE} select correspondent, document_type, count(*) as documents, count(*) filter (length(text) > 0) as with_ocr from docs group by grouping sets ((correspondent), (document_type), ())")
 def q14_corpus_stats(spark, d):
-    return stats.corpus(docs(spark, d))
+    return stats.corpus(whole_docs(spark, d))
 
 
 @query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders group by 1")
@@ -185,9 +198,9 @@ def q16_top_tags(spark, d):
     return read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10)
 
 
-@query(f"with {_DOCS} select document_id from docs where created >= '2024-01-01' and (list_contains(tags, 'de') or list_contains(tags, 'src3'))")
+@query(f"with {_WHOLE} select document_id from docs where created >= '2024-01-01' and (list_contains(tags, 'de') or list_contains(tags, 'src3'))")
 def q17_any_tag_filter(spark, d):
-    return tables.filtered(docs(spark, d), since="2024-01-01", any_tag=["de", "src3"]).select("document_id")
+    return tables.filtered(whole_docs(spark, d), since="2024-01-01", any_tag=["de", "src3"]).select("document_id")
 
 
 @query("select c_custkey, min(n_nationkey) as id from customer left join nation on lower(trim(case when c_custkey % 3 = 0 then '  ' || c_mktsegment else (select n_name from nation x where x.n_nationkey = c_nationkey) end)) = lower(n_name) group by 1")
@@ -209,42 +222,42 @@ def q20_left_enrich(spark, d):
     return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-_FLAGS = f"""with {_DOCS}, flags as (select document_id, title is null or title = '' or starts_with(title, 'scan_') as bad_title, correspondent is null or correspondent = '' as no_correspondent, document_type is null or document_type = '' as no_type,
+_FLAGS = f"""with {_WHOLE}, flags as (select document_id, title is null or title = '' or starts_with(title, 'scan_') as bad_title, correspondent is null or correspondent = '' as no_correspondent, document_type is null or document_type = '' as no_type,
  len(tags) < 1 as no_tags, len(tags) > 6 as many_tags, coalesce(length(text), 0) < 50 as short_text, created is null as no_date from docs)"""
 
 
 @query(_FLAGS + " select * from flags")
 def q21_workflow3_flags(spark, d):
-    return issues.scan_flags(docs(spark, d))
+    return issues.scan_flags(whole_docs(spark, d))
 
 
 @query(_FLAGS + ", t as (select count(*) as documents, sum(bad_title::int + no_correspondent::int + no_type::int + no_tags::int + many_tags::int + short_text::int + no_date::int)::bigint as issues from flags), s as (select *, greatest(0.0::double, 100.0::double - issues / documents * 100) as score from t) select documents, issues, score, case when score >= 90 then 'good' when score >= 70 then 'fair' else 'poor' end as band from s")
 def q22_quality_score(spark, d):
-    return issues.scan_score(issues.scan_flags(docs(spark, d)))
+    return issues.scan_score(issues.scan_flags(whole_docs(spark, d)))
 
 
 @query(_FOUND + " select issue_type, severity, count(*) as issues, count(distinct document_id) as documents from found group by all")
 def q23_quality_report(spark, d):
-    return issues.report(issues.issues(docs(spark, d)))
+    return issues.report(issues.issues(whole_docs(spark, d)))
 
 
 @query(_FOUND + " select document_id, count(*) as issues from found group by 1 order by issues desc, document_id limit 10")
 def q24_top_documents(spark, d):
-    return issues.top_documents(issues.issues(docs(spark, d)))
+    return issues.top_documents(issues.issues(whole_docs(spark, d)))
 
 
 @query(_FOUND + " select issue_type, count(*) as issues from found where issue_type in ('ocr_missing', 'ocr_failed', 'missing_correspondent', 'potential_duplicate', 'missing_tags') group by 1 having count(*) > case issue_type when 'missing_correspondent' then 5 when 'missing_tags' then 10 else 0 end")
 def q25_recommendations(spark, d):
-    return issues.recommendations(issues.issues(docs(spark, d)))
+    return issues.recommendations(issues.issues(whole_docs(spark, d)))
 
 
-@query(f"with {_DOCS}, f as (select document_id, title, {_ISSUES} as found from docs) select document_id, title, array_to_string(found, ', ') as issues from f where len(found) > 0")
+@query(f"with {_WHOLE}, f as (select document_id, title, {_ISSUES} as found from docs) select document_id, title, array_to_string(found, ', ') as issues from f where len(found) > 0")
 def q26_issue_export(spark, d):
-    return issues.export(docs(spark, d))
+    return issues.export(whole_docs(spark, d))
 
 
 _TYPES = ", ".join(f"'{t}'" for t in validate.DOCUMENT_TYPES)
-_META = rf"""with {_DOCS}, m as (select document_id, list_filter([case when title is null or title = '' then 'Titel fehlt' end, case when title <> '' and length(title) < 3 then 'Titel zu kurz' end, case when length(title) > 255 then 'Titel zu lang' end,
+_META = rf"""with {_WHOLE}, m as (select document_id, list_filter([case when title is null or title = '' then 'Titel fehlt' end, case when title <> '' and length(title) < 3 then 'Titel zu kurz' end, case when length(title) > 255 then 'Titel zu lang' end,
  case when regexp_matches(lower(title), '{validate.PLACEHOLDER}') then 'Titel scheint ein Platzhalter zu sein' end, case when correspondent is null or correspondent = '' then 'Korrespondent fehlt' end, case when regexp_matches(correspondent, '[<>{{}}\[\]\\]') then 'Ungültige Zeichen im Korrespondenten' end,
  case when correspondent <> '' and length(correspondent) < 2 then 'Korrespondent zu kurz' end, case when document_type is null or document_type = '' then 'Dokumenttyp fehlt' when document_type not in ({_TYPES}) then 'Unbekannter Dokumenttyp' end,
  case when len(tags) < 3 then 'Zu wenige Tags' end, case when len(list_filter(tags, lambda t: length(t) < 2 or length(t) > 50 or regexp_matches(t, '^[0-9]+$'))) > 0 then 'Ungültige Tags gefunden' end, case when len(list_distinct(list_transform(tags, lambda t: lower(t)))) <> len(tags) then 'Doppelte Tags gefunden' end,
@@ -253,17 +266,17 @@ _META = rf"""with {_DOCS}, m as (select document_id, list_filter([case when titl
 
 @query(_META + " select document_id, array_to_string(errors, '; ') as errors, len(errors) = 0 as is_valid from m")
 def q27_metadata_validate(spark, d):
-    return validate.metadata(docs(spark, d)).select("document_id", F.array_join("errors", "; ").alias("errors"), "is_valid")
+    return validate.metadata(whole_docs(spark, d)).select("document_id", F.array_join("errors", "; ").alias("errors"), "is_valid")
 
 
 @query(_META + " select e as error, count(*) as n from (select unnest(errors) as e from m) group by 1")
 def q28_metadata_summary(spark, d):
-    return validate.error_histogram(validate.metadata(docs(spark, d)))
+    return validate.error_histogram(validate.metadata(whole_docs(spark, d)))
 
 
-@query(f"with {_DOCS} select title, correspondent, document_type, count(*) as n, min(document_id) as first_id from docs group by 1, 2, 3 having count(*) > 1")
+@query(f"with {_WHOLE} select title, correspondent, document_type, count(*) as n, min(document_id) as first_id from docs group by 1, 2, 3 having count(*) > 1")
 def q29_exact_duplicates(spark, d):
-    return docs(spark, d).groupBy("title", "correspondent", "document_type").agg(F.count("*").alias("n"), F.min("document_id").alias("first_id")).where("n > 1")
+    return whole_docs(spark, d).groupBy("title", "correspondent", "document_type").agg(F.count("*").alias("n"), F.min("document_id").alias("first_id")).where("n > 1")
 
 
 @query()
@@ -360,7 +373,16 @@ def q44_request_rate(spark, d):
 _NAME = "regexp_replace(url, '^.*/', '')"
 
 
-@query()
+def _transliterated(c: str) -> str:
+    for a, b in files.UMLAUTS.items():
+        c = f"replace({c}, '{a}', '{b}')"
+    return f"strip_accents({c})"
+
+
+_STEM = rf"trim(regexp_replace(regexp_replace(regexp_replace({_transliterated('url')}, '[^A-Za-z0-9_. -]', '', 'g'), '\s+', '_', 'g'), '_+', '_', 'g'), '_-')"
+
+
+@query(f"select page_id, case when {_STEM} = '' then 'document' else left({_STEM}, 200) end as name from pages")
 def q45_filename_sanitize(spark, d):
     return read(spark, d, "pages").select("page_id", files.sanitised_stem(F.col("url")).alias("name"))
 
@@ -420,7 +442,7 @@ def q54_csv_flatten(spark, d):
     return sinks.flat(docs(spark, d).select("document_id", "tags", (F.col("document_id") % 2 == 0).alias("even"), "created"))
 
 
-@query("select p_partkey, array_to_string(case when p_brand = 'Brand#11' then list_distinct([p_name]) || ['merged'] else [p_brand, p_name] end, '|') as tags from part".replace("list_distinct([p_name])", "[p_name]"))
+@query("select p_partkey, array_to_string(case when p_brand = 'Brand#11' then [p_name] || ['merged'] else [p_brand, p_name] end, '|') as tags from part")
 def q55_tag_rewrite(spark, d):
     return read(spark, d, "part").select("p_partkey", F.array_join(entities.rewritten(F.array("p_brand", "p_name"), "Brand#11", "merged"), "|").alias("tags"))
 
@@ -437,8 +459,7 @@ def q57_mask(spark, d):
 
 @query(f"select doc_id, {_OCR} as issue_type from documents where {_OCR} is not null")
 def q58_stream_issues(spark, d):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/papyra-stream"
-    base = f"{base.rstrip('/')}/issues-{uuid.uuid4().hex[:12]}"
+    base = f"{work_folder(spark)}/issues-{uuid.uuid4().hex[:12]}"
     intake.run_available(intake.ocr_issues(spark, f"{d}/documents.parquet"), f"{base}/out", f"{base}/log")
     return spark.read.schema("doc_id long, issue_type string").parquet(f"{base}/out")
 
@@ -457,3 +478,6 @@ def q60_full_top_documents(spark, d):
 @query()
 def q61_full_recommendations(spark, d):
     return issues.recommendations(issues.issues(docs(spark, d), duplicates=True))
+
+
+from . import workflows  # noqa: E402, F401  registers its queries here
