@@ -260,13 +260,17 @@ def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group that links connect, the row of the smallest id stays; of
     repeated ids any one, a null id only if there is no other. Rows are told apart as rows, not by their ids."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    fps = written(fingerprints(rows.withColumn("__order", order), words, "__order", text_col).select(F.col("doc_id").alias("order"), F.col("doc_id.row").alias("__row"), "fp"), "fps")
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    asked = rows.select(order.alias("order"), F.col(text_col).alias("text"))
+    fps = written(fingerprints(asked, words, "order", "text").select(F.col("doc_id").alias("order"), F.col("doc_id.row").alias("__row"), "fp"), "fps")
     nodes = written(fps.groupBy("fp").agg(F.min("order").alias("first"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()), "fpnodes")
     least = least_reached(nodes.select(F.col("rep").alias("node"), "first"), links(nodes.select("fp", "rep"), radius, blocks, chunk))
     of = nodes.join(least, nodes.rep == least.node).select("fp", "size", F.col("least.row").alias("stays"))
-    dropped = written(spread_join(fps.select("__row", "fp"), of, "fp", "size", fps.count(), F.col("__row")).where("__row <> stays").select("__row"), "dropped")
+    dropped = written(spread_join(fps.select("__row", "fp"), of, "fp", "size", fps.count(), F.col("__row")).where("__row <> stays").select(F.col("__row").alias(row)), "dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return rows.join(dropped, "__row", "left_anti").drop("__row")
+    return rows.join(dropped, row, "left_anti").drop(row)
