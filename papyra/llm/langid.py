@@ -244,7 +244,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = resident(key, lambda: Model(shared.value))
         for b in batches:
-            for at, to in slices(b.column(b.num_columns - 1), 4096):
+            for at, to in slices(b.column(b.num_columns - 1), 1024, 2_000_000):
                 part = b.slice(at, to - at)
                 lang, score, bits = zip(*model.predict(strings(part.column(b.num_columns - 1))))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],

@@ -48,7 +48,7 @@ class Encoder:
     #: Texts that may be lower-cased as a whole, and chunks that may be cut here.
     SIMPLE = r"[\t-\r -~À-ÖØ-öø-ÿ]*+"
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are busy with other tasks
         import regex
         from tokenizers import Tokenizer
