@@ -279,7 +279,22 @@ def q29_exact_duplicates(spark, d):
     return whole_docs(spark, d).groupBy("title", "correspondent", "document_type").agg(F.count("*").alias("n"), F.min("document_id").alias("first_id")).where("n > 1")
 
 
-@query()
+# The longest common subsequence by rows of its table, for the pairs of a relation; a title's edit distance is at most what it lacks of it.
+_LCS = """{0}(a, b, i, r) as (select a, b, 0, list_transform(range(length(b) + 1), lambda x: 0) from {1} where a <> b
+  union all select a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: case when substring(b, j::int, 1) = substring(a, i + 1, 1) then [r[j] + 1, 1] else [r[j + 1], 0] end), lambda acc, v: list_append(acc, greatest(v[1], acc[len(acc)])), [0]) from {0} where i < length(a)),
+ {0}_ratio as (select a, b, 200.0::double * r[len(r)] / (length(a) + length(b)) as ratio from {0} where i = length(a) union all select a, b, 100.0::double from {1} where a = b)"""
+_PAIRS = f"""with recursive {_DOCS}, f as (select document_id, lower(coalesce(title, 'none')) as t, lower(coalesce(correspondent, 'none')) as c, lower(coalesce(created, 'none')) as d from docs),
+ k as (select t, c, d, min(document_id) as id, count(*) as n from f group by t, c, d), m as (select document_id, id, n from f join k using (t, c, d)),
+ names as (select c as x, 1 as f from k union select d, 2 from k), np as (select distinct p.x as a, q.x as b from names p join names q on p.f = q.f), {_LCS.format('l1', 'np')},
+ cand as (select p.t as a, q.t as b, p.id as id1, q.id as id2, p.n as n1, q.n as n2, rc.ratio + rd.ratio as rest from k p join k q on p.id < q.id join l1_ratio rc on rc.a = p.c and rc.b = q.c join l1_ratio rd on rd.a = p.d and rd.b = q.d
+  where rc.ratio + rd.ratio >= 170 - 1e-9 and levenshtein(p.t, q.t) <= (1 - (270 - rc.ratio - rd.ratio) / 100) * (length(p.t) + length(q.t)) + 1e-6),
+ tp as (select distinct a, b from cand), {_LCS.format('l2', 'tp')},
+ pairs as (select id1, id2, n1, n2, (ratio + rest) / 3 as score from cand join l2_ratio using (a, b) where ratio >= 270 - rest - 1e-9 union all select id, id, n, n, 100.0::double from k where n > 1),
+ later as (select document_id, count(*) as pairs from (select least(x.document_id, y.document_id) as document_id from pairs join m x on x.id = id1 join m y on y.id = id2 where id1 <> id2 or x.document_id < y.document_id) group by 1)"""
+_ALL_FOUND = f"""{_PAIRS}, found as (select document_id, issue_type, 1 as times from (select document_id, unnest({_ISSUES}) as issue_type from docs) union all select document_id, 'potential_duplicate', pairs from later)"""
+
+
+@query(f"{_PAIRS} select id1, id2, n1, n2, score, null::bigint as document_id from pairs union all select id, null, n, null, null, document_id from m")
 def q30_near_duplicates(spark, d):
     """Classes of documents alike in title, sender and date: the pairs of a mean of 90, and each document's class."""
     return duplicates.duplicates(docs(spark, d))
@@ -293,12 +308,20 @@ def q31_tag_pairs(spark, d):
     return entities.tag_pairs(tags(spark, d)).select("a", "b", "score")
 
 
-@query()
+_GROUPS = f"""with recursive t as (select lower(p_name) as x, p_name as name, min(p_partkey) as pos, count(*) as document_count from part group by p_name), np as (select p.x as a, q.x as b from t p join t q on p.pos < q.pos and least(length(p.x), length(q.x)) >= greatest(length(p.x), length(q.x)) * (85.0 / 115.0)),
+ {_LCS.format('l1', 'np')}, alike as (select p.pos as p, q.pos as q from l1_ratio join t p on p.x = a join t q on q.x = b where ratio >= 85),
+ o as (select list(pos order by pos) as free from t), e as (select coalesce(list({{'p': p, 'q': q}}), []) as edges from alike),
+ steps(free, seed, taken) as (select free, null::bigint, null::bigint[] from o union all
+  select list_filter(free, lambda y: not list_contains(list_append(list_transform(list_filter(edges, lambda z: z.p = free[1]), lambda z: z.q), free[1]), y)), free[1], list_filter(free, lambda y: y = free[1] or list_contains(list_transform(list_filter(edges, lambda z: z.p = free[1]), lambda z: z.q), y)) from steps, e where len(free) > 0),
+ g as (select seed as group_pos, unnest(taken) as pos from steps where seed is not null)"""
+
+
+@query(f"{_GROUPS} select group_pos, pos, name from g join t using (pos)")
 def q32_tag_groups(spark, d):
     return entities.greedy_groups(tags(spark, d))
 
 
-@query()
+@query(f"{_GROUPS} select parent, name as child from (select name, first(name) over w as parent, row_number() over w as rn from g join t using (pos) window w as (partition by group_pos order by document_count desc, length(name), pos)) where rn > 1")
 def q33_hierarchy(spark, d):
     return entities.hierarchy(tags(spark, d))
 
@@ -465,17 +488,17 @@ def q58_stream_issues(spark, d):
 
 
 # q23 to q25 are held to SQL without the duplicate pass; these are the same with it.
-@query()
+@query(f"{_ALL_FOUND} select issue_type, {_SEV} as severity, sum(times)::bigint as issues, count(distinct document_id) as documents from found group by all")
 def q59_full_quality_report(spark, d):
     return issues.report(issues.issues(docs(spark, d), duplicates=True))
 
 
-@query()
+@query(f"{_ALL_FOUND} select document_id, sum(times)::bigint as issues from found group by 1 order by issues desc, document_id limit 10")
 def q60_full_top_documents(spark, d):
     return issues.top_documents(issues.issues(docs(spark, d), duplicates=True))
 
 
-@query()
+@query(f"{_ALL_FOUND} select issue_type, sum(times)::bigint as issues from found where issue_type in ('ocr_missing', 'ocr_failed', 'missing_correspondent', 'potential_duplicate', 'missing_tags') group by 1 having sum(times) > case issue_type when 'missing_correspondent' then 5 when 'missing_tags' then 10 else 0 end")
 def q61_full_recommendations(spark, d):
     return issues.recommendations(issues.issues(docs(spark, d), duplicates=True))
 
