@@ -98,6 +98,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.
                 yield flush()
     if held:
         yield flush()
+    release()
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +159,8 @@ def _to_rows(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Re
             t = t.append_column("perplexity", pa.array(ppl, pa.float64(), mask=n == 0))
             for out in t.drop_columns(["__text"] if text_col == "__text" else []).to_batches(max_chunksize=1000):
                 yield out
+            del t, n, total, ppl
+    release()
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -211,22 +214,23 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     ids = trusted.select(F.col(id_col).cast("long").alias("__id")).where("__id is not null").distinct().withColumn(
         "__trusted", F.when(F.pmod(F.xxhash64("__id"), F.lit(HOLD_OUT)) == 0, 2).otherwise(1))
     ids = written(ids, "trusted")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
     keep = [F.col(id_col).cast("long").alias("doc_id")] if carry is None else [F.col(c) for c in carry]
     own = text_col if carry and text_col in carry and dict(docs.dtypes)[text_col] == "string" else "__text"
     text = [] if own == text_col else [F.col(text_col).cast("string").alias("__text")]
-    # rows without an id are spread in a shuffle
     number = F.col(id_col).cast("long")
-    key = F.struct(number.isNull().alias("none"), F.coalesce(number, F.monotonically_increasing_id()).alias("id"))
-    rows = docs.select(*keep, *text, F.col(lang_col).cast("string").alias("__lang"), key.alias("__key"))
-    rows = rows.join(ids.select(F.struct(F.lit(False).alias("none"), F.col("__id").alias("id")).alias("__key"), "__trusted"), "__key", "left").drop("__key").withColumn(
-        "__trusted", F.coalesce("__trusted", F.lit(0)))
+    rows = docs.select(*keep, *text, F.col(lang_col).cast("string").alias("__lang"), number.alias("__id"))
+    if ids.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(ids), "__id", "left")
+    else:  # rows without an id are spread in the shuffle
+        key = F.struct(F.col("__id").isNull().alias("none"), F.coalesce("__id", F.monotonically_increasing_id()).alias("id"))
+        rows = rows.withColumn("__key", key).join(ids.select(F.struct(F.lit(False).alias("none"), F.col("__id").alias("id")).alias("__key"), "__trusted"), "__key", "left").drop("__key")
+    rows = rows.drop("__id").withColumn("__trusted", F.coalesce("__trusted", F.lit(0)))
     blocks = bucketed(rows.mapInArrow(_blocks(own), "block long, payload binary, keys binary, counts binary"), "blocks", "block")
     each = blocks.select("block", "keys", "counts").mapInArrow(_expand, "block long, key long, n long")
     p = probabilities(written(each.groupBy("key").agg(F.sum("n").alias("n")), "counts"))
     back = each.select("block", "key").join(p.hint("merge"), "key").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "key").select("block", "key", "p")
-    logs = back.mapInArrow(_gather, "block long, logs binary").hint("merge")  # the blocks lie in buckets: only the logs move
+    # written, so that a task needs one Python worker at a time
+    logs = written(back.mapInArrow(_gather, "block long, logs binary"), "logs").hint("merge")  # the blocks lie in buckets: only the logs move
     out = StructType([*rows.drop("__text").schema.fields, StructField("perplexity", DoubleType())])
     scored = blocks.select("block", "payload").join(logs, "block", "left").select("payload", "logs").mapInArrow(_sums(own), out)
     return scored if carry is not None else scored.withColumnsRenamed({"__lang": "lang", "__trusted": "trusted"})
