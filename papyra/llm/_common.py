@@ -100,12 +100,17 @@ def resident(key, build):
     if key not in _RESIDENT:
         release()
         _RESIDENT[key] = build()
+        _trim()  # what was only needed to build it
     return _RESIDENT[key]
 
 
 def release() -> None:
     """For tasks that need the memory themselves: drops what is kept, and gives freed memory back to the system."""
     _RESIDENT.clear()
+    _trim()
+
+
+def _trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it

@@ -22,7 +22,7 @@ from ._common import Places, resident, slices, strings
 #: bound the sample, whatever the size of the corpus.
 SAMPLE_CHARS = 60_000
 SAMPLE_ROWS = 200
-#: Entries of all languages' tables; with more (very large alphabets), only the automata's own arcs are kept, hashed.
+#: Entries that all languages' tables may have; with more (very large alphabets), only the automata's own arcs are kept, hashed.
 DENSE = 40_000_000
 #: Texts that are parsed in step; fewer are walked one by one.
 LEAST_LANES = 24
@@ -92,22 +92,28 @@ class Model:
         self.code = np.zeros(0x110000, np.int32)  # 0: not a letter
         self.code[[i for i in range(0x110000) if chr(i).isalpha()]] = self.width - 1
         self.code[[ord(c) for c in alphabet]] = np.arange(1, self.width - 1)
-        machines, self.column = [], np.zeros((len(self.langs), self.width), np.int32)
+        trained, self.column = [], np.zeros((len(self.langs), self.width), np.int32)
         for k, lang in enumerate(self.langs):
             codes = np.concatenate([np.r_[np.int32(0), self.codes(t)[0]] for t in samples[lang]] or [np.zeros(1, np.int32)])[:chars]
             own = np.unique(codes)  # a table is as wide as its language's letters, and one more
             self.column[k] = len(own)
             self.column[k, own] = np.arange(len(own))
-            machines.append((Automaton(self.column[k, codes].tolist()), len(own) + 1))
+            trained.append((self.column[k, codes].tolist(), len(own) + 1))
             self.bits.append(float(np.log2(max(2, len(codes)))))
-        self.dense = sum(len(m.next) * w for m, w in machines) <= DENSE
-        sizes = [len(m.next) * (w if self.dense else 1) for m, w in machines]
-        self.root = np.cumsum([0, *sizes])[:-1].astype(np.int64)[:, None]
+        self.dense = sum(2 * len(codes) * w for codes, w in trained) <= DENSE  # an automaton has fewer than twice as many states as characters
         if self.dense:  # one table for all: a state is the place of its row
-            tables = [m.table(w) for m, w in machines]
-            self.to = np.concatenate([(t >> 2) + int(r) for t, r in zip(tables, self.root[:, 0])] or [np.zeros(0, np.int32)]).astype(np.int32)
-            self.ends = np.concatenate([t & 3 for t in tables] or [np.zeros(0, np.int32)]).astype(np.int8)
+            to, ends, start = [], [], [0]
+            for codes, w in trained:
+                t = Automaton(codes).table(w)
+                to.append((t >> 2) + start[-1])
+                ends.append((t & 3).astype(np.int8))
+                start.append(start[-1] + len(t))
+            self.to = np.concatenate(to or [np.zeros(0, np.int32)]).astype(np.int32)
+            self.ends = np.concatenate(ends or [np.zeros(0, np.int8)])
+            self.root = np.array(start[:-1], np.int64)[:, None]
             return
+        machines = [(Automaton(codes), w) for codes, w in trained]
+        self.root = np.cumsum([0, *(len(m.next) for m, _ in machines)])[:-1].astype(np.int64)[:, None]
         arcs = [(r + s) << 21 | c for (m, _), r in zip(machines, self.root[:, 0].tolist()) for s, a in enumerate(m.next) for c in a]
         to = [r + t for (m, _), r in zip(machines, self.root[:, 0].tolist()) for a in m.next for t in a.values()]
         self.arcs, self.to = Places(np.array(arcs, np.int64)), np.array(to, np.int64)
