@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -28,3 +29,10 @@ def work_folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="papyra-")
         spark.conf.set("papyra.work.dir", base)
     return base.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: computed once, and its rows stay in their partitions."""
+    path = f"{work_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

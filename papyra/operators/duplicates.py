@@ -197,3 +197,32 @@ def later_duplicates(docs: DataFrame) -> DataFrame:
     counted = asked.unionByName(there).selectExpr("*", "sum(one) over (partition by id order by document_id desc range between unbounded preceding and current row) - "
                                                   "sum(one) over (partition by id, document_id) as later")
     return counted.where("one = 0").groupBy("document_id").agg(F.sum("later").alias("pairs")).where("pairs > 0")
+
+
+def similar_names(names: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+    """``name`` to all pairs ``a, b, score`` (a < b) of distinct names with an indel ratio of ``least`` or more.
+
+    Names of a length lie in parts; only parts whose lengths allow the ratio meet, each two of them in a task.
+    """
+    d = names.where("name is not null").select("name").distinct().withColumn("n", F.length("name"))
+    places = d.groupBy("n").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = d.join(places.select("n", "parts").distinct(), "n").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).select("name", "n", "part")
+    one, two = places.select(F.col("n").alias("n1"), F.col("part").alias("i")), places.select(F.col("n").alias("n2"), F.col("part").alias("j"))
+    met = one.join(two, ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("i") <= F.col("j")))) & (F.col("n1") >= F.col("n2") * (least / (200 - least)) - _EPS))
+    met = met.withColumn("own", (F.col("n1") == F.col("n2")) & (F.col("i") == F.col("j")))
+    key = ["n1", "i", "n2", "j"]
+
+    def sent(n: str, part: str, side: int, tasks: DataFrame) -> DataFrame:
+        return dealt.join(tasks, (F.col("n") == F.col(n)) & (dealt["part"] == F.col(part))).select(*key, "own", F.lit(side).alias("side"), "name")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a = rows.loc[rows["side"] == 0, "name"].tolist()
+        own = bool(rows["own"].iloc[0])
+        b = a if own else rows.loc[rows["side"] == 1, "name"].tolist()
+        p, q, score = title_links(a, b, least, own) if a and b else ([], [], [])
+        x, y = [a[k] for k in p], [b[k] for k in q]
+        least_of, most_of = (pd.Series([f(u, v) for u, v in zip(x, y)], dtype=object) for f in (min, max))
+        return pd.DataFrame({"a": least_of, "b": most_of, "score": pd.Series(score, dtype="float64")})
+
+    both = sent("n1", "i", 0, met).unionByName(sent("n2", "j", 1, met.where("not own")))
+    return both.groupBy(*key).applyInPandas(run, "a string, b string, score double").where(F.col("score") >= least)

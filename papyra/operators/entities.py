@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.similarity import indel, lcs_sql, like_length, plural_pair, weighted_ratio
+from .. import written
+from ..functions.similarity import weighted_ratio
+from .duplicates import CHUNK, similar_names
+
+
+#: Names of a dimension that are broadcast; more are compared in so many blocks.
+DIMENSION = 100_000
+BLOCKS = 256
 
 
 def lookup(names: DataFrame, dim: DataFrame) -> DataFrame:
@@ -17,36 +23,42 @@ def lookup(names: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def missing_names(names: DataFrame, dim: DataFrame) -> DataFrame:
-    """What an insertion would add: one row per new key, ids after the largest."""
+    """What an insertion would add: one row per new key, ids after the largest, in the order of the keys.
+
+    The keys are dealt out in ranges and numbered in each, after the counts of the ranges before.
+    """
     new = names.select(F.lower(F.trim("name")).alias("key"), F.trim("name").alias("name")).join(dim.select(F.lower("name").alias("key")).distinct(), "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"))
+    dealt = written(new.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "names")
     top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # only names that are new to a dimension are numbered
-    return new.join(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("key"))).alias("id"), "name")
+    ranges = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))  # a row for each range
+    turn = F.row_number().over(Window.partitionBy("part").orderBy("key"))
+    return dealt.join(ranges, "part").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("before") + turn).alias("id"), "name")
 
 
 def tag_pairs(tags: DataFrame, least: float = 85.0) -> DataFrame:
-    """Pairs a < b of a tag dimension with an indel ratio of ``least`` or more; the length band comes first."""
-    a, b = tags.select(F.lower("name").alias("a")), tags.select(F.lower("name").alias("b"))
-    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & like_length(F.col("a"), F.col("b"), least)).withColumn(
-        "score", F.expr(f"200.0D * {lcs_sql('a', 'b')} / (length(a) + length(b))")).where(F.col("score") >= least)
-
-
-def greedy_groups(tags: DataFrame, least: float = 85.0, score: Callable[[str, str], float] = indel) -> DataFrame:
-    """``pos, name`` to ``group_pos, pos, name``: every tag not yet taken takes all later ones like it. Order matters,
-    so a tag dimension is one ordered group."""
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("pos")
-        left, out = list(zip(d["pos"], d["name"])), []
-        while left:
-            (seed, first), rest = left[0], []
-            out.append((seed, seed, first))
-            for p, n in left[1:]:
-                (out.append((seed, p, n)) if score(first.lower(), n.lower()) >= least else rest.append((p, n)))
-            left = rest
-        return pd.DataFrame(out, columns=["group_pos", "pos", "name"])
-
-    return tags.select("pos", "name", F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "group_pos long, pos long, name string")
+    """Pairs a < b of a tag dimension, in lower case, with an indel ratio of ``least`` or more, and their score."""
+    return similar_names(tags.select(F.lower("name").alias("name")), least)
+
+
+def greedy_groups(tags: DataFrame, least: float = 85.0, chunk: int = CHUNK) -> DataFrame:
+    """``pos, name`` to ``group_pos, pos, name``: every tag not yet taken takes all later ones like it, in the order of pos.
+
+    In rounds: a tag with no earlier one like it that may still be a seed is a seed; what is like a seed and after it is
+    taken, by the first such seed. Each round settles at least the first tag that is open.
+    """
+    t = tags.select("pos", "name", F.lower("name").alias("x"))
+    like = similar_names(t.select(F.col("x").alias("name")), least, chunk).select("a", "b")
+    same = t.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select(F.col("x").alias("a"), F.col("x").alias("b"))
+    ends = lambda c, k: t.select(F.col("x").alias(c), F.col("pos").alias(k))
+    edges = like.unionByName(same).join(ends("a", "p"), "a").join(ends("b", "q"), "b").where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    edges = written(edges, "edges")
+    state = written(t.select("pos", F.lit(0).alias("is")), "state")  # 0 open, 1 seed, 2 taken
+    while not state.where("is = 0").isEmpty():
+        before = edges.join(state.select(F.col("pos").alias("p"), F.col("is").alias("p_is")), "p").groupBy(F.col("q").alias("pos")).agg(F.max(F.col("p_is") == 1).alias("seeded"), F.max(F.col("p_is") == 0).alias("open"))
+        now = F.when(F.col("is") != 0, F.col("is")).when(F.coalesce("seeded", F.lit(False)), 2).when(F.coalesce("open", F.lit(False)), 0).otherwise(1)
+        state = written(state.join(before, "pos", "left").select("pos", now.alias("is")), "state")
+    taken = edges.join(state.where("is = 1").select(F.col("pos").alias("p")), "p").groupBy(F.col("q").alias("pos")).agg(F.min("p").alias("group_pos"))
+    return t.join(state, "pos").join(taken, "pos", "left").select(F.when(F.col("is") == 1, F.col("pos")).otherwise(F.col("group_pos")).alias("group_pos"), "pos", "name")
 
 
 def hierarchy(tags: DataFrame, least: float = 85.0) -> DataFrame:
@@ -58,15 +70,26 @@ def hierarchy(tags: DataFrame, least: float = 85.0) -> DataFrame:
 
 
 def best_match(names: DataFrame, tags: DataFrame, least: float = 95.0) -> DataFrame:
-    """The tag of the highest weighted ratio, the first on ties, null below ``least``."""
-    p = names.select("name").distinct().join(F.broadcast(tags.select("pos", F.col("name").alias("tag")))).withColumn("score", weighted_ratio(F.lower(F.trim("name")), F.lower(F.trim("tag"))))
+    """The tag of the highest weighted ratio, the first on ties, null below ``least``. Names are a query set that is
+    compared with the whole dimension; it is broadcast up to ``DIMENSION`` tags, beyond them both lie in blocks."""
+    asked, known = names.select("name").distinct(), tags.select("pos", F.col("name").alias("tag"))
+    if known.count() <= DIMENSION:
+        p = asked.join(F.broadcast(known))
+    else:
+        blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+        p = asked.withColumn("block", F.explode(blocks)).join(known.withColumn("block", F.pmod(F.xxhash64("tag"), F.lit(BLOCKS)).cast("int")), "block")
+    p = p.withColumn("score", weighted_ratio(F.lower(F.trim("name")), F.lower(F.trim("tag"))))
     best = p.groupBy("name").agg(F.max_by(F.struct("tag", "score"), F.struct("score", -F.col("pos"))).alias("m"))
     return best.select("name", F.when(F.col("m.score") >= least, F.col("m.tag")).alias("tag"), F.col("m.score").alias("score"))
 
 
 def plural_pairs(tags: DataFrame) -> DataFrame:
-    a, b = tags.select(F.col("name").alias("a")), tags.select(F.col("name").alias("b"))
-    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & plural_pair(F.col("a"), F.col("b")))
+    """Pairs a < b of names of which one is the plural of the other: every name's plurals are joined with the names."""
+    x = F.lower("name")
+    ends = [F.concat(x, F.lit(e)) for e in ("e", "en", "n", "er", "s")]
+    vowels = [F.when(x.endswith(s), F.concat(F.left(x, F.length(x) - len(s)), F.lit(t))) for s, t in (("a", "ä"), ("o", "ö"), ("u", "ü"), ("ag", "äge"))]
+    plural = tags.select(F.col("name").alias("one"), F.explode(F.array_distinct(F.array_compact(F.array(*ends, *vowels)))).alias("key"))
+    return plural.join(tags.select(F.col("name").alias("other"), x.alias("key")), "key").select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
 
 
 def not_to_unify(pairs: DataFrame, known: list[tuple[str, str]], themes: list[str]) -> DataFrame:

@@ -270,3 +270,39 @@ def test_empty_tables(spark):
     assert records.summary(none).first()["total"] == 0
     assert stats.matching(spark.createDataFrame([], "parent string, child string")).first()["unified"] == 0
     assert records.unified_tags(spark.createDataFrame([], "document_id long, tags array<string>"), spark.createDataFrame([], "name string, primary string")).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_groups_in_rounds(spark, chunk):
+    import random
+
+    from papyra.operators import entities
+
+    r = random.Random(5)
+    base = ["".join(r.choice("abcd ") for _ in range(n)) for n in (1, 4, 9, 20, 70, 70)]
+    names = sorted({b[:k] + r.choice("abxy") * j + b[k:] for b in base for k in range(0, len(b), 2) for j in (0, 1, 2)} | {base[3].upper()})
+    r.shuffle(names)
+    rows = [(k, n, 0) for k, n in enumerate(names)]
+    d = spark.createDataFrame([(k, n) for k, n, _ in rows], "pos long, name string")
+    got = {tuple(x) for x in entities.greedy_groups(d, chunk=chunk).collect()}
+    assert got == {(g[0][0], x[0], x[1]) for g in groups_of(rows) for x in g}
+    want = {(a, b) for a in {n.lower() for n in names} for b in {n.lower() for n in names} if a < b and indel(a, b) >= 85}
+    assert {(x["a"], x["b"]) for x in entities.tag_pairs(d).collect()} == want
+
+
+def test_numbers_of_new_names(spark):
+    from papyra.operators import entities
+
+    names = spark.createDataFrame([(f" N{i % 50}",) for i in range(200)] + [("old",)], "name string").repartition(6)
+    got = sorted(tuple(r) for r in entities.missing_names(names, spark.createDataFrame([(7, "OLD")], "id long, name string")).collect())
+    assert got == [(8 + k, n) for k, n in enumerate(sorted({f"N{i}" for i in range(50)}, key=str.lower))]
+
+
+def test_best_match_in_blocks(spark, monkeypatch):
+    from papyra.operators import entities
+
+    n = spark.createDataFrame([("Rechnung",), ("xyz",)], "name string")
+    t = spark.createDataFrame([(1, "rechnung"), (0, "Rechnung "), (2, "x")], "pos long, name string")
+    plain = sorted(map(tuple, entities.best_match(n, t).collect()))
+    monkeypatch.setattr(entities, "DIMENSION", -1)
+    assert sorted(map(tuple, entities.best_match(n, t).collect())) == plain and plain[0][1] == "Rechnung "
