@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
+from .. import written
 from ..functions import dates, files, jsonrepair, text as T
 from ..functions.similarity import wratio
 from . import validate
@@ -206,3 +207,40 @@ def extracted(docs: DataFrame, complete: Callable[[str], str], fields: list[str]
     replies = docs.select("document_id", T.truncated(F.col("text"), most).alias("prompt")).mapInPandas(run, f"document_id {kind}, reply string")
     reply = replies.withColumn("json", jsonrepair.repaired(F.col("reply")))
     return reply.select("document_id", *[F.get_json_object("json", f"$.{f}").alias(f) for f in fields])
+
+
+def indexed(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``index``, its rows' numbers from 0 in an order: dealt out in ranges and numbered after those before."""
+    dealt = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "index")
+    ranges = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # a row for each range
+    turn = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.join(ranges, "part").withColumn("index", F.col("before") + turn).drop("part", "before")
+
+
+def zipped(docs: DataFrame, other: DataFrame, order: list[str], other_order: list[str]) -> DataFrame:
+    """The first row of one with the first of the other, and so on; different lengths are an error."""
+    if docs.count() != other.count():
+        raise ValueError("the tables differ in length")
+    return indexed(docs, order).join(indexed(other, other_order), "index")
+
+
+def batch(docs: DataFrame, strict: bool = False) -> DataFrame:
+    """``metadata`` of rows as services give them: names fall back on ``correspondent_name``, ``document_type_name`` and
+    ``original_filename`` on ``filename``; tags may be records with a name."""
+    c = lambda *names: F.coalesce(*[F.when(~T.missing(F.col(n)), F.col(n)) for n in names if n in docs.columns], F.lit(None).cast("string"))
+    plain = docs.schema["tags"].dataType.elementType.simpleString() == "string"
+    tags = F.col("tags") if plain else F.transform("tags", lambda t: F.coalesce(t["name"], F.lit("")))
+    return metadata(docs.select("document_id", "title", c("correspondent", "correspondent_name").alias("correspondent"), c("document_type", "document_type_name").alias("document_type"), tags.alias("tags"),
+                                F.col("description").alias("note"), "created", "modified", c("original_filename", "filename").alias("filename")), strict)
+
+
+def repaired(docs: DataFrame, least: int = 2, most: int = 4, note_chars: int = 128) -> DataFrame:
+    """Extracted fields made fit for an update: tags from a list or a text with commas, padded and cut; a file name of date,
+    sender and type where there is none; the description cut; defaults for what is missing; notes on what was changed."""
+    tags = validate.repaired_tags(F.split("tags", ",") if dict(docs.dtypes)["tags"] == "string" else F.coalesce("tags", F.array().cast("array<string>")), least, most)
+    sender = F.when(T.missing(F.col("correspondent")), "Unbekannt").otherwise(F.col("correspondent"))
+    kind = F.when(T.missing(F.col("document_type")), "Dokument").otherwise(F.col("document_type"))
+    name = F.concat_ws("_", F.left("created", F.lit(10)), files.plain(sender), files.plain(kind))
+    changed = F.array_compact(F.array(F.when(T.missing(F.col("correspondent")), "correspondent"), F.when(T.missing(F.col("document_type")), "document_type"), F.when(F.length("note") > note_chars, "description"), F.when(T.missing(F.col("filename")), "filename")))
+    return docs.select("document_id", sender.alias("correspondent"), kind.alias("document_type"), F.coalesce(tags, validate.repaired_tags(F.array().cast("array<string>"), least, most)).alias("tags"),
+                       F.left(F.coalesce("note", F.lit("")), F.lit(note_chars)).alias("note"), F.when(T.missing(F.col("filename")), name).otherwise(F.col("filename")).alias("filename"), changed.alias("changed"))

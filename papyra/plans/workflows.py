@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates, files, text as T
-from ..operators import entities, issues, records, stats, validate
-from ..sources import sinks, tables
+from ..operators import calls, entities, issues, records, stats, validate
+from ..sources import mailbox, sinks, tables
 from .catalogue import _FLAGS, _transliterated, _WHOLE, query, read, tags, whole_docs
 
 _EXTRA = f"""{_WHOLE}, full_docs as (select *, case document_id % 5 when 0 then 'not-a-date' when 1 then '2024-03-05T10:00:00Z' when 2 then '2024-03-05' end as made, case when document_id % 4 < 3 then '2024-02-01T00:00:00' end as changed,
@@ -55,7 +55,7 @@ def q67_text_search(spark, d):
 @query()
 def q68_tag_similarity(spark, d):
     """Every pair of a bounded dimension of tags and spelling variants with its similarity, decision and words."""
-    t = tags(spark, d).where("pos <= 40").select("name")
+    t = tags(spark, d).select("name")
     t = t.unionByName(t.select(F.concat("name", F.lit("s")).alias("name"))).unionByName(spark.createDataFrame([(x,) for p in records.FALSE_PAIRS for x in p], "name string"))
     p = t.select(F.col("name").alias("a")).join(t.select(F.col("name").alias("b")), F.col("a") < F.col("b")).withColumn("score", records.tag_similarity_of("a", "b"))
     from ..functions.similarity import plural_pair
@@ -66,7 +66,7 @@ def q68_tag_similarity(spark, d):
 @query()
 def q69_sequential_match(spark, d):
     """Proposed tags of each part, one after the other, against a bounded list of tags."""
-    known = [r[0] for r in tags(spark, d).select("name").orderBy("name").limit(30).collect()]
+    known = [r[0] for r in tags(spark, d).select("name").orderBy("name").collect()]  # the dimension
     proposed = F.array(F.initcap("p_name"), F.col("p_brand"), F.concat("p_brand", F.lit(" ")), F.col("p_type"))
     return records.matched_in_order(read(spark, d, "part").select("p_partkey", proposed.alias("tags")), known).select("p_partkey", F.explode("matches").alias("m")).select("p_partkey", "m.tag", "m.match", "m.score")
 
@@ -373,3 +373,75 @@ def q108_missing_fields(spark, d):
     i = F.col("document_id")
     have = F.array_compact(F.array(F.when(i % 2 != 0, "title"), F.when(i % 3 != 0, "correspondent"), F.lit("document_type")))
     return whole_docs(spark, d).select("document_id", F.array_join(F.array_except(F.array(*map(F.lit, _FIELDS)), have), "|").alias("missing"))
+
+
+@query("select a.doc_id as doc_id, b.doc_id as other_id from (select doc_id, row_number() over (order by doc_id) as i from documents) a join (select doc_id, row_number() over (order by n_chars, doc_id) as i from documents) b using (i)")
+def q109_zip_join(spark, d):
+    """Rows by their place: the documents by id beside the documents by length."""
+    t = read(spark, d, "documents")
+    return records.zipped(t.select("doc_id"), t.select("n_chars", F.col("doc_id").alias("other_id")), ["doc_id"], ["n_chars", "other_id"]).select("doc_id", "other_id")
+
+
+@query(_metadata_sql(False))
+def q110_metadata_batch(spark, d):
+    c = full_docs(spark, d)
+    rows = c.select("document_id", "title", F.when(F.col("document_id") % 2 == 0, F.col("correspondent")).alias("correspondent"), F.col("correspondent").alias("correspondent_name"), F.lit("").alias("document_type"), F.col("document_type").alias("document_type_name"),
+                    F.transform("tags", lambda t: F.struct(t.alias("name"))).alias("tags"), F.col("note").alias("description"), "created", "modified", "filename", F.lit(None).cast("string").alias("original_filename"))
+    return records.batch(rows).select("document_id", "is_valid", F.array_join("issues", "; ").alias("issues"), "filename_suggestion")
+
+
+@query("""select p_partkey, case when p_size % 2 = 0 then p_brand else 'Unbekannt' end as correspondent, p_type as document_type, p_name || '|' || p_brand as tags, left(p_name || ' ' || p_type, 12) as note,
+ '2024-05-06_' || case when p_size % 2 = 0 then replace(p_brand, '#', 'nr') else 'Unbekannt' end || '_' || p_type as filename, case when p_size % 2 = 0 then '' else 'correspondent|' end || case when length(p_name || ' ' || p_type) > 12 then 'description|' else '' end || 'filename' as changed from part""")
+def q111_repaired(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("correspondent"), F.col("p_type").alias("document_type"), F.concat("p_name", F.lit(", "), "p_brand", F.lit(",x")).alias("tags"),
+                                      F.concat("p_name", F.lit(" "), "p_type").alias("note"), F.lit("2024-05-06T10:00:00").alias("created"), F.lit(None).cast("string").alias("filename"))
+    return records.repaired(p, note_chars=12).select(F.col("document_id").alias("p_partkey"), "correspondent", "document_type", F.array_join("tags", "|").alias("tags"), "note", "filename", F.array_join("changed", "|").alias("changed"))
+
+
+@query("select event_id as id, case when event_id % 5 = 4 then null else 'reply ' || event_id end as reply, case when event_id % 5 = 4 then null when event_id % 2 = 0 then 'first' else 'second' end as provider, case when event_id % 5 = 4 then 0 else 7 end as tokens, case when event_id % 5 = 4 then 'second: down' end as error from events")
+def q112_completions(spark, d):
+    """Ranked providers with fallback; functions stand in for the services."""
+    def first(prompt: str) -> tuple[str, int, float]:
+        if int(prompt) % 2 or int(prompt) % 5 == 4:
+            raise OSError("down")
+        return f"reply {prompt}", 7, 0.5
+
+    def second(prompt: str) -> tuple[str, int, float]:
+        if int(prompt) % 5 == 4:
+            raise OSError("down")
+        return f"reply {prompt}", 7, 0.25
+
+    own = [calls.Provider("second", 2, second), calls.Provider("off", 0, first, enabled=False), calls.Provider("first", 1, first)]
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("prompt"))
+    return calls.completions(rows, own, sleep=_no_wait).select("id", "reply", "provider", "tokens", "error")
+
+
+def _no_wait(seconds: float) -> None:
+    pass
+
+
+@query("select 'a' as account, i::varchar as uid, null as error from range(5) t(i) union all select 'broken', null, 'no connection' union all select 'c', i::varchar, null from range(3) t(i)")
+def q113_accounts_fetch(spark, d):
+    """Every account on its own; a function stands in for the mail server."""
+    def fetch(account: dict, asked: str):
+        if account["account"] == "broken":
+            raise OSError("no connection")
+        return [(str(k), b"x") for k in range(account["n"])]
+
+    return mailbox.fetched(spark, [{"account": "a", "n": 5}, {"account": "broken"}, {"account": "c", "n": 3}], fetch).select("account", "uid", "error")
+
+
+@query("select p_brand as directory, p_name || '.pdf' as filename, case when n = 0 then p_brand || '/' || p_name || '.pdf' else p_brand || '/' || p_name || '_' || n || '.pdf' end as path from (select p_brand, p_name, row_number() over (partition by p_brand, p_name order by p_partkey) - 1 as n from part)")
+def q114_attachment_paths(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("directory"), F.concat("p_name", F.lit(".pdf")).alias("filename"))
+    return mailbox.attachment_files(p).select("directory", "filename", "path")
+
+
+@query("select user_id, string_agg(event_id::varchar, '|' order by event_id) as first_errors from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type = 'error') where n <= 10 group by 1")
+def q115_first_errors(spark, d):
+    """A payload of the first ten errors of each account."""
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = read(spark, d, "events").where("event_type = 'error'").withColumn("turn", turn).where("turn <= 10").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    return e.select("user_id", F.array_join(F.col("ids").cast("array<string>"), "|").alias("first_errors"))

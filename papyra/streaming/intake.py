@@ -52,3 +52,10 @@ def poll(stream: DataFrame, out: str, checkpoint: str, seconds: int = 300, most:
 def totals(stream: DataFrame, key: str = "account") -> DataFrame:
     """A stream's running totals by key."""
     return stream.groupBy(key).agg(F.count("*").alias("processed"), F.sum("attachments").alias("attachments"))
+
+
+def scan(spark: SparkSession, path: str, work: str) -> tuple[DataFrame, DataFrame]:
+    """The text issues of the documents at ``path`` as they come, and, at the end of what there is, how many there are of each."""
+    run_available(ocr_issues(spark, path), f"{work}/issues", f"{work}/log")
+    found = spark.read.schema("doc_id long, issue_type string").parquet(f"{work}/issues")
+    return found, found.groupBy("issue_type").agg(F.count("*").alias("issues"))

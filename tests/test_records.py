@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from papyra.functions import dates, files, text as T
 from papyra.functions.similarity import indel, wratio
-from papyra.operators import records, stats
+from papyra import settings
+from papyra.operators import calls, records, stats
 from papyra.plans import catalogue
-from papyra.sources import sinks, tables
+from papyra.sources import mailbox, sinks, tables
 from papyra.streaming import intake
 
 DIR = "/root/testdata/sf0.001"
@@ -75,7 +76,7 @@ def test_similarity_query(spark):
 
 
 def test_sequential_match(spark):
-    known = sorted(n for _, n, _ in tag_rows(spark))[:30]
+    known = sorted(n for _, n, _ in tag_rows(spark))
     got = {}
     for key, *m in run(spark, "q69_sequential_match"):
         got.setdefault(key, []).append(tuple(m))
@@ -306,3 +307,68 @@ def test_best_match_in_blocks(spark, monkeypatch):
     plain = sorted(map(tuple, entities.best_match(n, t).collect()))
     monkeypatch.setattr(entities, "DIMENSION", -1)
     assert sorted(map(tuple, entities.best_match(n, t).collect())) == plain and plain[0][1] == "Rechnung "
+
+
+def test_retries_and_fallback():
+    waits, tries = [], []
+
+    @calls.retrying(ValueError, tries=3, jitter=0.0, cap=1.5, sleep=waits.append)
+    def f(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise ValueError
+        return x
+
+    assert f(1) == 1 and waits == [1.0, 1.5] and len(tries) == 3
+    with pytest.raises(KeyError):
+        calls.retrying(KeyError, tries=2, sleep=waits.append)(lambda: {}["x"])()
+    waits.clear()
+
+    def busy(prompt):
+        raise calls.Busy("later")
+
+    def fine(prompt):
+        return prompt.upper(), 3, 0.1
+
+    own = [calls.Provider("b", 2, fine), calls.Provider("a", 1, busy), calls.Provider("c", 2, fine), calls.Provider("off", 0, fine, False)]
+    assert [p.name for p in calls.ordered(own)] == ["a", "b", "c"]
+    assert calls.completed("x", own, sleep=waits.append) == ("X", "b", 3, 0.1, None) and waits == [60.0, 60.0]
+    assert calls.completed("x", [], sleep=waits.append)[4] == "no provider is enabled"
+    assert calls.health(own) == {"a": False, "b": True, "c": True}
+    told = []
+    assert calls.with_progress([5, 6], lambda x: x + 1, lambda *a: told.append(a)) == [6, 7] and told == [(1, 2, 5), (2, 2, 6)]
+
+
+def test_settings(tmp_path):
+    p = tmp_path / ".env"
+    p.write_text("# comment\nMIN_TAGS=3\nexport MAX_TAGS='7'\nBASE_URL=https://x.example\nnonsense\n")
+    s = settings.load(str(p), {"API_TOKEN": "t", "MIN_TAGS": "1"})
+    assert (s.min_tags, s.max_tags, s.base_url) == (1, 7, "https://x.example") and s.problems() == ([], [])
+    assert "api_token is required" in settings.load(env={}).problems()[0]
+    with pytest.raises(ValueError):
+        settings.load(env={"MIN_TAGS": "x"})
+    env = {"EMAIL_ACCOUNT_1_USERNAME": "u", "EMAIL_ACCOUNT_1_PORT": "143", "EMAIL_ACCOUNT_3_USERNAME": "w", "EMAIL_ACCOUNT_3_ENABLED": "false"}
+    assert [(a["account"], a["port"], a["folder"]) for a in settings.accounts(env)] == [("account 1", 143, "INBOX")]
+
+
+def test_mailbox(spark, tmp_path):
+    import datetime as dt
+
+    assert mailbox.search() == "ALL" and mailbox.search(True, dt.date(2024, 3, 5), 'a"b') == 'UNSEEN SINCE "05-Mar-2024" FROM "a\\"b"'
+    assert mailbox.since(None, dt.datetime(2024, 1, 2)) == dt.datetime(2024, 1, 1) and mailbox.since(None, None) is None
+    mails = spark.createDataFrame([("a", "1"), ("a", "2")], "account string, uid string")
+    assert [r["uid"] for r in mailbox.unprocessed(mails, mails.where("uid = '1'")).collect()] == ["2"]
+    files = spark.createDataFrame([("1", "d", "x.pdf", bytearray(b"one")), ("2", "d", "x.pdf", bytearray(b"two"))], "uid string, directory string, filename string, content binary")
+    assert mailbox.write_files(mailbox.attachment_files(files), str(tmp_path)).agg(F.sum("bytes")).first()[0] == 6
+    assert (tmp_path / "d/x.pdf").read_bytes() == b"one" and (tmp_path / "d/x_1.pdf").read_bytes() == b"two" and len(list((tmp_path / "d").iterdir())) == 2
+    with pytest.raises(Exception):
+        mailbox.write_files(spark.createDataFrame([("../x", bytearray(b"y"))], "path string, content binary"), str(tmp_path)).collect()
+    with pytest.raises(ValueError):
+        records.zipped(mails, mails.where("uid = '1'"), ["uid"], ["uid"])
+
+
+def test_scan_and_its_end(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    spark.createDataFrame([(1, ""), (2, "short"), (3, "der die das und oder " * 9)], "doc_id long, text string").write.parquet(f"{base}/d")
+    found, end = intake.scan(spark, f"{base}/d", f"{base}/work")
+    assert found.count() == 2 and {tuple(r) for r in end.collect()} == {("ocr_missing", 1), ("ocr_failed", 1)}
