@@ -48,7 +48,7 @@ class Encoder:
     #: Texts that may be lower-cased as a whole, and chunks that may be cut here.
     SIMPLE = r"[\t-\r -~À-ÖØ-öø-ÿ]*+"
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are busy with other tasks
         import regex
         from tokenizers import Tokenizer
@@ -64,19 +64,22 @@ class Encoder:
             raise ValueError("a special token without <|, or in capitals")
         self.cut, self.simple = regex.compile(self.PIECES).findall, regex.compile(self.SIMPLE).fullmatch
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         rarely_collect()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit numbers, the end id last."""
+        if len(self.known) > self.most:  # what is asked for again comes back from the generation before
+            self.before, self.known = self.known, {"": b""}
         known = self.known
-        if len(known) > self.most:
-            known.clear()
-            known[""] = b""
         # lower-casing simple texts first leaves fewer distinct chunks
         split = pc.ascii_split_whitespace(pa.array([x.lower() if x and self.simple(x) else x or "" for x in texts], pa.large_string()))
         coded = split.values.dictionary_encode()
         words = strings(coded.dictionary)
         new = {c for c in words if c not in known}
+        again = new & self.before.keys()
+        known.update(zip(again, map(self.before.__getitem__, again)))
+        new -= again
         whole = {c for c in new if not c.isascii() and not self.simple(c) or "<|" in c}
         for c in whole:
             known[c] = np.array(self.t.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
