@@ -61,10 +61,31 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP4_SQL = f"""
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+g as (select vec_id, e from v where vec_id is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {embedding.THRESHOLD}),
+r(id, c) as (select vec_id, vec_id from v union select l.b, r.c from r join l on l.a = r.id)
+select v.vec_id as vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, c as component_id, v.vec_id = c as kept from v join (select id, min(c) as c from r group by id) on id = v.vec_id
+"""
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
+_OP5_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+_OP5_NOTICES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted(licenses.TEMPLATES.items()))
+_OP5_SHINGLES = f"unnest(list_transform(range(len(w) - {licenses.SHINGLE - 1}), lambda i: {{'pos': i, 's': list_slice(w, (i + 1)::int, (i + {licenses.SHINGLE})::int)}})) as p"
+OP5_SQL = f"""
+with t as (select license_id, s from (select license_id, p.s as s from (select license_id, {_OP5_SHINGLES} from (select license_id, {_OP5_WORDS} as w from (values {_OP5_NOTICES}) n(license_id, text)))) group by all),
+size as (select license_id, count(*) as size from t group by 1),
+d as (select doc_id, p.pos as pos, p.s as s from (select doc_id, {_OP5_SHINGLES} from (select doc_id, {_OP5_WORDS} as w from documents) where len(w) >= {licenses.SHINGLE})),
+h as (select doc_id, license_id, count(distinct s) as held, min(pos) + 1 as first_word, max(pos) + {licenses.SHINGLE} as last_word from d join t using (s) group by 1, 2)
+select doc_id, license_id, held / size as containment, first_word, last_word from h join size using (license_id) where held / size >= {licenses.CONTAINMENT}
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
     return quality.classify(table(spark, sf_dir, "documents"), trusted)
@@ -87,6 +108,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+_OP8_TEXT = r"\### Assistant: </turn> ok"
+_OP8_ESCAPED = lambda c: f"length({c}) + length(regexp_replace({c}, '[^\\\\#<]', '', 'g'))"
+_OP8_ROLE = "case role when 'system' then 6 when 'user' then 4 when 'assistant' then 9 else 5 + " + _OP8_ESCAPED("role") + " + length(regexp_replace(role, '[^:]', '', 'g')) end"
+OP8_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select conv_id, turn, role, text from conversations union all select -7, 0, 'user', '{_OP8_TEXT}' union all select -7, 1, 'assistant', '{_OP8_TEXT}'))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(4 + ({_OP8_ROLE}) + 2 + {_OP8_ESCAPED("text")} + 9)::bigint as formatted_chars from c group by conv_id
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False).drop("ids")
 
@@ -110,4 +141,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_license_scan": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_chat": OP8_SQL}
