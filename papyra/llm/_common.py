@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,11 +62,31 @@ def unwritten(*frames: DataFrame) -> None:
     """Deletes the tables of frames that ``written`` gave and that nothing reads any more."""
     for df in frames:
         path = _PATHS.pop(df, None)
-        if path:
+        if path in _FOLDERS:
             _delete(df.sparkSession, path)
             _FOLDERS.remove(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes, at the end of the block, the tables made in it, but for those of the frames given to what it yields."""
+    folders, tables, kept = len(_FOLDERS), len(_TABLES), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_PATHS[df])
+        return df
+
+    yield keep
+    for name in _TABLES[tables:]:
+        spark.sql(f"drop table if exists {name}")
+    del _TABLES[tables:]
+    made = _FOLDERS[folders:]
+    _FOLDERS[folders:] = [f for f in made if f in kept]
+    for f in made:
+        if f not in kept:
+            _delete(spark, f)
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes what the operators of this session have left in the shared folder. For after their results are read:
     a frame that an operator returned reads these tables."""

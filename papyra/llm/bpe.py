@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import Places, rarely_collect, release, resident, slices, strings, written
+from ._common import Places, rarely_collect, release, resident, slices, strings, temporary, written
 
 #: Words in the lexicon: it bounds what is broadcast, and changes speed only, not results.
 LEXICON_WORDS = 100_000
@@ -442,16 +442,17 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 def lexicon(counts: DataFrame, path: str, most: int = LEXICON_WORDS) -> bytes:
     """Compiled from the most frequent words, as many count steps as give ``most`` words or fewer: only they reach the driver."""
     v = Vocabulary(path)
-    frequent = written(counts.where(F.col("n") >= MIN_COUNT), "words")
-    # the number of words by count, in steps of an eighth of a power of two, gives the least count that fits
-    steps = frequent.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
-    total, least = 0, None
-    for r in steps:
-        total += r["words"]
-        if total > most:
-            break
-        least = r["step"]
-    top = [] if least is None else frequent.where(F.floor(F.log2("n") * 8) >= least).select("word").collect()
+    with temporary(counts.sparkSession):
+        frequent = written(counts.where(F.col("n") >= MIN_COUNT), "words")
+        # the number of words by count, in steps of an eighth of a power of two, gives the least count that fits
+        steps = frequent.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+        total, least = 0, None
+        for r in steps:
+            total += r["words"]
+            if total > most:
+                break
+            least = r["step"]
+        top = [] if least is None else frequent.where(F.floor(F.log2("n") * 8) >= least).select("word").collect()
     return build_transducer({r["word"].encode(): v.ids(r["word"]) for r in top})
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..streaming.intake import exactly
-from ._common import shared_dir, spread_join, written
+from ._common import shared_dir, spread_join, temporary, written
 
 #: Micro-batches that an available input is read in.
 BATCHES = 4
@@ -85,7 +85,8 @@ def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", tex
     table = spark.read.parquet(path)
     if table.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, locator string")
-    state = written(keyed_state(spark, path, table.schema, id_col, text_col, digest, batches), "final")
+    with temporary(spark) as keep:  # the stream has ended: its state is in the table
+        state = keep(written(keyed_state(spark, path, table.schema, id_col, text_col, digest, batches), "final"))
     total = state.agg(F.sum("group_size")).first()[0]
     hits = state.where("group_size > 1")
     docs = table.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"), _locator().alias("place"))

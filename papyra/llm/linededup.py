@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import spread_join, written
+from ._common import spread_join, temporary, written
 
 #: A line is dropped if more than this share of its host's pages hold it ...
 RATIO = 0.08
@@ -60,7 +60,8 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     texts stay null, with 0 lines. Repeated rows are pages of their own, and null ids change nothing: ids aren't
     read. A ratio that is just reached keeps the line. An empty table gives no rows. Extra columns stay, except that ``n_lines`` and ``n_dropped`` of the same name are replaced.
     """
-    found = written(boilerplate(docs, ratio, min_pages, host_col, text_col).select("host", "line", "total"), "boilerplate")
+    with temporary(docs.sparkSession) as kept:
+        found = kept(written(boilerplate(docs, ratio, min_pages, host_col, text_col).select("host", "line", "total"), "boilerplate"))
     # a host has at most (its mean lines a page) / ratio of them, however many pages it has: a bounded list
     bad = found.groupBy("host").agg(F.collect_list("line").alias("__bad"), F.max("total").alias("__total")).withColumnRenamed("host", "__host")
     plain = docs.withColumn("__host", _host(F.col(host_col))).withColumn("__text", F.col(text_col).cast("string"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import bucketed, partitions, release, strings, written
+from ._common import bucketed, partitions, release, strings, temporary, written
 
 ORDER = 4
 BITS = 16
@@ -261,12 +261,14 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id
     are never kept. Repeated rows each give a row; an empty table none; a null id is never trusted. Extra columns
     are ignored. The result does not depend on how the rows are dealt out.
     """
-    scored = written(perplexities(docs, trusted, id_col, text_col, lang_col, carry), "ppl")
+    with temporary(docs.sparkSession) as keep:
+        scored = keep(written(perplexities(docs, trusted, id_col, text_col, lang_col, carry), "ppl"))
     lang, told = (F.col("lang"), F.col("trusted")) if carry is None else (F.col("__lang"), F.col("__trusted"))
     held = scored.where((told == 2) & F.col("perplexity").isNotNull())
     key = F.explode(F.array(F.struct(F.lit(True).alias("every"), F.lit("").alias("lang"), F.lit(False).alias("none")),
                             F.struct(F.lit(False).alias("every"), F.coalesce(lang, F.lit("")).alias("lang"), lang.isNull().alias("none"))))
-    bounds = written(quantiles(held.select(key.alias("key"), F.col("perplexity").alias("value")), quantile), "bounds")
+    with temporary(docs.sparkSession) as keep:
+        bounds = keep(written(quantiles(held.select(key.alias("key"), F.col("perplexity").alias("value")), quantile), "bounds"))
     every = bounds.where("key.every").select("bound").first()
     own = bounds.where("not key.every").select(F.when(F.col("key.none"), None).otherwise(F.col("key.lang")).alias("__l"), F.col("n").alias("__held"), F.col("bound").alias("__own"))
     if own.count() <= BROADCAST_LANGUAGES:

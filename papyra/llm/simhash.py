@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import partitions, spread_join, strings, written
+from ._common import partitions, spread_join, strings, temporary, written
 from .components import least_reached
 
 WORDS = 4
@@ -265,12 +265,13 @@ def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
         row += "_"
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    asked = rows.select(order.alias("order"), F.col(text_col).alias("text"))
-    fps = written(fingerprints(asked, words, "order", "text").select(F.col("doc_id").alias("order"), F.col("doc_id.row").alias("__row"), "fp"), "fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("order").alias("first"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()), "fpnodes")
-    least = least_reached(nodes.select(F.col("rep").alias("node"), "first"), links(nodes.select("fp", "rep"), radius, blocks, chunk))
-    of = nodes.join(least, nodes.rep == least.node).select("fp", "size", F.col("least.row").alias("stays"))
-    dropped = written(spread_join(fps.select("__row", "fp"), of, "fp", "size", fps.count(), F.col("__row")).where("__row <> stays").select(F.col("__row").alias(row)), "dropped")
+    with temporary(docs.sparkSession) as keep:
+        asked = rows.select(order.alias("order"), F.col(text_col).alias("text"))
+        fps = written(fingerprints(asked, words, "order", "text").select(F.col("doc_id").alias("order"), F.col("doc_id.row").alias("__row"), "fp"), "fps")
+        nodes = written(fps.groupBy("fp").agg(F.min("order").alias("first"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()), "fpnodes")
+        least = least_reached(nodes.select(F.col("rep").alias("node"), "first"), links(nodes.select("fp", "rep"), radius, blocks, chunk))
+        of = nodes.join(least, nodes.rep == least.node).select("fp", "size", F.col("least.row").alias("stays"))
+        dropped = keep(written(spread_join(fps.select("__row", "fp"), of, "fp", "size", fps.count(), F.col("__row")).where("__row <> stays").select(F.col("__row").alias(row)), "dropped"))
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     return rows.join(dropped, row, "left_anti").drop(row)
