@@ -194,7 +194,7 @@ def _pack(length: int, most: int, path: str, keep_ids: bool):
         space, out, serial = Windows(length, most), _Rows(keep_ids), part << 32
         for b in batches:
             docs = b.column(0).to_pylist()
-            for at, to in slices(b.column(1), 512, 2_000_000):
+            for at, to in slices(b.column(1), 1024, 4_000_000):
                 for doc, ids in zip(docs[at:to], encode_all(strings(b.column(1).slice(at, to - at)), path)):
                     total = len(ids) // 4
                     for start in range(0, total, length):
