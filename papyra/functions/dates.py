@@ -25,6 +25,20 @@ def quick_range(option: str, ref: dt.date) -> tuple[dt.date, dt.date]:
     return out[option]
 
 
+def quick_range_of(option: str, ref: Column) -> Column:
+    """The same ranges for a column of dates, as ``first, last``."""
+    ref = ref.cast("date")
+    start = lambda unit, months=0: F.add_months(F.trunc(ref, unit), months)
+    before = lambda c: F.date_sub(c, 1)
+    out = {
+        "last_quarter": (start("quarter", -3), before(start("quarter"))), "current_quarter": (start("quarter"), before(start("quarter", 3))), "last_3_months": (start("month", -3), before(start("month"))),
+        "last_month": (start("month", -1), before(start("month"))), "current_month": (start("month"), before(start("month", 1))),
+        "year_to_date": (start("year"), ref), "last_year": (start("year", -12), before(start("year")))}
+    if option not in out:
+        raise ValueError(f"unknown range {option}")
+    return F.struct(out[option][0].alias("first"), out[option][1].alias("last"))
+
+
 def quarter_range(year: int, quarter: int) -> tuple[dt.date, dt.date]:
     """First and last day of a quarter."""
     if quarter not in (1, 2, 3, 4):

@@ -44,6 +44,11 @@ def report(found: DataFrame) -> DataFrame:
     return found.groupBy("issue_type", "severity").agg(F.sum("times").alias("issues"), F.count_distinct("document_id").alias("documents"))
 
 
+def by_severity(found: DataFrame) -> DataFrame:
+    """Issues by type, a column for each severity."""
+    return found.groupBy("issue_type").pivot("severity", ["critical", "high", "medium", "low"]).agg(F.sum("times")).na.fill(0)
+
+
 def top_documents(found: DataFrame, most: int = 10) -> DataFrame:
     return found.groupBy("document_id").agg(F.sum("times").alias("issues")).orderBy(F.desc("issues"), "document_id").limit(most)
 

@@ -17,6 +17,13 @@ def batches(results: DataFrame) -> DataFrame:
     return results.groupBy("batch_id").agg(F.count("*").alias("processed"), one("completed").alias("successful"), one("failed").alias("failed"), one("skipped").alias("skipped"), F.coalesce(F.try_divide(one("completed"), F.count("*")), F.lit(0.0)).alias("success_rate"))
 
 
+def batch_times(results: DataFrame) -> DataFrame:
+    """``batch_id, started, ended, processing_time`` to each batch's wall time in seconds, null while a row has no end, and the mean time of a document."""
+    open_rows = F.count_if(F.col("ended").isNull()) > 0
+    wall = (F.unix_micros(F.max("ended")) - F.unix_micros(F.min("started"))) / F.lit(1e6)
+    return results.groupBy("batch_id").agg(F.when(~open_rows, F.bround(wall, 3)).alias("wall_seconds"), F.bround(F.avg("processing_time"), 6).alias("mean_time"))
+
+
 def errors(results: DataFrame) -> DataFrame:
     return results.where("status = 'failed'").groupBy("phase").agg(F.count("*").alias("errors"), F.count_distinct("batch_id").alias("batches"))
 

@@ -44,6 +44,11 @@ def ocr_summary(results: DataFrame) -> DataFrame:
                        *[F.count_if((F.col("score") >= a) & (F.col("score") < b)).alias(k) for k, (a, b) in bands.items()])
 
 
+def languages(results: DataFrame) -> DataFrame:
+    """How many texts there are of each language."""
+    return results.groupBy("language").agg(F.count("*").alias("n"))
+
+
 def error_histogram(results: DataFrame) -> DataFrame:
     return results.select(F.explode("errors").alias("e")).groupBy(F.split_part("e", F.lit(":"), F.lit(1)).alias("error")).agg(F.count("*").alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import dates, files, text as T
 from ..operators import calls, entities, issues, records, stats, validate
 from ..sources import mailbox, sinks, tables
-from .catalogue import _FLAGS, _transliterated, _WHOLE, query, read, tags, whole_docs
+from .catalogue import _FLAGS, _FOUND, _OCRV, _transliterated, _WHOLE, ocr_results, query, read, tags, whole_docs
 
 _EXTRA = f"""{_WHOLE}, full_docs as (select *, case document_id % 5 when 0 then 'not-a-date' when 1 then '2024-03-05T10:00:00Z' when 2 then '2024-03-05' end as made, case when document_id % 4 < 3 then '2024-02-01T00:00:00' end as changed,
  case document_id % 3 when 0 then 'scan ' || document_id || '.PDF' when 1 then '2024-03-05_' || correspondent || '_' || document_type || '.pdf' end as filename from docs)"""
@@ -445,3 +445,36 @@ def q115_first_errors(spark, d):
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     e = read(spark, d, "events").where("event_type = 'error'").withColumn("turn", turn).where("turn <= 10").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
     return e.select("user_id", F.array_join(F.col("ids").cast("array<string>"), "|").alias("first_errors"))
+
+
+_RANGES = {
+    "last_quarter": ("date_trunc('quarter', o) - interval 3 month", "date_trunc('quarter', o) - interval 1 day"), "current_quarter": ("date_trunc('quarter', o)", "date_trunc('quarter', o) + interval 3 month - interval 1 day"),
+    "last_3_months": ("date_trunc('month', o) - interval 3 month", "date_trunc('month', o) - interval 1 day"), "last_month": ("date_trunc('month', o) - interval 1 month", "date_trunc('month', o) - interval 1 day"),
+    "current_month": ("date_trunc('month', o)", "date_trunc('month', o) + interval 1 month - interval 1 day"), "year_to_date": ("date_trunc('year', o)", "o"), "last_year": ("date_trunc('year', o) - interval 1 year", "date_trunc('year', o) - interval 1 day")}
+
+
+@query("select o_orderkey, " + ", ".join(f"strftime({a}, '%Y%m%d') || '-' || strftime({b}, '%Y%m%d') as {k}" for k, (a, b) in _RANGES.items()) + " from (select o_orderkey, date_trunc('day', o_orderdate) as o from orders)")
+def q116_quick_ranges_of(spark, d):
+    """The seven ranges relative to every order's date."""
+    def shown(k: str):
+        r = dates.quick_range_of(k, F.col("o_orderdate"))
+        return F.concat(F.date_format(r["first"], "yyyyMMdd"), F.lit("-"), F.date_format(r["last"], "yyyyMMdd")).alias(k)
+
+    return read(spark, d, "orders").select("o_orderkey", *[shown(k) for k in _RANGES])
+
+
+@query(_FOUND + " select issue_type, " + ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in ("critical", "high", "medium", "low")) + " from found group by 1")
+def q117_severities(spark, d):
+    return issues.by_severity(issues.issues(whole_docs(spark, d)))
+
+
+@query("select user_id as batch_id, case when count(*) filter (event_type = 'signup') = 0 then round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) end as wall_seconds, round_even(avg(value), 6) as mean_time from events group by 1")
+def q118_batch_times(spark, d):
+    e = read(spark, d, "events")
+    ts = F.col("ts").cast("timestamp")
+    return stats.batch_times(e.select(F.col("user_id").alias("batch_id"), ts.alias("started"), F.when(F.col("event_type") != "signup", ts).alias("ended"), F.col("value").alias("processing_time")))
+
+
+@query(_OCRV + " select language, count(*) as n from r group by 1")
+def q119_ocr_languages(spark, d):
+    return validate.languages(ocr_results(spark, d))
