@@ -460,7 +460,8 @@ def encode_decode(docs: DataFrame, path: str, compiled: bytes | None = None, id_
     """One row per document: ``doc_id, ids`` (array of int), ``decoded``, the text that the ids give back.
 
     Null counts as empty: no ids, empty text. A special token's string in a text is that token, as in the
-    tokenizer library. Repeated rows each give a row; an empty table none; other columns are ignored.
+    tokenizer library. Repeated rows each give a row, a null id stays null; an empty table gives none; other columns
+    are ignored, whatever their names.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(compiled)

@@ -208,7 +208,7 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHA
            text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """Whole rows of every language, in the order of a hash of the id, as long as they have ``chars`` characters in all.
 
-    Of at most about ``2 * rows`` rows of a language that come first; rows that do not fit any more are passed over. If
+    Of at most about ``2 * rows`` rows of a language that come first, one of each id; rows that do not fit any more are passed over. If
     the first one alone is longer, it is the sample, cut to ``chars``.
     """
     d = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -218,6 +218,8 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHA
         return {}
     bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1 << 30, int((1 << 30) * 1.5 * rows / n) + 1))) for k, n in count.items()])
     some = d.where(F.col("h") < bound).select("lang", "h", F.substring("text", 1, chars).alias("text"), F.length("text").alias("n"))
+    # one row of each id, however often it occurs
+    some = some.groupBy("lang", "h").agg(F.min(F.struct("text", "n")).alias("r")).select("lang", "h", "r.text", "r.n")
     # rows are chosen by their lengths, so that what reaches the driver is bounded by characters
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     some = some.withColumn("turn", turn).where((F.col("turn") <= 2 * rows) & ((F.col("n") <= chars) | (F.col("turn") == 1)))
