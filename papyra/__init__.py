@@ -10,8 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch between the JVM and Python, unless the session sets them: each task holds several, beside the heap.
+ARROW_BYTES = 4 * 1024 * 1024
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package; on a cluster, ship it with ``--py-files``."""
+    """Lets Python workers on this machine import the package (on a cluster, ship it with ``--py-files``), and keeps Arrow
+    batches of long texts small where the session has Spark's default of 64 MB."""
+    if spark.conf.get(_ARROW, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_ARROW, ARROW_BYTES)
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if top not in env.get("PYTHONPATH", "").split(os.pathsep):
