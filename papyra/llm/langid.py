@@ -72,13 +72,14 @@ class Automaton:
         for c, s in self.next[0].items():
             root[c], own[c] = s, True
         # a missing arc ends the phrase; a character that the sample lacks is a phrase of its own
-        t = np.tile((root * width) << 2 | np.where(own, 1, 2), (len(self.next), 1))
+        t = np.empty((len(self.next), width), np.int32)
+        t[:] = (root * width) << 2 | np.where(own, 1, 2)
         t[0] = (root * width) << 2 | np.where(own, 0, 1)
-        rows = np.repeat(np.arange(len(self.next)), [len(a) for a in self.next])
-        cols = np.fromiter((c for a in self.next for c in a), np.int64, len(rows))
-        to = np.fromiter((s for a in self.next for s in a.values()), np.int64, len(rows))
-        t[rows, cols] = (to * width) << 2
-        return t.astype(np.int32).ravel()
+        for s, arcs in enumerate(self.next):
+            row = t[s]
+            for c, to in arcs.items():
+                row[c] = to * width << 2
+        return t.ravel()
 
 
 class Model:
