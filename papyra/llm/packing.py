@@ -29,6 +29,8 @@ OPEN = 128
 #: Partitions whose leftovers, less than a sequence each, one merging task takes.
 MERGE = 16
 END = 1
+#: Pieces of a generation that a worker's cache keeps: it changes speed and memory only.
+CACHE = 200_000
 _END = np.array([END], "<u4").tobytes()
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
@@ -48,7 +50,7 @@ class Encoder:
     #: Texts that may be lower-cased as a whole, and chunks that may be cut here.
     SIMPLE = r"[\t-\r -~À-ÖØ-öø-ÿ]*+"
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are busy with other tasks
         import regex
         from tokenizers import Tokenizer
@@ -113,8 +115,8 @@ class Encoder:
                     self.known[p] = np.array(self.t.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def encode_all(texts: list[str | None], path: str) -> list[bytes]:
-    return resident(("packing", path), lambda: Encoder(path)).encode(texts)
+def encode_all(texts: list[str | None], path: str, cache: int = CACHE) -> list[bytes]:
+    return resident(("packing", path, cache), lambda: Encoder(path, cache)).encode(texts)
 
 
 class Windows:
@@ -187,7 +189,7 @@ class _Rows:
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary()), pa.array(cols[8], pa.int64())], [*_NAMES, "merge"])
 
 
-def _pack(length: int, most: int, path: str, keep_ids: bool):
+def _pack(length: int, most: int, path: str, keep_ids: bool, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
@@ -195,7 +197,7 @@ def _pack(length: int, most: int, path: str, keep_ids: bool):
         for b in batches:
             docs = b.column(0).to_pylist()
             for at, to in slices(b.column(1), 1024, 4_000_000):
-                for doc, ids in zip(docs[at:to], encode_all(strings(b.column(1).slice(at, to - at)), path)):
+                for doc, ids in zip(docs[at:to], encode_all(strings(b.column(1).slice(at, to - at)), path, cache)):
                     total = len(ids) // 4
                     for start in range(0, total, length):
                         n = min(length, total - start)
@@ -255,7 +257,7 @@ def _room(tokens: int, length: int) -> int:
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, open_windows: int = OPEN, keep_ids: bool = True,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids`` (ids: little-endian
     unsigned 32-bit numbers; null unless ``keep_ids``).
 
@@ -266,7 +268,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_windows: int = O
     """
     spark = docs.sparkSession
     first = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _pack(length, open_windows, path, keep_ids), f"{_SCHEMA}, merge long")
+        _pack(length, open_windows, path, keep_ids, cache), f"{_SCHEMA}, merge long")
     # finished pieces stay spread; the leftovers of MERGE partitions meet
     dealt = first.withColumn("to", F.when(F.col("merge") < 0, F.col("sequence_id")).otherwise(F.floor(F.col("merge") / MERGE) - F.lit(1 << 40)))
     # in a fixed order, so that a task that is run again cuts the same sequences, and holds one at a time
