@@ -49,7 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining texts into sequences. Null and empty texts are their end id alone; repeated rows are packed as
     often as they occur; an empty table gives no piece."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False).drop("ids")
+    # executors also hold what the stages before have left: a small cache
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False, cache=40_000).drop("ids")
 
 
 STAGES = [("language_id", language_id), ("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", pack)]
