@@ -22,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import partitions, rarely_collect, resident, slices, strings
+from ._common import partitions, rarely_collect, release, resident, slices, strings
 
 LENGTH = 2048
 OPEN = 128
 #: Partitions whose leftovers, less than a sequence each, one merging task takes.
 MERGE = 16
 END = 1
-#: Pieces of a generation that a worker's cache keeps: it changes speed and memory only.
+#: Pieces of a generation that a worker's cache keeps: it changes speed and memory only. A smaller one is not kept between tasks.
 CACHE = 200_000
 _END = np.array([END], "<u4").tobytes()
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -218,6 +218,8 @@ def _pack(length: int, most: int, path: str, keep_ids: bool, cache: int):
                 serial += 1
         out.rows.extend((doc, start, n, 0, total, part, 0, ids, part) for doc, start, ids, total, n in rest.held)
         yield out.batch()
+        if cache < CACHE:
+            release()
 
     return run
 
