@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, embedding, exactdedup, langid, licenses, linededup, packing, quality, simhash
+from . import bpe, chat, embedding, exactdedup, langid, licenses, linededup, packing, prefixtrie, quality, simhash, spelling, substrings
 from ._common import table
 
 
@@ -126,6 +126,66 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 in SQL: the table of its polynomial, and the sum over a list ``b`` of bytes.
+_CRC_TABLE = "select list(c order by i) as crc from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, b::bigint[]), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)"
+OP11_SQL = f"""
+with recursive t as ({_CRC_TABLE}),
+r as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+o as (select doc_id, run, count(*) as n from r where length(run) >= {spelling.LEAST_LENGTH} group by all),
+e as (select run, n, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)] else [195, unicode(ch) - 64] end)) as b from o),
+h as (select run, n, {_CRC} as h from e, t),
+w as (select case when h % {spelling.DAMAGE} = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(n)::bigint as n from h group by 1 having length(word) >= {spelling.LEAST_LENGTH} and sum(n) >= {spelling.LEAST_COUNT}),
+d as (select word, n, i, left(word, i::int) || substr(word, i::int + 2) as rest from (select word, n, unnest(range(length(word))) as i from w)),
+p as (select a.word as word, b.word as other, b.n as other_n from d a join d b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+ union select a.word, b.word, b.n from d a join w b on a.rest = b.word union select b.word, a.word, a.n from d a join w b on a.rest = b.word),
+m as (select word, count(*) as n_near, first(other order by other_n desc, other) as best, max(other_n) as best_n from p group by word),
+f as (select w.word as word, n, coalesce(n_near, 0) as n_near, case when best_n >= {spelling.RATIO} * n then best end as form, case when best_n >= {spelling.RATIO} * n then best_n end as form_n from w left join m on w.word = m.word),
+c(word, place) as (select word, word from f union all select c.word, f.form from c join f on c.place = f.word where f.form is not null)
+select f.word as word, f.form as form, c.place as root, f.n as n, f.n_near as n_near, f.form_n as form_n from f join c on c.word = f.word join f e on e.word = c.place and e.form is null
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = f"""
+with t as ({_CRC_TABLE}),
+q as (select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as seq, list_transform(string_split(conv_id::varchar, ''), lambda ch: unicode(ch)) as b
+ from conversations where conv_id is not null group by conv_id),
+c as (select conv_id, seq, ({_CRC} % {prefixtrie.SHARED})::int as h from q, t),
+s as (select a.conv_id as conv_id, list_concat(coalesce(list_slice(b.seq, 1, a.h), []), list_slice(a.seq, a.h + 1, len(a.seq))) as seq from c a left join c b on b.conv_id = a.conv_id - a.conv_id % {prefixtrie.BLOCK}),
+x as (select conv_id, seq, unnest(range(len(seq) + 1))::int as depth from s),
+n as (select list_slice(seq, 1, depth) as k, depth, min(conv_id) as lo, count(*) as n, string_agg(conv_id::varchar, ',' order by conv_id) filter (len(seq) = depth) as ends from x group by 1, 2),
+k as (select list_slice(k, 1, depth - 1) as k, count(*) as n from n where depth > 0 group by 1),
+a as (select n.*, coalesce(k.n, 0) as children, p.lo as parent from n left join k on n.k = k.k left join n p on n.depth > 0 and p.depth = n.depth - 1 and p.k = list_slice(n.k, 1, n.depth - 1))
+select a.lo as conv_id, a.depth::bigint as depth, any_value(a.parent) as parent_conv_id, any_value(a.n) as n_convs, any_value(a.children) as n_children, count(*) filter (b.children = 0) as n_leaves,
+ sum(case when b.depth > 0 then (b.n - 1) * length(b.k[b.depth].text) else 0 end)::bigint as saved_tokens, sha256(coalesce(any_value(a.ends), '')) as ends_sha256
+from a join a b on b.depth >= a.depth and list_slice(b.k, 1, a.depth) = a.k group by a.lo, a.depth
+"""
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') as w from documents),
+g as (select r, doc_id, i, md5(array_to_string(list_slice(w, i::int, i::int + {substrings.WINDOW - 1}), ' ')) as h from (select *, unnest(range(1, len(w) - {substrings.WINDOW - 2})) as i from d)),
+m as (select h, min(doc_id) as least from g group by h),
+b as (select distinct r, unnest(range(i, i + {substrings.WINDOW})) as i from g join m on g.h = m.h where m.least < g.doc_id or (g.doc_id is null and m.least is not null)),
+p as (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+k as (select p.r as r, count(b.i) as n_removed, string_agg(p.x, ' ' order by p.i) filter (b.i is null) as kept from p left join b on p.r = b.r and p.i = b.i group by p.r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k on d.r = k.r
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if top not in sys.path:
@@ -136,9 +196,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_language_id, op3_bpe, op4_embedding_near_dedup, op5_license_scan, op6_quality, op7_exact_dedup, op8_chat, op9_packing, op10_simhash)
+    own = (op1_line_dedup, op2_language_id, op3_bpe, op4_embedding_near_dedup, op5_license_scan, op6_quality, op7_exact_dedup, op8_chat, op9_packing, op10_simhash, op11_spelling_variants, op12_prefix_trie, op13_substring_dedup)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_license_scan": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_license_scan": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_chat": OP8_SQL,
+            "op11_spelling_variants": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_substring_dedup": OP13_SQL}
