@@ -209,15 +209,16 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHA
            text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """Whole rows of every language, in the order of a hash of the id, as long as they have ``chars`` characters in all.
 
-    Of at most about ``2 * rows`` rows of a language that come first, one of each id; rows that do not fit any more are passed over. If
-    the first one alone is longer, it is the sample, cut to ``chars``.
+    Of at most about ``2 * rows`` ids of a language that come first, one row of each; rows that do not fit any more are passed over. If
+    the first one alone is longer, it is the sample, cut to ``chars``. The bound on the hash follows the number of distinct ids (estimated
+    to 2 %), not of rows, and lies above the first id, so that every language with a labelled row has one in the sample.
     """
     d = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"))
-    count = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not count:
+    ids = d.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("first")).collect()
+    if not ids:
         return {}
-    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1 << 30, int((1 << 30) * 1.5 * rows / n) + 1))) for k, n in count.items()])
+    bound = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(max(r["first"] + 1, min(1 << 30, int((1 << 30) * 1.5 * rows / max(1, r["n"])) + 1)))) for r in ids])
     some = d.where(F.col("h") < bound).select("lang", "h", F.substring("text", 1, chars).alias("text"), F.length("text").alias("n"))
     # one row of each id, however often it occurs
     some = some.groupBy("lang", "h").agg(F.min(F.struct("text", "n")).alias("r")).select("lang", "h", "r.text", "r.n")

@@ -124,6 +124,19 @@ def test_stages_with_odd_rows(spark, odd):
 
 # --- language
 
+def test_no_language_is_lost_where_ids_repeat(spark, tmp_path):
+    """Many rows of few ids beside few rows of many ids: through the sample, the query and the stage."""
+    fr, de = "le chat est sur la table et le chien dort dans la maison", "der hund und die katze sind in dem haus und schlafen"
+    few = spark.range(200_000).select((F.col("id") % 4 + 4).alias("doc_id"), F.lit(fr).alias("text"), F.lit("fr").alias("lang"), F.lit("s").alias("source"), F.lit(50).cast("long").alias("n_chars"))
+    many = spark.range(1000).select((F.col("id") + 100).alias("doc_id"), F.lit(de).alias("text"), F.lit("de").alias("lang"), F.lit("s").alias("source"), F.lit(50).cast("long").alias("n_chars"))
+    d = few.unionByName(many)
+    assert set(langid.sample(d)) == {"fr", "de"} and set(langid.sample(d, rows=1)) == {"fr", "de"}
+    d.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(r["text"], r["lang_pred"]) for r in op2_language_id(spark, f"file://{tmp_path}").join(d.select("doc_id", "text").distinct(), "doc_id").select("text", "lang_pred").distinct().collect()}
+    assert got == {(fr, "fr"), (de, "de")}
+    assert {(r["text"], r["lang"]) for r in P.language_id(spark, d, DIR).select("text", "lang").distinct().collect()} == {(fr, "fr"), (de, "de")}
+
+
 def phrases(text, train):
     """Longest matches, by search."""
     norm = lambda t: re.sub(r"[^a-zäöüßéèêçñáíóúàâîôûëïœæ一-鿿]+", " ", t.lower())
