@@ -432,7 +432,7 @@ def q48_sender_fields(spark, d):
 _TYPE = "case " + " ".join(f"when regexp_matches(n, '{'|'.join(ks)}') then '{t}'" for t, ks in files.TYPES.items()) + " end"
 
 
-@query(f"select page_id, {_TYPE} as kind from (select page_id, lower(url || ' ' || left(html, 400)) as n from pages)")
+@query(f"select page_id, {_TYPE} as kind from (select page_id, lower(url || ' ' || html) as n from pages)")
 def q49_doc_type_guess(spark, d):
     return read(spark, d, "pages").select("page_id", files.document_type(F.col("url"), F.col("html")).alias("kind"))
 
