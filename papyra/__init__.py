@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 #: Bytes of an Arrow batch between the JVM and Python, unless the session sets them: each task holds several, beside the heap.
@@ -27,6 +30,12 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders and tables that operators of this session have made, and where the frames are that read them.
+_FOLDERS: list[str] = []
+_TABLES: list[str] = []
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; only where that is unset and all run on
     this machine (tests), a temporary one."""
@@ -39,8 +48,68 @@ def work_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder in it, which ``sweep`` removes."""
+    _FOLDERS.append(f"{work_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return _FOLDERS[-1]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: computed once, and its rows stay in their partitions."""
-    path = f"{work_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, is computed once, and its rows stay in their partitions."""
+    path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unwritten(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that ``written`` gave and that nothing reads any more."""
+    for df in frames:
+        path = _PATHS.pop(df, None)
+        if path in _FOLDERS:
+            _delete(df.sparkSession, path)
+            _FOLDERS.remove(path)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes, at the end of the block, the tables made in it, but for those of the frames given to what it yields."""
+    folders, tables, kept = len(_FOLDERS), len(_TABLES), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_PATHS[df])
+        return df
+
+    yield keep
+    for name in _TABLES[tables:]:
+        spark.sql(f"drop table if exists {name}")
+    del _TABLES[tables:]
+    made = _FOLDERS[folders:]
+    _FOLDERS[folders:] = [f for f in made if f in kept]
+    for f in made:
+        if f not in kept:
+            _delete(spark, f)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what the operators of this session have left in the shared folder. For after their results are read:
+    a frame that an operator returned reads these tables."""
+    while _TABLES:
+        spark.sql(f"drop table if exists {_TABLES.pop()}")
+    while _FOLDERS:
+        _delete(spark, _FOLDERS.pop())
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place, from 0, in the order of some columns, nulls first: they are dealt out in ranges and counted in
+    each, after the counts of the ranges before, so that they needn't meet in one task."""
+    dealt = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, place).drop("_part", "_n", "_before")

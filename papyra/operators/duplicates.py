@@ -130,12 +130,18 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     rest, own = float(rows["rest"].iloc[0]), bool(rows["own"].iloc[0])
     a = rows[rows["side"] == 0]
     b = a if own else rows[rows["side"] == 1]
-    if not len(a) or not len(b):
-        return pd.DataFrame({"id1": [], "id2": [], "n1": [], "n2": [], "score": []})
-    p, q, ratio = title_links(a["title"].tolist(), b["title"].tolist(), 3 * LEAST - rest, own)
-    one, two, n, m = a["id"].to_numpy()[p], b["id"].to_numpy()[q], a["n"].to_numpy()[p], b["n"].to_numpy()[q]
-    turn = one > two
-    return pd.DataFrame({"id1": np.where(turn, two, one), "id2": np.where(turn, one, two), "n1": np.where(turn, m, n), "n2": np.where(turn, n, m), "score": (ratio + rest) / 3})
+    least = 3 * LEAST - rest
+    # pairs of two that aren't fresh are known
+    new, old = a[a["fresh"]], a[~a["fresh"]]
+    tasks = [(new, new, True), (new, old, False)] if own else [(new, b, False), (old, b[b["fresh"]], False)]
+    found = []
+    for x, y, same in tasks:
+        if len(x) and len(y):
+            p, q, ratio = title_links(x["title"].tolist(), y["title"].tolist(), least, same)
+            one, two, n, m = x["id"].to_numpy()[p], y["id"].to_numpy()[q], x["n"].to_numpy()[p], y["n"].to_numpy()[q]
+            turn = one > two
+            found.append(pd.DataFrame({"id1": np.where(turn, two, one), "id2": np.where(turn, one, two), "n1": np.where(turn, m, n), "n2": np.where(turn, n, m), "score": (ratio + rest) / 3}))
+    return pd.concat(found) if found else pd.DataFrame({"id1": [], "id2": [], "n1": [], "n2": [], "score": []})
 
 
 def _fields(docs: DataFrame) -> DataFrame:
@@ -153,27 +159,35 @@ def members(docs: DataFrame) -> DataFrame:
     return _fields(docs).join(classes(docs), FIELDS).select("document_id", "id", "n")
 
 
-def class_pairs(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``id1, id2, n1, n2, score``: pairs of classes of a mean of 90; a class of several documents is a pair with itself."""
-    c = classes(docs)
+def links(c: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``title, correspondent, created, id, n, fresh``, a row for each class, to ``id1, id2, n1, n2, score``: pairs of classes of a mean of
+    90 of which at least one is fresh."""
     places = c.groupBy("correspondent", "created").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    side = lambda k: places.select(F.col("correspondent").alias(f"c{k}"), F.col("created").alias(f"d{k}"), F.col("parts").alias(f"parts{k}"))
+    dealt = c.join(places, ["correspondent", "created"]).withColumn("part", F.pmod(F.xxhash64("title"), F.col("parts")).cast("int"))
+    has = dealt.groupBy("correspondent", "created", "parts", "part").agg(F.max("fresh").alias("any"))
+    side = lambda k: has.select(F.col("correspondent").alias(f"c{k}"), F.col("created").alias(f"d{k}"), F.col("part").alias("ij"[k - 1]), F.col("any").alias(f"any{k}"))
+    place = lambda k: places.select(F.col("correspondent").alias(f"c{k}"), F.col("created").alias(f"d{k}"))
     order: Column = F.struct("c1", "d1") <= F.struct("c2", "d2")
-    met = side(1).crossJoin(side(2)).where(order & like_length(F.col("c1"), F.col("c2"), 70.0) & like_length(F.col("d1"), F.col("d2"), 70.0))
+    met = place(1).crossJoin(place(2)).where(order & like_length(F.col("c1"), F.col("c2"), 70.0) & like_length(F.col("d1"), F.col("d2"), 70.0))
     met = met.withColumn("rest", indel_ratio(F.col("c1"), F.col("c2")) + indel_ratio(F.col("d1"), F.col("d2"))).where(F.col("rest") >= 3 * LEAST - 100 - _EPS)
     same = (F.col("c1") == F.col("c2")) & (F.col("d1") == F.col("d2"))
-    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts1") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    met = met.join(side(1), ["c1", "d1"]).join(side(2), ["c2", "d2"]).where(F.col("any1") | F.col("any2")).drop("any1", "any2")
     met = met.where(~same | (F.col("i") <= F.col("j"))).withColumn("own", same & (F.col("i") == F.col("j")))
-    part = F.pmod(F.xxhash64("title"), F.col("parts")).cast("int")
-    dealt = c.join(places, ["correspondent", "created"]).select("title", "correspondent", "created", "id", "n", part.alias("part"))
     key = ["c1", "d1", "c2", "d2", "i", "j"]
 
     def sent(k: int, chunk_of: str, tasks: DataFrame) -> DataFrame:
         on = (F.col("correspondent") == F.col(f"c{k}")) & (F.col("created") == F.col(f"d{k}")) & (F.col("part") == F.col(chunk_of))
-        return dealt.join(tasks, on).select(*key, "rest", "own", F.lit(k - 1).alias("side"), "title", "id", "n")
+        return dealt.join(tasks, on).select(*key, "rest", "own", F.lit(k - 1).alias("side"), "title", "id", "n", "fresh")
 
     both = sent(1, "i", met).unionByName(sent(2, "j", met.where("not own")))
-    pairs = both.groupBy(*key).applyInPandas(_compared, "id1 long, id2 long, n1 long, n2 long, score double")
+    kind = c.schema["id"].dataType.simpleString()
+    return both.groupBy(*key).applyInPandas(_compared, f"id1 {kind}, id2 {kind}, n1 long, n2 long, score double")
+
+
+def class_pairs(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``id1, id2, n1, n2, score``: pairs of classes of a mean of 90; a class of several documents is a pair with itself."""
+    c = classes(docs)
+    pairs = links(c.withColumn("fresh", F.lit(True)), chunk)
     return pairs.unionByName(c.where("n > 1").select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.col("n").alias("n1"), F.col("n").alias("n2"), F.lit(100.0).alias("score")))
 
 

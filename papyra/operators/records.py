@@ -12,6 +12,7 @@ from .. import written
 from ..functions import dates, files, jsonrepair, text as T
 from ..functions.similarity import wratio
 from . import validate
+from .entities import chosen_of
 
 # Pairs that look alike but differ.
 FALSE_PAIRS = [
@@ -63,35 +64,6 @@ def unified(a: Column, b: Column) -> Column:
     return F.when(F.length(a) <= F.length(b), a).otherwise(b)
 
 
-def matched_in_order(docs: DataFrame, existing: list[str], least: float = 95.0, tags_col: str = "tags") -> DataFrame:
-    """``docs`` with ``matches``: each proposed tag's match (tag, match or null, score), one after the other: a tag that
-    matches nothing joins the candidates of the later ones of its row. ``existing`` is a bounded dimension, in order."""
-
-    def run(tags: pd.Series) -> pd.Series:
-        seen: dict[tuple[str, str], float] = {}
-
-        def score(a: str, b: str) -> float:
-            key = a.lower().strip(), b.lower().strip()
-            if key not in seen:
-                seen[key] = wratio(*key)
-            return seen[key]
-
-        def row(proposed) -> list[dict]:
-            pool, out = list(existing), []
-            for tag in [] if proposed is None else proposed:
-                best = max(((score(tag, c), -k) for k, c in enumerate(pool)), default=None) if tag is not None else None
-                hit = best is not None and best[0] >= least
-                out.append({"tag": tag, "match": pool[-best[1]] if hit else None, "score": best[0] if best else None})
-                if not hit and tag is not None:
-                    pool.append(tag)
-            return out
-
-        return tags.map(row)
-
-    kind = "array<struct<tag:string,match:string,score:double>>"
-    return docs.withColumn("matches", F.pandas_udf(run, kind)(F.col(tags_col)))
-
-
 def metadata(docs: DataFrame, strict: bool = False, recipients: list[str] = validate.RECIPIENTS, german: bool = True) -> DataFrame:
     """``document_id, title, correspondent, document_type, tags, note, created, modified, filename`` to validity, issues
     and suggestions. Warnings (type, dates, file name) are told with a prefix, types are errors if ``strict``, and
@@ -179,12 +151,8 @@ def unified_tags(docs: DataFrame, members: DataFrame, id_col: str = "document_id
     return d.select(id_col, F.concat(names("kept"), F.array_except(names("added"), names("kept"))).alias("tags"), F.size("added").cast("long").alias("updates"))
 
 
-def representative(members: DataFrame) -> DataFrame:
-    """``cluster, name, document_count, pos`` with ``rn``, 1 for the representative: the most used; of several, the first that
-    doesn't end like a plural, else the shortest."""
-    plain = ~F.col("name").rlike("(en|er|s|e)$")
-    order = [F.desc("document_count"), F.desc(plain), F.when(plain, F.col("pos")), F.length("name"), F.col("pos")]
-    return members.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy(*order)))
+#: The representative of a cluster by its use.
+representative = chosen_of
 
 
 def relatives(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import attach, work_folder
+from .. import attach, shared_dir
 from ..functions import dates, files, jsonrepair, text as T
 from ..operators import duplicates, entities, issues, stats, validate
 from ..sources import sinks, tables
@@ -482,7 +482,7 @@ def q57_mask(spark, d):
 
 @query(f"select doc_id, {_OCR} as issue_type from documents where {_OCR} is not null")
 def q58_stream_issues(spark, d):
-    base = f"{work_folder(spark)}/issues-{uuid.uuid4().hex[:12]}"
+    base = shared_dir(spark, "issues")
     intake.run_available(intake.ocr_issues(spark, f"{d}/documents.parquet"), f"{base}/out", f"{base}/log")
     return spark.read.schema("doc_id long, issue_type string").parquet(f"{base}/out")
 
