@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
-import weakref
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .. import attach
+from .. import _FOLDERS, _TABLES, attach, shared_dir, sweep, temporary, unwritten, written  # noqa: F401  used by the operators
 
 #: Most keys that ``spread_join`` broadcasts, and the rows of a key that a task may always hold.
 HEAVY = 10_000
@@ -26,76 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_FOLDERS: list[str] = []
-_TABLES: list[str] = []
-_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or, only where that is unset
-    and all run on this machine (tests), under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("papyra.work.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="papyra-")
-        spark.conf.set("papyra.work.dir", base)
-    _FOLDERS.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}")
-    return _FOLDERS[-1]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and is computed once."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def unwritten(*frames: DataFrame) -> None:
-    """Deletes the tables of frames that ``written`` gave and that nothing reads any more."""
-    for df in frames:
-        path = _PATHS.pop(df, None)
-        if path in _FOLDERS:
-            _delete(df.sparkSession, path)
-            _FOLDERS.remove(path)
-
-
-@contextlib.contextmanager
-def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Removes, at the end of the block, the tables made in it, but for those of the frames given to what it yields."""
-    folders, tables, kept = len(_FOLDERS), len(_TABLES), []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(_PATHS[df])
-        return df
-
-    yield keep
-    for name in _TABLES[tables:]:
-        spark.sql(f"drop table if exists {name}")
-    del _TABLES[tables:]
-    made = _FOLDERS[folders:]
-    _FOLDERS[folders:] = [f for f in made if f in kept]
-    for f in made:
-        if f not in kept:
-            _delete(spark, f)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Deletes what the operators of this session have left in the shared folder. For after their results are read:
-    a frame that an operator returned reads these tables."""
-    while _TABLES:
-        spark.sql(f"drop table if exists {_TABLES.pop()}")
-    while _FOLDERS:
-        _delete(spark, _FOLDERS.pop())
-
-
 def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, filler: Column, heavy: int = HEAVY) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row per ``key`` and, as ``weight``, the rows that hold it.
 
@@ -113,6 +38,18 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total:
     return out.select(*rows.columns, *[F.col(f"__of.{c}").alias(c) for c in cols])
 
 
+#: Tasks that a key's rows are spread over by ``salted_join``, beside what Spark splits at run time.
+SALTS = 64
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: Column, spread: Column, how: str = "inner") -> DataFrame:
+    """A join whose common keys nobody has counted: every row of ``table`` is sent ``SALTS`` times, and the rows of a key go to as many
+    tasks by ``spread``, a number that differs between them. ``table`` has few rows for each key."""
+    left = rows.withColumn("__salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
+    right = table.withColumn("__of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, on & (F.col("__salt") == F.col("__of_salt")), how).drop("__salt", "__of_salt")
+
+
 _RESIDENT: dict = {}
 
 

@@ -3,13 +3,14 @@
 A Structured Streaming query keys its state by the digest of the normalised text; the state lies in RocksDB
 on disk, never expires, and keeps for each digest the identifier that stays, the number of rows, and a locator
 (file and row) of that row's content. Texts of rows whose digest was hit are then compared byte by byte with the
-text at the locator; a digest that stands for different texts is taken apart by the texts themselves. DataFrame
-functions only.
+text at the locator; a digest that stands for different texts is taken apart by the texts themselves. The state can
+live on: ``arrivals`` takes files as they come, against a store that is kept between calls. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -48,14 +49,9 @@ def _locator() -> Column:
     return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
 
 
-def keyed_state(spark: SparkSession, path: str, schema: StructType, id_col: str = "doc_id", text_col: str = "text",
-                digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> DataFrame:
-    """Streams the Parquet table at ``path``; the final state ``digest, keep_id, group_size, locator``."""
-    files = len(spark.read.schema(schema).parquet(path).inputFiles())
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, math.ceil(files / batches))).parquet(exactly(path))
-    state = rows.select(F.col(id_col).cast("long").alias("doc_id"), digest(normalised(F.col(text_col))).alias("digest"), _locator().alias("locator")).groupBy("digest").agg(
-        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("locator", "doc_id").alias("locator"))
-    out, log = shared_dir(spark, "state"), shared_dir(spark, "statelog")
+def _update(state: DataFrame, out: str, log: str) -> None:
+    """Runs a stream's available input into ``out``, a folder of what each batch changed."""
+    spark = state.sparkSession
     before = {k: spark.conf.get(k, None) for k in _CONF}
     for k, v in _CONF.items():
         spark.conf.set(k, v)
@@ -66,12 +62,79 @@ def keyed_state(spark: SparkSession, path: str, schema: StructType, id_col: str
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kinds = StructType([f for f in state.schema.fields])
-    # an update holds a digest's state so far, so the largest is the last
-    return spark.read.schema(kinds).parquet(f"{out}/batch=*").groupBy("digest").agg(
+
+
+def _streamed(spark: SparkSession, path: str, schema: StructType, id_col: str, text_col: str, digest: Callable[[Column], Column], files_at_once: int, call: int | None = None) -> DataFrame:
+    """The state as a stream; with the number of a call, the state also keeps the locator of a row of a digest's first call."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(exactly(path))
+    first = [] if call is None else [F.min_by("locator", "call").alias("origin")]
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), digest(normalised(F.col(text_col))).alias("digest"), _locator().alias("locator"), F.lit(call).alias("call")).groupBy("digest").agg(
+        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("locator", "doc_id").alias("locator"), *first)
+
+
+def _last(spark: SparkSession, kinds: StructType, paths: list[str]) -> DataFrame:
+    """An update holds a digest's state so far, so the largest is the last."""
+    return spark.read.schema(kinds).parquet(*paths).groupBy("digest").agg(
         F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max_by("locator", "group_size").alias("locator"))
 
 
+def keyed_state(spark: SparkSession, path: str, schema: StructType, id_col: str = "doc_id", text_col: str = "text",
+                digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> DataFrame:
+    """Streams the Parquet table at ``path``; the final state ``digest, keep_id, group_size, locator``."""
+    files = len(spark.read.schema(schema).parquet(path).inputFiles())
+    state = _streamed(spark, path, schema, id_col, text_col, digest, max(1, math.ceil(files / batches)))
+    out, log = shared_dir(spark, "state"), shared_dir(spark, "statelog")
+    _update(state, out, log)
+    return _last(spark, state.schema, [f"{out}/batch=*"])
+
+
+def arrivals(spark: SparkSession, path: str, store: str, schema: StructType, id_col: str = "doc_id", text_col: str = "text",
+             digest: Callable[[Column], Column] = sha256, files_at_once: int = 64) -> DataFrame:
+    """The rows of the Parquet files that have come to ``path`` since the last call with this ``store``, told against all rows so far:
+    ``doc_id, keep_id, group_size, kept, text_sha256, locator, hit``, as they stand after this call.
+
+    ``store`` is a folder that is kept between calls, shared by all machines: the stream's checkpoint with its RocksDB state, what
+    each batch changed, and the files of each call. Only new files are read. ``hit``: an earlier call had the digest. A text whose digest
+    was there before is compared, byte by byte, with the content at a locator that the state keeps of its first call, which is read from
+    the file that the locator names; texts of one digest that differ raise an error here, as their counts can't be told apart afterwards
+    (``exact_duplicates`` does that over a whole table). A call that broke off is made up for by the next one. Nulls, repeated ids
+    and rows as in ``exact_duplicates``; no new file, no row.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    known = spark.read.schema("path string, upto long").parquet(f"{store}/calls/*") if there(f"{store}/calls") else spark.createDataFrame([], "path string, upto long")
+    all_files = spark.createDataFrame([(f,) for f in spark.read.schema(schema).parquet(path).inputFiles()], "path string")
+    new = [r["path"] for r in all_files.join(known, "path", "left_anti").collect()]  # names of files, as Spark's own listing has them
+    upto = known.agg(F.max("upto")).first()[0]
+    state = _streamed(spark, path, schema, id_col, text_col, digest, files_at_once, 0 if upto is None else upto + 1)
+    if not new:
+        return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, locator string, hit boolean")
+    _update(state, f"{store}/state", f"{store}/log")
+    made = spark.read.schema(StructType([*state.schema.fields]).add("batch", "long")).parquet(f"{store}/state")
+    mine = made.where(F.col("batch") > (-1 if upto is None else upto))
+    now = written(mine.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max_by(F.struct("locator", "origin"), "group_size").alias("l")).select("digest", "keep_id", "group_size", "l.*"), "now")
+    rows = spark.read.schema(schema).parquet(*new)
+    docs = rows.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
+    docs = docs.withColumn("digest", digest(F.col("text")))
+    size = docs.groupBy("digest").agg(F.count("*").alias("here"))
+    told = written(now.join(size, "digest").withColumn("hit", F.col("group_size") > F.col("here")), "told")
+    spread = F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()).cast("string").cast("binary")
+    # the content that the first locator names, in a file of an earlier call if that had the digest, against the least and greatest text here
+    shared = told.where("group_size > 1").select("digest", F.col("origin").alias("locator"), F.regexp_extract("origin", "^(.*)#", 1).alias("file"))
+    places = [r["file"] for r in shared.select("file").distinct().collect()]  # names of files
+    if places:
+        kept_rows = spark.read.schema(schema).parquet(*places).select(_locator().alias("locator"), normalised(F.col(text_col)).alias("located"))
+        located = kept_rows.join(shared.select("digest", "locator"), "locator").select("digest", "located")
+        ends = docs.join(shared.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
+        mixed = ends.join(located, "digest", "left").where("not (least <=> located and most <=> located)")
+        if not mixed.isEmpty():
+            raise ValueError("texts of one digest differ: " + mixed.select(F.lower(F.hex("digest"))).first()[0])
+    spark.createDataFrame([(f, made.agg(F.max("batch")).first()[0]) for f in new], "path string, upto long").write.parquet(f"{store}/calls/{uuid.uuid4().hex[:12]}")
+    rows = docs.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256"))
+    out = spread_join(rows, told, "digest", "here", told.agg(F.coalesce(F.sum("here"), F.lit(0))).first()[0], spread)
+    return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", "locator", "hit")
+
+
 def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256,
                      batches: int = BATCHES) -> DataFrame:
     """One row per row of the Parquet table at ``path``: ``doc_id, keep_id, group_size, kept, text_sha256, locator``.

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import written
+from ._common import salted_join, written
 
 SHINGLE = 5
 WIDE = 32
@@ -126,8 +126,11 @@ def _template_runs(t: DataFrame) -> DataFrame:
     return h.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("w") <= TINY, 0).otherwise(SEEDS - 1))).alias("seed"))
 
 
-def _bounded(d: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(d) if d.count() <= most else d
+def _joined(rows: DataFrame, table: DataFrame, key: str, spread: Column, most: int) -> DataFrame:
+    """``rows`` with the rows of a table that is broadcast up to ``most`` rows; a key of more meets its table's rows in several tasks."""
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), key)
+    return salted_join(rows, table.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key"), spread).drop("__key")
 
 
 def scan(docs: DataFrame, notices: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,15 +155,15 @@ def scan(docs: DataFrame, notices: DataFrame, containment: float = CONTAINMENT,
     def words(d: DataFrame) -> DataFrame:
         return _with_words(d.select("doc_id", _words(F.col("text")).alias("words")), "doc_id")
 
-    met = _keys(_text_windows(words(texts), ["doc_id"], windows), ["doc_id"]).join(_bounded(asked, BROADCAST_KEYS), "key").select("doc_id", "license_id").distinct()
+    met = _joined(_keys(_text_windows(words(texts), ["doc_id"], windows), ["doc_id"]), asked, "key", F.xxhash64("doc_id"), BROADCAST_KEYS).select("doc_id", "license_id").distinct()
     met = written(met, "met")
     ids = met.select(F.col("doc_id").alias("__id")).distinct()
-    if met.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    same = F.expr("doc_id <=> __id")
+    some = texts.join(F.broadcast(ids), same, "left_semi") if met.count() <= BROADCAST_IDS else salted_join(texts, ids, same, F.xxhash64("text"), "left_semi")
     # exact: the distinct shingles of the template that the candidate's text holds
-    close = words(texts.join(ids, F.expr("doc_id <=> __id"), "left_semi")).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: _shingle(F.col("words"), i))).alias("at", "shingle"))
-    held = close.join(_bounded(whole, BROADCAST_KEYS), "shingle").groupBy("doc_id", "license_id").agg(
+    close = words(some).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: _shingle(F.col("words"), i))).alias("at", "shingle"))
+    held = _joined(close, whole, "shingle", F.xxhash64("doc_id", "at"), BROADCAST_KEYS).groupBy("doc_id", "license_id").agg(
         F.count_distinct("shingle").alias("held"), (F.min("at") + 1).alias("first_word"), (F.max("at") + SHINGLE).alias("last_word"))
     found = held.join(met.select(F.col("doc_id").alias("__id"), F.col("license_id").alias("__license")), F.expr("doc_id <=> __id and license_id = __license"), "left_semi")
-    return found.join(_bounded(sizes, BROADCAST_KEYS), "license_id").withColumn("containment", F.col("held") / F.col("size")).where(
+    return _joined(found, sizes, "license_id", F.xxhash64("doc_id"), BROADCAST_KEYS).withColumn("containment", F.col("held") / F.col("size")).where(
         F.col("containment") >= containment).select("doc_id", "license_id", "containment", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"))

@@ -17,12 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import bucketed, partitions, release, strings, temporary, written
+from ._common import bucketed, partitions, release, salted_join, strings, temporary, written
 
 ORDER = 4
 BITS = 16
 #: Characters of text in a block, the unit whose distinct keys are looked up together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_500_000
 #: Trusted rows up to this many are broadcast as bare ids; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Languages' thresholds up to this many are broadcast; more are joined by a shuffle.
@@ -271,9 +271,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id
         bounds = keep(written(quantiles(held.select(key.alias("key"), F.col("perplexity").alias("value")), quantile), "bounds"))
     every = bounds.where("key.every").select("bound").first()
     own = bounds.where("not key.every").select(F.when(F.col("key.none"), None).otherwise(F.col("key.lang")).alias("__l"), F.col("n").alias("__held"), F.col("bound").alias("__own"))
-    if own.count() <= BROADCAST_LANGUAGES:
-        own = F.broadcast(own)
-    out = scored.join(own, lang.eqNullSafe(F.col("__l")), "left")
+    same = lang.eqNullSafe(F.col("__l"))
+    out = scored.join(F.broadcast(own), same, "left") if own.count() <= BROADCAST_LANGUAGES else salted_join(scored, own, same, F.monotonically_increasing_id(), "left")
     overall = F.lit(every[0] if every else None).cast("double")
     bound = F.when(F.col("__held") >= LEAST_HELD, F.col("__own")).otherwise(F.greatest("__own", overall))  # greatest skips nulls
     return out.withColumn("threshold", bound).withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop(

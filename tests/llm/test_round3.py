@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm import prefixtrie, spelling, substrings
+from papyra.llm import _common, exactdedup, prefixtrie, quality, spelling, substrings
 from papyra.llm.queries import op11_spelling_variants, op12_prefix_trie, op13_substring_dedup
 
 DIR = "/root/testdata/sf0.001"
@@ -202,3 +202,52 @@ def test_op13(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in op13_substring_dedup(spark, DIR).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     assert got == sorted((d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in plain_kept(rows))
+
+
+# --- exact dedup with a store, and joins whose common keys nobody has counted
+
+def arrived(d):
+    return sorted((tuple(r) for r in d.select("doc_id", "keep_id", "group_size", "kept", "hit").collect()), key=str)
+
+
+def test_arrivals_against_a_store(spark, tmp_path):
+    docs, store = f"file://{tmp_path}/docs", f"file://{tmp_path}/store"
+    schema = spark.createDataFrame([], "doc_id long, text string, x string").schema
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(docs)
+    put([(1, "Same", "a"), (2, "same", "b"), (3, "other", None), (None, None, None)])
+    call = lambda: exactdedup.arrivals(spark, docs, store, schema)
+    assert arrived(call()) == sorted([(1, 2, 2, False, False), (2, 2, 2, True, False), (3, 3, 1, True, False), (None, None, 1, True, False)], key=str)
+    assert call().count() == 0  # nothing has come
+    put([(9, "SAME", "c"), (8, "new", "d"), (0, "Other", None), (7, "", None)])
+    put([(9, "same", "e")])
+    # only the new rows, against all: old digests are hit
+    assert arrived(call()) == sorted([(9, 9, 4, True, True), (9, 9, 4, True, True), (8, 8, 1, True, False), (0, 3, 2, False, True), (7, 7, 2, True, True)], key=str)
+    whole = {(r["text_sha256"], r["keep_id"], r["group_size"]) for r in exactdedup.exact_duplicates(spark, docs).collect()}
+    assert {(r["text_sha256"], r["keep_id"], r["group_size"]) for r in exactdedup.exact_duplicates(spark, docs).where("keep_id in (9, 3, 8, 7)").collect()} <= whole
+
+
+def test_arrivals_compare_bytes_with_the_content_at_the_locator(spark, tmp_path):
+    docs, store = f"file://{tmp_path}/docs", f"file://{tmp_path}/store"
+    schema = spark.createDataFrame([], "doc_id long, text string").schema
+    first = lambda t: F.unhex(F.sha2(F.left(t, F.lit(3)), 256))  # noqa: E731  a digest under which texts collide
+    spark.createDataFrame([(1, "abcdef"), (2, "xyz")], schema).coalesce(1).write.parquet(docs)
+    assert exactdedup.arrivals(spark, docs, store, schema, digest=first).count() == 2
+    spark.createDataFrame([(3, "abc"), (4, "xyz")], schema).coalesce(1).write.mode("append").parquet(docs)
+    with pytest.raises(ValueError, match="differ"):
+        exactdedup.arrivals(spark, docs, store, schema, digest=first)
+
+
+def test_salted_join(spark):
+    left = spark.range(500).select("id", F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 9).alias("k"))
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (3, "c")], "j long, v string")
+    for how in ("inner", "left", "left_semi"):
+        got = _common.salted_join(left, right, F.col("k") == F.col("j"), F.xxhash64("id"), how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, F.col("k") == F.col("j"), how).collect()))
+
+
+def test_quality_beyond_the_languages_that_are_broadcast(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    rows = lambda: sorted(map(str, quality.classify(docs, labels.where("quality = 1 and toxic = 0")).collect()))
+    want = rows()
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", -1)
+    assert rows() == want
