@@ -61,7 +61,12 @@ def wratio(a: str, b: str) -> float:
     if long < 1.5:
         return max(best, 0.95 * max(indel(order(a), order(b)), token_set(a, b)))
     scale = 0.9 if long <= 8 else 0.6
-    return max(best, scale * partial(a, b), scale * 0.95 * max(partial(order(a), order(b)), 100.0 if set(a.split()) & set(b.split()) else partial(order(a), order(b))))
+    x, y = set(a.split()), set(b.split())
+    if x & y:
+        return max(best, scale * partial(a, b), scale * 0.95 * 100.0)
+    # words that repeat count once in one of the two
+    words = max(partial(order(a), order(b)), partial(order(" ".join(x)), order(" ".join(y))))
+    return max(best, scale * partial(a, b), scale * 0.95 * words)
 
 
 def _pairwise(f):

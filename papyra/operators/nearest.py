@@ -74,55 +74,78 @@ def bounds(a: Names, b: Names) -> np.ndarray:
     like = np.maximum(plain, 0.95 * np.maximum(ordered, of_sets))
     scale = np.where(high <= 8 * low, 0.9, 0.6)
     # against a part of the longer one, which may be as short as what they have in common
-    least = np.minimum(np.minimum(a.all_size[:, None], b.all_size[None, :]), low)
+    least = np.minimum(np.minimum(a.set_size[:, None], b.set_size[None, :]), low)  # each word once: the shortest form
     held = np.minimum(common, low)
     inside = np.minimum(100, 200 * held / np.maximum(least + held, 1))
     unlike = np.maximum(plain, scale * np.maximum(inside, 0.95 * np.where(some, 100, inside)))
     return np.where((low == 0) | (high == 0), 0, np.where(high < 1.5 * low, like, unlike)) + _EPS
 
 
-def best_of(asked: list[str], known: list[str], place: np.ndarray) -> list[tuple[int, float, int]]:
-    """For each key: the place in ``known`` of its nearest key, the first by ``place`` of several, the ratio, and the pairs that were scored."""
-    a, b = Names(asked), Names(known)
-    u = bounds(a, b)
+def best_of(asked: list[str], known: list[str], place: np.ndarray, floor: np.ndarray | None = None) -> list[tuple[int, float, int]]:
+    """For each key: the place in ``known`` of its nearest key, the first by ``place`` of several, the ratio, and the pairs that were scored.
+    ``floor``: ratios that are reached elsewhere; where none here is as good, the place is -1."""
+    u = bounds(Names(asked), Names(known))
     out = []
     for i, k in enumerate(asked):
-        best, at, scored = -1.0, -1, 0
+        best, at, scored = -1.0 if floor is None else float(floor[i]), -1, 0
         for j in np.argsort(-u[i], kind="stable").tolist():
             if u[i, j] < best:
                 break
             score = wratio(k, known[j])
             scored += 1
-            if score > best or score == best and place[j] < place[at]:
+            if score > best or score == best and (at < 0 or place[j] < place[at]):
                 best, at = score, j
         out.append((at, best, scored))
     return out
 
 
+def first_of(asked: list[str], known: list[str]) -> list[float]:
+    """For each key the ratio to the key of the highest bound: what its nearest key reaches at least."""
+    top = bounds(Names(asked), Names(known)).argmax(axis=1)
+    return [wratio(k, known[j]) for k, j in zip(asked, top.tolist())]
+
+
 def nearest(names: DataFrame, tags: DataFrame, block: int = BLOCK) -> DataFrame:
     """``name``, and ``pos, name`` of a dimension, to ``name, tag, score, scored``: for each distinct name the tag of the highest weighted
     ratio, the first by ``pos`` on ties, and the number of pairs that were scored for it. Null names are left out; without
-    tags there are no rows."""
+    tags there are no rows.
+
+    In a first pass each block scores the pair of the highest bound, and the best of these is where the search begins.
+    """
     attach(names.sparkSession)
     asked, known = names.where("name is not null").select("name").distinct(), tags.where("name is not null").select("pos", "name")
     n, m = (max(1, -(-d.count() // block)) for d in (asked, known))
     part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    none: Column = F.lit(None).cast("long")
-    one = asked.select(part("name", n).alias("i"), every(m).alias("j"), none.alias("pos"), "name")
-    other = known.select(every(n).alias("i"), part("name", m).alias("j"), F.col("pos").cast("long").alias("pos"), "name")
+    other = known.select(every(n).alias("i"), part("name", m).alias("j"), F.col("pos").cast("long").alias("pos"), "name", F.lit(None).cast("double").alias("floor"))
+
+    def met(d: DataFrame, run, kind: str) -> DataFrame:
+        one = d.select(part("name", n).alias("i"), every(m).alias("j"), F.lit(None).cast("long").alias("pos"), "name", "floor")
+        return one.unionByName(other).groupBy("i", "j").applyInPandas(run, kind)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[str], list[str], pd.DataFrame]:
         a, b = rows[rows["pos"].isna()], rows[rows["pos"].notna()]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"name": [], "tag": [], "pos": [], "score": [], "scored": []})
-        texts, pos = b["name"].tolist(), b["pos"].to_numpy(np.int64)
-        found = best_of([key_of(x) for x in a["name"]], [key_of(x) for x in texts], pos)
-        return pd.DataFrame({"name": a["name"].to_numpy(), "tag": [texts[k] for k, _, _ in found], "pos": [pos[k] for k, _, _ in found], "score": [s for _, s, _ in found], "scored": [c for _, _, c in found]})
-
-    met = one.unionByName(other).groupBy("i", "j").applyInPandas(run, "name string, tag string, pos long, score double, scored long")
-    best = F.max_by(F.struct("tag", "score"), F.struct("score", -F.col("pos")))
-    return met.groupBy("name").agg(best.alias("m"), F.sum("scored").alias("scored")).select("name", "m.tag", "m.score", "scored")
+        return a, [key_of(x) for x in a["name"]], [key_of(x) for x in b["name"]], b
+
+    def lowest(rows: pd.DataFrame) -> pd.DataFrame:
+        a, asked_keys, known_keys, _ = sides(rows)
+        got = first_of(asked_keys, known_keys) if asked_keys and known_keys else []
+        return pd.DataFrame({"name": a["name"].to_numpy(object)[:len(got)], "floor": np.array(got, np.float64)})
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        a, asked_keys, known_keys, b = sides(rows)
+        pos, texts = b["pos"].to_numpy(np.int64), b["name"].to_numpy(object)
+        got = best_of(asked_keys, known_keys, pos, a["floor"].to_numpy(np.float64)) if asked_keys and known_keys else []
+        at = np.array([k for k, _, _ in got], np.int64)
+        tag = np.array([texts[k] if k >= 0 else None for k in at.tolist()], object)
+        return pd.DataFrame({"name": a["name"].to_numpy(object)[:len(got)], "tag": tag, "pos": np.array([pos[k] if k >= 0 else -1 for k in at.tolist()], np.int64),
+                             "score": np.array([s if k >= 0 else -1.0 for k, s, _ in got], np.float64), "scored": np.array([c for _, _, c in got], np.int64)})
+
+    low = met(asked.withColumn("floor", F.lit(None).cast("double")), lowest, "name string, floor double").groupBy("name").agg(F.max("floor").alias("floor"))
+    low = written(low, "floors")
+    best = F.max_by(F.struct("tag", "score"), F.struct("score", -F.col("pos"))).alias("m")
+    found = met(low, search, "name string, tag string, pos long, score double, scored long").groupBy("name").agg(best, F.sum("scored").alias("scored"))
+    return found.select("name", "m.tag", "m.score", (F.col("scored") + m).alias("scored"))
 
 
 def matched(docs: DataFrame, tags: DataFrame, least: float = 95.0, tags_col: str = "tags", block: int = BLOCK) -> DataFrame:

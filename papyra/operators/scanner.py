@@ -8,13 +8,13 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import attach, written
 
 #: Parts that documents are dealt out to, by a hash of their id.
 PARTS = 256
-RESULT = "kind string, document_id long, issue_type string, n long"
+RESULT = StructType([StructField("kind", StringType()), StructField("document_id", LongType()), StructField("issue_type", StringType()), StructField("n", LongType())])
 
 
 @udtf
@@ -26,7 +26,7 @@ class Scan:
     def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
         if not rows.isTable or {"document_id", "issues", "part"} - {f.name for f in rows.dataType}:
             raise ValueError("scan takes a table of document_id, issues and part")
-        return AnalyzeResult(schema=StructType.fromDDL(RESULT), partitionBy=[PartitioningColumn("part")], orderBy=[OrderingColumn("document_id")])
+        return AnalyzeResult(schema=RESULT, partitionBy=[PartitioningColumn("part")], orderBy=[OrderingColumn("document_id")])
 
     def __init__(self) -> None:
         self.documents, self.issues = 0, Counter()

@@ -503,4 +503,4 @@ def q61_full_recommendations(spark, d):
     return issues.recommendations(issues.issues(docs(spark, d), duplicates=True))
 
 
-from . import workflows  # noqa: E402, F401  registers its queries here
+from . import machinery, workflows  # noqa: E402, F401  register their queries here

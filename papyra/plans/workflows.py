@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import numbered
 from ..functions import dates, files, text as T
-from ..operators import calls, entities, issues, records, stats, validate
+from ..operators import calls, entities, issues, nearest, records, stats, validate
 from ..sources import mailbox, sinks, tables
 from .catalogue import _FLAGS, _FOUND, _OCRV, _transliterated, _WHOLE, ocr_results, query, read, tags, whole_docs
 
@@ -65,10 +66,10 @@ def q68_tag_similarity(spark, d):
 
 @query()
 def q69_sequential_match(spark, d):
-    """Proposed tags of each part, one after the other, against a bounded list of tags."""
-    known = [r[0] for r in tags(spark, d).select("name").orderBy("name").collect()]  # the dimension
+    """Proposed tags of each part, one after the other, against the tags that there are."""
+    known = numbered(tags(spark, d).select("name"), ["name"], "pos")  # the dimension, in the order of its names
     proposed = F.array(F.initcap("p_name"), F.col("p_brand"), F.concat("p_brand", F.lit(" ")), F.col("p_type"))
-    return records.matched_in_order(read(spark, d, "part").select("p_partkey", proposed.alias("tags")), known).select("p_partkey", F.explode("matches").alias("m")).select("p_partkey", "m.tag", "m.match", "m.score")
+    return nearest.matched(read(spark, d, "part").select("p_partkey", proposed.alias("tags")), known).select("p_partkey", F.explode("matches").alias("m")).select("p_partkey", "m.tag", "m.match", "m.score")
 
 
 def _metadata_sql(strict: bool) -> str:

@@ -1,7 +1,8 @@
 """Sinks that are there whole or not at all: tasks write beside the place, and the commit of the job puts it there.
 
 A task writes under ``<path>/.staging/<job>``; what tasks that failed or ran twice have written is not named in the
-commit and goes with that folder. A job that fails leaves nothing but what was there before.
+commit and goes with that folder. A job that fails leaves nothing but what was there before; tasks of it that were still
+running when it was given up may leave files under ``.staging``, which ``cleaned`` removes.
 """
 
 from __future__ import annotations

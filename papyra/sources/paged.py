@@ -1,7 +1,7 @@
 """A paged source: a service that hands out rows page by page, read as a table, a task for a few pages.
 
-What the service is, a caller says with a client (``pages`` and ``rows``); conditions that it can judge are pushed down
-to it, so that only pages that may hold such rows are asked for. ``FilePages`` is a client over pages in a folder.
+What the service is, a caller says with a client (``pages`` and ``rows``); conditions of a read that it can judge are pushed
+down to it, so that only pages that may hold such rows are asked for. ``FilePages`` is a client over pages in a folder.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import DateType, IntegralType, StringType, StructType
 
@@ -51,17 +51,15 @@ class _Pages(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, client: Client, per_task: int, retries: int, on_error: str, columns: int):
-        self.client, self.per_task, self.retries, self.on_error, self.columns = client, per_task, retries, on_error, columns
-        self.conditions: list[Condition] = []
+    def __init__(self, client: Client, conditions: list[Condition], per_task: int, retries: int, on_error: str, columns: int):
+        self.client, self.conditions, self.per_task, self.retries, self.on_error, self.columns = client, conditions, per_task, retries, on_error, columns
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """The service judges the frame's own conditions; what else a query asks is Spark's, as Spark may share one reader between
+        several scans of a frame."""
         for f in filters:
-            column = f.attribute[0] if type(f) in KINDS and len(f.attribute) == 1 else None
-            value = list(f.value) if type(f) is In else getattr(f, "value", None)
-            if column in self.client.filterable and value is not None:
-                self.conditions.append((column, KINDS[type(f)], value))
-            else:
+            asked = (f.attribute[0], KINDS[type(f)], list(f.value) if type(f) is In else f.value) if type(f) in KINDS and len(f.attribute) == 1 else None
+            if asked not in self.conditions:
                 yield f
 
     def partitions(self) -> list[InputPartition]:
@@ -90,18 +88,28 @@ class _Reader(DataSourceReader):
         return []
 
 
-def paged(spark: SparkSession, client: Client, schema: StructType, per_task: int = PAGES, retries: int = 2, on_error: str = "raise") -> DataFrame:
-    """The rows of all pages, with ``_page`` and ``_error``.
+def _held(c: Condition) -> Column:
+    column, op, value = c
+    x = F.col(column)
+    return x.isin(value) if op == "in" else TESTS[op](x, F.lit(value))
 
-    Conditions that are put on the frame are pushed to the client if they compare a column that it can filter with a value;
-    all others are Spark's. A page that fails is asked ``retries`` times more, then the read fails, or, with
-    ``on_error="keep"``, it is a row of nulls with its number and the error: see ``until_error``.
+
+def paged(spark: SparkSession, client: Client, schema: StructType, conditions: Iterable[Condition] = (), per_task: int = PAGES, retries: int = 2, on_error: str = "raise") -> DataFrame:
+    """The rows of all pages for which all ``conditions`` (column, one of = > >= < <= in, value) hold, with ``_page`` and ``_error``.
+
+    Conditions on columns that the client can filter are pushed down to it, and only pages that it then names are asked for;
+    others are Spark's, as is whatever is put on the frame. Nothing holds for a null. A page that fails is asked ``retries`` times
+    more, then the read fails, or, with ``on_error="keep"``, it is a row of nulls with its number and the error: see ``until_error``.
     """
     if on_error not in ("raise", "keep"):
         raise ValueError(f"on_error is raise or keep, not {on_error}")
+    conditions = list(conditions)
+    if odd := [c for c in conditions if c[1] not in TESTS or c[0] not in schema.names or c[2] is None]:
+        raise ValueError(f"not a condition: {odd[0]}")
     attach(spark).conf.set(_PUSHDOWN, "true")
     name = f"papyra_pages_{uuid.uuid4().hex[:12]}"
     whole = StructType([*schema.fields]).add("_page", "long").add("_error", "string")
+    pushed = [c for c in conditions if c[0] in client.filterable]
 
     class Pages(DataSource):
         @classmethod
@@ -112,10 +120,13 @@ def paged(spark: SparkSession, client: Client, schema: StructType, per_task: int
             return whole
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return _Reader(client, per_task, retries, on_error, len(whole) - 2)
+            return _Reader(client, pushed, per_task, retries, on_error, len(whole) - 2)
 
     spark.dataSource.register(Pages)
-    return spark.read.format(name).load()
+    out = spark.read.format(name).load()
+    for c in conditions if on_error == "raise" else [c for c in conditions if c not in pushed]:  # a failed page's row has nulls
+        out = out.where(_held(c) if on_error == "raise" else _held(c) | F.col("_error").isNotNull())
+    return out
 
 
 def until_error(rows: DataFrame) -> DataFrame:

@@ -299,14 +299,13 @@ def test_numbers_of_new_names(spark):
     assert got == [(8 + k, n) for k, n in enumerate(sorted({f"N{i}" for i in range(50)}, key=str.lower))]
 
 
-def test_best_match_in_blocks(spark, monkeypatch):
+def test_best_match_in_blocks(spark):
     from papyra.operators import entities
 
     n = spark.createDataFrame([("Rechnung",), ("xyz",)], "name string")
     t = spark.createDataFrame([(1, "rechnung"), (0, "Rechnung "), (2, "x")], "pos long, name string")
     plain = sorted(map(tuple, entities.best_match(n, t).collect()))
-    monkeypatch.setattr(entities, "DIMENSION", -1)
-    assert sorted(map(tuple, entities.best_match(n, t).collect())) == plain and plain[0][1] == "Rechnung "
+    assert sorted(map(tuple, entities.best_match(n, t, block=1).collect())) == plain and plain[0][1] == "Rechnung "
 
 
 def test_retries_and_fallback():
