@@ -102,15 +102,18 @@ class Model:
             trained.append((self.column[k, codes].tolist(), len(own) + 1))
             self.bits.append(float(np.log2(max(2, len(codes)))))
         self.dense = sum(2 * len(codes) * w for codes, w in trained) <= DENSE  # an automaton has fewer than twice as many states as characters
-        if self.dense:  # one table for all: a state is the place of its row
-            to, ends, start = [], [], [0]
-            for codes, w in trained:
-                t = Automaton(codes).table(w)
-                to.append((t >> 2) + start[-1])
-                ends.append((t & 3).astype(np.int8))
-                start.append(start[-1] + len(t))
-            self.to = np.concatenate(to or [np.zeros(0, np.int32)]).astype(np.int32)
-            self.ends = np.concatenate(ends or [np.zeros(0, np.int8)])
+        if self.dense:  # one table for all: a state is the place of its row; room that isn't needed is never touched
+            room = sum(2 * len(codes) * w for codes, w in trained)
+            self.to, self.ends, start = np.empty(room, np.int32), np.empty(room, np.int8), [0]
+            while trained:
+                t = Automaton(trained[0][0]).table(trained.pop(0)[1])
+                own = slice(start[-1], start[-1] + len(t))
+                self.ends[own] = t & 3
+                t >>= 2
+                t += start[-1]
+                self.to[own] = t
+                start.append(own.stop)
+                del t
             self.root = np.array(start[:-1], np.int64)[:, None]
             return
         machines = [(Automaton(codes), w) for codes, w in trained]
