@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from .. import written
+from .. import numbered, written
 from ..functions import dates, files, jsonrepair, text as T
 from ..functions.similarity import wratio
 from . import validate
@@ -124,6 +124,46 @@ def updates(docs: DataFrame, correspondents: DataFrame, types: DataFrame, keep_e
     return d.select("document_id", (F.col("title") if keep_empty_title else given("title")).alias("title"), "correspondent_id", "document_type_id", given("note").alias("notes"))
 
 
+def update_data(docs: DataFrame, correspondents: DataFrame, types: DataFrame, tags: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """What workflow updates send, as JSON: ``document_id, data``. Names become ids by their trimmed lower-case form in ``(id, name)``
+    (names that are new must be in these tables: see ``entities.missing_names``). A title is sent if it isn't null, an empty one too; empty
+    senders, types, lists and empty tags are not; ``extra`` columns pass as they are where they aren't null."""
+    d = updates(docs, correspondents, types, keep_empty_title=True).drop("notes")
+    ids = tags.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("tag_id"))
+    each = docs.select("document_id", F.posexplode("tags").alias("pos", "name")).where(~T.missing(F.col("name"))).withColumn("key", F.lower(F.trim("name")))
+    held = each.join(ids, "key").groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag_id"))), lambda s: s["tag_id"]).alias("tags"))
+    rest = docs.select("document_id", F.col("note").alias("notes"), *(extra or []))
+    data = F.struct("title", F.col("correspondent_id").alias("correspondent"), F.col("document_type_id").alias("document_type"), "tags", "notes", *(extra or []))
+    return d.join(held, "document_id", "left").join(rest, "document_id").select("document_id", F.to_json(data).alias("data"))  # nulls aren't written
+
+
+def applied(rows: DataFrame, send: Callable[[dict], None], key: str = "document_id", message: int = 200) -> DataFrame:
+    """Calls ``send`` with every row's record in the tasks: ``key, ok, error``. A row without a key, and one whose call raises, is an
+    error of its own and doesn't stop the others. The calls are made when the result is first written: write it once."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            errors = []
+            for r in d.to_dict("records"):
+                try:
+                    if r[key] is None or r[key] != r[key]:
+                        raise ValueError("Missing document ID")
+                    send(r)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  told in the row
+                    errors.append(str(e)[:message])
+            yield pd.DataFrame({key: d[key], "ok": [e is None for e in errors], "error": pd.Series(errors, dtype=object)})
+
+    return written(rows.mapInPandas(run, f"`{key}` {kind}, ok boolean, error string"), "applied")
+
+
+def outcome(done: DataFrame) -> DataFrame:
+    """Of ``applied``: how many went well and how many failed, and each message with its number."""
+    total = done.agg(F.lit(None).cast("string").alias("error"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failed"))
+    return total.unionByName(done.where("not ok").groupBy("error").agg(F.lit(0).cast("long").alias("successful"), F.count("*").alias("failed")))
+
+
 def needs_metadata(docs: DataFrame, force: bool = False) -> DataFrame:
     """Rows that lack a correspondent, a type or tags; with ``force``, all."""
     lacks = T.missing(F.col("correspondent")) | T.missing(F.col("document_type")) | (F.coalesce(F.size("tags"), F.lit(0)) == 0)
@@ -179,10 +219,7 @@ def extracted(docs: DataFrame, complete: Callable[[str], str], fields: list[str]
 
 def indexed(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``index``, its rows' numbers from 0 in an order: dealt out in ranges and numbered after those before."""
-    dealt = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "index")
-    ranges = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # a row for each range
-    turn = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return dealt.join(ranges, "part").withColumn("index", F.col("before") + turn).drop("part", "before")
+    return numbered(df, order, "index")
 
 
 def zipped(docs: DataFrame, other: DataFrame, order: list[str], other_order: list[str]) -> DataFrame:

@@ -55,11 +55,11 @@ def times(results: DataFrame) -> DataFrame:
     return results.agg(F.bround(F.avg(t), 6).alias("mean_time"), F.min(t).alias("least_time"), F.max(t).alias("most_time"), F.bround(F.try_divide(F.lit(60.0), F.avg(t)), 6).alias("per_minute"))
 
 
-def tag_quality(members: DataFrame, total_tags: int) -> DataFrame:
-    """``cluster, name, similarity`` (of a member to its representative, null for that) to one row of measures."""
+def tag_quality(members: DataFrame, tags: DataFrame) -> DataFrame:
+    """``cluster, name, similarity`` (of a member to its representative, null for that) to one row of measures; ``tags`` are counted."""
     c = members.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("similarity").alias("mean"))
-    n, held = F.lit(float(max(1, total_tags))), F.sum("size")
-    d = c.agg(F.count("*").alias("clusters"), held.alias("clustered"), F.sum(F.col("size") - 1).alias("removable"), F.min("size").alias("smallest"), F.max("size").alias("largest"), F.avg("size").alias("mean_size"), F.avg("mean").alias("mean_similarity"))
+    n, held = F.greatest(F.lit(1), F.col("total")), F.sum("size")
+    d = c.agg(F.count("*").alias("clusters"), held.alias("clustered"), F.sum(F.col("size") - 1).alias("removable"), F.min("size").alias("smallest"), F.max("size").alias("largest"), F.avg("size").alias("mean_size"), F.avg("mean").alias("mean_similarity")).crossJoin(F.broadcast(tags.agg(F.count("*").alias("total"))))
     consistency = F.lit(1.0) - F.coalesce(F.col("mean_similarity"), F.lit(0.0)) / 100
     organisation = F.greatest(F.lit(0.0), F.lit(1.0) - (F.col("mean_size") - 2) / 10)
     return d.select("clusters", "clustered", "removable", "smallest", "largest", F.bround(F.col("clustered") / n, 3).alias("duplication"), F.bround(F.col("removable") / n, 6).alias("reduction"),

@@ -171,16 +171,11 @@ def q11_range_scan(spark, d):
     return read(spark, d, "orders").where(dates.within(F.col("o_orderdate"), dt.date(1995, 1, 1), dt.date(1995, 3, 31), strict_midnight=True)).select("o_orderkey")
 
 
-@query("""select * from (values ('last_quarter', date '2024-04-01', date '2024-06-30'), ('current_quarter', date '2024-07-01', date '2024-09-30'), ('last_3_months', date '2024-05-01', date '2024-07-31'), ('last_month', date '2024-07-01', date '2024-07-31'),
- ('current_month', date '2024-08-01', date '2024-08-31'), ('year_to_date', date '2024-01-01', date '2024-08-15'), ('last_year', date '2023-01-01', date '2023-12-31')) t(option, first, last)""")
-def q12_quick_ranges(spark, d):
-    names = ["last_quarter", "current_quarter", "last_3_months", "last_month", "current_month", "year_to_date", "last_year"]
-    return spark.createDataFrame([(n, *dates.quick_range(n, dt.date(2024, 8, 15))) for n in names], "option string, first date, last date")
-
-
-@query("select strftime(unnest(generate_series(date '2023-11-01', date '2024-03-01', interval 1 month)), '%Y-%m') as month")
+@query("select strftime(unnest(generate_series(date_trunc('month', least), date_trunc('month', most), interval 1 month)), '%Y-%m') as month from (select min(o_orderdate) as least, max(o_orderdate) as most from orders)")
 def q13_month_series(spark, d):
-    return spark.range(1).select(F.explode(dates.months(F.lit(dt.date(2023, 11, 5)), F.lit(dt.date(2024, 3, 31)))).alias("month"))
+    """The months from the first order to the last."""
+    ends = read(spark, d, "orders").agg(F.min("o_orderdate").alias("least"), F.max("o_orderdate").alias("most"))
+    return ends.select(F.explode(dates.months(F.col("least"), F.col("most"))).alias("month"))
 
 
 @query(f"with {_WHOLE} select correspondent, document_type, count(*) as documents, count(*) filter (length(text) > 0) as with_ocr from docs group by grouping sets ((correspondent), (document_type), ())")
@@ -359,9 +354,14 @@ def q38_cluster_metrics(spark, d):
     return c.agg(F.count("*").alias("clusters"), F.min("size").alias("least"), F.max("size").alias("most"), F.bround(F.avg("size"), 6).alias("mean_size"), F.sum(F.col("size") - 1).alias("removable"), F.greatest(F.lit(0.0), 1 - (F.avg("size") - 2) / 10).alias("organisation"))
 
 
-@query("select * from (values ('Rechnungen', 'Rechnung'), ('Vertrg', 'Vertrag'), ('Brief', 'Brief'), ('xyz', null)) t(name, suggestion)")
+_KINDS = ", ".join(f"('{t}')" for t in validate.DOCUMENT_TYPES)
+
+
+@query(f"""with recursive n as (select distinct lower(split_part(text, ' ', 1)) as name from documents where text is not null), k as (select * from (values {_KINDS}) t(kind)), np as (select name as a, kind as b from n, k), {_LCS.format('l1', 'np')}
+ select name, first(case when ratio >= 80 then kind end order by ratio desc, kind) as suggestion from n left join l1_ratio on a = name left join k on b = kind group by 1""")
 def q39_doc_type_suggest(spark, d):
-    return validate.suggest_type(spark.createDataFrame([(x,) for x in ("Rechnungen", "Vertrg", "Brief", "xyz")], "name string"))
+    """The nearest known type of every first word."""
+    return validate.suggest_type(read(spark, d, "documents").where("text is not null").select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("name")).distinct())
 
 
 _BATCH = "b as (select user_id as batch_id, event_id as document_id, case event_type when 'error' then 'failed' when 'signup' then 'skipped' else 'completed' end as status, value as processing_time, event_type as phase from events)"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import shared_dir, written
-from ..operators import entities, folds, issues, scanner
+from ..operators import entities, folds, issues, records, reports, scanner
 from ..sources import commits, paged
 from ..streaming import duplicates as arrivals, ledger, mail
-from .catalogue import _FOUND, _GROUPS, _LCS, _PAIRS, docs, query, read, tags, whole_docs
+from .catalogue import _FOUND, _GROUPS, _LCS, _PAIRS, _WHOLE, docs, query, read, tags, whole_docs
 
 #: Rows of a page, mails of a part of a mailbox, and accounts.
 PAGE, PART, ACCOUNTS = 1000, 1000, 3
@@ -150,3 +150,70 @@ def q131_tree(spark, d):
     one: Column = F.lit(1).cast("long")
     rows = read(spark, d, "documents").where("source is not null").select(F.col("lang").alias("parent"), F.col("source").alias("child"), one.alias("documents"))
     return folds.tree(rows).select("parent", F.array_join("children", "|").alias("children"), "documents")
+
+
+_N = "(select count(*) from found"
+_LINES = ", ".join(f"({k + 1}, '{n}', {c})" for k, (n, c) in enumerate(zip(reports.LABELS, [f"{_N})", "(select count(distinct document_id) from found)", *[f"{_N} where severity = '{s}')" for s in ("critical", "high", "medium", "low")]])))
+_RANK = "row_number() over (order by n desc, k) as ord, k, n"
+_OVER = " or ".join(f"(issue_type = '{k}' and count(*) > {v})" for k, v in issues.RECOMMEND.items())
+
+
+@query(f"""{_FOUND}, b as (select issue_type as k, count(*) as n from found group by 1), r as (select issue_type as k, count(*) as n from found group by issue_type having {_OVER}),
+ t as (select document_id as k, count(*) as n from found group by 1 order by n desc, k limit 10)
+ select '{reports.TITLES['summary']}' as section, ord::bigint as ord, key, value::varchar as value from (values {_LINES}) v(ord, key, value) union all select '{reports.TITLES['by_type']}', ord, k, n::varchar from (select {_RANK} from b)
+ union all select '{reports.TITLES['recommendations']}', ord, k, n::varchar from (select {_RANK} from r) union all select '{reports.TITLES['top_documents']}', ord, k::varchar, n::varchar from (select {_RANK} from t)""")
+def q132_report_sections(spark, d):
+    """All sections of the quality report."""
+    return reports.sections(issues.issues(whole_docs(spark, d)))
+
+
+_CORPUS = f"""with {_WHOLE}, e as (select 'overview' as section, null as key, text from docs union all select 'correspondent', coalesce(correspondent, 'Unassigned'), text from docs union all select 'type', coalesce(document_type, 'Unassigned'), text from docs
+ union all select 'month', left(created, 7), text from docs where created is not null union all select 'tag', tag, text from (select unnest(tags) as tag, text from docs) where tag is not null),
+ c as (select section, key, count(*) as documents, count(*) filter (length(text) > 0) as with_ocr from e group by 1, 2)"""
+
+
+@query(f"{_CORPUS} select * from c")
+def q133_corpus_report(spark, d):
+    """The corpus by sender, type, month and tag, and over all, in one pass."""
+    return reports.corpus(whole_docs(spark, d))
+
+
+@query(f"""{_CORPUS} select section, null::bigint as ord, key, documents from c where section in ('overview', 'month')
+ union all select section, ord, key, documents from (select *, row_number() over (partition by section order by documents desc, key) as ord from c where section in ('correspondent', 'type', 'tag')) where ord <= case section when 'correspondent' then 20 when 'type' then 15 else 10 end""")
+def q134_statistics_report(spark, d):
+    return reports.statistics(whole_docs(spark, d))
+
+
+@query("""with recursive e as (select event_id, user_id, epoch_us(ts) / 1e6 as came, row_number() over (partition by user_id order by ts, event_id) - 1 as place from events),
+ s(user_id, event_id, place, came, start) as (select user_id, event_id, place, came, came from e where place < 3 union all select e.user_id, e.event_id, e.place, e.came, greatest(e.came, s.start + 86400.0) from s join e on e.user_id = s.user_id and e.place = s.place + 3)
+ select event_id, place, round_even(start, 3) as start, round_even(start - came, 3) as waited from s""")
+def q135_limiter(spark, d):
+    """When requests may begin if a user has three a day."""
+    e = read(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"))
+    shown = lambda c: F.bround(c, 3).alias(c)
+    return reports.limited(e, "user_id", "at", 3, 86400.0, ["event_id"]).select("event_id", "place", shown("start"), shown("waited"))
+
+
+@query(f"""with {_WHOLE}, x as (select doc_id, max(case when quality = 1 then 'good' when quality = 0 then 'bad' end) as ocr from labels group by 1)
+ select document_id, created, ocr, ocr is not null as fetched from docs left join x on doc_id = document_id where created between '2024-01-01' and '2024-03-31'""")
+def q136_enriched_quarter(spark, d):
+    """The documents of a quarter with what was fetched for each; those for which nothing was stay as they are."""
+    told = read(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("ocr"))
+    return reports.enriched(whole_docs(spark, d), told, "2024-01-01", "2024-03-31").select("document_id", "created", "ocr", "fetched")
+
+
+_NAMED = "select row_number() over (order by name) as id, name from (select distinct {} as name from documents where {} is not null)"
+
+
+@query(f"""with {_WHOLE}, s as ({_NAMED.format('source', 'source')}), l as ({_NAMED.format('lang', 'lang')}), n as (select row_number() over (order by name) as id, name from (select distinct unnest(tags) as name from docs) where name is not null),
+ h as (select document_id, list(n.id order by pos) as ids from (select document_id, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from docs) x join n on n.name = x.tag group by 1)
+ select document_id, md5(coalesce(title, '')) as title, s.id as correspondent, l.id as document_type, array_to_string(ids, ',') as tags, document_id * 10 as archive_serial_number
+ from docs left join s on s.name = correspondent left join l on l.name = document_type left join h using (document_id)""")
+def q137_update_data(spark, d):
+    """What updates send, read back from their JSON: titles, ids of names and tags, and a field that passes as it is."""
+    t = whole_docs(spark, d).withColumn("archive_serial_number", F.col("document_id") * 10)
+    dim = lambda c: t.select(c.alias("name")).where("name is not null").distinct()
+    ids = lambda c: records.indexed(dim(c), ["name"]).select((F.col("index") + 1).alias("id"), "name")
+    data = records.update_data(t, ids(F.col("correspondent")), ids(F.col("document_type")), ids(F.explode("tags")), ["archive_serial_number"])
+    r = F.from_json("data", "title string, correspondent long, document_type long, tags array<long>, archive_serial_number long")
+    return data.select("document_id", r.alias("r")).select("document_id", F.md5(F.coalesce("r.title", F.lit(""))).alias("title"), "r.correspondent", "r.document_type", F.array_join(F.col("r.tags").cast("array<string>"), ",").alias("tags"), "r.archive_serial_number")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import numbered
+from .. import numbered, shared_dir
 from ..functions import dates, files, text as T
 from ..operators import calls, entities, issues, nearest, records, stats, validate
-from ..sources import mailbox, sinks, tables
+from ..sources import mailbox, sinks, storage, tables
 from .catalogue import _FLAGS, _FOUND, _OCRV, _transliterated, _WHOLE, ocr_results, query, read, tags, whole_docs
 
 _EXTRA = f"""{_WHOLE}, full_docs as (select *, case document_id % 5 when 0 then 'not-a-date' when 1 then '2024-03-05T10:00:00Z' when 2 then '2024-03-05' end as made, case when document_id % 4 < 3 then '2024-02-01T00:00:00' end as changed,
@@ -227,13 +229,13 @@ def q87_times(spark, d):
 
 @query("""with t as (select distinct p_name as name from part), c as (select left(name, 2) as cluster, name, min(name) over (partition by left(name, 2)) as rep from t), s as (select cluster, name, case when name <> rep then 100.0 * least(length(name), length(rep)) / greatest(length(name), length(rep)) end as sim from c),
  g as (select cluster, count(*) as size, avg(sim) as mean from s group by 1), z as (select count(*) as clusters, sum(size)::bigint as clustered, sum(size - 1)::bigint as removable, min(size) as smallest, max(size) as largest, avg(size) as mean_size, 1 - coalesce(avg(mean), 0) / 100 as consistency from g), y as (select *, greatest(0.0::double, 1 - (mean_size - 2) / 10) as organisation from z)
- select clusters, clustered, removable, smallest, largest, round_even(clustered / 64.0, 3) as duplication, round_even(removable / 64.0, 6) as reduction, round_even(consistency, 3) as consistency, round_even(organisation, 3) as organisation, round_even((consistency + organisation) / 2, 3) as overall from y""")
+ select clusters, clustered, removable, smallest, largest, round_even(clustered / (select count(*) from t), 3) as duplication, round_even(removable / (select count(*) from t), 6) as reduction, round_even(consistency, 3) as consistency, round_even(organisation, 3) as organisation, round_even((consistency + organisation) / 2, 3) as overall from y""")
 def q88_tag_quality(spark, d):
-    """Clusters by the first letters; the share of lengths stands in for the similarity."""
+    """Clusters by the first letters; the share of lengths stands in for the similarity, which q130 has."""
     t = tags(spark, d).select(F.left("name", F.lit(2)).alias("cluster"), "name")
     rep = t.groupBy("cluster").agg(F.min("name").alias("rep"))
     sim = F.when(F.col("name") != F.col("rep"), F.lit(100.0) * F.least(F.length("name"), F.length("rep")) / F.greatest(F.length("name"), F.length("rep")))
-    return stats.tag_quality(t.join(rep, "cluster").select("cluster", "name", sim.alias("similarity")), 64)
+    return stats.tag_quality(t.join(rep, "cluster").select("cluster", "name", sim.alias("similarity")), t)
 
 
 @query("select user_id as account, count(*) as processed, sum(event_id % 3)::bigint as attachments, max((event_type = 'error')::int) = 1 as has_error from events group by rollup (user_id)")
@@ -420,15 +422,22 @@ def _no_wait(seconds: float) -> None:
     pass
 
 
-@query("select 'a' as account, i::varchar as uid, null as error from range(5) t(i) union all select 'broken', null, 'no connection' union all select 'c', i::varchar, null from range(3) t(i)")
+@query("select 'a' || s_suppkey % 3 as account, s_suppkey::varchar as uid, null::varchar as error from supplier union all select 'broken', null, 'no connection'")
 def q113_accounts_fetch(spark, d):
-    """Every account on its own; a function stands in for the mail server."""
+    """Suppliers as mails of three accounts, and an account that can't be reached: every account on its own. A mailbox in a folder answers."""
+    folder = shared_dir(spark, "accounts")
+    read(spark, d, "supplier").select(F.concat(F.lit("a"), (F.col("s_suppkey") % 3).cast("string")).alias("account"), F.col("s_suppkey").cast("string").alias("uid")).repartition("account").write.partitionBy("account").json(folder)
+
     def fetch(account: dict, asked: str):
-        if account["account"] == "broken":
+        place = f"{folder}/account={account['account']}"
+        parts = [n for n in storage.names(place) if n.startswith("part-")]
+        if not parts:
             raise OSError("no connection")
-        return [(str(k), b"x") for k in range(account["n"])]
+        for name in parts:
+            for line in storage.get(f"{place}/{name}").splitlines():
+                yield json.loads(line)["uid"], b"x"
 
-    return mailbox.fetched(spark, [{"account": "a", "n": 5}, {"account": "broken"}, {"account": "c", "n": 3}], fetch).select("account", "uid", "error")
+    return mailbox.fetched(spark, [{"account": a} for a in ("a0", "a1", "a2", "broken")], fetch).select("account", "uid", "error")
 
 
 @query("select p_brand as directory, p_name || '.pdf' as filename, case when n = 0 then p_brand || '/' || p_name || '.pdf' else p_brand || '/' || p_name || '_' || n || '.pdf' end as path from (select p_brand, p_name, row_number() over (partition by p_brand, p_name order by p_partkey) - 1 as n from part)")
@@ -453,6 +462,14 @@ _RANGES = {
     "current_month": ("date_trunc('month', o)", "date_trunc('month', o) + interval 1 month - interval 1 day"), "year_to_date": ("date_trunc('year', o)", "o"), "last_year": ("date_trunc('year', o) - interval 1 year", "date_trunc('year', o) - interval 1 day")}
 
 
+@query(" union all ".join(f"select '{k}' as option, ({a})::date as first, ({b})::date as last from (select date_trunc('day', max(o_orderdate)) as o from orders)" for k, (a, b) in _RANGES.items()))
+def q12_quick_ranges(spark, d):
+    """The seven ranges relative to the last order."""
+    last = read(spark, d, "orders").agg(F.max("o_orderdate").alias("o"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("option"), dates.quick_range_of(k, F.col("o")).alias("r")) for k in _RANGES])).alias("e")
+    return last.select(each).select("e.option", "e.r.first", "e.r.last")
+
+
 @query("select o_orderkey, " + ", ".join(f"strftime({a}, '%Y%m%d') || '-' || strftime({b}, '%Y%m%d') as {k}" for k, (a, b) in _RANGES.items()) + " from (select o_orderkey, date_trunc('day', o_orderdate) as o from orders)")
 def q116_quick_ranges_of(spark, d):
     """The seven ranges relative to every order's date."""

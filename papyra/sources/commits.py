@@ -60,11 +60,12 @@ class _Staged(DataSourceWriter):
 
 
 class _Lines(_Staged):
-    """Lines, in the order of the tasks, after a first one."""
+    """Rows of text, in the order of the tasks: after ``first``, with ``between`` between two of them, before ``last``, in which
+    ``{rows}`` stands for their number."""
 
-    def __init__(self, path: str, name: str, first: str, most: int):
+    def __init__(self, path: str, name: str, first: str, between: str, last: str, most: int):
         super().__init__(path)
-        self.name, self.first, self.most = name, first, most
+        self.name, self.first, self.between, self.last, self.most = name, first.encode(), between.encode(), last, most
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         number, attempt = self._attempt()
@@ -73,7 +74,7 @@ class _Lines(_Staged):
         rows = size = 0
         with fs.open_output_stream(f"{folder}/{attempt}") as f:
             for row in iterator:
-                line = row[0].encode() + b"\n"
+                line = (self.between if rows else b"") + row[0].encode()
                 f.write(line)
                 rows, size = rows + 1, size + len(line)
         return _Part(number, attempt, rows, size)
@@ -83,20 +84,23 @@ class _Lines(_Staged):
         fs, folder = storage.at(self.staging)
         fs.create_dir(folder, recursive=True)
         goal = storage.at(self.path)[1]
+        last = self.last.replace("{rows}", str(sum(p.rows for p in parts))).encode() if parts or "{rows}" in self.last else b""
         if sum(p.size for p in parts) <= self.most:
             with fs.open_output_stream(f"{folder}/whole") as f:
-                f.write(self.first.encode())
-                for p in parts:
+                f.write(self.first)
+                for k, p in enumerate(parts):
+                    f.write(self.between if k else b"")
                     for block in storage.blocks(f"{self.staging}/{p.name}"):
                         f.write(block)
+                f.write(last)
             fs.move(f"{folder}/whole", f"{goal}/{self.name}")
         else:  # a folder of parts that are the file, one after the other
-            with fs.open_output_stream(f"{folder}/000000") as f:
-                f.write(self.first.encode())
             fs.create_dir(f"{folder}/all")
-            fs.move(f"{folder}/000000", f"{folder}/all/part-000000")
+            for k, text in enumerate([self.first, *[self.between] * (len(parts) - 1), last]):
+                with fs.open_output_stream(f"{folder}/all/part-{2 * k:06d}") as f:
+                    f.write(text)
             for k, p in enumerate(parts):
-                fs.move(f"{folder}/{p.name}", f"{folder}/all/part-{k + 1:06d}")
+                fs.move(f"{folder}/{p.name}", f"{folder}/all/part-{2 * k + 1:06d}")
             storage.delete(f"{self.path}/{self.name}")
             fs.move(f"{folder}/all", f"{goal}/{self.name}")
         self._clear()
@@ -183,10 +187,18 @@ def csv_file(df: DataFrame, folder: str, name: str, german: bool = True, one_fil
     quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     line = F.concat_ws(",", *[quoted(cell(df, c)) for c in df.columns])
     first = BOM + header(df, german) + "\n"
-    kind = _source(df.sparkSession, "value string", _Lines(folder, name, first, one_file))
+    kind = _source(df.sparkSession, "value string", _Lines(folder, name, first, "\n", "\n", one_file))
     df.select(line.alias("value")).write.format(kind).mode("append").save()
 
 
+def json_file(df: DataFrame, folder: str, name: str, generated_at: str, version: str = "1.0.0", one_file: int = ONE_FILE) -> None:
+    """One JSON file in the same way: ``data``, the rows, and ``metadata``, with when, by what and how many."""
+    told = json.dumps({"generated_at": generated_at, "generator": "papyra", "version": version}, ensure_ascii=False)
+    last = f'\n], "metadata": {told[:-1]}, "record_count": {{rows}}}}}}\n'
+    kind = _source(df.sparkSession, "value string", _Lines(folder, name, '{"data": [\n', ",\n", last, one_file))
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.format(kind).mode("append").save()
+
+
 def files(df: DataFrame, folder: str) -> None:
     """``path, content``, and other columns, which lie beside each file as ``<path>.json``: files in a shared folder, all or none.
 

@@ -392,3 +392,74 @@ def test_scan_query_reads_every_issue(spark):
     d = catalogue.whole_docs(spark, DIR)
     got = scanner.scanned(d, issues.issue_types())
     assert got.where("kind = 'issue'").count() == issues.issues(d).count()
+
+
+# --- reports, limiter, updates
+
+def test_json_file(spark, tmp_path):
+    import json
+
+    out = f"file://{tmp_path}/out"
+    d = spark.createDataFrame([(i, f'T "{i}" ü' if i % 3 else None, ["a"]) for i in range(30)], "document_id long, title string, tags array<string>").repartition(4).orderBy("document_id")
+    commits.json_file(d, out, "report.json", "2024-01-15T10:00:00", version="2")
+    got = json.load(open(f"{tmp_path}/out/report.json", encoding="utf-8"))
+    assert got["metadata"] == {"generated_at": "2024-01-15T10:00:00", "generator": "papyra", "version": "2", "record_count": 30}
+    assert got["data"] == [{"document_id": i, "title": f'T "{i}" ü' if i % 3 else None, "tags": ["a"]} for i in range(30)]
+    commits.json_file(d, out, "parts.json", "x", one_file=10)
+    assert json.loads("".join(open(f"{tmp_path}/out/parts.json/{p}", encoding="utf-8").read() for p in sorted(os.listdir(f"{tmp_path}/out/parts.json"))))["data"] == got["data"]
+    commits.json_file(d.where("false"), out, "none.json", "x")
+    assert json.load(open(f"{tmp_path}/out/none.json"))["metadata"]["record_count"] == 0
+
+
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_limiter_against_plain_code(spark, most):
+    from papyra.operators import reports
+
+    rnd = random.Random(most)
+    rows = [(rnd.choice("ab"), round(rnd.random() * 20, 2), i) for i in range(120)]
+    got = {r["i"]: (r["start"], r["waited"]) for r in reports.limited(spark.createDataFrame(rows, "k string, at double, i long"), "k", "at", most, 1.5, ["i"]).collect()}
+    for k in "ab":
+        begun = []
+        for _, at, i in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            begun.append(max([at] + begun[-1:] + ([begun[-most] + 1.5] if len(begun) >= most else [])))
+            assert got[i] == (pytest.approx(begun[-1]), pytest.approx(begun[-1] - at))
+    with pytest.raises(ValueError):
+        reports.limited(spark.createDataFrame(rows, "k string, at double, i long"), "k", "at", 0, 1.0, ["i"])
+
+
+def test_report_of_nothing(spark):
+    from papyra.operators import reports
+
+    none = spark.createDataFrame([], "document_id long, issue_type string, severity string, times long")
+    assert [(r["key"], r["value"]) for r in reports.sections(none).orderBy("ord").collect()] == [(n, "0") for n in reports.LABELS]
+    empty = catalogue.whole_docs(spark, DIR).where("false")
+    assert reports.corpus(empty).count() == 0 and reports.statistics(empty).count() == 0
+    assert [tuple(r) for r in reports.suggested(spark.createDataFrame([("a", None), ("b", "c")], "x string, y string"), ["x", "y"]).collect()] == [("x", 2), ("y", 1)]
+
+
+def test_updates_and_isolated_errors(spark):
+    import json
+
+    from papyra.operators import records
+
+    dim = lambda *names: spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "id long, name string")
+    rows = [(1, "", " ACME ", "Rechnung", ["b", "", "A", None], "n", 7), (2, None, "", None, [], None, None), (3, "t", "unknown", "x", None, "", 0)]
+    d = spark.createDataFrame(rows, "document_id long, title string, correspondent string, document_type string, tags array<string>, note string, archive_serial_number long")
+    got = {r["document_id"]: json.loads(r["data"]) for r in records.update_data(d, dim("acme"), dim("brief", "rechnung"), dim("a", "b"), ["archive_serial_number"]).collect()}
+    assert got == {1: {"title": "", "correspondent": 1, "document_type": 2, "tags": [2, 1], "notes": "n", "archive_serial_number": 7}, 2: {}, 3: {"title": "t", "notes": "", "archive_serial_number": 0}}
+
+    def send(row):
+        if row["document_id"] == 3:
+            raise OSError("x" * 300)
+
+    done = records.applied(d.unionByName(d.where("document_id = 1").withColumn("document_id", F.lit(None).cast("long"))).repartition(3), send)
+    assert sorted((str(r["document_id"]).removesuffix(".0"), r["ok"], r["error"]) for r in done.collect()) == sorted([("1", True, None), ("2", True, None), ("3", False, "x" * 200), ("None", False, "Missing document ID")])
+    assert {(r["error"], r["successful"], r["failed"]) for r in records.outcome(done).collect()} == {(None, 2, 2), ("x" * 200, 0, 1), ("Missing document ID", 0, 1)}
+
+
+def test_enriched_rows_stay(spark):
+    from papyra.operators import reports
+
+    d = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-03-31"), (3, "2024-04-01"), (4, None)], "document_id long, created string")
+    t = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c")], "document_id long, ocr string")
+    assert sorted((r["document_id"], r["ocr"], r["fetched"]) for r in reports.enriched(d, t, "2024-01-01", "2024-03-31").collect()) == [(1, "b", True), (2, None, False)]
