@@ -10,7 +10,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 #: Bytes of an Arrow batch between the JVM and Python, unless the session sets them: each task holds several, beside the heap.
@@ -113,3 +113,21 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     before = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))  # a row for each range
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
     return dealt.join(F.broadcast(before), "_part").withColumn(name, place).drop("_part", "_n", "_before")
+
+
+def totals_within(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running sums, up to each row in an order of its key's rows (which must tell them apart): ``name: what each row adds``.
+
+    Rows are dealt out in ranges of the keys and the order and summed in each; what a key's parts before have is added from a row for each
+    part. So the rows of a common key needn't meet in one task."""
+    added = {f"_{k}": c for k, c in sums.items()}
+    dealt = written(rows.withColumns(added).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "totals")
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part", *keys).agg(*[F.sum(k).alias(k) for k in added])
+    before = parts.select(F.col("_part").alias("_of"), *[F.col(k).alias(f"_key_{k}") for k in keys], *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"_before{k}") for k in added])
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = dealt.select("*", *[F.sum(k).over(inside).alias(f"_inside{k}") for k in added]).join(before, same)
+    return out.select(*rows.columns, *[(F.col(f"_inside_{k}") + F.col(f"_before_{k}")).alias(k) for k in sums])

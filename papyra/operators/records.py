@@ -203,18 +203,40 @@ def relatives(edges: DataFrame) -> DataFrame:
     return names.join(up, "name", "left").join(down, "name", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
 
 
-def extracted(docs: DataFrame, complete: Callable[[str], str], fields: list[str], most: int = 8000) -> DataFrame:
+def extracted(docs: DataFrame, complete: Callable[[str], str], fields: list[str], most: int = 8000, again: Callable[[str], str] | None = None) -> DataFrame:
     """``document_id, text`` to ``document_id`` and the fields read from what ``complete`` answers to the truncated text:
-    any function from text to text, called once a row in the workers. An answer without JSON gives nulls."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in parts:
-            yield pd.DataFrame({"document_id": d["document_id"], "reply": [None if t is None else complete(t) for t in d["prompt"]]})
+    any function from text to text, called once a row in the workers. An answer without JSON gives nulls, or, with ``again``, a
+    second call of that function; ``calls`` tells then how many there were, and ``error`` what an answer failed by."""
+
+    def asked(f: Callable[[str], str]):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in parts:
+                replies, errors = [], []
+                for t in d["prompt"]:
+                    try:
+                        replies.append(None if t is None else f(t))
+                        errors.append(None)
+                    except Exception as e:  # noqa: BLE001  told in the row
+                        if again is None:
+                            raise
+                        replies.append(None)
+                        errors.append(f"{type(e).__name__}: {e}")
+                yield pd.DataFrame({"document_id": d["document_id"], "prompt": d["prompt"], "reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+        return run
 
     kind = docs.schema["document_id"].dataType.simpleString()
-    replies = docs.select("document_id", T.truncated(F.col("text"), most).alias("prompt")).mapInPandas(run, f"document_id {kind}, reply string")
-    reply = replies.withColumn("json", jsonrepair.repaired(F.col("reply")))
-    return reply.select("document_id", *[F.get_json_object("json", f"$.{f}").alias(f) for f in fields])
+    schema = f"document_id {kind}, prompt string, reply string, error string"
+    first = docs.select("document_id", T.truncated(F.col("text"), most).alias("prompt")).mapInPandas(asked(complete), schema)
+    read = lambda d: d.withColumn("json", jsonrepair.repaired(F.col("reply")))
+    shown = [F.get_json_object("json", f"$.{f}").alias(f) for f in fields]
+    if again is None:
+        return read(first).select("document_id", *shown)
+    once = written(read(first), "replies")  # a service is asked once
+    twice = read(once.where("json is null and prompt is not null").select("document_id", "prompt").mapInPandas(asked(again), schema))
+    calls = lambda n: F.lit(n).cast("long").alias("calls")
+    kept = once.where("json is not null or prompt is null").select("document_id", *shown, F.when(F.col("prompt").isNull(), 0).otherwise(1).cast("long").alias("calls"), "error")
+    return kept.unionByName(written(twice.select("document_id", *shown, calls(2), F.when(F.col("json").isNull(), F.coalesce("error", F.lit("no JSON in the answer"))).alias("error")), "replies"))
 
 
 def indexed(df: DataFrame, order: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .. import totals_within
+
 
 def corpus(docs: DataFrame) -> DataFrame:
     """Counts by correspondent, by type and in all, in one pass."""
@@ -99,9 +101,9 @@ def ledger(usage: DataFrame, limit: float) -> DataFrame:
 
 
 def running(usage: DataFrame, key: str, order: str) -> DataFrame:
-    """Running count and sum of ``cost`` of each key: an account's own history, in order."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return usage.select(key, order, F.count("*").over(w).alias("so_far"), F.bround(F.sum(F.col("cost").cast("decimal(18,6)")).over(w), 4).cast("double").alias("cost_so_far"))
+    """Running count and sum of ``cost`` of each key: an account's own history, in order. ``order`` tells a key's rows apart."""
+    d = totals_within(usage.select(key, order, "cost"), [key], [order], {"so_far": F.lit(1).cast("long"), "cost_so_far": F.coalesce(F.col("cost").cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))})
+    return d.select(key, order, "so_far", F.bround("cost_so_far", 4).cast("double").alias("cost_so_far"))
 
 
 def costs(usage: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import totals_within
+from ..functions.files import numbered
+
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
@@ -53,13 +56,10 @@ def unprocessed(mails: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def attachment_files(attachments: DataFrame) -> DataFrame:
-    """``directory, filename, content`` with ``path``: files of one name in a directory get a counter, in the order of ``uid``."""
-    from pyspark.sql import Window
-
-    from ..functions.files import numbered
-
-    turn = F.row_number().over(Window.partitionBy("directory", "filename").orderBy("uid")) - 1
-    return attachments.withColumn("path", F.concat_ws("/", "directory", numbered(F.col("filename"), turn)))
+    """``directory, filename, content`` with ``path``: files of one name in a directory get a counter, in the order of ``uid``, which tells
+    them apart. Files of a common name needn't meet in one task."""
+    d = totals_within(attachments, ["directory", "filename"], ["uid"], {"_turn": F.lit(1).cast("long")})
+    return d.withColumn("path", F.concat_ws("/", "directory", numbered(F.col("filename"), F.col("_turn") - 1))).drop("_turn")
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:

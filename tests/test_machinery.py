@@ -463,3 +463,32 @@ def test_enriched_rows_stay(spark):
     d = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-03-31"), (3, "2024-04-01"), (4, None)], "document_id long, created string")
     t = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c")], "document_id long, ocr string")
     assert sorted((r["document_id"], r["ocr"], r["fetched"]) for r in reports.enriched(d, t, "2024-01-01", "2024-03-31").collect()) == [(1, "b", True), (2, None, False)]
+
+
+def test_a_second_call_for_answers_without_json(spark):
+    from papyra.operators import records
+
+    rows = [(1, "good"), (2, "bad"), (3, None), (4, "raise"), (5, "never")]
+    d = spark.createDataFrame(rows, "document_id long, text string")
+
+    def first(t):
+        if t == "raise":
+            raise OSError("down")
+        return f'{{"title": "{t}"}}' if t == "good" else "no json"
+
+    got = {r["document_id"]: tuple(r)[1:] for r in records.extracted(d, first, ["title"], again=lambda t: "?" if t == "never" else f'{{"title": "second {t}"}}').collect()}
+    assert got == {1: ("good", 1, None), 2: ("second bad", 2, None), 3: (None, 0, None), 4: ("second raise", 2, None), 5: (None, 2, "no JSON in the answer")}
+
+
+def test_running_totals_of_a_common_key(spark):
+    from papyra.operators import stats
+    from papyra.sources import mailbox
+
+    rows = [(None if i % 9 == 0 else 1 if i % 3 else i % 5, i, None if i % 7 == 0 else i / 8) for i in range(500)]
+    got = {r["i"]: (r["so_far"], r["cost_so_far"]) for r in stats.running(spark.createDataFrame(rows, "k long, i long, cost double").repartition(7), "k", "i").collect()}
+    for i in range(500):
+        own = [c or 0 for k, j, c in rows if k == rows[i][0] and j <= i]
+        assert got[i] == (len(own), pytest.approx(sum(own), abs=1e-4))
+    files = spark.createDataFrame([(i, "d", "scan.pdf") for i in range(40)] + [(40, "d", "x.pdf")], "uid long, directory string, filename string").repartition(5)
+    paths = {r["uid"]: r["path"] for r in mailbox.attachment_files(files).collect()}
+    assert paths[0] == "d/scan.pdf" and paths[40] == "d/x.pdf" and [paths[i] for i in range(1, 40)] == [f"d/scan_{i}.pdf" for i in range(1, 40)]
