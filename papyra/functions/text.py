@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -104,8 +106,22 @@ def truncated(text: Column, most: int, head: float = 0.70, tail: float = 0.25, m
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(a)), F.lit(marker), F.right(text, F.lit(b)))).otherwise(text)
 
 
+# What stands before a secret, in the order in which they are looked for.
+SECRETS = ["Token ", "Bearer ", "api_key=", "password=", "secret="]
+
+
 def masked(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)(token |bearer |api_key=|password=)\S+", "$1[MASKED]")
+    """For each of ``SECRETS``, the word after its first occurrence masked wherever it follows it; where none follows, the text as it is."""
+    for mark in SECRETS:
+        after = F.get(F.split(text, re.escape(mark), 3), F.lit(1))
+        word = F.coalesce(F.regexp_extract(after, r"^\s*(\S+)", 1), F.lit(""))
+        text = F.when(word != "", F.replace(text, F.concat(F.lit(mark), word), F.lit(f"{mark}[MASKED]"))).otherwise(text)
+    return text
+
+
+def all_masked(text: Column) -> Column:
+    """Every word after such a mark masked, case aside."""
+    return F.regexp_replace(text, rf"(?i)({'|'.join(map(re.escape, SECRETS))})\S+", "$1[MASKED]")
 
 
 def likely_german(text: Column) -> Column:

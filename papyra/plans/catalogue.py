@@ -475,7 +475,11 @@ def q56_repair_tags(spark, d):
     return read(spark, d, "part").select("p_partkey", F.array_join(validate.repaired_tags(F.when(F.col("p_partkey") % 2 == 0, F.array(F.concat(F.lit(" "), "p_name"), F.lit("x"), "p_name")).otherwise(F.array("p_name", "p_brand"))), "|").alias("tags"))
 
 
-@query(r"select doc_id, md5(regexp_replace(text, '(?i)(token |bearer |api_key=|password=)\S+', '\1[MASKED]', 'g')) as hash from documents")
+_MASK_STEPS = ", ".join(rf"m{k + 1} as (select doc_id, case when w <> '' then replace(t, '{mark}' || w, '{mark}[MASKED]') else t end as t from (select doc_id, t, coalesce(regexp_extract(string_split(t, '{mark}')[2], '^\s*(\S+)', 1), '') as w from m{k}))"
+                        for k, mark in enumerate(T.SECRETS))
+
+
+@query(f"with m0 as (select doc_id, text as t from documents), {_MASK_STEPS} select doc_id, md5(t) as hash from m{len(T.SECRETS)}")
 def q57_mask(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(T.masked(F.col("text"))).alias("hash"))
 

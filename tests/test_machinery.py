@@ -492,3 +492,17 @@ def test_running_totals_of_a_common_key(spark):
     files = spark.createDataFrame([(i, "d", "scan.pdf") for i in range(40)] + [(40, "d", "x.pdf")], "uid long, directory string, filename string").repartition(5)
     paths = {r["uid"]: r["path"] for r in mailbox.attachment_files(files).collect()}
     assert paths[0] == "d/scan.pdf" and paths[40] == "d/x.pdf" and [paths[i] for i in range(1, 40)] == [f"d/scan_{i}.pdf" for i in range(1, 40)]
+
+
+def test_masking(spark):
+    from papyra.functions import text as T
+
+    def plain(msg):
+        for mark in T.SECRETS:
+            if mark in msg and msg.split(mark)[1].split():
+                msg = msg.replace(mark + msg.split(mark)[1].split()[0], f"{mark}[MASKED]")
+        return msg
+
+    rows = ["Token abc def Token abc Token xyz", "Bearer  abc", "api_key=1 password=p secret=", "password=a.b*c password=a.b*c", "token abc", "", "secret=x\nsecret=x y", "Token Token a"]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", T.masked(F.col("t")).alias("m"), T.all_masked(F.col("t")).alias("a")).collect()
+    assert [r["m"] for r in got] == [plain(r) for r in rows] and got[4]["a"] == "token [MASKED]" and got[0]["a"] == "Token [MASKED] def Token [MASKED] Token [MASKED]"
