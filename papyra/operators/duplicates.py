@@ -2,7 +2,7 @@
 
 Null counts as the text ``none``, as in the reference. Documents alike in all three fields are one class. Two classes
 can only reach the mean if correspondent and created together leave the title at most 100 to make up for; the titles
-of such senders and dates are compared in chunks, all with all, by length, common trigrams and bits.
+of such senders and dates are compared in chunks, all with all, by length, common letters and bits.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ FIELDS = ["title", "correspondent", "created"]
 CHUNK = 4096
 #: Sums of ratios are rational: two of them differ by more than this, or are equal.
 _EPS = 1e-9
-#: From this title ratio on, common trigrams leave out most pairs.
-_TRIGRAMS = 85.0
+#: From this title ratio on, common letters leave out most pairs.
+_LETTERS = 78.0
 _BITS = 64
 
 
@@ -30,17 +30,21 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.array([len(t) for t in texts], np.int64)
 
 
-def _trigrams(texts: list[str], width: int = 512) -> np.ndarray:
-    """Hashed trigram counts; the product of two rows is never less than the number of common trigrams."""
-    flat, n = _points(texts)
-    row = np.repeat(np.arange(len(texts)), n)
-    if len(flat) < 3:
-        return np.zeros((len(texts), width), np.float32)
-    x = flat.astype(np.uint64)
-    h = (x[:-2] * np.uint64(0x9E3779B1) + x[1:-1] * np.uint64(0x85EBCA77) + x[2:] * np.uint64(0xC2B2AE3D)) >> np.uint64(7)
-    whole = row[:-2] == row[2:]
-    at = row[:-2][whole] * width + (h[whole] % np.uint64(width)).astype(np.int64)
-    return np.bincount(at, minlength=len(texts) * width).reshape(-1, width).astype(np.float32)
+def _letters(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both lists for each count of each character that one in 200 of ``a`` reaches, and how many characters of each text these
+    leave out: a product of two rows, and the lesser rest, is at least the number of characters in common."""
+    flat, n = _points(a)
+    alphabet, code = np.unique(flat, return_inverse=True)
+    other, m = _points(b)
+    width = len(alphabet) + 1  # the last: characters that a has not
+    there = np.searchsorted(alphabet, other) if len(alphabet) else np.zeros(len(other), np.int64)
+    there = np.where((there < len(alphabet)) & (alphabet[np.minimum(there, max(0, len(alphabet) - 1))] == other), there, width - 1) if len(alphabet) else np.zeros(len(other), np.int64)
+    x = np.bincount(np.repeat(np.arange(len(a)), n) * width + code, minlength=len(a) * width).reshape(len(a), width)
+    y = np.bincount(np.repeat(np.arange(len(b)), m) * width + there, minlength=len(b) * width).reshape(len(b), width)
+    levels = [(c, k) for c in range(width - 1) for k in range(1, int(x[:, c].max(initial=0)) + 1) if (x[:, c] >= k).mean() >= 1 / 200]
+    cols, least = (np.array(v, np.int64) for v in zip(*levels)) if levels else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    p, q = (z[:, cols] >= least for z in (x, y))
+    return p.astype(np.float32), q.astype(np.float32), n - p.sum(axis=1), m - q.sum(axis=1)
 
 
 def title_links(a: list[str], b: list[str], least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +82,7 @@ def title_links(a: list[str], b: list[str], least: float, own: bool = False) ->
         keep(p, q, np.array([lcs(a[up[i]], b[j]) for i, j in zip(p, q)], np.int64))
 
     n_short = int(short.sum())
-    if least < _TRIGRAMS:
+    if least < _LETTERS:
         for j in range(len(b)):
             first, last = int(lo[j]), int(min(hi[j], n_short))
             if first < last:
@@ -98,18 +102,16 @@ def title_links(a: list[str], b: list[str], least: float, own: bool = False) ->
             if (p := np.arange(max(lo[j], n_short), hi[j])).size:
                 plain(p, np.full(len(p), j))
     else:
-        x, y = _trigrams([a[i] for i in up]), _trigrams(b)
+        x, y, rest_x, rest_y = _letters([a[i] for i in up], b)
+        at = np.arange(len(a))
         codes = np.full((len(b), _BITS), len(alphabet))
         for j, t in enumerate(b):
             if len(t) <= _BITS:
                 codes[j, :len(t)] = [place.get(ord(c), len(alphabet)) for c in t]
-        at = np.arange(len(a))
         for s in range(0, len(b), 512):
-            m = lb[s:s + 512, None]
-            enough = least / 200 * (sorted_la + m)  # characters in common
-            # a character taken out breaks three trigrams of its text, one put in breaks two
-            need = np.maximum(sorted_la - 2 - 3 * (sorted_la - enough) - 2 * (m - enough), m - 2 - 3 * (m - enough) - 2 * (sorted_la - enough))
-            q, p = np.nonzero((y[s:s + 512] @ x.T >= need - 1e-3) & (at >= lo[s:s + 512, None]) & (at < hi[s:s + 512, None]))
+            enough = least / 200 * (sorted_la + lb[s:s + 512, None])  # characters in common
+            common = y[s:s + 512] @ x.T + np.minimum(rest_y[s:s + 512, None], rest_x)
+            q, p = np.nonzero((common >= enough - 1e-3) & (at >= lo[s:s + 512, None]) & (at < hi[s:s + 512, None]))
             q += s
             fits = short[p] & (lb[q] <= _BITS)
             plain(p[~fits], q[~fits])
