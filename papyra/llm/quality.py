@@ -22,7 +22,7 @@ from ._common import bucketed, partitions, release, salted_join, strings, tempor
 ORDER = 4
 BITS = 16
 #: Characters of text in a block, the unit whose distinct keys are looked up together.
-BLOCK_CHARS = 2_500_000
+BLOCK_CHARS = 4_000_000
 #: Trusted rows up to this many are broadcast as bare ids; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Languages' thresholds up to this many are broadcast; more are joined by a shuffle.
@@ -52,12 +52,12 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep].view(np.int64), n
 
 
-def _blocks(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(text_col: str, block_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows to blocks: payload, distinct keys, trusted counts."""
-    return lambda batches: _to_blocks(batches, text_col)
+    return lambda batches: _to_blocks(batches, text_col, block_chars)
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def _to_blocks(batches: Iterator[pa.RecordBatch], text_col: str, block_chars: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     release()
@@ -94,7 +94,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.
             part = b.slice(at, 256)
             held.append(part)
             chars += part.column(text_col).nbytes
-            if chars >= BLOCK_CHARS:
+            if chars >= block_chars:
                 yield flush()
     if held:
         yield flush()
@@ -205,7 +205,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return p
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, lang, trusted, perplexity`` per document, or, instead of the first three, the columns to ``carry`` and
     ``__lang, __trusted``. ``trusted(doc_id)``: rows whose text is trusted.
 
@@ -225,7 +225,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         key = F.struct(F.col("__id").isNull().alias("none"), F.coalesce("__id", F.monotonically_increasing_id()).alias("id"))
         rows = rows.withColumn("__key", key).join(ids.select(F.struct(F.lit(False).alias("none"), F.col("__id").alias("id")).alias("__key"), "__trusted"), "__key", "left").drop("__key")
     rows = rows.drop("__id").withColumn("__trusted", F.coalesce("__trusted", F.lit(0)))
-    blocks = bucketed(rows.mapInArrow(_blocks(own), "block long, payload binary, keys binary, counts binary"), "blocks", "block")
+    blocks = bucketed(rows.mapInArrow(_blocks(own, block_chars), "block long, payload binary, keys binary, counts binary"), "blocks", "block")
     each = blocks.select("block", "keys", "counts").mapInArrow(_expand, "block long, key long, n long")
     p = probabilities(written(each.groupBy("key").agg(F.sum("n").alias("n")), "counts"))
     back = each.select("block", "key").join(p.hint("merge"), "key").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "key").select("block", "key", "p")
@@ -252,7 +252,7 @@ def quantiles(values: DataFrame, quantile: float) -> DataFrame:
     return inside.where("upto >= rank").groupBy("key").agg(F.max("total").alias("n"), F.min("value").alias("bound"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: ``doc_id, lang`` (or the columns to ``carry``)``, perplexity, threshold, kept``.
 
     The threshold is the exact quantile of the language's held-out trusted texts; a language (null is one) with fewer
@@ -262,7 +262,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id
     are ignored. The result does not depend on how the rows are dealt out.
     """
     with temporary(docs.sparkSession) as keep:
-        scored = keep(written(perplexities(docs, trusted, id_col, text_col, lang_col, carry), "ppl"))
+        scored = keep(written(perplexities(docs, trusted, id_col, text_col, lang_col, carry, block_chars), "ppl"))
     lang, told = (F.col("lang"), F.col("trusted")) if carry is None else (F.col("__lang"), F.col("__trusted"))
     held = scored.where((told == 2) & F.col("perplexity").isNotNull())
     key = F.explode(F.array(F.struct(F.lit(True).alias("every"), F.lit("").alias("lang"), F.lit(False).alias("none")),

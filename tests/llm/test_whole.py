@@ -280,7 +280,7 @@ def test_only_the_given_table_is_read(spark, tmp_path):
     spark.createDataFrame([(9, "x")], "doc_id long, text string").write.parquet(f"{base}/documents.parquet.old")
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exactdedup.exact_duplicates(spark, f"{base}/documents.parquet").collect()}
     assert got == {1: (1, 1, True), 2: (2, 1, True)}
-    one = spark.read.parquet(f"{base}/documents.parquet").inputFiles()[0]
+    one = next(f for f in spark.read.parquet(f"{base}/documents.parquet").inputFiles() if spark.read.parquet(f).count())  # Spark may write a file without rows
     assert exactdedup.exact_duplicates(spark, one).count() >= 1
 
 
