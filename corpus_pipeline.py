@@ -31,7 +31,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     go; without trusted texts all others stay. An empty table gives none; further columns are dropped.
     """
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return quality.classify(docs, trusted, carry=COLUMNS).where("kept").select(*COLUMNS)
+    # smaller blocks: executors also hold what other stages have left
+    return quality.classify(docs, trusted, carry=COLUMNS, block_chars=2_500_000).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
