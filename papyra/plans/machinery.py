@@ -66,7 +66,7 @@ LIMIT = 5.0
 def q124_running_ledger(spark, d):
     """Costs by source as a stream with state: totals, and one alert at the limit."""
     folder = shared_dir(spark, "ledger")
-    rows = ledger.usage(spark, f"{d}/documents.parquet", "source string, n_chars long", files=16)
+    rows = ledger.usage(spark, f"{d}/documents.parquet", "source string, n_chars long", files=128)
     cost = F.round(F.coalesce("n_chars", F.lit(0)).cast("decimal(24,6)") * F.lit(0.000125).cast("decimal(24,6)"), 6)
     stream = rows.select(F.col("source").alias("model"), F.col("n_chars").alias("tokens"), cost.alias("cost"))
     return ledger.kept(stream, LIMIT, f"{folder}/out", f"{folder}/log")

@@ -12,8 +12,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .intake import exactly
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Small state on disk: no room is taken in advance, and batches write what they changed.
+_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Costs are counted in millionths: sums don't depend on the order.
 MICRO = 1_000_000
 #: The name of the total of all models.
@@ -76,15 +83,17 @@ def usage(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFr
 def kept(stream: DataFrame, limit: float, out: str, checkpoint: str) -> DataFrame:
     """Adds what has come since the last run and ends. Returns ``model, requests, tokens, cost, alerts`` as they stand now, over all runs."""
     spark = stream.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _CONF}
+    for k, v in _CONF.items():
+        spark.conf.set(k, v)
     try:
         d = totals(stream, limit)
         # a batch that runs again writes its own folder again
         d.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
             lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/at={n}")).start().awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     told = spark.read.schema("model string, requests long, tokens long, micro long, alert boolean, batch long").parquet(f"{out}/at=*")
     last = F.max(F.struct("batch", "requests", "tokens", "micro")).alias("l")
     return told.groupBy("model").agg(last, F.count_if("alert").alias("alerts")).select(
