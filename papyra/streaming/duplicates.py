@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import attach
 from ..operators import duplicates
 from .intake import exactly
 
@@ -41,7 +42,7 @@ def arrived(stream: DataFrame, folder: str, chunk: int = duplicates.CHUNK) -> No
 
 def documents(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     """The Parquet files of documents at ``path`` as they come."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(exactly(path))
+    return attach(spark).readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(exactly(path))
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:

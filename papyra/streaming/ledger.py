@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .. import attach
 from .intake import exactly
 
 #: Small state on disk: no room is taken in advance, and batches write what they changed.
@@ -77,12 +78,12 @@ def totals(usage: DataFrame, limit: float) -> DataFrame:
 
 def usage(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     """The Parquet files of requests at ``path`` as they come, some files a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(exactly(path))
+    return attach(spark).readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(exactly(path))
 
 
 def kept(stream: DataFrame, limit: float, out: str, checkpoint: str) -> DataFrame:
     """Adds what has come since the last run and ends. Returns ``model, requests, tokens, cost, alerts`` as they stand now, over all runs."""
-    spark = stream.sparkSession
+    spark = attach(stream.sparkSession)
     before = {k: spark.conf.get(k, None) for k in _CONF}
     for k, v in _CONF.items():
         spark.conf.set(k, v)
