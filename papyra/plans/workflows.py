@@ -131,9 +131,9 @@ def q74_safe_name(spark, d):
     return read(spark, d, "documents").select("doc_id", files.sanitised(F.when(title == "", title).otherwise(F.concat(title, F.lit(".PDF")))).alias("name"))
 
 
-@query(rf"""with s as (select doc_id, {_TITLE} as t from documents) select doc_id, regexp_replace('info' || '_' || 'acme' || '_' || left({_PLAIN('t')}, 80) || '_scan_pdfPDF', '_{{2,}}', '_', 'g') || '.pdf' as name from s""")
+@query(rf"""with s as (select doc_id, string_split(text, chr(10))[1] as t from documents) select doc_id, regexp_replace('info' || '_' || 'acme' || '_' || left({_PLAIN('t')}, 80) || '_scan_pdfPDF', '_{{2,}}', '_', 'g') || '.pdf' as name from s""")
 def q75_mail_name(spark, d):
-    return read(spark, d, "documents").select("doc_id", files.mail_attachment_name(F.lit("info@acme.example"), F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(200)), F.lit("scan pdf.PDF")).alias("name"))
+    return read(spark, d, "documents").select("doc_id", files.mail_attachment_name(F.lit("info@acme.example"), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("scan pdf.PDF")).alias("name"))
 
 
 @query()

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,16 @@ def test_short_names(spark):
     assert max(map(len, got.values())) <= 64
 
 
+def test_mail_names_of_whole_first_lines(spark, tmp_path):
+    lines = ["!" * 250 + "Rechnung", "a" + "?" * 400 + "bc d", "kurz", "x" * 300]
+    spark.createDataFrame([(i, f"{t}\nmehr") for i, t in enumerate(lines)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, catalogue.queries()["q75_mail_name"](spark, str(tmp_path)).collect()))
+    assert got == {i: f"info_acme_{t}_scan_pdfPDF.pdf" for i, t in enumerate(["Rechnung", "abc_d", "kurz", "x" * 80])}
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(duck.execute(catalogue.oracle_sql()["q75_mail_name"]).fetchall())
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
