@@ -16,12 +16,12 @@ from ..functions.similarity import indel_ratio, lcs, like_length
 LEAST = 90.0
 FIELDS = ["title", "correspondent", "created"]
 #: Classes of one sender and date that a task compares with as many others.
-CHUNK = 4096
+CHUNK = 8192
 #: Sums of ratios are rational: two of them differ by more than this, or are equal.
 _EPS = 1e-9
-#: From this title ratio on, common letters leave out most pairs.
-_LETTERS = 78.0
 _BITS = 64
+#: Up to so many texts that letters don't tell from one are compared together with those of others.
+_FEW = 256
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -30,21 +30,34 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.array([len(t) for t in texts], np.int64)
 
 
-def _letters(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of both lists for each count of each character that one in 200 of ``a`` reaches, and how many characters of each text these
-    leave out: a product of two rows, and the lesser rest, is at least the number of characters in common."""
-    flat, n = _points(a)
-    alphabet, code = np.unique(flat, return_inverse=True)
-    other, m = _points(b)
-    width = len(alphabet) + 1  # the last: characters that a has not
-    there = np.searchsorted(alphabet, other) if len(alphabet) else np.zeros(len(other), np.int64)
-    there = np.where((there < len(alphabet)) & (alphabet[np.minimum(there, max(0, len(alphabet) - 1))] == other), there, width - 1) if len(alphabet) else np.zeros(len(other), np.int64)
-    x = np.bincount(np.repeat(np.arange(len(a)), n) * width + code, minlength=len(a) * width).reshape(len(a), width)
-    y = np.bincount(np.repeat(np.arange(len(b)), m) * width + there, minlength=len(b) * width).reshape(len(b), width)
-    levels = [(c, k) for c in range(width - 1) for k in range(1, int(x[:, c].max(initial=0)) + 1) if (x[:, c] >= k).mean() >= 1 / 200]
-    cols, least = (np.array(v, np.int64) for v in zip(*levels)) if levels else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    p, q = (z[:, cols] >= least for z in (x, y))
-    return p.astype(np.float32), q.astype(np.float32), n - p.sum(axis=1), m - q.sum(axis=1)
+def _levels(flat: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """The frequent characters of ``flat`` in two halves, of which the first is returned, and for each half a word of bits for each text of
+    the one and of the other list, whether it reaches certain counts of its characters, and how many of its characters these leave out: the bits
+    in common, and the lesser rest, are at least the number of the half's characters in common. The second half has all other characters too."""
+    alphabet, often = np.unique(flat, return_counts=True)
+    common = alphabet[np.argsort(-often, kind="stable")[:_BITS]]
+    width = len(common)
+    order = np.argsort(common)
+
+    def counted(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(common, points, sorter=order), max(0, width - 1))
+        code = order[at] if width else at
+        held = common[code] == points if width else np.zeros(len(points), bool)
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        return np.bincount(text[held] * width + code[held], minlength=len(lengths) * width).reshape(len(lengths), width)
+
+    x, y = counted(flat, n), counted(other, m)
+    out = []
+    for half in (0, 1):
+        levels = [(c, k, r) for c in range(half, width, 2) for k in range(1, int(x[:, c].max(initial=0)) + 1) if (r := float((x[:, c] >= k).mean())) >= 1 / 200]
+        levels = sorted(levels, key=lambda v: -v[2] * (1 - v[2]))[:_BITS]  # those that half of the texts reach tell most
+        cols, least = (np.array([v[i] for v in levels], np.int64) for i in (0, 1))
+        for z, lengths in ((x, n), (y, m)):
+            there = np.zeros((len(z), _BITS), bool)
+            there[:, :len(cols)] = z[:, cols] >= least
+            size = lengths - z[:, ::2].sum(axis=1) if half else z[:, ::2].sum(axis=1)
+            out += [np.packbits(there, axis=1).view(np.uint64).ravel(), (size - there.sum(axis=1)).astype(np.int32)]
+    return common[::2], [tuple(out[:4]), tuple(out[4:])]
 
 
 def title_links(a: list[str], b: list[str], least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,77 +65,91 @@ def title_links(a: list[str], b: list[str], least: float, own: bool = False) ->
     la, lb = (np.array([len(t) for t in x], np.int64) for x in (a, b))
     up = np.argsort(la, kind="stable")
     sorted_la = la[up]
-    short = la[up] <= _BITS
+    n_short = int((sorted_la <= _BITS).sum())
     # one row of bits for each character: where it stands in each text of a that fits a word
-    flat, _ = _points([a[i] if len(a[i]) <= _BITS else "" for i in up])
+    flat, _ = _points([a[i] for i in up[:n_short]])
     alphabet, code = np.unique(flat, return_inverse=True)
-    held = np.where(short, sorted_la, 0)
+    held = sorted_la[:n_short]
     pos = np.arange(len(flat)) - np.repeat(np.cumsum(held) - held, held)
-    bits = np.zeros((len(alphabet) + 1, len(a)), np.uint64)  # the last row: characters that a has not
-    np.bitwise_or.at(bits, (code, np.repeat(np.arange(len(a)), held)), np.uint64(1) << pos.astype(np.uint64))
-    place = {int(c): i for i, c in enumerate(alphabet)}
+    bits = np.zeros((len(alphabet) + 1, n_short), np.uint64)  # the last row: characters that a has not
+    np.bitwise_or.at(bits, (code, np.repeat(np.arange(n_short), held)), np.uint64(1) << pos.astype(np.uint64))
     fill = np.where(held == _BITS, ~np.uint64(0), (np.uint64(1) << np.minimum(held, _BITS - 1).astype(np.uint64)) - np.uint64(1))
+    # the rows of each text of b
+    other, _ = _points(b)
+    at = np.minimum(np.searchsorted(alphabet, other), max(0, len(alphabet) - 1))
+    at = np.where(alphabet[at] == other, at, len(alphabet)) if len(alphabet) else np.zeros(len(other), np.int64)
+    start = np.cumsum(lb) - lb
+    codes = np.full((len(b), _BITS), len(alphabet))
+    fits = np.repeat(lb <= _BITS, lb)
+    codes[np.repeat(np.arange(len(b)), lb)[fits], (np.arange(len(other)) - np.repeat(start, lb))[fits]] = at[fits]
     ratio = least / (200 - least) if least < 200 else 1.0
     lo = np.searchsorted(sorted_la, np.ceil(lb * ratio - _EPS), "left")
     hi = np.searchsorted(sorted_la, np.floor(lb / ratio + _EPS) if ratio > 0 else np.full(len(b), np.inf), "right")
+    first_half, ((x1, rest_x1, y1, rest_y1), (x2, rest_x2, y2, rest_y2)) = _levels(_points([a[i] for i in up])[0], sorted_la, other, lb)
+    in_first = np.append(np.isin(alphabet, first_half), False)
+    needed: dict[int, np.ndarray] = {}  # by the length of a text of b: characters in common
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def keep(p: np.ndarray, q: np.ndarray, common: np.ndarray) -> None:
-        total = la[up[p]] + lb[q]
+        total = sorted_la[p] + lb[q]
         score = np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
         ok = score >= least - _EPS
-        if own:
-            ok &= up[p] < q
         if ok.any():
-            found.append((up[p[ok]], q[ok], score[ok]))
-
-    def plain(p: np.ndarray, q: np.ndarray) -> None:
-        if own:
-            p, q = p[up[p] < q], q[up[p] < q]
-        keep(p, q, np.array([lcs(a[up[i]], b[j]) for i, j in zip(p, q)], np.int64))
-
-    n_short = int(short.sum())
-    if least < _LETTERS:
-        for j in range(len(b)):
-            first, last = int(lo[j]), int(min(hi[j], n_short))
-            if first < last:
-                v = np.full(last - first, ~np.uint64(0))
-                u, w = np.empty_like(v), np.empty_like(v)
-                for c in b[j]:
-                    i = place.get(ord(c))
-                    if i is not None:
-                        np.bitwise_and(v, bits[i, first:last], out=u)
-                        np.subtract(v, u, out=w)
-                        np.add(v, u, out=v)
-                        np.bitwise_or(v, w, out=v)
-                common = np.bitwise_count(~v & fill[first:last]).astype(np.int64)
-                near = np.flatnonzero(200.0 * common >= (least - _EPS) * (sorted_la[first:last] + lb[j]))
-                if len(near):
-                    keep(first + near, np.full(len(near), j), common[near])
-            if (p := np.arange(max(lo[j], n_short), hi[j])).size:
-                plain(p, np.full(len(p), j))
-    else:
-        x, y, rest_x, rest_y = _letters([a[i] for i in up], b)
-        at = np.arange(len(a))
-        codes = np.full((len(b), _BITS), len(alphabet))
-        for j, t in enumerate(b):
-            if len(t) <= _BITS:
-                codes[j, :len(t)] = [place.get(ord(c), len(alphabet)) for c in t]
-        for s in range(0, len(b), 512):
-            enough = least / 200 * (sorted_la + lb[s:s + 512, None])  # characters in common
-            common = y[s:s + 512] @ x.T + np.minimum(rest_y[s:s + 512, None], rest_x)
-            q, p = np.nonzero((common >= enough - 1e-3) & (at >= lo[s:s + 512, None]) & (at < hi[s:s + 512, None]))
-            q += s
-            fits = short[p] & (lb[q] <= _BITS)
-            plain(p[~fits], q[~fits])
-            p, q = p[fits], q[fits]
-            for k in range(0, len(p), 1 << 18):
-                i, j = p[k:k + (1 << 18)], q[k:k + (1 << 18)]
-                v = np.full(len(i), ~np.uint64(0))
-                for c in range(int(lb[j].max())):
-                    u = v & bits[codes[j, c], i]
-                    v = (v + u) | (v - u)
-                keep(i, j, np.bitwise_count(~v & fill[i]).astype(np.int64))
+            i, j = up[p[ok]], q[ok]
+            found.append((np.minimum(i, j), np.maximum(i, j), score[ok]) if own else (i, j, score[ok]))
+
+    def few(p: np.ndarray, q: np.ndarray) -> None:
+        v = np.full(len(p), ~np.uint64(0))
+        for c in range(int(lb[q].max())):
+            u = v & bits[codes[q, c], p]
+            v = (v + u) | (v - u)
+        keep(p, q, np.bitwise_count(~v & fill[p]).astype(np.int64))
+
+    def in_order(p: np.ndarray, rows: list[int]) -> np.ndarray:
+        """Of the texts ``p``: the longest common subsequence with the characters of some rows."""
+        here = {i: bits[i].take(p) for i in set(rows)}
+        v = np.full(len(p), ~np.uint64(0))
+        u, w = np.empty_like(v), np.empty_like(v)
+        for i in rows:
+            np.bitwise_and(v, here[i], out=u)
+            np.subtract(v, u, out=w)
+            np.add(v, u, out=v)
+            np.bitwise_or(v, w, out=v)
+        return np.bitwise_count(~v & fill[p])
+
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    n_waiting = 0
+    # of one list: each text with those after it in the order of lengths
+    for turn, j in enumerate(up.tolist() if own else range(len(b))):
+        first, last = max(int(lo[j]), turn + 1) if own else int(lo[j]), int(hi[j])
+        if first >= last:
+            continue
+        if (enough := needed.get(int(lb[j]))) is None:
+            enough = needed[int(lb[j])] = np.ceil((least - _EPS) / 200 * (sorted_la + lb[j]) - _EPS).astype(np.int32)
+        second = np.minimum(rest_x2[first:last], rest_y2[j])
+        second += np.bitwise_count(x2[first:last] & y2[j])
+        common = np.minimum(rest_x1[first:last], rest_y1[j])
+        common += np.bitwise_count(x1[first:last] & y1[j])
+        common += second
+        p = np.flatnonzero(common >= enough[first:last]) + first
+        if last > n_short and len(p) and p[-1] >= n_short:
+            long = p[p >= n_short]
+            p = p[:len(p) - len(long)]
+            keep(long, np.full(len(long), j), np.array([lcs(a[up[i]], b[j]) for i in long], np.int64))
+        rows = at[start[j]:start[j] + lb[j]]
+        if len(p) > _FEW:
+            # in order, the characters of one half leave out most of what is left
+            p = p[in_order(p, rows[in_first[rows]].tolist()) + second[p - first] >= enough[p]]
+        if lb[j] > _BITS or len(p) > _FEW:
+            keep(p, np.full(len(p), j), in_order(p, rows[rows < len(alphabet)].tolist()).astype(np.int64))
+        elif len(p):
+            waiting.append((p, np.full(len(p), j)))
+            n_waiting += len(p)
+            if n_waiting >= 1 << 15:
+                few(*map(np.concatenate, zip(*waiting)))
+                waiting, n_waiting = [], 0
+    if waiting:
+        few(*map(np.concatenate, zip(*waiting)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.functions.similarity import indel
+from papyra.functions.similarity import indel, lcs
 from papyra.operators import duplicates
 from papyra.plans import catalogue
 
@@ -41,6 +41,21 @@ def test_title_links(least):
         assert dict(zip(zip(p.tolist(), q.tolist()), s.tolist())) == want and len(p) == len(want)
 
 
+def test_letters_leave_out_pairs_and_lose_none():
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("eeeennnniiissrratdhulcgmobwfkzvp     "), 60)) for _ in range(300)] + ["", "日" * 60, "x" * 90]
+    flat, n = duplicates._points(texts)
+    first, halves = duplicates._levels(flat, n, flat, n)
+    one, two = (np.bitwise_count(x[:, None] & y[None, :]) + np.minimum(rest_x[:, None], rest_y[None, :]) for x, rest_x, y, rest_y in halves)
+    of = set(first.tolist())
+    order = np.array([[lcs("".join(c for c in a if ord(c) in of), b) for b in texts[-40:]] for a in texts])
+    exact = np.array([[lcs(a, b) for b in texts[-40:]] for a in texts])
+    assert (order <= one[:, -40:]).all() and (exact <= order + two[:, -40:]).all()
+    enough = 70.0 / 200 * (n[:, None] + n[None, -40:])
+    # half of the characters in order and the letters of the others leave out most of what letters leave
+    assert (order + two[:, -40:] >= enough)[:300].mean() < 0.25 * (one + two >= enough.max())[:300].mean() + 0.05
+
+
 def test_duplicates_across_senders_dates_and_nulls(spark):
     rows = [(1, "Rechnung vom Mai", "src1", "2024-01-15"), (2, "rechnung vom mai", "src2", "2024-01-15"), (3, "Rechnung vom Mai", None, None), (4, "Rechnung vom Mai", None, None), (5, "Rechnung vom Juni", "SRC1", "2024-01-15"),
             (6, None, "src1", "2024-01-15"), (7, "none", "src1", "2024-01-15"), (8, "", "src1", "2024-01-16"), (9, "", "src1", "2024-01-15"), (10, "Rechnung vom Mai", "src1", "2024-01-16"), (11, "Rechnung vom Mai", "src19", None), (12, "Rechnung vom Mai", "src1", "2024-01-15")]
