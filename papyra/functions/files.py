@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from .text import once
+
 # Transliteration, types by keyword in order, free-mail domains, reserved names.
 UMLAUTS = {"ä": "ae", "Ä": "Ae", "ö": "oe", "Ö": "Oe", "ü": "ue", "Ü": "Ue", "ß": "ss", "€": "EUR", "§": "par", "&": "und", "@": "at", "#": "nr", "%": "prozent", "+": "plus", "°": "grad"}
 TYPES = {
@@ -88,31 +90,37 @@ def mail_attachment_name(sender: Column, subject: Column, name: Column, most: in
 def shortened(name: Column, most: int = 128) -> Column:
     """A name of at most ``most`` characters: parts like dates come first, then those longer than two characters in order,
     the last one cut if more than five characters are left for it."""
-    stem, suffix = stem_and_suffix(name)
-    suffix = F.lower(suffix)
-    base = F.when(suffix == "", plain(name)).otherwise(plain(stem))
-    room = F.lit(most) - F.length(suffix)
-    parts = F.split(base, r"[_\-\s]+")
-    dated = F.filter(parts, lambda p: p.rlike(r"^\d{4}.*\d{2}.*\d{2}"))
-    other = F.filter(parts, lambda p: ~p.rlike(r"^\d{4}.*\d{2}.*\d{2}") & (F.length(p) > 2))
-    start = F.struct(room.alias("left"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("full"))
-
-    def whole(acc: Column, p: Column) -> Column:
-        return F.struct((acc["left"] - F.length(p) - 1).alias("left"), F.array_append(acc["kept"], p).alias("kept"), F.lit(False).alias("full"))
-
-    def take_date(acc: Column, p: Column) -> Column:
-        return F.when(F.length(p) + 1 <= acc["left"], whole(acc, p)).otherwise(acc)
-
-    def take(acc: Column, p: Column) -> Column:
-        cut = F.struct(acc["left"].alias("left"), F.array_append(acc["kept"], F.left(p, acc["left"] - 1)).alias("kept"), F.lit(True).alias("full"))
-        return F.when(acc["full"], acc).when(F.length(p) + 1 <= acc["left"], whole(acc, p)).when(acc["left"] > 5, cut).otherwise(acc)
-
-    kept = F.aggregate(other, F.aggregate(dated, start, take_date), take)["kept"]
-    short = F.when((F.size(parts) > 1) & (F.size(kept) > 0), F.array_join(kept, "_")).otherwise(F.left(base, room))
-    whole_name = F.btrim(F.concat(F.when(F.length(base) <= room, base).otherwise(short), suffix), F.lit("_-."))
-    whole_name = F.when((whole_name == "") | (whole_name == suffix) | (F.concat(F.lit("."), whole_name) == suffix), F.concat(F.lit("document"), suffix)).otherwise(whole_name)
-    cut = F.concat(F.rtrim(F.left(whole_name, room), F.lit("_-.")), suffix)
-    return F.when(name.isNull() | (name == ""), "document.pdf").when(F.length(whole_name) > most, cut).otherwise(whole_name)
+    date = r"^\d{4}.*\d{2}.*\d{2}"
+    of = once(base_name(name), lambda n: F.struct(*[c.alias(k) for k, c in zip(("stem", "suffix"), stem_and_suffix(n))]))
+    # each value that is used more than once is computed once: names of whole lines have thousands of parts
+    given = F.struct(plain(once(of, lambda x: F.when(x["suffix"] == "", name).otherwise(x["stem"]))).alias("base"), F.lower(of["suffix"]).alias("suffix"))
+
+    def kept(parts: Column, room: Column) -> Column:
+        start = F.struct(room.alias("left"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("full"))
+
+        def whole(acc: Column, p: Column) -> Column:
+            return F.struct((acc["left"] - F.length(p) - 1).alias("left"), F.array_append(acc["kept"], p).alias("kept"), F.lit(False).alias("full"))
+
+        def take_date(acc: Column, p: Column) -> Column:
+            return F.when(F.length(p) + 1 <= acc["left"], whole(acc, p)).otherwise(acc)
+
+        def take(acc: Column, p: Column) -> Column:
+            cut = F.struct(acc["left"].alias("left"), F.array_append(acc["kept"], F.left(p, acc["left"] - 1)).alias("kept"), F.lit(True).alias("full"))
+            return F.when(acc["full"], acc).when(F.length(p) + 1 <= acc["left"], whole(acc, p)).when(acc["left"] > 5, cut).otherwise(acc)
+
+        dated = F.filter(parts, lambda p: p.rlike(date))
+        other = F.filter(parts, lambda p: (F.length(p) > 2) & ~p.rlike(date))
+        return F.aggregate(other, F.aggregate(dated, start, take_date), take)["kept"]
+
+    def named(g: Column) -> Column:
+        base, suffix = g["base"], g["suffix"]
+        room = F.lit(most) - F.length(suffix)
+        short = once(F.split(base, r"[_\-\s]+"), lambda parts: once(kept(parts, room), lambda k: F.when((F.size(parts) > 1) & (F.size(k) > 0), F.array_join(k, "_")).otherwise(F.left(base, room))))
+        first = F.btrim(F.concat(F.when(F.length(base) <= room, base).otherwise(short), suffix), F.lit("_-."))
+        filled = once(first, lambda x: F.when((x == "") | (x == suffix) | (F.concat(F.lit("."), x) == suffix), F.concat(F.lit("document"), suffix)).otherwise(x))
+        return once(filled, lambda x: F.when(F.length(x) > most, F.concat(F.rtrim(F.left(x, room), F.lit("_-.")), suffix)).otherwise(x))
+
+    return F.when(name.isNull() | (name == ""), "document.pdf").otherwise(once(given, named))
 
 
 def windows_name(name: Column) -> Column:

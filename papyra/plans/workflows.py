@@ -10,7 +10,7 @@ from .. import numbered, shared_dir
 from ..functions import dates, files, text as T
 from ..operators import calls, entities, issues, nearest, records, stats, validate
 from ..sources import mailbox, sinks, storage, tables
-from .catalogue import _FLAGS, _FOUND, _OCRV, _transliterated, _WHOLE, ocr_results, query, read, tags, whole_docs
+from .catalogue import _FLAGS, _FOUND, _OCRV, _transliterated, _WHOLE, ocr_results, query, read, spread, tags, whole_docs
 
 _EXTRA = f"""{_WHOLE}, full_docs as (select *, case document_id % 5 when 0 then 'not-a-date' when 1 then '2024-03-05T10:00:00Z' when 2 then '2024-03-05' end as made, case when document_id % 4 < 3 then '2024-02-01T00:00:00' end as changed,
  case document_id % 3 when 0 then 'scan ' || document_id || '.PDF' when 1 then '2024-03-05_' || correspondent || '_' || document_type || '.pdf' end as filename from docs)"""
@@ -140,7 +140,7 @@ def q75_mail_name(spark, d):
 def q76_short_name(spark, d):
     """Names of a first line and a date, within 64 characters."""
     name = F.concat(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" 2024-05-06.PDF"))
-    return read(spark, d, "documents").select("doc_id", files.shortened(name, 64).alias("name"))
+    return spread(read(spark, d, "documents").select("doc_id", name.alias("name"))).select("doc_id", files.shortened(F.col("name"), 64).alias("name"))
 
 
 @query(r"""select page_id, regexp_replace(url, '[<>:"/\\|?*]', '_', 'g') as windows, replace(url, '/', '_') as posix from pages""")
