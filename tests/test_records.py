@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from papyra.functions import dates, files, text as T
 from papyra.functions.similarity import indel, wratio
 from papyra import settings
-from papyra.operators import calls, records, stats
+from papyra.operators import calls, records, stats, validate
 from papyra.plans import catalogue
 from papyra.sources import mailbox, sinks, tables
 from papyra.streaming import intake
@@ -140,6 +140,33 @@ def test_mail_names_of_whole_first_lines(spark, tmp_path):
     assert got == dict(duck.execute(catalogue.oracle_sql()["q75_mail_name"]).fetchall())
 
 
+def plan_of(spark, name):
+    return catalogue.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_are_taken_once(spark):
+    assert plan_of(spark, "q03_validator_metrics").count("regexp_extract_all(") == 3 and plan_of(spark, "q02_text_metrics").count("regexp_extract_all(") == 3
+    d = spark.createDataFrame([(1, "Ab 1!"), (2, ""), (3, None)], "k int, t string")
+    got = {r[0]: tuple(r)[2:] for r in T.measured(d, F.col("t"), "upper_ratio", "n_words").collect()}
+    want = {r[0]: tuple(r)[1:] for r in d.select("k", *[T.metrics(F.col("t"))[n] for n in ("upper_ratio", "n_words")]).collect()}
+    assert got == want and got[1] == (0.2, 2)
+
+
+def test_short_names_are_computed_once(spark):
+    assert len(plan_of(spark, "q76_short_name")) < 10_000
+    names = ["Rechnung vom 2024-05-06 " + "wort " * 3000 + ".PDF", "a/b/" + "x" * 200, ".PDF", "", None, "2024-01-02 " * 12 + "ab abcd", "ÄÖ ß.Txt", "a" * 70 + " b.pdf", "___.pdf", "dir/", "ab cd ef" * 9]
+    got = [r[1] for r in spark.createDataFrame(list(enumerate(names)), "k int, n string").select("k", files.shortened(F.col("n"), 64)).orderBy("k").collect()]
+    assert got == ["Rechnung_vom_2024" + "_wort" * 8 + ".pdf", "ab" + "x" * 62, "PDF", "document.pdf", "document.pdf", "_".join(["2024"] * 12), "AeOe_ss.txt", "a" * 59 + ".pdf", "document.pdf", "dir", "_".join(["efab"] * 8)]
+
+
+def test_types_of_like_length_only(spark):
+    d = spark.createDataFrame([(n,) for n in ("rechnung", "rechnungen", "brief", "", "x", "zertifikat", "e-mail", "vertrag" * 9, "notizen")], "name string")
+    want = {r["name"]: max(((indel(r["name"], k), [-ord(c) for c in k], k) for k in validate.DOCUMENT_TYPES)) for r in d.collect()}
+    got = validate.suggest_type(d)
+    assert {r[0]: r[1] for r in got.collect()} == {n: k if s >= 80 else None for n, (s, _, k) in want.items()}
+    assert "aggregate(split" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
