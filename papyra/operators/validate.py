@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.similarity import lcs_sql
+from ..functions.similarity import indel_ratio, like_length
 
 # Known document types.
 DOCUMENT_TYPES = ["Rechnung", "Quittung", "Vertrag", "Angebot", "Bestellung", "Lieferschein", "Mahnung", "Gutschrift", "Stornierung", "Kontoauszug", "Bescheinigung", "Bestätigung", "Mitteilung", "Schreiben", "Brief", "E-Mail", "Notiz", "Protokoll", "Bericht", "Antrag", "Formular", "Bescheid", "Urkunde", "Zeugnis", "Zertifikat", "Nachweis", "Versicherung", "Kündigung", "Widerspruch", "Einspruch", "Stellungnahme"]
@@ -84,8 +84,9 @@ def repaired_tags(tags: Column, least: int = 2, most: int = 4) -> Column:
 
 
 def suggest_type(names: DataFrame, least: float = 80.0) -> DataFrame:
-    """``name`` to the nearest of the 31 known types, ties to the first by name: a fixed list, so no join grows."""
+    """``name`` to the nearest of the 31 known types, ties to the first by name: a fixed list, so no join grows. Only types whose length allows
+    the ratio are compared."""
     known = names.sparkSession.createDataFrame([(t,) for t in DOCUMENT_TYPES], "kind string")
-    pairs = names.join(F.broadcast(known)).withColumn("score", F.expr(f"200.0D * {lcs_sql('name', 'kind')} / (length(name) + length(kind))"))
+    pairs = names.join(F.broadcast(known), like_length(F.col("name"), F.col("kind"), least), "left").withColumn("score", indel_ratio(F.col("name"), F.col("kind")))
     best = pairs.groupBy("name").agg(F.max("score").alias("score"), F.max_by("kind", F.struct("score", F.transform(F.split("kind", ""), lambda c: -F.ascii(c)))).alias("kind"))
     return best.select("name", F.when(F.col("score") >= least, F.col("kind")).alias("suggestion"))
