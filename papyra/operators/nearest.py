@@ -8,6 +8,8 @@ that is left can beat the best. What the tasks find is combined by name.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -170,6 +172,12 @@ def matched(docs: DataFrame, tags: DataFrame, least: float = 95.0, tags_col: str
     return rows.join(told, row, "left").withColumn("matches", F.pandas_udf(run, kind)("__found")).drop(row, "__found")
 
 
+@functools.lru_cache(1 << 16)
+def _ratio_of(name: str, other: str) -> float:
+    """Rows propose the same tags again and again: a pair is scored once for many of them."""
+    return wratio(key_of(name), key_of(other))
+
+
 def _in_order(proposed, least: float) -> list[dict]:
     new: list[str] = []
     out = []
@@ -178,7 +186,7 @@ def _in_order(proposed, least: float) -> list[dict]:
         best = None if best is None or best != best else best
         if name is not None:
             for x in new:
-                score = wratio(key_of(name), key_of(x))
+                score = _ratio_of(name, x)
                 if best is None or score > best:
                     tag, best = x, score
         hit = best is not None and best >= least

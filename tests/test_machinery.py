@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import papyra
+from papyra.functions.similarity import wratio
 from papyra.operators import entities, folds, issues, nearest, scanner
 from papyra.plans import catalogue
 from papyra.sources import commits, paged, storage
@@ -506,3 +507,12 @@ def test_masking(spark):
     rows = ["Token abc def Token abc Token xyz", "Bearer  abc", "api_key=1 password=p secret=", "password=a.b*c password=a.b*c", "token abc", "", "secret=x\nsecret=x y", "Token Token a"]
     got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", T.masked(F.col("t")).alias("m"), T.all_masked(F.col("t")).alias("a")).collect()
     assert [r["m"] for r in got] == [plain(r) for r in rows] and got[4]["a"] == "token [MASKED]" and got[0]["a"] == "Token [MASKED] def Token [MASKED] Token [MASKED]"
+
+
+def test_pairs_of_tags_that_rows_repeat_are_scored_once(spark, monkeypatch):
+    scored = []
+    monkeypatch.setattr(nearest, "wratio", lambda a, b: scored.append((a, b)) or wratio(a, b))
+    rows = [{"name": n, "tag": "zz", "score": 10.0} for n in ("Apfel rot", "Birne gelb", "apfel  rot", None, "Birne gelb ")]
+    first = nearest._in_order(rows, 95.0)
+    n = len(scored)
+    assert nearest._in_order(rows, 95.0) == first and len(scored) == n and [m["match"] for m in first] == [None, None, "Apfel rot", None, "Birne gelb"]
