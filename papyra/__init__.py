@@ -30,6 +30,18 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """In this block, Arrow batches hold few bytes also where the session has not set their size (``attach`` sees only one that is set)."""
+    before = spark.conf.get(_ARROW)
+    if before in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_ARROW, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, before)
+
+
 #: Folders and tables that operators of this session have made, and where the frames are that read them.
 _FOLDERS: list[str] = []
 _TABLES: list[str] = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .. import attach
+from .. import attach, small_batches
 from . import storage
 from .sinks import BOM, cell, header
 
@@ -210,7 +210,9 @@ def files(df: DataFrame, folder: str) -> None:
     if rest:
         rows.append(F.struct(F.lit(None).cast("void").alias("ok"), F.concat("path", F.lit(".json")).alias("path"), F.to_json(F.struct(*rest)).cast("binary").alias("content")))
     told = df.select(F.explode(F.array(*rows)).alias("f")).select("f.ok", "f.path", "f.content").where("ok is null").select("path", "content")
-    told.write.format(_source(df.sparkSession, "path string, content binary", _Files(folder))).mode("append").save()
+    kind = _source(df.sparkSession, "path string, content binary", _Files(folder))
+    with small_batches(df.sparkSession):  # a batch of whole files would hold up to 64 MB, several times over, in each task
+        told.write.format(kind).mode("append").save()
 
 
 def committed(folder: str) -> list[dict]:

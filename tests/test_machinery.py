@@ -516,3 +516,17 @@ def test_pairs_of_tags_that_rows_repeat_are_scored_once(spark, monkeypatch):
     first = nearest._in_order(rows, 95.0)
     n = len(scored)
     assert nearest._in_order(rows, 95.0) == first and len(scored) == n and [m["match"] for m in first] == [None, None, "Apfel rot", None, "Birne gelb"]
+
+
+def test_files_are_written_in_small_batches(spark, tmp_path, monkeypatch):
+    key, held = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+
+    def seen(frame):
+        held.append(spark.conf.get(key))
+        return of(frame)
+
+    of = type(spark.range(0)).write.fget
+    monkeypatch.setattr(type(spark.range(0)), "write", property(seen))
+    commits.files(spark.createDataFrame([("a.txt", b"x" * 10)], "path string, content binary"), str(tmp_path))
+    assert held == [str(papyra.ARROW_BYTES)] and spark.conf.get(key) == before and storage.get(f"{tmp_path}/a.txt") == b"x" * 10
