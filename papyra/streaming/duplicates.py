@@ -35,7 +35,7 @@ def _batch(rows: DataFrame, n: int, folder: str, chunk: int) -> None:
     duplicates.links(each, chunk).write.mode("overwrite").parquet(f"{folder}/pairs/batch={n}")
 
 
-def arrived(stream: DataFrame, folder: str, chunk: int = duplicates.CHUNK) -> None:
+def arrived(stream: DataFrame, folder: str, chunk: int = duplicates.CLASSES) -> None:
     """Takes what has come of ``document_id, title, correspondent, created`` since the last run into ``folder``, and ends."""
     stream.writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(lambda rows, n: _batch(rows, n, folder, chunk)).start().awaitTermination()
 

@@ -1,5 +1,7 @@
 """The duplicate pass against plain code."""
 
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,47 @@ def test_letters_leave_out_pairs_and_lose_none():
     assert (order + two[:, -40:] >= enough)[:300].mean() < 0.25 * (one + two >= enough.max())[:300].mean() + 0.05
 
 
+LETTERS = "eeeennnniiissrratdhulcgmobwfkzvp     ", "aaaaaoooeeessnnrrllidtcumpqñóáéí     "
+
+
+@functools.cache
+def near_copies():
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list(LETTERS[k % 2]), n)) for k, n in enumerate(rng.choice([60, 60, 60, 45, 20], 420))]
+    for t in texts[:60]:  # copies near the bounds
+        for k in (1, 3, 6, 9, 14):
+            u = list(t)
+            for _ in range(min(k, len(u))):
+                u[int(rng.integers(0, len(u)))] = str(rng.choice(list(LETTERS[0])))
+            texts.append("".join(u))
+    texts = sorted({*texts, "", "日本" * 30, "日本" * 29 + "語", "x" * 130, "x" * 126})
+    return texts, [(i, j, indel(a, b)) for i, a in enumerate(texts) for j, b in enumerate(texts[i + 1:], i + 1)]
+
+
+@pytest.mark.parametrize("least", [70.0, 81.0, 90.0, 95.0])
+def test_many_texts_and_near_copies(least, monkeypatch):
+    texts, scores = near_copies()
+    want = {(i, j) for i, j, score in scores if score >= least - 1e-9}
+    for few, cells in ((256, 1 << 30), (4, 1 << 30), (4, 5000)):  # also with order and letters looked at for each, and with few texts at once
+        monkeypatch.setattr(duplicates, "_FEW", few)
+        monkeypatch.setattr(duplicates, "_CELLS", cells)
+        p, q, _ = duplicates.title_links(texts, texts, least, True)
+        assert set(zip(p.tolist(), q.tolist())) == want and len(p) == len(want) > 60
+        p, q, _ = duplicates.title_links(texts[:300], texts[300:], least)
+        assert set(zip(p.tolist(), (q + 300).tolist())) == {(i, j) for i, j in want if i < 300 <= j} and len(p) == len(set(zip(p.tolist(), q.tolist())))
+
+
+def test_blocks_leave_out_texts_of_other_letters():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list(LETTERS[k % 2]), 60)) for k in range(8192)]
+    flat, n = duplicates._points(texts)
+    counts = duplicates._counted(duplicates._frequent(flat), flat, n).astype(np.uint8)
+    counts = np.ascontiguousarray(counts[duplicates._places(counts)].T)
+    apart = duplicates._apart(counts, counts[:, 640:704])
+    exact = np.abs(counts[:, :, None].astype(int) - counts[:, None, 640:704]).sum(axis=0)
+    assert (apart <= exact.min(axis=1)).all() and (apart <= 6).mean() < 0.6 and not apart[640:704].any()
+
+
 def test_duplicates_across_senders_dates_and_nulls(spark):
     rows = [(1, "Rechnung vom Mai", "src1", "2024-01-15"), (2, "rechnung vom mai", "src2", "2024-01-15"), (3, "Rechnung vom Mai", None, None), (4, "Rechnung vom Mai", None, None), (5, "Rechnung vom Juni", "SRC1", "2024-01-15"),
             (6, None, "src1", "2024-01-15"), (7, "none", "src1", "2024-01-15"), (8, "", "src1", "2024-01-16"), (9, "", "src1", "2024-01-15"), (10, "Rechnung vom Mai", "src1", "2024-01-16"), (11, "Rechnung vom Mai", "src19", None), (12, "Rechnung vom Mai", "src1", "2024-01-15")]
