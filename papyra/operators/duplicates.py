@@ -359,8 +359,8 @@ def later_duplicates(docs: DataFrame) -> DataFrame:
 
     The documents of a class pair are not paired: those of the other class with a larger id are counted in order.
     """
-    c = classes(docs)
-    of = members(docs, c)
+    c = written(classes(docs), "classes")
+    of = written(members(docs, c), "members")
     both = F.array(F.struct(F.col("id1").alias("id"), F.col("id2").alias("other")), F.struct(F.col("id2").alias("id"), F.col("id1").alias("other")))
     near = _pairs(c).select(F.explode(F.when(F.col("id1") == F.col("id2"), F.slice(both, 1, 1)).otherwise(both)).alias("p")).select("p.id", "p.other")
     asked = of.join(near, "id").select(F.col("other").alias("id"), "document_id", F.lit(0).alias("one"))

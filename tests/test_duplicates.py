@@ -99,6 +99,12 @@ def test_blocks_leave_out_texts_of_other_letters():
     assert (apart <= exact.min(axis=1)).all() and (apart <= 6).mean() < 0.6 and not apart[640:704].any()
 
 
+def test_documents_are_read_once(spark):
+    """The report's pairs come from classes and members that were taken once, not from the documents at each use."""
+    d = catalogue.docs(spark, DIR)
+    assert any("documents" in f for f in d.inputFiles()) and not any("documents" in f for f in duplicates.later_duplicates(d).inputFiles())
+
+
 def test_duplicates_across_senders_dates_and_nulls(spark):
     rows = [(1, "Rechnung vom Mai", "src1", "2024-01-15"), (2, "rechnung vom mai", "src2", "2024-01-15"), (3, "Rechnung vom Mai", None, None), (4, "Rechnung vom Mai", None, None), (5, "Rechnung vom Juni", "SRC1", "2024-01-15"),
             (6, None, "src1", "2024-01-15"), (7, "none", "src1", "2024-01-15"), (8, "", "src1", "2024-01-16"), (9, "", "src1", "2024-01-15"), (10, "Rechnung vom Mai", "src1", "2024-01-16"), (11, "Rechnung vom Mai", "src19", None), (12, "Rechnung vom Mai", "src1", "2024-01-15")]
