@@ -24,7 +24,7 @@ def ocr(docs: DataFrame, least: int = 50, confident: float = 0.7) -> DataFrame:
     d = docs.withColumn("t", F.coalesce(F.trim("text", F.lit(" \n\t\r")), F.lit("")))
     # counts and language are structs that are computed once; what is made of them is cheap
     d = d.select("document_id", "confidence", T.missing(F.col("text")).alias("none"), T.language_struct(F.col("t")).alias("l"), F.size(T.defects(F.col("t"))).alias("defects"), T.counts(F.col("t")).alias("c"))
-    share = lambda k, of="c.chars", places=3: F.bround(T.ratio(F.col(f"c.{k}"), F.col(of)), places)
+    share = lambda k, of="c.chars", places=3: T.rounded(T.ratio(F.col(f"c.{k}"), F.col(of)), places)
     d = _held(d).select("document_id", "confidence", "none", "defects", F.col("l.name").alias("language"), F.col("l.confidence").alias("language_confidence"), F.col("c.chars").alias("chars"), F.col("c.n_words").alias("n_words"),
                         share("letters", "c.n_words", 2).alias("mean_word"), share("special").alias("special_ratio"), share("upper").alias("upper_ratio"), share("digit").alias("digit_ratio"))
     errors = F.when(F.col("none"), F.array(F.lit("Kein OCR-Text vorhanden"))).otherwise(F.array_compact(F.array(

@@ -160,6 +160,13 @@ def test_metrics_of_odd_texts_equal_sql(spark, tmp_path):
     assert got == want and got[0][1:] == (None,) * 7 and got[1][1:] == (0, 0, None) + ("NaN",) * 4
 
 
+def test_validator_metrics_of_odd_texts_and_ties_equal_sql(spark, tmp_path):
+    ties = ["!" * 203 + "a" * 197, "A" * 511 + "1" * 512 + "b" * 977, "1" * 29 + "a" * 1971]
+    got, want = against_sql(spark, tmp_path, "q03_validator_metrics", ODD_TEXTS + ties)
+    assert got == want and got[0][1:] == (None,) * 3 and got[1][1:] == got[2][1:] == ("NaN",) * 3
+    assert got[len(ODD_TEXTS)] == (len(ODD_TEXTS), 0.507, 0.0, 0.0)
+
+
 def plan_of(spark, name):
     return catalogue.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
 
